@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import binary_records, byte_bpe, license_scan, quality_cascade
+from folio.llm import binary_records, byte_bpe, decontaminate, license_scan, line_templates, prob_minhash, quality_cascade
 from folio.llm.common import scratch
 
 
@@ -40,12 +40,26 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_records.read_records(spark, folder).mapInPandas(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op5_quality_cascade)
+    f.__name__: f
+    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op10_prob_minhash)
 }
 
 
@@ -74,6 +88,24 @@ found AS (
   FROM line JOIN known ON digest = CASE WHEN c <> '' THEN sha256(c) END GROUP BY doc_id)
 SELECT w.doc_id, CASE WHEN c <> '' THEN sha256(c) END AS text_digest, k.license, coalesce(f.n, 0) AS n_notices, coalesce(f.names, '') AS notices
 FROM whole w LEFT JOIN known k ON k.digest = CASE WHEN c <> '' THEN sha256(c) END LEFT JOIN found f ON f.doc_id = w.doc_id
+""",
+    "op4_line_templates": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(doc_id, -9223372036854775808) AS key, doc_id, text FROM documents),
+l AS (SELECT id, key, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM d),
+m AS (SELECT *, string_split(t, ' ') AS ts FROM (SELECT *, trim(regexp_replace(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+', ' ', 'g')) AS t FROM l)),
+c AS (SELECT id, key, pos, t, ts, len(ts) AS n, array_to_string(ts[1:3], ' ') AS lead FROM m WHERE len(ts) >= 3 AND t <> ''),
+pairs AS (SELECT DISTINCT n, lead, t, key FROM c),
+leaves AS (SELECT n, lead FROM pairs GROUP BY 1, 2 HAVING count(*) >= 10),
+body AS (SELECT n, lead, t, count(*) AS k FROM pairs JOIN leaves USING (n, lead) GROUP BY 1, 2, 3),
+token AS (SELECT n, lead, t, k, unnest(string_split(t, ' ')) AS w, unnest(range(n)) AS i FROM body),
+constant AS (SELECT n, lead, i, w FROM token WHERE w <> '<*>' GROUP BY 1, 2, 3, 4 HAVING sum(k) >= 10),
+template AS (SELECT n, lead, t, array_to_string(list(CASE WHEN constant.i IS NULL THEN '<*>' ELSE token.w END ORDER BY token.i), ' ') AS tpl, count(constant.i) AS good
+  FROM token LEFT JOIN constant USING (n, lead, i, w) GROUP BY 1, 2, 3),
+often AS (SELECT n, lead, tpl, min(key) AS first FROM pairs JOIN (SELECT * FROM template WHERE 10 * good >= 5 * n) USING (n, lead, t) GROUP BY 1, 2, 3 HAVING count(DISTINCT key) >= 10),
+hit AS (SELECT id, pos FROM c JOIN template USING (n, lead, t) JOIN often USING (n, lead, tpl) WHERE 10 * good >= 5 * n AND key > first),
+kept AS (SELECT id, count(*) AS n_lines, count(hit.pos) AS n_dropped, list(line ORDER BY pos) FILTER (WHERE hit.pos IS NULL) AS ls FROM l LEFT JOIN hit USING (id, pos) GROUP BY id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped, CASE WHEN text IS NOT NULL THEN sha256(array_to_string(coalesce(ls, []), chr(10))) END AS kept_sha256
+FROM d JOIN kept USING (id)
 """,
     "op5_quality_cascade": r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
