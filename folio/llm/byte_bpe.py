@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import documents
+from folio.llm.common import documents, pieces
 
 #: Characters of a chunk, and by how many it reaches into the next.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -102,7 +102,7 @@ def stitched(long: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = O
 def _encoder(ranks_path: str, pattern: str):
     def run(batches):
         core = encoding(ranks_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [core.encode_to_numpy(text, disallowed_special=()) for text in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import binary_records, byte_bpe, decontaminate, license_scan, line_templates, prob_minhash, quality_cascade
+from folio.llm import binary_records, byte_bpe, decontaminate, license_scan, line_templates, prob_minhash, quality_cascade, recompression
 from folio.llm.common import scratch
 
 
@@ -53,13 +53,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op10_prob_minhash)
+    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op7_recompression, op10_prob_minhash)
 }
 
 
@@ -76,6 +81,17 @@ def _quoted(text: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op7_recompression": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(doc_id, -9223372036854775808) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT id, doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+grams AS (SELECT id, doc_id, i, lead(i, 12) OVER o AS stop, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o,
+  lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o, lead(word, 8) OVER o, lead(word, 9) OVER o, lead(word, 10) OVER o, lead(word, 11) OVER o,
+  lead(word, 12) OVER o) AS gram FROM x WINDOW o AS (PARTITION BY id ORDER BY i)),
+hit AS (SELECT id, i FROM (SELECT id, doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS least FROM grams WHERE stop IS NOT NULL) WHERE doc_id > least),
+gone AS (SELECT DISTINCT id, i + unnest(range(13)) AS i FROM hit),
+kept AS (SELECT id, count(gone.i) AS n_removed, list(word ORDER BY x.i) FILTER (WHERE gone.i IS NULL) AS ks FROM x LEFT JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(array_to_string(coalesce(ks, []), ' ')) AS kept_sha256 FROM d LEFT JOIN kept USING (id)
+""",
     "op1_license_scan": f"""
 WITH known AS (
   SELECT sha256(c) AS digest, min(license) AS license
