@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import binary_records, byte_bpe, decontaminate, license_scan, line_templates, prob_minhash, quality_cascade, recompression
+from folio.llm import binary_records, byte_bpe, decontaminate, license_scan, line_templates, prob_minhash, quality_cascade, recompression, run_length_index
 from folio.llm.common import scratch
 
 
@@ -58,13 +58,18 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = run_length_index.remove_long_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op7_recompression, op10_prob_minhash)
+    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op7_recompression, op8_run_length_index, op10_prob_minhash)
 }
 
 

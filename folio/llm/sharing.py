@@ -62,12 +62,16 @@ def pair_batch(names: np.ndarray, rows: np.ndarray, doc_ids: np.ndarray, copies:
 PAIR_SCHEMA = "key long, doc_id long, copy int, known boolean, name long"
 
 
-def shared_names(pairs: DataFrame, ties: bool) -> DataFrame:
-    """``doc_id`` and the array ``names`` of structs (copy, name): what each document shares."""
+def shared_names(pairs: DataFrame, ties: bool, hot: int = 2_000) -> DataFrame:
+    """``doc_id`` and the array ``names`` of structs (copy, name, hot): what each document shares.
+
+    ``hot`` marks names that stand for more than that many batches.
+    """
     over = Window.partitionBy("key")
-    other = F.count("*").over(over) > 1 if ties else F.min("doc_id").over(over) < F.max("doc_id").over(over)
-    found = pairs.select("doc_id", "copy", "name", "known", other.alias("other")).where("known or other")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "name")).alias("names"))
+    n = F.count("*").over(over)
+    other = n > 1 if ties else F.min("doc_id").over(over) < F.max("doc_id").over(over)
+    found = pairs.select("doc_id", "copy", "name", "known", other.alias("other"), (n > hot).alias("hot")).where("known or other")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "name", "hot")).alias("names"))
 
 
 def own_names(lists: pa.Array, copies: np.ndarray):
