@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import binary_records, byte_bpe, decontaminate, license_scan, line_templates, prob_minhash, quality_cascade, recompression, run_length_index
+from folio.llm import binary_records, byte_bpe, decontaminate, katz_lm, license_scan, line_templates, prob_minhash, quality_cascade, recompression, run_length_index
 from folio.llm.common import scratch
 
 
@@ -27,9 +27,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(coded, ranks, public_tokenizers.PATTERN)
 
 
-def _checksums(frames):
-    for pdf in frames:
-        yield pdf.assign(n_tokens=pdf["ids"].map(len), ids_crc32=[zlib.crc32(x.astype("<u4").tobytes()) for x in pdf["ids"]])[["doc_id", "start", "n_tokens", "ids_crc32"]]
+def _checksum(doc_id, start, ids):
+    return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     # About 10 MB of text a file.
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     binary_records.write_records(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408, partitions=max(1, round(size / 10e6)))
-    return binary_records.read_records(spark, folder).mapInPandas(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return binary_records.map_records(spark, folder, _checksum, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +62,19 @@ def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    out = katz_lm.scores(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op7_recompression, op8_run_length_index, op10_prob_minhash)
+    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op7_recompression, op8_run_length_index, op9_katz_lm, op10_prob_minhash)
 }
 
 
