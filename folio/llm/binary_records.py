@@ -13,8 +13,10 @@ place of its ids in the whole sequence, for reads in any order.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import IS_SPACE, Words, bytes_of, documents, pieces
 
 MASK_DELTA = 0xA282EAD8
-#: Distinct words whose ids a Python worker keeps.
-CACHE = 200_000
+#: Distinct words, and parts of words, whose ids a Python worker keeps.
+CACHE, CACHE_PARTS = 150_000, 40_000
 
 
 def masked_crc(data) -> int:
@@ -53,51 +55,96 @@ def unframe(data, offset: int, width: int) -> tuple[int, np.ndarray, int]:
     return struct.unpack("<q", payload[:8])[0], np.frombuffer(payload[8:], f"<u{width}"), stop + 5
 
 
-@lru_cache(2)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, {}
-
-
-def word_ids(data: np.ndarray, words: Words, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words end to end, and how many each word has.
-
-    For tokenizers that drop white space and never look across it, so that a
-    text's ids are its words' ids end to end; each distinct word of a batch is
-    encoded once, and common words once in a worker's life.
+#: The stages of a tokenizer that lower-cases, drops white space and never looks across it.
+BY_WORD = (
+    'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])',
+    'Sequence(pretokenizers=[Split(pattern=Regex("\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), '
+    "behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])",
+)
+#: Words that such a tokenizer normalises by lower case alone, and their pre-tokens once in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class Coder:
+    """A tokenizers file with what a Python worker remembers of it."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.core = Tokenizer.from_file(path)
+        self.core.encode_special_tokens = True
+        self.by_word = (repr(self.core.normalizer), repr(self.core.pre_tokenizer)) == BY_WORD
+        self.model = self.core.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in (*range(0x21, 0x7F), *range(0xC0, 0x100))}
+        self.words: dict[int, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
+
+    def part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = [x.id for x in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))]
+            if len(self.parts) < CACHE_PARTS:
+                self.parts[part] = ids
+        return ids
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words as 32-bit integers: the BPE model at once for plain words, all stages for the rest."""
+        out: list = [None] * len(words)
+        odd = []
+        plain, parts, known = PLAIN.fullmatch, PLAIN_PARTS.findall, self.part
+        for i, word in enumerate(words):
+            if plain(word):
+                found = parts(word.lower())
+                ids = known(found[0]) if len(found) == 1 else [x for part in found for x in known(part)]
+                out[i] = array("I", ids).tobytes()
+            else:
+                odd.append(i)
+        if odd:
+            for i, x in zip(odd, self.core.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+                out[i] = array("I", x.ids).tobytes()
+        return out
+
+
+coder = lru_cache(2)(Coder)
+
+
+def text_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts end to end, and where each text's begin and the last ones end.
+
+    A tokenizer that works by the word encodes each distinct word of a batch
+    once, and common words once in a worker's life; any other encodes the texts.
     """
-    core, cache = tokenizer(path)
+    code = coder(path)
+    if not code.by_word:
+        texts = [bytes(data[a:b]).decode() for a, b in zip(offsets, offsets[1:], strict=False)]
+        ids = [np.array(x.ids, np.uint32) for x in code.core.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+    words = Words(data, offsets, IS_SPACE)
     names, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
     keys = names.tolist()
-    new = [i for i, k in enumerate(keys) if k not in cache]
-    if new:
-        raw = [bytes(data[words.starts[j] : words.ends[j]]).decode("utf-8", "replace") for j in first[new]]
-        coded = [np.array(x.ids, np.uint32) for x in core.encode_batch_fast(raw, add_special_tokens=False)]
-        fresh = dict(zip((keys[i] for i in new), coded, strict=True))
-    else:
-        fresh = {}
-    ids = [fresh[k] if k in fresh else cache[k] for k in keys]
-    if fresh and len(cache) < CACHE:
-        often = np.bincount(inverse, minlength=len(keys))
-        cache.update((keys[i], fresh[keys[i]]) for i in new if often[i] > 1)
-    size = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    ids = list(map(code.words.get, keys))
+    new = [i for i, x in enumerate(ids) if x is None]
+    often = np.bincount(inverse, minlength=len(keys)).tolist()
+    for i, x in zip(new, code.encode_words([bytes(data[words.starts[j] : words.ends[j]]).decode() for j in first[new]]), strict=True):
+        ids[i] = x
+        if often[i] > 1 and len(code.words) < CACHE:
+            code.words[keys[i]] = x
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.uint32)
     begin = np.cumsum(size) - size
     n = size[inverse]
-    shift = np.repeat(begin[inverse] - (np.cumsum(n) - n), n)
-    return flat[shift + np.arange(len(shift))], n
+    place = np.repeat(begin[inverse] - (np.cumsum(n) - n), n)
+    place += np.arange(len(place))
+    return flat[place], np.concatenate([[0], np.cumsum(n)])[words.first]
 
 
 def _frames(path: str, end_id: int, width: int):
     def run(batches):
-        for batch in pieces(batches, 4096, 8 << 20):
-            data, offsets = bytes_of(batch.column(1))
-            words = Words(data, offsets, IS_SPACE)
-            ids, n = word_ids(data, words, path)
-            stops = np.concatenate([[0], np.cumsum(n)])[words.first]
+        for batch in pieces(batches, 2048, 3 << 20):
+            ids, stops = text_ids(*bytes_of(batch.column(1)), path)
             out = [frame(d, np.append(ids[a:b], np.uint32(end_id)), width)[:-1] for d, a, b in zip(batch.column(0).to_pylist(), stops, stops[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
@@ -157,20 +204,30 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return index.join(F.broadcast(before), "file").withColumn("start", F.col("before") + F.col("place")).drop("before", "place", "total")
 
 
-def _fetch(frames):
-    import pandas as pd
+def map_records(spark: SparkSession, folder: str, function, schema: str, index: DataFrame | None = None) -> DataFrame:
+    """What ``function(doc_id, start, ids)`` makes of the records in ``index`` (all of them if None): one row each.
+
+    Records are read at their offsets and their checksums verified; the ids stay in the task.
+    """
+    index = read_index(spark, folder) if index is None else index
+    rows = index.groupBy("file").agg(F.collect_list(F.struct("offset", "start", "width")).alias("rows"))
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for content, places in zip(pdf["content"], pdf["rows"], strict=True):
+                view = memoryview(content)
+                made = []
+                for r in places:
+                    doc_id, ids, _ = unframe(view, r["offset"], r["width"])
+                    made.append(function(doc_id, r["start"], ids))
+                yield pd.DataFrame(made, columns=names)
 
-    for pdf in frames:
-        for content, rows in zip(pdf["content"], pdf["rows"], strict=True):
-            view, out = memoryview(content), []
-            for r in rows:
-                doc_id, ids, _ = unframe(view, r["offset"], r["width"])
-                out.append((doc_id, r["start"], ids.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "ids"])
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return _files(spark, folder).join(rows, "file").select("content", "rows").mapInPandas(run, schema)
 
 
 def read_records(spark: SparkSession, folder: str, index: DataFrame | None = None) -> DataFrame:
-    """``doc_id``, ``start``, ``ids`` of the records in ``index`` (all of them if None), read at their offsets, checksums verified."""
-    index = read_index(spark, folder) if index is None else index
-    rows = index.groupBy("file").agg(F.collect_list(F.struct("offset", "start", "width")).alias("rows"))
-    return _files(spark, folder).join(rows, "file").select("content", "rows").mapInPandas(_fetch, "doc_id long, start long, ids array<int>")
+    """``doc_id``, ``start``, ``ids`` of the records in ``index``, all of them if None."""
+    return map_records(spark, folder, lambda doc_id, start, ids: (doc_id, start, ids.astype(np.int32)), "doc_id long, start long, ids array<int>", index)

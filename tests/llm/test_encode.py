@@ -54,7 +54,7 @@ def test_bpe_digests_and_empty_table(spark):
 def test_records_round_trip(spark, tmp_path):
     t = Tokenizer.from_file(WORD)
     t.encode_special_tokens = True
-    texts = ODD + fuzz(40, 2) + ["<|endoftext|> x"]
+    texts = ODD + fuzz(40, 2) + ["<|endoftext|> x", "Don't THE Straße, ÀÉÎ÷× e\u0301a ª µ {x}=1;", "\x01\x02 a\x7fb"]
     ids = list(range(len(texts)))
     random.Random(3).shuffle(ids)
     rows = [(i * 3, x) for i, x in zip(ids, texts, strict=True)]
