@@ -22,14 +22,14 @@ from folio.operators.schema import EXTRACTED, block
 SCHEMA_ATTRIBUTES = ("targetNamespace", "elementFormDefault", "attributeFormDefault", "version", "id")
 ELEMENT_ATTRIBUTES = ("type", "ref", "minOccurs", "maxOccurs", "default", "fixed", "nillable", "abstract", "substitutionGroup", "block", "final")
 ATTRIBUTE_ATTRIBUTES = ("type", "use", "default", "fixed", "ref")
-#: The kinds of definitions, their ids and headings, in order.
+#: The kinds of definitions, the ids and headings of their sections and the ids of their blocks, in order.
 KINDS = (
-    ("element", "elements", "Elements"),
-    ("attribute", "attributes", "Attributes"),
-    ("attributeGroup", "attribute-groups", "Attribute Groups"),
-    ("group", "groups", "Groups"),
-    ("complexType", "complex-types", "Complex Types"),
-    ("simpleType", "simple-types", "Simple Types"),
+    ("element", "elements", "Elements", "element-definitions"),
+    ("attribute", "attributes", "Attributes", "attribute-definitions"),
+    ("attributeGroup", "attribute-groups", "Attribute Groups", "attribute-group-definitions"),
+    ("group", "groups", "Groups", "group-definitions"),
+    ("complexType", "complex-types", "Complex Types", "complex-type-definitions"),
+    ("simpleType", "simple-types", "Simple Types", "simple-type-definitions"),
 )
 LINES, NAMES, ASSERTIONS, DOCUMENTATION = 2000, 20, 10, 240
 
@@ -118,35 +118,31 @@ def _texts(node: Node) -> Iterator[str]:
         yield from _texts(child)
 
 
-def described(pairs: list[tuple[str, str]]) -> str:
-    return "; ".join(f"{k}={v}" for k, v in pairs if v)
+def described(pairs: list[tuple[str, str | None]]) -> str:
+    return clean("; ".join(f"{k}={v}" for k, v in pairs if v is not None))
 
 
-def with_options(node: Node, names: tuple[str, ...], label: str | None = None) -> str:
-    label = label or node.get("name") or (f"ref:{node.get('ref')}" if node.get("ref") else "(anonymous)")
+def listed(name: str, entries: list[str], limit: int = NAMES) -> list[tuple[str, str]]:
+    return [(name, f"[{summary(entries, limit)}]")] if entries else []
+
+
+def brief(node: Node, names: tuple[str, ...]) -> str:
+    """An element or attribute inside a model, with some of its options."""
     options = ", ".join(f"{n}={node.get(n)}" for n in names if node.get(n))
-    return f"{label} ({options})" if options else label
+    label = node.get("name") or node.get("ref") or "(anonymous)"
+    return clean(f"{label} ({options})" if options else label)
 
 
-def model_elements(node: Node) -> list[str]:
-    """Elements of a content model; what stands inside an element is its own affair."""
+def within(node: Node, local: str, names: tuple[str, ...]) -> list[str]:
+    """What a content model holds of one name; what stands inside such a node is its own affair."""
     out = []
     for child in node.children():
-        if child.local == "element":
-            out.append(with_options(child, ("type", "minOccurs", "maxOccurs")))
-        else:
-            out += model_elements(child)
+        out += [brief(child, names)] if child.local == local else within(child, local, names)
     return out
 
 
-def attribute_refs(node: Node) -> list[str]:
-    out = []
-    for child in node.children():
-        if child.local == "attribute":
-            out.append(with_options(child, ("type", "use")))
-        else:
-            out += attribute_refs(child)
-    return out
+def options_of(node: Node) -> str:
+    return ", ".join(f"{k}={v}" for k, v in node.attributes.items())
 
 
 def facets(restriction: Node) -> list[str]:
@@ -154,86 +150,84 @@ def facets(restriction: Node) -> list[str]:
     for facet in restriction.children():
         if facet.local in ("annotation", "simpleType"):
             continue
-        pairs = list(facet.attributes.items())
-        out.append(f"{facet.local}={pairs[0][1]}" if [k for k, _ in pairs] == ["value"] else f"{facet.local}({', '.join(f'{k}={v}' for k, v in pairs)})" if pairs else facet.local)
+        if list(facet.attributes) == ["value"]:
+            out.append(clean(f"{facet.local}={facet.attributes['value']}"))
+        else:
+            out.append(clean(f"{facet.local}({options_of(facet)})" if facet.attributes else facet.local))
     return out
 
 
 def assertions(node: Node) -> list[str]:
-    return [f"assert(test={a.get('test')})" for a in node.deep("assert")]
+    return [clean(f"assert({options_of(a)})") if a.attributes else "assert" for a in node.deep("assert")]
 
 
-def base_of(node: Node) -> str:
+def base_of(node: Node) -> str | None:
     """What a complex type extends or restricts."""
-    for content in ("complexContent", "simpleContent"):
-        holder = node.first(content)
-        for way in ("extension", "restriction"):
-            step = holder.first(way) if holder else None
-            if step is not None and step.get("base"):
-                return f"{way}:{step.get('base')}"
-    return ""
-
-
-def inline_type(node: Node) -> str:
-    # Only names without a prefix count here.
-    if "complexType" in node.groups:
-        return "complexType"
-    simple = node.groups.get("simpleType")
-    if not simple:
-        return ""
-    return f"simpleType({simple_kind(simple[0]) or 'inline'})"
-
-
-def simple_kind(node: Node) -> str:
-    restriction, items, union = node.first("restriction"), node.first("list"), node.first("union")
-    if restriction is not None:
-        return restriction.get("base")
-    if items is not None:
-        return f"list:{items.get('itemType')}"
-    return f"union:{union.get('memberTypes')}" if union is not None else ""
+    ways = ((content, way) for content in ("complexContent", "simpleContent") for way in ("extension", "restriction"))
+    steps = (holder.first(way) for content, way in ways if (holder := node.first(content)) is not None)
+    return next((s.get("base") for s in steps if s is not None and s.get("base")), None)
+
+
+def inline_type(parent: Node) -> str | None:
+    """What an inline simple type is made from."""
+    inner = parent.first("simpleType")
+    if inner is None:
+        return None
+    made = ((inner.first(local), name, prefix) for local, name, prefix in (("restriction", "base", ""), ("list", "itemType", "list:"), ("union", "memberTypes", "union:")))
+    return next((prefix + node.get(name) for node, name, prefix in made if node is not None and node.get(name)), "inline")
+
+
+def attributes_of(node: Node, names: tuple[str, ...]) -> list[tuple[str, str | None]]:
+    return [(n, node.attributes.get(n)) for n in names]
 
 
 def definition(node: Node) -> str:
     """One definition as ``key=value`` pairs, by its kind."""
-    doc = shortened(documentation(node))
-    elements, attributes = summary(model_elements(node)), summary(attribute_refs(node))
-    if node.local == "element":
-        pairs = [(n, node.get(n)) for n in ELEMENT_ATTRIBUTES] + [("inlineType", inline_type(node)), ("elements", elements), ("attributes", attributes)]
-    elif node.local == "attribute":
-        pairs = [(n, node.get(n)) for n in ATTRIBUTE_ATTRIBUTES]
-    elif node.local == "attributeGroup":
-        pairs = [("attributes", attributes)]
-    elif node.local == "group":
-        pairs = [("elements", elements)]
-    elif node.local == "complexType":
-        pairs = [(n, node.get(n)) for n in ("mixed", "abstract", "block", "final")]
-        pairs += [("base", base_of(node)), ("elements", elements), ("attributes", attributes), ("assertions", summary(assertions(node), ASSERTIONS))]
-    else:
-        restriction, items, union = node.first("restriction"), node.first("list"), node.first("union")
-        pairs = [("final", node.get("final"))]
-        if restriction is not None:
-            pairs.append(("base", restriction.get("base")))
-            if found := facets(restriction):
-                pairs.append(("facets", f"[{', '.join(found)}]"))
-        elif items is not None:
-            pairs.append(("listOf", items.get("itemType")))
-        elif union is not None:
-            pairs.append(("unionOf", union.get("memberTypes")))
-    return described([*pairs, ("doc", doc)])
-
-
-def definition_section(name: str, heading: str, definitions: list[dict]) -> dict:
-    return {"id": name, "heading": heading, "level": 1, "source": None, "blocks": [block(id=f"{name}-list", type="definitionList", definitions=definitions)]}
+    elements = listed("elements", within(node, "element", ("type", "minOccurs", "maxOccurs")))
+    attributes = listed("attributes", within(node, "attribute", ("type", "use")))
+    pairs: list[tuple[str, str | None]] = []
+    match node.local:
+        case "element":
+            # Only names without a prefix count as inline types.
+            inline = next((n for n in ("complexType", "simpleType") if n in node.groups), None)
+            pairs = [*attributes_of(node, ELEMENT_ATTRIBUTES), ("inlineType", inline), *elements, *attributes]
+        case "attribute":
+            pairs = attributes_of(node, ATTRIBUTE_ATTRIBUTES)
+        case "attributeGroup":
+            pairs = attributes
+        case "group":
+            pairs = elements
+        case "complexType":
+            pairs = [*attributes_of(node, ("mixed", "abstract", "block", "final")), ("base", base_of(node)), *elements, *attributes, *listed("assertions", assertions(node), ASSERTIONS)]
+        case _:
+            pairs = attributes_of(node, ("final",))
+            for local, name, key in (("restriction", "base", "base"), ("list", "itemType", "listOf"), ("union", "memberTypes", "unionOf")):
+                if (way := node.first(local)) is not None:
+                    pairs.append((key, way.get(name) or inline_type(way)))
+                    pairs += listed("facets", facets(way)) if local == "restriction" else []
+                    break
+    doc = documentation(node)
+    return described([*pairs, ("doc", shortened(doc) if doc else None)])
+
+
+def label_of(node: Node) -> str:
+    ref = node.get("ref") if node.local in ("element", "attribute", "group", "attributeGroup") else ""
+    prefix = "ref:" if node.local in ("element", "attribute") else ""
+    return clean(f"{node.local} {node.get('name') or (prefix + ref if ref else '(anonymous)')}")
+
+
+def definition_section(name: str, heading: str, block_id: str, definitions: list[dict]) -> dict:
+    return {"id": name, "heading": heading, "level": 1, "source": None, "blocks": [block(id=block_id, type="definitionList", definitions=definitions)]}
 
 
 def schema_sections(root: Node) -> list[dict]:
-    about = [(n, root.get(n)) for n in SCHEMA_ATTRIBUTES] + [(n, v) for n, v in root.attributes.items() if n.startswith("xmlns")]
-    about = sorted({n: v for n, v in about if v}.items(), key=lambda x: (x[0].lower(), x[0]))
-    out = [definition_section("schema", "Schema", [{"term": n, "definition": v} for n, v in about])] if about else []
-    for local, name, heading in KINDS:
-        found = [{"term": n.get("name") or (f"ref:{n.get('ref')}" if n.get("ref") else "(anonymous)"), "definition": definition(n)} for n in root.deep(local)]
+    names = sorted((n for n in root.attributes if n in SCHEMA_ATTRIBUTES or n.startswith("xmlns")), key=lambda n: (n.lower(), n))
+    about = [{"term": clean(n), "definition": clean(root.attributes[n])} for n in names]
+    out = [definition_section("schema-metadata", "Schema Metadata", "schema-attributes", about)] if about else []
+    for local, name, heading, block_id in KINDS:
+        found = [{"term": label_of(n), "definition": definition(n)} for n in root.deep(local)]
         if found:
-            out.append(definition_section(name, heading, found))
+            out.append(definition_section(name, heading, block_id, found))
     return out
 
 

@@ -334,7 +334,7 @@ def xml_generic(spark, sf_dir):
 
 
 @query(
-    "SELECT * FROM (VALUES ('schema', 'targetNamespace', 'urn:t'), ('schema', 'xmlns:xs', 'http://www.w3.org/2001/XMLSchema'), ('elements', 'e', 'type=xs:string'), ('simple-types', 's', 'base=xs:token; facets=[enumeration=a, enumeration=b]')) t(section, term, definition)"
+    "SELECT * FROM (VALUES ('schema-metadata', 'targetNamespace', 'urn:t'), ('schema-metadata', 'xmlns:xs', 'http://www.w3.org/2001/XMLSchema'), ('elements', 'element e', 'type=xs:string'), ('simple-types', 'simpleType s', 'base=xs:token; facets=[enumeration=a, enumeration=b]')) t(section, term, definition)"
 )
 def xsd_items(spark, sf_dir):
     rows = spark.createDataFrame([(XSD_TEXT,)], "x string").select(F.explode(xml_extract.extracted(F.col("x"), F.lit("u"))["sections"]).alias("s"))
