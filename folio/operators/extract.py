@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,29 +25,40 @@ def with_warnings(extraction: Column, *more: Column) -> Column:
     return extraction.withField("warnings", both)
 
 
-def extract(entries: DataFrame, run_ts: Column, rules: dict[str, dict] | None = None) -> DataFrame:
+def extract(entries: DataFrame, run_ts: Column, rules: dict[str, dict] | None = None, extractors: tuple[str, ...] = EXTRACTORS) -> DataFrame:
     """Documents of manifest entries that carry their snapshot (``content``, ``content_type``, ``charset``, ``snapshot_id``).
 
-    ``run_ts`` stamps all documents of a run.  A page that is not ``text/html``
-    and an unknown extractor give documents without sections and a warning.
+    One pass over the entries: every parser sees nulls but for its own rows.
+    Where it is known which extractors occur, naming them leaves the others out
+    of the plan; with ``text`` alone no Python runs.  ``run_ts`` stamps all
+    documents of a run.  A page that is not ``text/html`` and an unknown
+    extractor give documents without sections and a warning.
     """
     rows = with_family(entries)
-    text = decoded(F.col("content"), F.col("charset"))
+    url, family, authority = F.col("url"), F.col("family"), F.col("authority")
     is_html = F.coalesce(F.contains(F.col("content_type"), F.lit("text/html")), F.lit(False))
-    route = F.when((F.col("extractor") == "html") & ~is_html, "none").when(F.col("extractor").isin(*EXTRACTORS), F.col("extractor")).otherwise("none")
-    rows = rows.withColumn("route", route)
-    url = F.col("url")
-    made = {
-        "html": lambda r: r.withColumn("t", text).withColumn("e", with_warnings(html_extract.extracted(F.col("t.text"), url, F.col("family"), F.col("authority"), rules), F.col("t.warning"))),
-        "xml": lambda r: r.withColumn("t", text).withColumn("e", with_warnings(xml_extract.extracted(F.col("t.text"), url), F.col("t.warning"))),
-        "text": lambda r: r.withColumn("t", text).withColumn("e", with_warnings(text_extract.extracted(F.col("t.text"), url), F.col("t.warning"))),
-        "pdf": lambda r: r.withColumn("t", pdf_extract.pdf_text(F.col("content"))).withColumn("e", with_warnings(text_extract.extracted(F.col("t.text"), url), F.col("t.warning"))),
-        "none": lambda r: r.withColumn("e", unsupported(F.col("extractor"), url)),
-    }
+    route = F.when((F.col("extractor") == "html") & ~is_html, "none").when(F.col("extractor").isin(*extractors), F.col("extractor")).otherwise("none")
+    rows = rows.withColumn("route", route).withColumn("t", decoded(F.col("content"), F.col("charset")))
+
+    def own(name: str, x: Column) -> Column:
+        return F.when(F.col("route") == name, x)
+
+    text, warning = F.col("t.text"), F.col("t.warning")
+    made = {}
+    if "html" in extractors:
+        made["html"] = with_warnings(html_extract.extracted(own("html", text), url, family, authority, rules), warning)
+    if "xml" in extractors:
+        made["xml"] = with_warnings(xml_extract.extracted(own("xml", text), url), warning)
+    if "text" in extractors:
+        made["text"] = with_warnings(text_extract.extracted(text, url), warning)
+    if "pdf" in extractors:
+        rows = rows.withColumn("p", pdf_extract.pdf_text(own("pdf", F.col("content"))))
+        made["pdf"] = with_warnings(text_extract.extracted(F.col("p.text"), url), F.col("p.warning"))
+    extraction = unsupported(F.col("extractor"), url)
+    for name, x in made.items():
+        extraction = F.when(F.col("route") == name, x).otherwise(extraction)
     keep = [c for c in ("doc_seq", "output", "label") if c in entries.columns]
-    parts = [f(rows.where(F.col("route") == name)).select(*keep, "url", "family", "authority", "document_type", "snapshot_id", "e") for name, f in made.items()]
-    docs = reduce(DataFrame.unionByName, parts)
-    docs = docs.select(
+    docs = rows.select(*keep, "url", "family", "authority", "document_type", "snapshot_id", extraction.alias("e")).select(
         *keep, F.lit(SCHEMA_VERSION).alias("schema_version"), "url", F.col("e.title").alias("title"), "family", "authority", "document_type", "snapshot_id",
         fragment_of(url).alias("fragment"), run_ts.alias("extracted_at"), F.col("e.sections").alias("sections"), F.col("e.warnings").alias("warnings"),
     )

@@ -291,13 +291,13 @@ def extract_html(text: str | None, url: str, rules: dict, authority: str = "info
 
 
 def extracted(text: Column, url: Column, family: Column, authority: Column, rules: dict[str, dict] | None = None) -> Column:
-    """The extraction of a column of pages, by the rules of each page's family."""
+    """The extraction of a column of pages, by the rules of each page's family; null for null."""
     by_family = {f: family_.html_rules() for f, family_ in BY_ID.items()} | (rules or {})
     frozen = json.dumps(by_family)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, urls: pd.Series, families: pd.Series, authorities: pd.Series) -> pd.Series:
         known = json.loads(frozen)
-        return pd.Series([json.dumps(extract_html(t, u, known.get(f) or known["generic"], a)) for t, u, f, a in zip(texts, urls, families, authorities, strict=True)])
+        return pd.Series([None if t is None else json.dumps(extract_html(t, u, known.get(f) or known["generic"], a)) for t, u, f, a in zip(texts, urls, families, authorities, strict=True)])
 
     return F.from_json(run(text, url, family, authority), EXTRACTED)

@@ -78,14 +78,17 @@ def page_texts(data: bytes) -> list[str]:
 
 
 def pdf_text(content: Column) -> Column:
-    """Struct (text, warning): pages joined by blank lines; a warning where nothing, or no PDF, was found."""
+    """Struct (text, warning): pages joined by blank lines; a warning where nothing, or no PDF, was found; nulls for null."""
 
     @F.pandas_udf("text string, warning string")
     def run(contents: pd.Series) -> pd.DataFrame:
         rows = []
         for data in contents:
+            if data is None:
+                rows.append((None, None))
+                continue
             try:
-                text = "\n\n".join(page_texts(bytes(data or b"")))
+                text = "\n\n".join(page_texts(bytes(data)))
                 rows.append((text, None if text.strip() else "PDF extraction produced empty text"))
             except (ValueError, zlib.error, UnicodeError) as error:
                 rows.append((None, f"PDF extraction failed: {error}"))

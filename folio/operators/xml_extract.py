@@ -262,10 +262,10 @@ def extract_xml(text: str | None, url: str, title: str | None = None) -> dict:
 
 
 def extracted(text: Column, url: Column) -> Column:
-    """The extraction of a column of XML texts."""
+    """The extraction of a column of XML texts; null for null."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, urls: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(extract_xml(t, u)) for t, u in zip(texts, urls, strict=True)])
+        return pd.Series([None if t is None else json.dumps(extract_xml(t, u)) for t, u in zip(texts, urls, strict=True)])
 
     return F.from_json(run(text, url), EXTRACTED)

@@ -67,11 +67,11 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(text_entries(spark, sf_dir), run_ts())
+    return extract(text_entries(spark, sf_dir), run_ts(), extractors=("text",))
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(page_entries(spark, sf_dir), run_ts())
+    return extract(page_entries(spark, sf_dir), run_ts(), extractors=("html",))
 
 
 # SQL pieces.
