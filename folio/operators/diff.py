@@ -34,7 +34,7 @@ def last_by_url(docs: DataFrame) -> DataFrame:
 
 def sections_of(docs: DataFrame) -> DataFrame:
     """``url``, ``id``, ``hash`` and ``place``: sections with one id are one, at the first's place with the last's text."""
-    flat = docs.select("url", F.explode("sections").alias("s"))
+    flat = docs.select("url", F.explode_outer("sections").alias("s")).where("s is not null")
     name = F.coalesce(falsy(F.col("s.id")), F.concat(F.lit("section-"), (F.col("s.ordinal") + 1).cast("string")))
     flat = flat.select("url", name.alias("id"), F.col("s.ordinal").alias("ordinal"), F.sha2(section_text(F.col("s.blocks")), 256).alias("hash"))
     return flat.groupBy("url", "id").agg(F.max_by("hash", "ordinal").alias("hash"), F.min("ordinal").alias("place"))
