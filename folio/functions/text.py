@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The characters that count as white space everywhere in this library.
 WHITE = "\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 #: The same for Python's ``re``.
-PY_WHITE = "\t\n\x0b\x0c\r    -     　﻿"
+PY_WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def falsy(x: Column) -> Column:
