@@ -201,11 +201,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) ->
     return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long, n_words long") if out is None else out
 
 
-def _clean(block):
+def _clean(block, name: str):
     def run(batches):
         items = Items(block)
         for batch in pieces(batches):
-            keep = [not items.matches(words) for words in _texts(batch, batch.column(batch.schema.get_field_index("folded_text")))]
+            keep = [not items.matches(words) for words in _texts(batch, batch.column(batch.schema.get_field_index(name)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -213,7 +213,8 @@ def _clean(block):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item of ``benchmark`` is found."""
-    out = docs.withColumn("folded_text", F.lower(F.coalesce("text", F.lit(""))))
+    name = "_".join(["folded", *docs.columns])
+    out = docs.withColumn(name, F.lower(F.coalesce("text", F.lit(""))))
     for block in item_blocks(benchmark, items):
-        out = out.mapInArrow(_clean(block), out.schema)
-    return out.drop("folded_text")
+        out = out.mapInArrow(_clean(block, name), out.schema)
+    return out.drop(name)

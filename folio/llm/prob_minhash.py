@@ -192,4 +192,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, of one document (the smallest id) of each class."""
     copies = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("copy_id")).distinct()
     copies = _small(written(copies, "copies"))
-    return docs.join(copies, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("copy_id"), "left_anti")
+    return docs.join(copies, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == copies["copy_id"], "left_anti")

@@ -79,6 +79,8 @@ def test_near_duplicates_odd_tables(spark):
     rows = [(4, "a b c d e f"), (4, "a b c d e f"), (9, "A, b c d e f!"), (None, None)]
     got = sorted((r["doc_id"], r["class_id"]) for r in prob_minhash.near_duplicates(table(spark, rows)).collect())
     assert got == [(-(1 << 63), -(1 << 63)), (4, 4), (4, 4), (9, 4)]
+    clash = table(spark, rows).withColumnRenamed("key", "copy_id")
+    assert prob_minhash.without_near_duplicates(clash).columns == ["doc_id", "text", "copy_id", "row"]
     left = prob_minhash.without_near_duplicates(table(spark, rows))
     assert left.columns == ["doc_id", "text", "key", "row"] and Counter(r["doc_id"] for r in left.collect()) == {4: 2, None: 1}
 
