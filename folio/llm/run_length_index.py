@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import bytes_of, mix, pieces, powers
-from folio.llm.sharing import PAIR_SCHEMA, dealt, own_names, pair_batch, shared_names
+from folio.llm.sharing import PAIR_SCHEMA, dealt, pair_batch, shared_names, slices, with_texts
 
 LENGTH, GRAM = 400, 32
 #: Places for the anchor in a string, bytes hashed at a time, and bytes of rows indexed at a time.
@@ -105,13 +105,11 @@ def _spans(batches):
         place, name, low, high = anchors(data, offsets)
         text = np.searchsorted(offsets, place, "right") - 1
         cuts = np.searchsorted(text, np.arange(len(doc_ids) + 1))
-        lists = batch.column(3)
-        hot_values, list_offsets = lists.values.field("hot").to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         raw, rows, seen = data.tobytes(), [], {}
-        for i, own in enumerate(own_names(lists, copies)):
+        for i, (own, often) in enumerate(zip(slices(batch.column(3)), slices(batch.column(4)), strict=True)):
             part = slice(cuts[i], cuts[i + 1])
-            hot = set(own[hot_values[list_offsets[i] : list_offsets[i + 1]][lists.values.field("copy").to_numpy()[list_offsets[i] : list_offsets[i + 1]] == copies[i]]].tolist())
-            for j in (np.flatnonzero(np.isin(name[part], own)) + cuts[i]).tolist():
+            hot = set(often.view(np.uint64).tolist())
+            for j in (np.flatnonzero(np.isin(name[part], own.view(np.uint64))) + cuts[i]).tolist():
                 p, a, b, base = int(place[j]), int(low[j]), int(high[j]), int(offsets[i])
                 before, after = raw[a:p], raw[p : b + LENGTH]
                 twin = seen.get((before, after))
@@ -271,7 +269,7 @@ def remove_long_repeats(docs: DataFrame) -> DataFrame:
     base = dealt(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = shared_names(base.mapInArrow(_pairs, PAIR_SCHEMA), ties=True)
-    spans = base.join(names, "doc_id").select("doc_id", "copy", "text", "names").mapInArrow(_spans, SPANS)
+    spans = with_texts(base, names).select("doc_id", "copy", "text", "names", "hot").mapInArrow(_spans, SPANS)
     ordered = spans.repartition(n, "key").sortWithinPartitions("key", "after", "before")
     found = ordered.mapInArrow(_intervals, "doc_id long, copy int, start long, stop long")
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "start", "stop")).alias("cuts"))
