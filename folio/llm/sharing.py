@@ -51,7 +51,9 @@ def dealt_packed(docs: DataFrame) -> DataFrame:
     """As :func:`dealt`, with the texts compressed, their ``digest``, and ``repeated`` for texts that a smaller ``doc_id`` has in full."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    packed = docs.mapInArrow(_pack, "doc_id long, digest binary, text binary").repartition(n, "doc_id")
+    # Columns that can't be null: else joins put different filters below the shuffle, and it is made once for each.
+    packed = docs.mapInArrow(_pack, "doc_id long, digest binary, text binary")
+    packed = packed.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("digest", F.lit(b"")).alias("digest"), "text").repartition(n, "doc_id")
     copy = (F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1).alias("copy")
     base = packed.select("doc_id", copy, "digest", "text")
     first = base.groupBy("digest").agg(F.min("doc_id").alias("first"))
