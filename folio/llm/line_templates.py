@@ -9,6 +9,8 @@ that recurs in enough documents is dropped from all but the first of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from folio.llm.common import written
 
 FIELD = "<*>"
 BLANK = r"[ \t\x0B\f\r]+"
+#: What a line holds if its tokens are not all between single blanks.
+ODD_BLANKS = ("\t", "\x0b", "\f", "\r", "  ")
 WITH_DIGIT = r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*"
 #: Leading tokens of a path, lines a token must share to be constant and documents a template must recur in,
 #: fewest tokens of a line, and the share of constants (in tenths) below which lines are no template.
@@ -25,14 +29,18 @@ BROADCAST_ROWS = 1_000_000
 
 def masked(line: Column) -> Column:
     """The line's tokens between single blanks, those with digits replaced by the field mark."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, WITH_DIGIT, FIELD), BLANK, " "))
+    # Most lines have neither digits nor odd blanks; a search is far cheaper than a replacement.
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, FIELD)).otherwise(line)
+    odd = reduce(Column.__or__, (F.contains(line, F.lit(blank)) for blank in ODD_BLANKS))
+    return F.trim(F.when(odd, F.regexp_replace(fields, BLANK, " ")).otherwise(fields))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per line that may be a template: its document, place, path and tokens."""
     line = docs.select("key", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    line = line.select("key", "row", "pos", masked(F.col("line")).alias("tokens"))
-    n = F.size(F.split("tokens", " "))
+    # The generator of one row keeps the filter from being pushed down, where it would mask every line again.
+    line = line.select("key", "row", "pos", F.explode_outer(F.array(masked(F.col("line")))).alias("tokens"))
+    n = F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1
     line = line.where((n >= MIN_TOKENS) & (F.col("tokens") != ""))
     return line.select("key", "row", "pos", F.xxhash64(n, F.substring_index("tokens", " ", DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
 
