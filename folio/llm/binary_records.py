@@ -201,7 +201,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     index = spark.read.parquet(f"{folder}/index")
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
-    return index.join(F.broadcast(before), "file").withColumn("start", F.col("before") + F.col("place")).drop("before", "place", "total")
+    return index.join(before, "file").withColumn("start", F.col("before") + F.col("place")).drop("before", "place", "total")
 
 
 def map_records(spark: SparkSession, folder: str, function, schema: str, index: DataFrame | None = None) -> DataFrame:
