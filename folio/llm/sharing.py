@@ -16,7 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import mix, pieces
+from folio.llm.common import mix, pieces, written
+
+#: Hot names that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def dealt(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``copy``, ``text`` dealt by ``doc_id``; ``copy`` numbers the rows of one id, ordered by text.
@@ -101,12 +105,24 @@ def pair_batch(names: np.ndarray, rows: np.ndarray, doc_ids: np.ndarray, copies:
 
 
 def shared_names(pairs: DataFrame, ties: bool, hot: int = 2_000) -> DataFrame:
-    """``id``, ``own`` (the copy) and the arrays ``names``, what the document shares, and ``hot``, those of them that stand for more batches than that."""
+    """``id``, ``own`` (the copy) and the array ``names``, what the document shares; with ``ties`` also ``hot``, those of them that stand for more batches than that.
+
+    Whether a name is hot is decided by name and holds for all its rows, those that
+    travel under a key of their own too.
+    """
     over = Window.partitionBy("name", F.col("tag").bitwiseAND(0x1FFFFFFFE))
     n = F.count("*").over(over)
     other = n > 1 if ties else F.min("doc_id").over(over) < F.max("doc_id").over(over)
     found = pairs.select("name", F.col("doc_id").alias("id"), F.shiftright("tag", 33).alias("own"), other.alias("other"), (n > hot).alias("is_hot"), F.col("tag").bitwiseAND(1).alias("known")).where("known = 1 or other")
-    return by_document(found).agg(F.collect_list("name").alias("names"), F.collect_list(F.when(F.col("is_hot"), F.col("name"))).alias("hot"))
+    if not ties:
+        return by_document(found).agg(F.collect_list("name").alias("names"))
+    # Only a name's first rows of each batch meet, so they alone see how many batches hold it.
+    found = written(found.select("name", "id", "own", "is_hot"), "shared")
+    often = found.where("is_hot").groupBy("name").agg(F.lit(True).alias("is_often"))
+    if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        often = F.broadcast(often)
+    found = found.join(often, "name", "left")
+    return by_document(found).agg(F.collect_list("name").alias("names"), F.collect_list(F.when(F.col("is_often"), F.col("name"))).alias("hot"))
 
 
 def by_document(rows: DataFrame):

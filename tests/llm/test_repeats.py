@@ -108,6 +108,27 @@ def test_run_length_index(spark, seed, hot, monkeypatch):
     assert Counter((a, b, c, d, bytes(e)) for a, b, c, d, e in out.collect()) == Counter(plain_bytes(rows))
 
 
+def edge_rows(seed):
+    """Texts around a few middles: many share an anchor, and few the same 400 bytes around it."""
+    r = random.Random(seed)
+    letters = "abcdefghijklmnop"
+    left, middle, right = ([("".join(r.choice(letters) for _ in range(n))) for _ in range(k)] for n, k in ((380, 9), (60, 12), (380, 9)))
+    return [(i, r.choice(left) + r.choice(middle) + r.choice(right)) for i in range(150)]
+
+
+@pytest.mark.parametrize("hot", [1, 2, 3])
+def test_hot_anchors_of_several_texts_a_batch(spark, hot, monkeypatch):
+    rows = edge_rows(hot)
+    names = run_length_index.shared_names
+    monkeypatch.setattr(run_length_index, "shared_names", lambda pairs, ties: names(pairs, ties, hot))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "12")
+    try:
+        out = run_length_index.remove_long_repeats(table(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter((a, b, c, d, bytes(e)) for a, b, c, d, e in out) == Counter(plain_bytes(rows))
+
+
 def test_anchors_over_step_borders(monkeypatch):
     r = np.random.default_rng(3)
     data = r.integers(97, 99, 9000).astype(np.uint8)
