@@ -67,7 +67,7 @@ def corpus(seed=1, n=60):
     return list(enumerate([*rows, "", None, "...", "", rows[3]]))
 
 
-@pytest.mark.parametrize("block", [500, 7])
+@pytest.mark.parametrize("block", [250_000, 300])
 def test_near_duplicates(spark, block):
     rows = corpus()
     got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(table(spark, rows), block).collect()}
@@ -85,6 +85,31 @@ def test_near_duplicates_odd_tables(spark):
     assert left.columns == ["doc_id", "text", "key", "row"] and Counter(r["doc_id"] for r in left.collect()) == {4: 2, None: 1}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with different texts are different texts, and classes meet in all of them."""
+    r = random.Random(12)
+    a, b, c = (" ".join(r.choice("abcdefghijklmnop") + str(r.randrange(99)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " end"), (None, c), (None, c + " more"), (None, "x")]
+    got = sorted((x["doc_id"], x["class_id"]) for x in prob_minhash.near_duplicates(table(spark, rows)).collect())
+    least = -(1 << 63)
+    assert got == [(least, least), (least, least), (least, least), (1, 1), (1, 1), (2, 1), (3, 1)]
+    left = [(x["doc_id"], x["text"]) for x in prob_minhash.without_near_duplicates(table(spark, rows)).collect()]
+    assert sorted(t for i, t in left if i == 1) == sorted([a, b]) and len(left) == 4
+    assert sum(i is None for i, _ in left) == 2 and (None, "x") in left
+
+
+def test_links_join_what_any_similar_pair_joins():
+    """Texts in a chain, of which the ends aren't similar, and classes known before."""
+    def of(low, high):
+        return np.arange(low, high, dtype=np.uint64), np.ones(high - low, np.int64), high - low
+
+    sets = [of(0, 100), of(8, 108), of(16, 116), of(500, 600), of(900, 1000)]
+    joined = {frozenset(x) for x in prob_minhash.links([1, 2, 3, 4, 5], sets, [1, 2, 3, 4, 5])}
+    assert joined == {frozenset((1, 2)), frozenset((2, 3))}
+    assert prob_minhash.links([1, 2, 3], sets[:3], [1, 1, 1]) == []
+    assert {frozenset(x) for x in prob_minhash.links([1, 2, 3], sets[:3], [1, 2, 3], [0, 0, 1])} == {frozenset((2, 3))}
+
+
 def test_signatures_estimate_the_probability_jaccard():
     r = np.random.default_rng(2)
     x = r.integers(0, 2**63, 60).astype(np.uint64)
