@@ -10,11 +10,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions.families import FAMILIES, families_of
 from folio.operators.chunk import chunks
 from folio.operators.diff import diff_documents
-from folio.operators.extract import extract, output_path
+from folio.operators.extract import extract
 from folio.operators.index import in_order, index_chunks, index_documents, query_index
-from folio.operators.render import markdown
 from folio.plans import pipeline
 from folio.sources import snapshots as snap
 from folio.sources.documents import read_documents, write_documents
@@ -36,11 +36,11 @@ def parser() -> argparse.ArgumentParser:
     fetched = (("manifest", "manifest.json"), ("reuse", False), ("timeout", 60_000))
     command("snapshot", *fetched, ("out", "snapshots"))
     command("manual-ingest", ("map", ...), ("snapshots", "snapshots"), ("reuse", False), ("refresh", False))
-    command("extract", ("manifest", "manifest.json"), ("snapshots", "snapshots"), ("out", "specs"), ("format", "parquet"))
-    command("chunk", ("input", "specs"), ("out", "chunks"))
+    command("extract", ("manifest", "manifest.json"), ("snapshots", "snapshots"), ("out", "specs"), ("format", "parquet"), ("families", None))
+    command("chunk", ("input", "specs"), ("out", "chunks"), ("format", "parquet"))
     command("index", ("chunks", "chunks"), ("out", None))
     command("query", ("term", ...), ("index", "chunks/search-index"), ("family", None))
-    command("diff", ("from", ...), ("to", ...), ("out", "diffs"))
+    command("diff", ("from", ...), ("to", ...), ("out", "diffs"), ("format", "parquet"))
     command("pipeline", *fetched, ("snapshots", "snapshots"), ("out", "out"))
     return p
 
@@ -78,14 +78,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             snap.manual_ingest(files, stored(spark, o["snapshots"]), now, o["reuse"], o["refresh"]).write.mode("append").parquet(o["snapshots"])
         case "extract":
             entries = snap.with_snapshots(load_manifest(spark, o["manifest"]), spark.read.parquet(o["snapshots"]))
-            docs = extract(entries, now)
-            if o["format"] == "md":
-                docs = docs.withColumn("path", output_path(F.col("output"), F.col("family"), F.col("url"), o["out"], "md"))
-                markdown(docs).write.mode("overwrite").parquet(o["out"])
-            else:
-                write_documents(docs, o["out"], o["format"])
+            families = families_of([row.asDict(True) for row in spark.read.option("multiLine", True).json(o["families"]).collect()]) if o["families"] else FAMILIES
+            write_documents(extract(entries, now, families=families), o["out"], o["format"])
         case "chunk":
-            chunks(read_documents(spark, o["input"])).write.mode("overwrite").partitionBy("family").parquet(o["out"])
+            chunks(read_documents(spark, o["input"], o["format"])).write.mode("overwrite").partitionBy("family").parquet(o["out"])
         case "index":
             made = spark.read.parquet(o["chunks"])
             out = o["out"] or f"{o['chunks']}/search-index"
@@ -95,7 +91,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             for row in in_order(query_index(spark.read.parquet(f"{o['index']}/chunks"), o["term"], o["family"])).toJSON().toLocalIterator():
                 print(row)
         case "diff":
-            diff_documents(read_documents(spark, o["from"]), read_documents(spark, o["to"]), now).write.mode("overwrite").json(o["out"])
+            diff_documents(read_documents(spark, o["from"], o["format"]), read_documents(spark, o["to"], o["format"]), now).write.mode("overwrite").json(o["out"])
         case "pipeline":
             manifest = load_manifest(spark, o["manifest"])
             take_snapshots(spark, manifest, o["snapshots"], o["reuse"], o["timeout"], now)

@@ -72,11 +72,18 @@ FAMILIES = (
 BY_ID = {f.id: f for f in FAMILIES}
 
 
+def families_of(rows: list[dict]) -> tuple[Family, ...]:
+    """Families from plain data (the fields of :class:`Family`); rows without an id are left out, ``generic`` is added last if it is missing."""
+    lists = ("hosts", "suffixes", "prune")
+    made = [Family(**{k: tuple(v) if k in lists else v for k, v in row.items()}) for row in rows if row.get("id")]
+    return tuple(made) if any(f.id == "generic" for f in made) else (*made, BY_ID["generic"])
+
+
 def resolve_family(url: Column, explicit: Column | None = None, families=FAMILIES) -> Column:
     """The id of the family that is asked for if it is known, else of the first that the host matches, else ``generic``."""
     host = F.coalesce(host_of(url), F.lit(""))
     out = F.lit("generic")
-    for family in reversed(families):
+    for family in reversed([f for f in families if f.id != "generic"]):
         test = host.isin(*family.hosts) if family.hosts else F.lit(False)
         for suffix in family.suffixes:
             test = test | host.endswith(suffix)
@@ -87,8 +94,8 @@ def resolve_family(url: Column, explicit: Column | None = None, families=FAMILIE
 
 
 def families_table(spark: SparkSession, families=FAMILIES) -> DataFrame:
-    """The dimension table: ``family``, ``default_authority``, ``document_type``, ``default_extractor``."""
-    rows = [(f.id, f.authority, f.document_type, f.extractor) for f in families]
+    """The dimension table: ``family``, ``default_authority``, ``document_type``, ``default_extractor``; of families with one id the first holds."""
+    rows = [(f.id, f.authority, f.document_type, f.extractor) for f in {f.id: f for f in reversed(families)}.values()]
     return spark.createDataFrame(rows, "family string, default_authority string, document_type string, default_extractor string")
 
 

@@ -21,14 +21,53 @@ def normalize_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), f"[{WHITE}]+", " "))
 
 
+#: Spellings of the path segments for "here" and "up".
+HERE, UP = (".", "%2e"), ("..", ".%2e", "%2e.", "%2e%2e")
+_DOTTED = r"(?i)(^|/)(\.|%2e){1,2}(/|$)"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, with its dot segments resolved."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+    empty = F.array().cast("array<string>")
+
+    def step(made: Column, part: Column) -> Column:
+        up = F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0)))
+        return F.when(F.lower(part).isin(*HERE), made).when(F.lower(part).isin(*UP), up).otherwise(F.array_append(made, part))
+
+    kept = F.aggregate(parts, empty, step)
+    # A path that ends in a dot segment names a folder.
+    kept = F.when(F.lower(F.element_at(parts, -1)).isin(*HERE, *UP), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def _escaped(x: Column, unsafe: str) -> Column:
+    """The characters of a class as percent signs and the hex of their UTF-8."""
+    code = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    made = F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c.rlike(unsafe), code(c)).otherwise(c)), "")
+    return F.when(x.rlike(unsafe), made).otherwise(x)
+
+
 def normalize_url(url: Column) -> Column:
-    """A URL without its fragment; scheme and host in lower case, default port dropped, empty path as ``/``."""
-    bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    host = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    rest = F.substring(bare, F.length(host) + 1, F.length(bare))
+    """A URL without its fragment, as the URL standard writes web addresses.
+
+    Scheme and host in lower case, hosts beyond ASCII in Punycode, default port
+    dropped, empty path as ``/``, dot segments resolved, backslashes as slashes,
+    unsafe characters as percent codes, line ends and tabs taken out.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\t\n\r]", ""), "#.*$", "")
+    head = r"^([A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}[^/?\\]*)"
+    host = F.replace(F.lower(F.regexp_extract(bare, head, 1)), F.lit("\\"), F.lit("/"))
+    # Only the name before a port goes through the JVM's IDN; a name that it refuses stays.
+    name = F.regexp_extract(host, "^[^/]*//(?:[^@]*@)?([^:]*)", 1)
+    host = F.when(name.rlike("[^\\x00-\\x7F]"), F.replace(host, name, F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name), name))).otherwise(host)
     host = F.regexp_replace(F.regexp_replace(host, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
-    rest = F.when((host != "") & ~rest.startswith("/"), F.concat(F.lit("/"), rest)).otherwise(rest)
-    return F.concat(host, rest)
+    rest = F.regexp_replace(bare, head, "")
+    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    path = F.when((host != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+    path = F.when((host != "") & path.rlike(_DOTTED), _without_dots(path)).otherwise(path)
+    return F.concat(host, _escaped(path, r"""[^\x21-\x7E]|["<>`{}^]"""), _escaped(query, r"""[^\x21-\x7E]|["<>']"""))
 
 
 def host_of(url: Column) -> Column:
@@ -92,7 +131,7 @@ def charset_of(content_type: Column) -> Column:
     return F.when(raw == "", None).when(raw == "utf-8", "utf8").when(raw == "us-ascii", "ascii").when(raw == "iso-8859-1", "latin1").otherwise(raw)
 
 
-#: Charsets that can be decoded, and Spark's names for them.
+#: Charsets that can be decoded, and Spark's names for them; two more name bytes written as text.
 CHARSETS = {
     "utf8": "UTF-8",
     "utf-8": "UTF-8",
@@ -114,6 +153,9 @@ def decoded(content: Column, charset: Column) -> Column:
         if java != "UTF-8":
             text = F.when(name == own, F.decode(content, java)).otherwise(text)
         known = known | (name == own)
+    as_bytes = {"base64": F.base64(content), "base64url": F.rtrim(F.translate(F.base64(content), "+/", "-_"), F.lit("=")), "hex": F.lower(F.hex(content))}
+    for own, written in as_bytes.items():
+        text, known = F.when(name == own, written).otherwise(text), known | (name == own)
     warning = F.when(~known, F.concat(F.lit('Unsupported charset "'), name, F.lit('", decoded as utf8')))
     return F.struct(text.alias("text"), warning.alias("warning"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.families import with_family
+from folio.functions.families import FAMILIES, Family, with_family
 from folio.functions.text import decoded, document_id, falsy, fragment_of
 from folio.operators import html_extract, pdf_extract, text_extract, xml_extract
 from folio.operators.fragment import filter_by_fragment
@@ -25,7 +27,14 @@ def with_warnings(extraction: Column, *more: Column) -> Column:
     return extraction.withField("warnings", both)
 
 
-def extract(entries: DataFrame, run_ts: Column, rules: dict[str, dict] | None = None, extractors: tuple[str, ...] = EXTRACTORS) -> DataFrame:
+def extract(
+    entries: DataFrame,
+    run_ts: Column,
+    rules: dict[str, dict] | None = None,
+    extractors: tuple[str, ...] = EXTRACTORS,
+    families: tuple[Family, ...] = FAMILIES,
+    own_extractors: dict[str, Callable[[Column, Column], Column]] | None = None,
+) -> DataFrame:
     """Documents of manifest entries that carry their snapshot (``content``, ``content_type``, ``charset``, ``snapshot_id``).
 
     One pass over the entries: every parser sees nulls but for its own rows.
@@ -33,11 +42,17 @@ def extract(entries: DataFrame, run_ts: Column, rules: dict[str, dict] | None =
     of the plan; with ``text`` alone no Python runs.  ``run_ts`` stamps all
     documents of a run.  A page that is not ``text/html`` and an unknown
     extractor give documents without sections and a warning.
+
+    ``families`` are resolved in their order; ``rules`` replaces the HTML rules of
+    a family by its id.  ``own_extractors`` adds extractors by name, each a
+    function of the columns of text and URL that gives a column of ``EXTRACTED``.
     """
-    rows = with_family(entries)
+    own_extractors = own_extractors or {}
+    rules = {f.id: f.html_rules() for f in families} | (rules or {})
+    rows = with_family(entries, families)
     url, family, authority = F.col("url"), F.col("family"), F.col("authority")
     is_html = F.coalesce(F.contains(F.col("content_type"), F.lit("text/html")), F.lit(False))
-    route = F.when((F.col("extractor") == "html") & ~is_html, "none").when(F.col("extractor").isin(*extractors), F.col("extractor")).otherwise("none")
+    route = F.when((F.col("extractor") == "html") & ~is_html, "none").when(F.col("extractor").isin(*extractors, *own_extractors), F.col("extractor")).otherwise("none")
     rows = rows.withColumn("route", route).withColumn("t", decoded(F.col("content"), F.col("charset")))
 
     def own(name: str, x: Column) -> Column:
@@ -54,6 +69,8 @@ def extract(entries: DataFrame, run_ts: Column, rules: dict[str, dict] | None =
     if "pdf" in extractors:
         rows = rows.withColumn("p", pdf_extract.pdf_text(own("pdf", F.col("content"))))
         made["pdf"] = with_warnings(text_extract.extracted(F.col("p.text"), url), F.col("p.warning"))
+    for name, function in own_extractors.items():
+        made[name] = with_warnings(function(own(name, text), url).cast(EXTRACTED), warning)
     extraction = unsupported(F.col("extractor"), url)
     for name, x in made.items():
         extraction = F.when(F.col("route") == name, x).otherwise(extraction)

@@ -20,8 +20,8 @@ from folio.operators.schema import EXTRACTED, block
 
 #: Attributes that describe a schema, an element and an attribute, in order.
 SCHEMA_ATTRIBUTES = ("targetNamespace", "elementFormDefault", "attributeFormDefault", "version", "id")
-ELEMENT_ATTRIBUTES = ("type", "ref", "minOccurs", "maxOccurs", "default", "fixed", "nillable", "abstract", "substitutionGroup", "block", "final")
-ATTRIBUTE_ATTRIBUTES = ("type", "use", "default", "fixed", "ref")
+ELEMENT_ATTRIBUTES = ("type", "substitutionGroup", "minOccurs", "maxOccurs", "abstract", "nillable", "default", "fixed", "form", "block", "final")
+ATTRIBUTE_ATTRIBUTES = ("type", "use", "default", "fixed", "form")
 #: The kinds of definitions, the ids and headings of their sections and the ids of their blocks, in order.
 KINDS = (
     ("element", "elements", "Elements", "element-definitions"),
@@ -59,10 +59,12 @@ class Node:
 
     def deep(self, local: str) -> Iterator[Node]:
         """Descendants of this name, parents before children."""
-        for node in self.children():
+        stack = list(self.children())[::-1]
+        while stack:
+            node = stack.pop()
             if node.local == local:
                 yield node
-            yield from node.deep(local)
+            stack.extend(list(node.children())[::-1])
 
     def get(self, name: str) -> str:
         return self.attributes.get(name) or ""
@@ -112,10 +114,12 @@ def documentation(node: Node) -> str:
 
 
 def _texts(node: Node) -> Iterator[str]:
-    if node.text:
-        yield node.text
-    for child in node.children():
-        yield from _texts(child)
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if node.text:
+            yield node.text
+        stack.extend(list(node.children())[::-1])
 
 
 def described(pairs: list[tuple[str, str | None]]) -> str:
@@ -135,9 +139,13 @@ def brief(node: Node, names: tuple[str, ...]) -> str:
 
 def within(node: Node, local: str, names: tuple[str, ...]) -> list[str]:
     """What a content model holds of one name; what stands inside such a node is its own affair."""
-    out = []
-    for child in node.children():
-        out += [brief(child, names)] if child.local == local else within(child, local, names)
+    out, stack = [], list(node.children())[::-1]
+    while stack:
+        child = stack.pop()
+        if child.local == local:
+            out.append(brief(child, names))
+        else:
+            stack.extend(list(child.children())[::-1])
     return out
 
 
@@ -232,13 +240,20 @@ def schema_sections(root: Node) -> list[dict]:
 
 
 def lines_of(node: Node, path: str) -> Iterator[str]:
-    for name, value in node.attributes.items():
-        yield f"{path} @{name}: {value}"
-    for name, group in node.groups.items():
-        for i, child in enumerate(group):
-            yield from lines_of(child, f"{path}/{name}[{i}]" if len(group) > 1 else f"{path}/{name}")
-    if text := clean(node.text):
-        yield f"{path}/#text: {text}"
+    """An element's attributes, then its children's lines, then its own text."""
+    stack: list[tuple[Node, str] | str] = [(node, path)]
+    while stack:
+        top = stack.pop()
+        if isinstance(top, str):
+            yield top
+            continue
+        node, path = top
+        for name, value in node.attributes.items():
+            yield f"{path} @{name}: {value}"
+        if text := clean(node.text):
+            stack.append(f"{path}/#text: {text}")
+        inner = [(child, f"{path}/{name}[{i}]" if len(group) > 1 else f"{path}/{name}") for name, group in node.groups.items() for i, child in enumerate(group)]
+        stack.extend(inner[::-1])
 
 
 def generic_sections(root: Node | None) -> list[dict]:
@@ -252,10 +267,13 @@ def generic_sections(root: Node | None) -> list[dict]:
 
 
 def extract_xml(text: str | None, url: str, title: str | None = None) -> dict:
-    """One text: ``title``, ``sections`` and ``warnings``; what can't be parsed has a warning and no sections."""
+    """One text: ``title``, ``sections`` and ``warnings``; what can't be parsed has a warning and no sections.
+
+    Elements may nest to any depth.
+    """
     try:
         root = parse(text or "") if text else None
-    except (xml.parsers.expat.ExpatError, ValueError, RecursionError) as error:
+    except (xml.parsers.expat.ExpatError, ValueError) as error:
         return {"title": title or url, "sections": [], "warnings": [f"XML parse failed: {error}"]}
     sections = schema_sections(root) if root is not None and root.local == "schema" else []
     return {"title": title or url, "sections": numbered(sections or generic_sections(root)), "warnings": []}

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import posixpath
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import iso
-from folio.operators.schema import SECTION
+from folio.operators.extract import output_path
+from folio.operators.render import markdown
+from folio.operators.schema import BLOCK_FIELDS, SECTION
 
 DOCUMENT_SCHEMA = (
     "schema_version string, url string, title string, family string, authority string, document_type string, snapshot_id string, fragment string, "
@@ -14,22 +20,82 @@ DOCUMENT_SCHEMA = (
 )
 
 
+#: The contract's form: the same under its own names, ordinals left to the arrays' order.
+_PLACE = "source struct<url:string,fragment:string,path:string>"
+_CONTRACT_BLOCK = (
+    "struct<id:string,type:string,text:string,ordered:boolean,items:array<string>,headers:array<string>,rows:array<array<string>>,title:string,"
+    "steps:array<struct<stepId:string,text:string>>,productions:array<struct<lhs:string,rhs:string>>,normativity:string,"
+    f"links:array<struct<text:string,href:string,resolvedId:string>>,{_PLACE.replace(' ', ':', 1)}>"
+)
+CONTRACT_SCHEMA = (
+    "schemaVersion string, url string, title string, family string, authority string, documentType string, snapshotId string, fragment string, extractedAt string, "
+    f"sections array<struct<id:string,heading:string,level:int,{_PLACE.replace(' ', ':', 1)},blocks:array<{_CONTRACT_BLOCK}>>>, warnings array<string>"
+)
+
+
 def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Documents as Parquet by family, or as JSON lines."""
-    if fmt == "json":
-        docs.withColumn("extracted_at", iso(F.col("extracted_at"))).write.mode("overwrite").json(path)
-    else:
+    """Documents as Parquet by family, or as one file each (``json`` or ``md``) at its :func:`output_path` below ``path``."""
+    if fmt == "parquet":
         docs.write.mode("overwrite").partitionBy("family").parquet(path)
+        return
+    own = F.col("output") if "output" in docs.columns else F.lit(None).cast("string")
+    placed = docs.withColumn("path", output_path(own, F.col("family"), F.col("url"), path, fmt))
+    texts = markdown(placed).select("path", F.col("markdown").alias("text")) if fmt == "md" else contract_json(placed, pretty=False).select("path", F.col("json").alias("text"))
+    write_files(texts, indent=fmt == "json")
+
+
+def write_files(texts: DataFrame, indent: bool = False) -> None:
+    """Each ``text`` to its ``path``, by the tasks; ``indent`` lays JSON out over lines.
+
+    A path is a URI that Arrow's file systems know, or a folder that all executors
+    share.  A file appears under its name only when it is whole, so a task that is
+    run again replaces what it wrote before.
+    """
+
+    def put(rows):
+        from pyarrow import fs
+
+        for row in rows:
+            store, path = fs.FileSystem.from_uri(row["path"]) if "://" in row["path"] else (fs.LocalFileSystem(), row["path"])
+            text = json.dumps(json.loads(row["text"]), indent=2, ensure_ascii=False) + "\n" if indent else row["text"]
+            store.create_dir(posixpath.dirname(path) or ".", recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as out:
+                out.write(text.encode())
+            store.move(part, path)
+
+    texts.select("path", "text").foreachPartition(put)
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Documents of a folder, searched to any depth; JSON records without sections are none."""
+    """Documents of a folder, searched to any depth; JSON records without sections are none, malformed ones an error."""
     if fmt == "json":
-        read = spark.read.schema(DOCUMENT_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "FAILFAST").json(path)
-        return read.where("sections is not null")
+        read = spark.read.schema(CONTRACT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "FAILFAST").json(path)
+        return _from_contract(read.where("sections is not null"))
     return spark.read.parquet(path).select(*[F.col(c) for c in spark.createDataFrame([], DOCUMENT_SCHEMA).columns])
 
 
+def _from_contract(read: DataFrame) -> DataFrame:
+    """Documents in the contract's form under the names and types of :data:`DOCUMENT_SCHEMA`."""
+    pair = "struct<term:string,definition:string>"
+
+    def block(b, i):
+        is_pairs = b["type"] == "definitionList"
+        plain = {n: b[n] for n in ("id", "type", "text", "ordered", "headers", "rows", "title", "productions", "normativity", "source")}
+        made = plain | {
+            "ordinal": i, "items": F.when(~is_pairs, b["items"]), "definitions": F.when(is_pairs, F.transform(b["items"], lambda x: F.from_json(x, pair))),
+            "steps": F.transform(b["steps"], lambda s: F.struct(s["stepId"].alias("step_id"), s["text"].alias("text"))),
+            "links": F.transform(b["links"], lambda x: F.struct(x["text"].alias("text"), x["href"].alias("href"), x["resolvedId"].alias("resolved_id"))),
+        }
+        return F.struct(*[made[n].alias(n) for n in BLOCK_FIELDS])
+
+    section = lambda s, i: F.struct(i.alias("ordinal"), s["id"].alias("id"), s["heading"].alias("heading"), s["level"].alias("level"), s["source"].alias("source"), F.transform(s["blocks"], block).alias("blocks"))
+    return read.select(
+        F.col("schemaVersion").alias("schema_version"), "url", "title", "family", "authority", F.col("documentType").alias("document_type"), F.col("snapshotId").alias("snapshot_id"), "fragment",
+        F.to_timestamp("extractedAt").alias("extracted_at"), F.transform("sections", section).cast(f"array<{SECTION}>").alias("sections"), "warnings",
+    )
+
+
 def invalid_documents(docs: DataFrame) -> DataFrame:
     """Documents that break the contract: a required field is null, of the document, a section or a block."""
     required = [F.col(c).isNull() for c in ("schema_version", "url", "title", "family", "sections", "extracted_at")]
@@ -41,7 +107,7 @@ def invalid_documents(docs: DataFrame) -> DataFrame:
 
 
 def contract_json(docs: DataFrame, pretty: bool = True) -> DataFrame:
-    """``url`` and ``json``: documents under the contract's names, null fields left out, definitions as the items of their lists."""
+    """``url``, ``path`` (if the documents have one) and ``json``: documents under the contract's names, null fields left out, definitions as the items of their lists."""
     rename = lambda d: F.struct(d["text"].alias("text"), d["href"].alias("href"), d["resolved_id"].alias("resolvedId"))
 
     def block(b):
@@ -55,4 +121,4 @@ def contract_json(docs: DataFrame, pretty: bool = True) -> DataFrame:
         F.col("schema_version").alias("schemaVersion"), "url", "title", "family", "authority", F.col("document_type").alias("documentType"), F.col("snapshot_id").alias("snapshotId"),
         "fragment", iso(F.col("extracted_at")).alias("extractedAt"), F.transform("sections", section).alias("sections"), "warnings",
     )
-    return docs.select("url", F.to_json(whole, {"pretty": str(pretty).lower()}).alias("json"))
+    return docs.select("url", *[c for c in ("path",) if c in docs.columns], F.to_json(whole, {"pretty": str(pretty).lower()}).alias("json"))

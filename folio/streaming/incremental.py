@@ -17,17 +17,17 @@ def arriving(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFr
     return stream.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["source_url", "sha256"])
 
 
-def entries_of(snapshots: DataFrame) -> DataFrame:
-    """Snapshots as entries of a manifest that leaves everything to the families."""
+def entries_of(snapshots: DataFrame, extractor: str | None = None) -> DataFrame:
+    """Snapshots as entries of a manifest that leaves everything, or all but the extractor, to the families."""
     null = F.lit(None).cast("string")
-    return snapshots.select(F.col("source_url").alias("url"), null.alias("family"), null.alias("authority"), null.alias("extractor"), "snapshot_id", "content_type", "charset", "content")
+    return snapshots.select(F.col("source_url").alias("url"), null.alias("family"), null.alias("authority"), F.lit(extractor).cast("string").alias("extractor"), "snapshot_id", "content_type", "charset", "content")
 
 
-def start(spark: SparkSession, source: str, target: str, checkpoint: str, run_ts: Column, available_now: bool = True) -> StreamingQuery:
+def start(spark: SparkSession, source: str, target: str, checkpoint: str, run_ts: Column, available_now: bool = True, extractor: str | None = None) -> StreamingQuery:
     """Appends the chunks of new snapshots to ``target``; each batch is a folder of its own, so a repeated one overwrites itself."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        chunks(extract(entries_of(rows), run_ts)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        chunks(extract(entries_of(rows, extractor), run_ts)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = arriving(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -175,7 +175,15 @@ def test_pipeline_and_commands(spark, tmp_path, capsys):
     capsys.readouterr()
     assert run("query", "--index", path("index"), "--term", "FIRST") == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["chunk_id"] == "h-example-a::top::p1"
-    assert spark.read.json(path("diff")).count() == 1 and spark.read.parquet(path("md")).first()["markdown"].startswith("# Page")
+    assert spark.read.json(path("diff")).count() == 1 and (tmp_path / "md/generic/h-example-a.md").read_text().startswith("# Page")
+    run("extract", "--manifest", path("manifest.json"), "--snapshots", path("snap"), "--out", path("json"), "--format", "json")
+    written = (tmp_path / "json/generic/h-example-a.json").read_text()
+    assert written.startswith('{\n  "schemaVersion": "0.2",\n  "url"') and written.endswith("}\n") and list((tmp_path / "json/generic").iterdir()) == [tmp_path / "json/generic/h-example-a.json"]
+    run("chunk", "--input", path("json"), "--format", "json", "--out", path("json-chunks"))
+    assert spark.read.parquet(path("json-chunks")).count() == 6
+    (tmp_path / "families.json").write_text('[{"id": "mine", "hosts": ["h.example"], "authority": "normative", "prune": [".x"]}, {"hosts": ["no"]}]')
+    run("extract", "--manifest", path("manifest.json"), "--snapshots", path("snap"), "--out", path("own"), "--families", path("families.json"))
+    assert spark.read.parquet(path("own")).select("family", "authority").first() == ("mine", "normative")
     result = pipeline.run(load_manifest(spark, path("manifest.json")), spark.read.parquet(path("snap")), ts(), path("all"))
     assert (result.documents.count(), result.index.count(), result.index_documents.count()) == (1, 6, 1)
     assert run() == 0 and run("nonsense") == 1
