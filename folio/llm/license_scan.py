@@ -1,17 +1,22 @@
 """License scan by canonical digest.
 
 A text and each known licence are brought to one canonical form (case,
-punctuation, white space, copyright lines and equivalent spellings no longer
-count), digested, and joined by digest.  Entire texts are compared, never parts
-of one; a document's lines may be scanned as texts of their own, for notices.
+punctuation, white space, copyright lines, titles and equivalent spellings no
+longer count), digested, and joined by digest.  Entire texts are compared, never
+parts of one; a document's lines may be scanned as texts of their own, for notices.
+
+Lines are brought to their form once; the entire text is its lines' words end to
+end.  Of the lines, only those as long as a known notice are digested.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents
+from folio.llm.common import documents, written
 
 #: Spellings that count as the same word in a licence.
 SPELLINGS = (
@@ -45,27 +50,44 @@ _ISC_WARRANTY = (
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE."
 )
-#: Public licences, and the one-line notices that stand for one.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: {0} Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. {1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "{2} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission. "
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: The clauses are numbered, or marked with signs that don't count.
+_BULLETS = (("", "", ""), ("1.", "2.", "3."))
+_RESERVED = ("", "All rights reserved.\n")
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+    "software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+    "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The "
+    "above copyright notice and this permission notice{0} shall be included in all copies or substantial portions of the "
+    "Software. "
+)
+_ISC = "Permission to use, copy, modify, and{0} distribute this software for any purpose with or without fee is hereby granted, "
+#: Public licences in their customary layouts, and the one-line notices that stand for one.
 KNOWN = (
-    (
-        "MIT",
-        "MIT License\nCopyright (c) holders\nPermission is hereby granted, free of charge, to any person obtaining a copy of this "
-        "software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
-        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The "
-        "above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-        "Software. " + _WARRANTY,
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY,
-    ),
-    (
-        "0BSD",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
-        + _ISC_WARRANTY,
-    ),
+    ("MIT", "MIT License\nCopyright (c) holders\n" + _MIT.format("") + _WARRANTY),
+    ("MIT", _MIT.format(" (including the next paragraph)") + _WARRANTY),
+    *(("ISC", _ISC.format(way) + "provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY) for way in ("/or", "")),
+    ("0BSD", _ISC.format("/or")[:-2] + ". " + _ISC_WARRANTY),
+    *(("BSD-2-Clause", reserved + (_BSD + _BSD_WARRANTY).format(*marks)) for reserved in _RESERVED for marks in _BULLETS),
+    *(("BSD-3-Clause", reserved + (_BSD + _BSD_THIRD + _BSD_WARRANTY).format(*marks)) for reserved in _RESERVED for marks in _BULLETS),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -77,53 +99,144 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 )
+#: Digests of the canonical forms of licences too long to print here, as their publishers distribute them;
+#: where a licence ends in advice how to apply it, with and without that.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", 9828, "3420cffbc5a189344e1877fb60e7273e53d7e783559abf595c291da52ded4de1"),
+    ("Apache-2.0", 8811, "536268a29a0159e67af17c6e67180c66dd3d63b55f1de711e05c122be8002289"),
+    ("Apache-2.0", 8783, "e31ac59f164ccf53aa974b50f93c9ea55654552a7beb0de32efa0ddda78b04a9"),
+    ("Artistic-1.0-Perl", 5833, "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", 19584, "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.2", 18387, "8d636e2e2f248f9b102e9d9f78337901ec8bca3bfe91434cdcf261a01bf305b1"),
+    ("GFDL-1.3", 22020, "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GFDL-1.3", 20823, "8b8b57bd195ed50d50edb5da1dd173b409fb9b075910c69726be7d0363c40008"),
+    ("GPL-1.0", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", 9415, "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", 9387, "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-2.0", 17117, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", 14483, "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0", 14455, "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    ("GPL-3.0", 33409, "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0", 30968, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0", 30940, "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    ("LGPL-2.0", 24130, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", 22277, "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", 22249, "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.1", 25217, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", 23365, "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", 23337, "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-3.0", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22340, "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", 14284, "4389b7c80c5d1ae93b31c4594939d7de1a2cd8cbb91d63f692c81d1ebd9cf507"),
+)
+
+#: Lines that are no more than a licence's title, in canonical form.
+TITLES = (
+    "mit license", "the mit license", "the mit license mit", "mit license mit", "isc license", "the isc license", "the isc license isc", "isc license isc",
+    "bsd 2 clause license", "the bsd 2 clause license", "bsd 3 clause license", "the bsd 3 clause license", "bsd license", "the bsd license", "new bsd license",
+    "simplified bsd license", "modified bsd license", "bsd zero clause license", "zero clause bsd", "zero clause bsd license",
+)
+
+#: Lengths of notices that are compared before a line is digested; with more of them every line is.
+LENGTHS = 1_000
+#: What a null id counts as.
+NO_ID = -(1 << 63)
+
+#: A statement of copyright: behind comment marks, the word or the sign, then a year, the sign, "by", a blank to fill in or a name.
+COPYRIGHT_LINE = (
+    r"^[^\p{L}\p{N}(©]*((\([cC]\)|©)|[cC](opyright|OPYRIGHT)([ \t]*[:,]?[ \t]*(\([cC]\)|©|[0-9]{4}|[bB][yY] |[\[<{]))|Copyright (The |the )?[A-Z][a-z])"
+)
+NOT_A_COPYRIGHT_LINE = r"^[^\p{L}\p{N}(©]*Copyright (The |the )?(Notice|Holder|Owner|License|Licence|Law|Statement)"
+NOT_A_WORD = r"[^\p{L}\p{N} ]+"
 
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
+def line_form(line: Column) -> Column:
+    """A line in lower case, its words between single blanks."""
+    # Most blanks are single already; a replacement for each of them would cost more than all else.
+    x = F.trim(F.regexp_replace(F.lower(line), NOT_A_WORD, " "))
+    return F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
 
-def canonical(text: Column) -> Column:
-    """The canonical form: lower case, no copyright lines, words between single blanks, one spelling."""
-    x = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
-    x = F.concat(F.lit(" "), F.trim(F.regexp_replace(x, NOT_A_WORD, " ")), F.lit(" "))
+
+def is_copyright(line: Column) -> Column:
+    # The sign or the word is looked for before the pattern is tried.
+    maybe = F.contains(line, F.lit("opyright")) | F.contains(line, F.lit("OPYRIGHT")) | F.contains(line, F.lit("©")) | F.contains(line, F.lit("(c)")) | F.contains(line, F.lit("(C)"))
+    return maybe & line.rlike(COPYRIGHT_LINE) & ~line.rlike(NOT_A_COPYRIGHT_LINE)
+
+
+def one_spelling(words: Column) -> Column:
+    """Words between single blanks, each in the one spelling that stands for it."""
+    wide = lambda x: f" {x.replace(' ', '  ')} "
+    # Two blanks between words, so that neighbours don't share one.
+    x = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for other, one in SPELLINGS:
-        x = F.replace(x, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(x)
+        x = F.replace(x, F.lit(wide(other)), F.lit(wide(one)))
+    return F.trim(F.replace(x, F.lit("  "), F.lit(" ")))
+
+
+def line_forms(text: Column) -> Column:
+    """Per line with words: the ``words``, whether it is a ``copyright`` statement, and whether it does ``count`` in the entire text."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(line_form(x).alias("words"), is_copyright(x).alias("copyright")))
+    return F.transform(F.filter(lines, lambda x: x["words"] != ""), lambda x: F.struct(x["words"].alias("words"), x["copyright"].alias("copyright"), (~x["copyright"] & ~x["words"].isin(*TITLES)).alias("count")))
+
+
+def whole_form(forms: Column) -> Column:
+    """The canonical form of an entire text from those of its lines."""
+    return one_spelling(F.array_join(F.transform(F.filter(forms, lambda x: x["count"]), lambda x: x["words"]), " "))
+
+
+#: What a text must hold for any spelling to differ.
+_ODD = ("licence", "sub licen", "non commercial", "per cent", "copyright owner", "acknowledgement", "favour", "merchantibility", "http", "v 2 0", "v2 0")
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form in hex; null where no word is left."""
-    x = canonical(text)
+    x = whole_form(line_forms(text))
     return F.when(x != "", F.sha2(x, 256))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """One row per distinct canonical licence text: ``digest``, ``license``."""
-    rows = spark.createDataFrame(list(known), "license string, body string")
-    return rows.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license").alias("license")).where("digest is not null")
+def known_digests(spark: SparkSession, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
+    """One row per distinct canonical licence text: ``digest``, ``license`` and ``length`` of the form."""
+    rows = spark.createDataFrame(list(known), "license string, body string").select("license", whole_form(line_forms(F.col("body"))).alias("form")).where("form <> ''")
+    rows = rows.select(F.sha2("form", 256).alias("digest"), "license", F.length("form").alias("length"))
+    rows = rows.unionByName(spark.createDataFrame([(d, name, n) for name, n, d in digests], "digest string, license string, length int"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("length").alias("length"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, lines: bool = True, broadcast_rows: int = 100_000) -> DataFrame:
     """Per document: ``text_digest``, ``license`` of the entire text, and of its lines ``n_notices`` and ``notices``.
 
-    ``known`` (``digest``, ``license``) is counted and broadcast up to
-    ``broadcast_rows``, joined by shuffle beyond.  Null, empty and wordless
-    texts get a null digest and no licence.  Repeated rows are scanned each;
-    rows of one ``doc_id`` share their notices.  Other columns are dropped.
+    ``known`` (``digest``, ``license``, and ``length`` of the form, or null) is
+    counted and broadcast up to ``broadcast_rows`` rows of some hundred bytes
+    each, joined by shuffle beyond.  Null, empty and wordless texts get a null
+    digest and no licence.  Repeated rows are scanned each; rows of one
+    ``doc_id``, and those of a null one, share their notices.  Texts of any
+    length are taken whole, in time linear in it.  An empty table gives an empty
+    result; other columns are dropped, whatever their names.
     """
     docs = documents(docs)
     known = known_digests(docs.sparkSession) if known is None else known
+    lengths = [r[0] for r in known.select("length").distinct().limit(LENGTHS + 1).collect()]
     if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
         known = F.broadcast(known)
-    whole = docs.select("doc_id", digest(F.col("text")).alias("digest"))
-    out = whole.join(known, "digest", "left").select("doc_id", F.col("digest").alias("text_digest"), "license")
+    known = known.select(F.col("digest").alias("known_digest"), "license")
+    # Generators of one row keep the optimizer from working out the forms again for every use.
+    forms = docs.select("doc_id", F.explode_outer(F.array(line_forms(F.col("text")))).alias("f"))
+    odd = reduce(Column.__or__, (F.contains("all", F.lit(x)) for x in _ODD))
+    forms = forms.select("doc_id", "f", F.explode_outer(F.array(F.array_join(F.transform("f", lambda x: x["words"]), " "))).alias("all")).select("doc_id", "f", odd.alias("odd"))
+    whole = F.array_join(F.transform(F.filter("f", lambda x: x["count"]), lambda x: x["words"]), " ")
+    whole = F.when(F.col("odd"), one_spelling(whole)).otherwise(whole)
+    words = F.transform(F.filter("f", lambda x: ~x["copyright"]), lambda x: x["words"])
+    words = F.when(F.col("odd"), F.transform(words, one_spelling)).otherwise(words)
+    # A line as long as no known notice is none.
+    fits = (lambda x: F.lit(True)) if None in lengths or len(lengths) > LENGTHS else (lambda x: F.length(x).isin(*lengths))
+    notices = F.transform(F.filter(words, fits), lambda x: F.sha2(x, 256)) if lines else F.array().cast("array<string>")
+    rows = forms.select("doc_id", F.explode_outer(F.array(whole)).alias("whole"), notices.alias("notices"))
+    rows = written(rows.select("doc_id", F.when(F.col("whole") != "", F.sha2("whole", 256)).alias("text_digest"), "notices"), "forms")
+    out = rows.join(known, F.col("text_digest") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license")
     if not lines:
         return out
-    line = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where("line <> ''")
-    found = (
-        line.select("doc_id", digest(F.col("line")).alias("digest"))
-        .join(known, "digest")
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    )
-    return out.join(found, "doc_id", "left").withColumns({"n_notices": F.coalesce("n_notices", F.lit(0).cast("long")), "notices": F.coalesce("notices", F.lit(""))})
+    found = rows.select("doc_id", F.explode("notices").alias("notice")).join(known, F.col("notice") == F.col("known_digest"))
+    found = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    out = out.join(found, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").drop("id")
+    return out.withColumns({"n_notices": F.coalesce("n_notices", F.lit(0).cast("long")), "notices": F.coalesce("notices", F.lit(""))})

@@ -78,12 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _canonical_sql(text: str) -> str:
-    x = f"regexp_replace(lower({text}), '{license_scan.COPYRIGHT_LINE}', '\\1', 'g')"
-    x = f"' ' || trim(regexp_replace({x}, '{license_scan.NOT_A_WORD}', ' ', 'g')) || ' '"
+def _line_sql(line: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower({line}), '{license_scan.NOT_A_WORD}', ' ', 'g'), ' {{2,}}', ' ', 'g'))"
+
+
+def _spelled_sql(words: str) -> str:
+    wide = lambda x: f" {x.replace(' ', '  ')} "
+    x = f"' ' || replace({words}, ' ', '  ') || ' '"
     for other, one in license_scan.SPELLINGS:
-        x = f"replace({x}, ' {other} ', ' {one} ')"
-    return f"trim({x})"
+        x = f"replace({x}, '{wide(other)}', '{wide(one)}')"
+    return f"trim(replace({x}, '  ', ' '))"
 
 
 def _quoted(text: str) -> str:
@@ -103,17 +107,24 @@ kept AS (SELECT id, count(gone.i) AS n_removed, list(word ORDER BY x.i) FILTER (
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(array_to_string(coalesce(ks, []), ' ')) AS kept_sha256 FROM d LEFT JOIN kept USING (id)
 """,
     "op1_license_scan": f"""
-WITH known AS (
-  SELECT sha256(c) AS digest, min(license) AS license
-  FROM (SELECT {_canonical_sql('body')} AS c, license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in license_scan.KNOWN)}) v(license, body))
-  WHERE c <> '' GROUP BY 1),
-whole AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS c FROM documents),
-line AS (SELECT doc_id, {_canonical_sql('l')} AS c FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) WHERE l <> ''),
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, NULL AS license FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, body, name FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in license_scan.KNOWN)}) v(name, body)),
+line AS (
+  SELECT id, doc_id, pos, {_line_sql('l')} AS words, regexp_matches(l, '{license_scan.COPYRIGHT_LINE}') AND NOT regexp_matches(l, '{license_scan.NOT_A_COPYRIGHT_LINE}') AS statement
+  FROM (SELECT id, doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS pos FROM texts)),
+whole AS (
+  SELECT id, {_spelled_sql("string_agg(words, ' ' ORDER BY pos)")} AS c FROM line
+  WHERE words <> '' AND NOT statement AND words NOT IN ({', '.join(map(_quoted, license_scan.TITLES))}) GROUP BY id),
+known AS (
+  SELECT digest, min(name) AS license FROM (
+    SELECT sha256(c) AS digest, license AS name FROM texts JOIN whole USING (id) WHERE id < 0
+    UNION ALL SELECT digest, name FROM (VALUES {', '.join(f"('{name}', '{digest}')" for name, _, digest in license_scan.KNOWN_DIGESTS)}) v(name, digest)) GROUP BY digest),
 found AS (
   SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS names
-  FROM line JOIN known ON digest = CASE WHEN c <> '' THEN sha256(c) END GROUP BY doc_id)
-SELECT w.doc_id, CASE WHEN c <> '' THEN sha256(c) END AS text_digest, k.license, coalesce(f.n, 0) AS n_notices, coalesce(f.names, '') AS notices
-FROM whole w LEFT JOIN known k ON k.digest = CASE WHEN c <> '' THEN sha256(c) END LEFT JOIN found f ON f.doc_id = w.doc_id
+  FROM line JOIN known ON digest = sha256({_spelled_sql('words')}) WHERE id > 0 AND words <> '' AND NOT statement GROUP BY doc_id)
+SELECT d.doc_id, sha256(w.c) AS text_digest, k.license, coalesce(f.n, 0) AS n_notices, coalesce(f.names, '') AS notices
+FROM texts d LEFT JOIN whole w USING (id) LEFT JOIN known k ON k.digest = sha256(w.c) LEFT JOIN found f ON f.doc_id IS NOT DISTINCT FROM d.doc_id WHERE d.id > 0
 """,
     "op4_line_templates": r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(doc_id, -9223372036854775808) AS key, doc_id, text FROM documents),

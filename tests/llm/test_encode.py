@@ -1,8 +1,10 @@
 """License scan, byte-level BPE, binary records and quality rules against plain versions."""
 
 import hashlib
+import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -10,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folio.llm import binary_records, byte_bpe, license_scan, quality_cascade
@@ -88,16 +91,55 @@ def test_records_empty_table(spark, tmp_path):
     assert binary_records.read_records(spark, folder).count() == 0
 
 
+def scanned(spark, rows, **options):
+    return [(r["doc_id"], r["license"], r["n_notices"], r["notices"], r["text_digest"] is None) for r in license_scan.license_scan(table(spark, rows), **options).collect()]
+
+
+def wrapped(text, width=70):
+    return textwrap.fill(text, width)
+
+
 def test_license_scan(spark):
     mit = license_scan.KNOWN[0][1]
-    rows = [(1, mit), (2, mit.upper().replace(",", " ; ").replace("holders\n", "Somebody 2020\nCopyright 2021 Other\n")), (3, "x " + mit), (4, "Text.\nReleased under the MIT Licence!\nAll rights reserved.\n"), (5, None), (6, ""), (7, "..."), (4, "other")]
-    got = sorted((r["doc_id"], r["license"], r["n_notices"], r["notices"], r["text_digest"] is None) for r in license_scan.license_scan(table(spark, rows)).collect() if r["doc_id"] != 4)
+    rows = [(1, mit), (2, mit.upper().replace(",", " ; ").replace("HOLDERS\n", "SOMEBODY 2020\nCopyright 2021 Other\n")), (3, "x " + mit), (4, "Text.\nReleased under the MIT Licence!\nAll rights reserved.\n"), (5, None), (6, ""), (7, "..."), (4, "other")]
+    got = sorted(x for x in scanned(spark, rows) if x[0] != 4)
     assert [x[:2] + x[4:] for x in got] == [(1, "MIT", False), (2, "MIT", False), (3, None, False), (5, None, True), (6, None, True), (7, None, True)]
-    four = license_scan.license_scan(table(spark, rows[3:4])).collect()[0]
-    assert (four["license"], four["n_notices"], four["notices"]) == (None, 2, "LicenseRef-all-rights-reserved,MIT")
-    shuffled = license_scan.license_scan(table(spark, rows), broadcast_rows=0)
-    assert sorted(map(str, shuffled.collect())) == sorted(map(str, license_scan.license_scan(table(spark, rows)).collect()))
+    assert scanned(spark, rows[3:4]) == [(4, None, 2, "LicenseRef-all-rights-reserved,MIT", False)]
+    assert sorted(map(str, scanned(spark, rows, broadcast_rows=0))) == sorted(map(str, scanned(spark, rows)))
     assert license_scan.license_scan(table(spark, [])).count() == 0
+    nulls = sorted(scanned(spark, [(None, "All rights reserved."), (None, "x"), (8, "All rights reserved.")]), key=str)
+    assert [x[2] for x in nulls] == [1, 1, 1]
+
+
+def test_licenses_in_their_usual_layouts(spark):
+    """Wrapped anywhere, with titles, statements of copyright, comment marks and bullets, and spelt otherwise."""
+    known = dict(license_scan.KNOWN[::-1])
+    bodies = {n: next(b for k, b in license_scan.KNOWN if k == n and len(b) > 300) for n in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause")}
+    assert set(bodies) <= set(known)
+    rows, want = [], []
+    for name, body in bodies.items():
+        body = body.removeprefix("MIT License\nCopyright (c) holders\n")
+        for width in range(30, 90, 6):
+            for title in ("", "The MIT License (MIT)\n\n", "ISC License\n", "# BSD 3-Clause License\n"):
+                for statement in ("", "Copyright (c) 2020, Some Body <a@b.example>\n\n", "# Copyright 2019 The Authors\n", "© A\nCOPYRIGHT (C) 2001 B\n", "Copyright Foo Inc.\n"):
+                    rows.append((len(rows), title + statement + wrapped(body, width)))
+                    want.append(name)
+    body = bodies["BSD-3-Clause"].replace("permitted provided that the following conditions are met:  ", "permitted provided that the following conditions are met:\n\n* ").replace("license", "licence")
+    rows.append((len(rows), body))
+    want.append("BSD-3-Clause")
+    rows.append((len(rows), bodies["ISC"].replace("with or without fee", "with fee")))
+    want.append(None)
+    got = dict((x[0], x[1]) for x in scanned(spark, rows))
+    assert [got[i] for i, _ in rows] == want
+
+
+def test_neighbouring_spellings_and_digests(spark):
+    text = spark.createDataFrame([("licence licence licence, sub-licence per cent",), ("license license license sublicense percent",)], "t string")
+    assert text.select(license_scan.digest(F.col("t"))).distinct().count() == 1
+    folder = "/usr/share/common-licenses"
+    files = [(i, n, open(f"{folder}/{n}", encoding="utf-8", errors="replace").read()) for i, n in enumerate(("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")) if os.path.exists(f"{folder}/{n}")]
+    got = {x[0]: x[1] for x in scanned(spark, [(i, t) for i, _, t in files])}
+    assert [got[i] for i, _, _ in files] == [{"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}.get(n, n) for _, n, _ in files]
 
 
 def plain_quality(text):
