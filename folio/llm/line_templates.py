@@ -1,10 +1,12 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 The tree has a fixed depth: a line's number of tokens, then its leading tokens.
-Tokens with a digit are variable fields from the start.  In a leaf, a token that
-enough lines have at its place is constant, any other is a variable field, and
-lines with the same constants at the same places form one template.  A template
-that recurs in enough documents is dropped from all but the first of them.
+Tokens with a digit are variable fields from the start.  Behind the leading
+tokens of a leaf, a token that enough of the leaf's lines have at its place is
+constant, any other is a variable field, and lines with the same constants at the
+same places form one template, if enough of these places are constant.  A
+template that recurs in enough documents is dropped from all but the first of
+them, and so is a line that recurs as it is in as many.
 """
 
 from __future__ import annotations
@@ -21,10 +23,15 @@ BLANK = r"[ \t\x0B\f\r]+"
 #: What a line holds if its tokens are not all between single blanks.
 ODD_BLANKS = ("\t", "\x0b", "\f", "\r", "  ")
 WITH_DIGIT = r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*"
-#: Leading tokens of a path, lines a token must share to be constant and documents a template must recur in,
-#: fewest tokens of a line, and the share of constants (in tenths) below which lines are no template.
-DEPTH, MIN_DOCS, MIN_TOKENS, TENTHS = 3, 10, 3, 5
-BROADCAST_ROWS = 1_000_000
+#: Leading tokens of a path, and documents that a template, and a constant token, must be found in.
+DEPTH, MIN_DOCS = 3, 10
+#: Tenths: of a leaf's lines, that a constant token stands in; of the places behind the path, that are constant in a
+#: template; of a line's tokens, that are no fields in a line which recurs as it is.
+OFTEN, TENTHS, PLAIN = 1, 5, 5
+#: Fewest tokens of a line that may be dropped: all lines are looked at.
+MIN_TOKENS = 1
+#: Rows that are broadcast, at most 200 bytes each in memory; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def masked(line: Column) -> Column:
@@ -35,14 +42,14 @@ def masked(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(fields, BLANK, " ")).otherwise(fields))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     """One row per line that may be a template: its document, place, path and tokens."""
     line = docs.select("key", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
     # The generator of one row keeps the filter from being pushed down, where it would mask every line again.
     line = line.select("key", "row", "pos", F.explode_outer(F.array(masked(F.col("line")))).alias("tokens"))
     n = F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1
-    line = line.where((n >= MIN_TOKENS) & (F.col("tokens") != ""))
-    return line.select("key", "row", "pos", F.xxhash64(n, F.substring_index("tokens", " ", DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
+    line = line.where((n >= min_tokens) & (F.col("tokens") != ""))
+    return line.select("key", "row", "pos", n.alias("size"), F.xxhash64(n, F.substring_index("tokens", " ", DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -50,16 +57,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def recurring(docs: DataFrame) -> DataFrame:
+def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Lines to drop: ``key``, ``row`` and the sorted array ``drop`` of line numbers from 0."""
-    lines = _lines(docs)
+    lines = _lines(docs, min_tokens)
     at = written(lines.groupBy("leaf", "line", "key", "row").agg(F.array_sort(F.collect_set("pos")).alias("at")), "lines")
     pairs = at.select("leaf", "line", "key").distinct()
-    leaves = written(pairs.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf"), "leaves")
-    body = lines.join(_small(leaves), "leaf", "left_semi").select("leaf", "line", "tokens", "key").distinct()
-    distinct = written(body.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"), F.count("*").alias("n")), "bodies")
-    token = distinct.select("leaf", "line", "n", F.posexplode(F.split("tokens", " ")).alias("i", "token"))
+    leaves = written(pairs.groupBy("leaf").agg(F.count("*").alias("all")).where(F.col("all") >= MIN_DOCS), "leaves")
+    body = lines.join(_small(leaves), "leaf", "left_semi").select("leaf", "line", "tokens", "size", "key").distinct()
+    distinct = written(body.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"), F.min("size").alias("size"), F.count("*").alias("n"), F.min("key").alias("first")), "bodies")
+    # Places behind the path.
+    token = distinct.where(F.col("size") > DEPTH).select("leaf", "line", "size", "n", F.posexplode(F.split("tokens", " ")).alias("i", "token")).where(F.col("i") >= DEPTH)
     constant = token.where(F.col("token") != FIELD).groupBy("leaf", "i", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    constant = constant.join(_small(leaves), "leaf").where(10 * F.col("n") >= OFTEN * F.col("all"))
     seen = token.drop("n").join(constant.select("leaf", "i", "token", F.lit(True).alias("is_constant")), ["leaf", "i", "token"], "left")
     word = F.when(F.col("is_constant"), F.col("token")).otherwise(FIELD)
     template = (
@@ -72,23 +81,31 @@ def recurring(docs: DataFrame) -> DataFrame:
     known = _small(template)
     often = pairs.join(known, ["leaf", "line"]).groupBy("leaf", "template", "key").agg(F.lit(1)).groupBy("leaf", "template")
     often = often.agg(F.count("*").alias("docs"), F.min("key").alias("first")).where(F.col("docs") >= MIN_DOCS)
-    bad = written(template.join(often, ["leaf", "template"]).select("leaf", "line", "first"), "recurring")
+    general = template.join(often, ["leaf", "template"]).select("leaf", "line", "first")
+    fields = F.size(F.filter(F.split("tokens", " "), lambda x: x == FIELD))
+    alike = distinct.where((F.col("n") >= MIN_DOCS) & (10 * (F.col("size") - fields) >= PLAIN * F.col("size"))).select("leaf", "line", "first")
+    # A line of a recurring template goes by that, else by itself.
+    both = general.withColumn("own", F.lit(0)).unionByName(alike.withColumn("own", F.lit(1)))
+    bad = written(both.groupBy("leaf", "line").agg(F.min(F.struct("own", "first"))["first"].alias("first")), "recurring")
     hit = at.join(_small(bad), ["leaf", "line"]).where(F.col("key") > F.col("first"))
     return hit.groupBy("key", "row").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("drop"))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
 
     Lines end at line feeds.  The document with the smallest ``doc_id`` keeps its
-    lines of a template, all others lose theirs.  Lines of fewer than three
-    tokens stay.  A null text stays null with no lines dropped; rows of one
+    lines of a template, all others lose theirs.  Blank lines, lines of which
+    more than half the tokens have digits and that are alike in nothing else,
+    and lines of fewer than ``min_tokens`` tokens stay.  A null text stays null
+    with no lines dropped, an empty one is one empty line; rows of one
     ``doc_id`` are one document; a null ``doc_id`` counts as the smallest long.
-    Columns named ``key``, ``row``, ``drop``, ``n_lines`` or ``n_dropped`` of the
-    input don't disturb; the last two are replaced.
+    An empty table gives an empty result.  Texts of any length are taken whole,
+    in time linear in it.  Columns named ``key``, ``row``, ``drop``, ``n_lines``
+    or ``n_dropped`` of the input don't disturb; the last two are replaced.
     """
     own = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("row"), "text")
-    drop = recurring(own.select("key", "row", "text"))
+    drop = recurring(own.select("key", "row", "text"), min_tokens)
     joined = own.drop("text").join(drop, ["key", "row"], "left")
     lines = F.split(F.col("doc.text"), "\n", -1)
     # What lies between two dropped lines is a slice, so long texts stay linear.
@@ -106,7 +123,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     return out.select(*[F.col("t").alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names], F.col("a").alias("n_lines"), F.col("b").alias("n_dropped"))
 
 
-def without_boilerplate(docs: DataFrame) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` without recurring lines; texts of which no line is left go."""
-    out = drop_lines(docs).where(~((F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
+    out = drop_lines(docs, min_tokens).where(~((F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
     return out.select(*docs.columns)

@@ -130,16 +130,19 @@ FROM texts d LEFT JOIN whole w USING (id) LEFT JOIN known k ON k.digest = sha256
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(doc_id, -9223372036854775808) AS key, doc_id, text FROM documents),
 l AS (SELECT id, key, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM d),
 m AS (SELECT *, string_split(t, ' ') AS ts FROM (SELECT *, trim(regexp_replace(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+', ' ', 'g')) AS t FROM l)),
-c AS (SELECT id, key, pos, t, ts, len(ts) AS n, array_to_string(ts[1:3], ' ') AS lead FROM m WHERE len(ts) >= 3 AND t <> ''),
+c AS (SELECT id, key, pos, t, ts, len(ts) AS n, array_to_string(ts[1:3], ' ') AS lead FROM m WHERE t <> ''),
 pairs AS (SELECT DISTINCT n, lead, t, key FROM c),
-leaves AS (SELECT n, lead FROM pairs GROUP BY 1, 2 HAVING count(*) >= 10),
-body AS (SELECT n, lead, t, count(*) AS k FROM pairs JOIN leaves USING (n, lead) GROUP BY 1, 2, 3),
-token AS (SELECT n, lead, t, k, unnest(string_split(t, ' ')) AS w, unnest(range(n)) AS i FROM body),
-constant AS (SELECT n, lead, i, w FROM token WHERE w <> '<*>' GROUP BY 1, 2, 3, 4 HAVING sum(k) >= 10),
+leaves AS (SELECT n, lead, count(*) AS lines FROM pairs GROUP BY 1, 2 HAVING count(*) >= 10),
+body AS (SELECT n, lead, t, lines, count(*) AS k, min(key) AS first FROM pairs JOIN leaves USING (n, lead) GROUP BY 1, 2, 3, 4),
+token AS (SELECT n, lead, t, lines, k, unnest(string_split(t, ' ')[4:]) AS w, unnest(range(3, n)) AS i FROM body WHERE n > 3),
+constant AS (SELECT n, lead, i, w FROM token WHERE w <> '<*>' GROUP BY 1, 2, 3, 4, lines HAVING sum(k) >= 10 AND 10 * sum(k) >= lines),
 template AS (SELECT n, lead, t, array_to_string(list(CASE WHEN constant.i IS NULL THEN '<*>' ELSE token.w END ORDER BY token.i), ' ') AS tpl, count(constant.i) AS good
   FROM token LEFT JOIN constant USING (n, lead, i, w) GROUP BY 1, 2, 3),
-often AS (SELECT n, lead, tpl, min(key) AS first FROM pairs JOIN (SELECT * FROM template WHERE 10 * good >= 5 * n) USING (n, lead, t) GROUP BY 1, 2, 3 HAVING count(DISTINCT key) >= 10),
-hit AS (SELECT id, pos FROM c JOIN template USING (n, lead, t) JOIN often USING (n, lead, tpl) WHERE 10 * good >= 5 * n AND key > first),
+often AS (SELECT n, lead, tpl, min(key) AS first FROM pairs JOIN (SELECT * FROM template WHERE 10 * good >= 5 * (n - 3)) USING (n, lead, t) GROUP BY 1, 2, 3 HAVING count(DISTINCT key) >= 10),
+bad AS (SELECT n, lead, t, arg_min(first, own) AS first FROM (
+  SELECT n, lead, t, first, 0 AS own FROM template JOIN often USING (n, lead, tpl) WHERE 10 * good >= 5 * (n - 3)
+  UNION ALL SELECT n, lead, t, first, 1 FROM body WHERE k >= 10 AND 10 * len([w FOR w IN string_split(t, ' ') IF w <> '<*>']) >= 5 * n) GROUP BY 1, 2, 3),
+hit AS (SELECT id, pos FROM c JOIN bad USING (n, lead, t) WHERE key > first),
 kept AS (SELECT id, count(*) AS n_lines, count(hit.pos) AS n_dropped, list(line ORDER BY pos) FILTER (WHERE hit.pos IS NULL) AS ls FROM l LEFT JOIN hit USING (id, pos) GROUP BY id)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped, CASE WHEN text IS NOT NULL THEN sha256(array_to_string(coalesce(ls, []), chr(10))) END AS kept_sha256
 FROM d JOIN kept USING (id)

@@ -179,32 +179,35 @@ def test_contaminations(spark):
 
 
 def plain_lines(rows):
-    parsed, leaf_docs, pairs = {}, defaultdict(set), set()
+    parsed, pairs = {}, set()
     for n, (i, text) in enumerate(rows):
         for p, line in enumerate((text or "").split("\n")):
-            ts = ["<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\x0b\f\r]+", line) if t]
-            if len(ts) >= 3:
-                leaf = (len(ts), *ts[:3])
-                parsed[n, p] = (leaf, tuple(ts))
-                pairs.add((leaf, tuple(ts), i))
-                leaf_docs[leaf].add((tuple(ts), i))
-    pairs = {x for x in pairs if len(leaf_docs[x[0]]) >= 10}
-    at = Counter((leaf, k, t) for leaf, ts, _ in pairs for k, t in enumerate(ts) if t != "<*>")
-    template = {(leaf, ts): tuple(t if at[leaf, k, t] >= 10 else "<*>" for k, t in enumerate(ts)) for leaf, ts, _ in pairs}
-    template = {k: v for k, v in template.items() if 2 * sum(t != "<*>" for t in v) >= len(v)}
+            ts = tuple("<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\x0b\f\r]+", line) if t)
+            if ts:
+                parsed[n, p] = ts
+                pairs.add((ts, i))
+    leaf = lambda ts: (len(ts), ts[:3])
+    lines = Counter(leaf(ts) for ts, _ in pairs)
+    at = Counter((leaf(ts), k, t) for ts, _ in pairs for k, t in enumerate(ts) if k >= 3 and t != "<*>")
+
+    def general(ts):
+        keep = [at[leaf(ts), k, t] >= 10 and 10 * at[leaf(ts), k, t] >= lines[leaf(ts)] for k, t in enumerate(ts) if k >= 3]
+        return (leaf(ts), tuple(t if k else None for t, k in zip(ts[3:], keep, strict=True))) if keep and 2 * sum(keep) >= len(keep) else None
+
     docs = defaultdict(set)
-    for leaf, ts, i in pairs:
-        if (leaf, ts) in template:
-            docs[leaf, template[leaf, ts]].add(i)
+    for ts, i in pairs:
+        docs[ts].add(i)
+        if general(ts):
+            docs[general(ts)].add(i)
     out = []
     for n, (i, text) in enumerate(rows):
         keep = []
         for p, line in enumerate((text or "").split("\n")):
-            tpl = template.get(parsed.get((n, p)))
-            ids = docs.get((parsed[n, p][0], tpl), set()) if tpl else set()
+            ts = parsed.get((n, p), ())
+            ids = docs[general(ts)] if ts and general(ts) and len(docs[general(ts)]) >= 10 else docs[ts] if ts and 2 * sum(t != "<*>" for t in ts) >= len(ts) else ()
             keep.append(len(ids) < 10 or i == min(ids))
-        lines = (text or "").split("\n")
-        out.append((i, None if text is None else "\n".join(x for x, k in zip(lines, keep, strict=True) if k), 0 if text is None else len(lines), keep.count(False)))
+        lines_ = (text or "").split("\n")
+        out.append((i, None if text is None else "\n".join(x for x, k in zip(lines_, keep, strict=True) if k), 0 if text is None else len(lines_), keep.count(False)))
     return out
 
 
@@ -234,6 +237,17 @@ def test_line_templates(spark):
     assert line_templates.drop_lines(table(spark, [])).count() == 0
 
 
+def test_lines_that_share_only_their_path_stay(spark):
+    """Many documents whose short lines have three leading words in common and nothing else, beside a real template and short lines."""
+    rows = [(i, f"a b c x{chr(97 + i % 26)}{chr(97 + i // 26)} y{'z' * i} w{'v' * i}\nuser {'n' * (i + 1)} has logged in from home\nOK.\n{i}") for i in range(30)]
+    rows += [(100 + i, f"the cat is {'q' * (i + 1)} on mat{'t' * i}") for i in range(200)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_templates.drop_lines(table(spark, rows)).collect()}
+    assert all(got[i] == ("\n".join(t.split("\n")[j] for j in (0, 1, 3)) if i else t, int(i > 0)) for i, t in rows if i < 100)
+    assert all(got[i] == (t, 0) for i, t in rows if i >= 100)
+    kept = line_templates.drop_lines(table(spark, rows), min_tokens=2)
+    assert kept.where("n_dropped > 0").count() == 0
+
+
 def test_pipeline_equals_plain_stages(spark):
     from .test_encode import plain_quality
 
