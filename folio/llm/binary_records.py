@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records with an offset index.
 
 File format, repeated for each record: the payload's length (8 bytes, little
-endian), the masked CRC-32 of those 8 bytes, the payload, the masked CRC-32 of
+endian), the masked CRC-32C of those 8 bytes, the payload, the masked CRC-32C of
 the payload, and a line feed.  The payload holds the document's id (8 bytes)
 and its token ids at a fixed width of 2 or 4 bytes.  The trailing line feed
 belongs to the frame: it lets Spark's own text writer commit the files, so a
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
 from array import array
 from functools import lru_cache
 
@@ -25,34 +24,63 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import IS_SPACE, Words, bytes_of, documents, pieces
+from folio.llm.crc32c import checksums
 
 MASK_DELTA = 0xA282EAD8
 #: Distinct words, and parts of words, whose ids a Python worker keeps.
 CACHE, CACHE_PARTS = 150_000, 40_000
 
 
-def masked_crc(data) -> int:
-    """CRC-32 rotated by 15 bits plus a constant, so that a checksum of checksums stays sound."""
-    crc = zlib.crc32(data)
-    return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
+#: Files whose tokens are summed in one task to find where each begins in the whole sequence.
+FILES = 1_000
 
 
-def frame(doc_id: int, ids: np.ndarray, width: int) -> bytes:
-    payload = struct.pack("<q", doc_id) + ids.astype(f"<u{width}").tobytes()
-    length = struct.pack("<Q", len(payload))
-    return b"".join((length, struct.pack("<I", masked_crc(length)), payload, struct.pack("<I", masked_crc(payload)), b"\n"))
+def masked(crc: np.ndarray) -> np.ndarray:
+    """Checksums rotated by 15 bits plus a constant, so that a checksum of checksums stays sound."""
+    return (crc >> np.uint32(15) | crc << np.uint32(17)) + np.uint32(MASK_DELTA)
 
 
-def unframe(data, offset: int, width: int) -> tuple[int, np.ndarray, int]:
-    """The document id, its ids and the offset behind the record at ``offset``; raises ValueError on damage."""
-    length = bytes(data[offset : offset + 8])
-    if len(length) < 8 or struct.unpack("<I", data[offset + 8 : offset + 12])[0] != masked_crc(length):
-        raise ValueError(f"damaged length at byte {offset}")
-    stop = offset + 12 + struct.unpack("<Q", length)[0]
-    payload = data[offset + 12 : stop]
-    if len(data) < stop + 5 or struct.unpack("<I", data[stop : stop + 4])[0] != masked_crc(payload) or data[stop + 4] != 10:
-        raise ValueError(f"damaged record at byte {offset}")
-    return struct.unpack("<q", payload[:8])[0], np.frombuffer(payload[8:], f"<u{width}"), stop + 5
+def _checked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return masked(checksums(data, starts, ends))
+
+
+def frames(doc_ids: list[int], ids: list[np.ndarray], width: int) -> list[bytes]:
+    """The framed records of some documents."""
+    payloads = [struct.pack("<q", d) + x.astype(f"<u{width}").tobytes() for d, x in zip(doc_ids, ids, strict=True)]
+    lengths = [struct.pack("<Q", len(p)) for p in payloads]
+    parts = [x for pair in zip(lengths, payloads, strict=True) for x in pair]
+    ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+    crc = _checked(np.frombuffer(b"".join(parts), np.uint8), np.append(0, ends[:-1]) if parts else ends, ends).astype("<u4").tobytes()
+    return [b"".join((lengths[i], crc[8 * i : 8 * i + 4], payloads[i], crc[8 * i + 4 : 8 * i + 8], b"\n")) for i in range(len(payloads))]
+
+
+def unframe(data, offsets: list[int] | None, width: int) -> list[tuple[int, np.ndarray, int, int]]:
+    """For the records at ``offsets`` (all records of ``data`` if None): document id, ids, offset and the offset behind it.
+
+    Raises ValueError on damage.
+    """
+    flat, found, at = np.frombuffer(data, np.uint8), [], 0
+    places = iter(offsets) if offsets is not None else None
+    while True:
+        at = next(places, None) if places is not None else at if at < len(flat) else None
+        if at is None:
+            break
+        if len(flat) < at + 12:
+            raise ValueError(f"damaged length at byte {at}")
+        stop = at + 12 + int.from_bytes(flat[at : at + 8].tobytes(), "little")
+        if stop + 5 > len(flat) or stop < at + 20 or flat[stop + 4] != 10:
+            raise ValueError(f"damaged record at byte {at}")
+        found.append((at, stop))
+        at = stop + 5
+    if not found:
+        return []
+    start, stop = np.array(found, np.int64).T
+    for begin, end, what in ((start, start + 8, "length"), (start + 12, stop, "record")):
+        said = flat[(end[:, None] + np.arange(4)).ravel()].view("<u4")
+        wrong = np.flatnonzero(_checked(flat, begin, end) != said)
+        if len(wrong):
+            raise ValueError(f"damaged {what} at byte {start[wrong[0]]}")
+    return [(int.from_bytes(flat[a + 12 : a + 20].tobytes(), "little", signed=True), np.frombuffer(flat[a + 20 : b].tobytes(), f"<u{width}"), a, b + 5) for a, b in found]
 
 
 #: The stages of a tokenizer that lower-cases, drops white space and never looks across it.
@@ -79,7 +107,7 @@ class Coder:
         self.model = self.core.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in (*range(0x21, 0x7F), *range(0xC0, 0x100))}
-        self.words: dict[int, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, list[int]] = {}
 
     def part(self, part: str) -> list[int]:
@@ -111,6 +139,15 @@ class Coder:
 coder = lru_cache(2)(Coder)
 
 
+def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the same bytes as the span whose number ``other`` has in its place."""
+    size = ends - starts
+    if (size != size[other]).any():
+        return False
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return bool((data[np.repeat(starts, size) + step] == data[np.repeat(starts[other], size) + step]).all())
+
+
 def text_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, and where each text's begin and the last ones end.
 
@@ -123,12 +160,17 @@ def text_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarr
         ids = [np.array(x.ids, np.uint32) for x in code.core.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
     words = Words(data, offsets, IS_SPACE)
-    names, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    keys = names.tolist()
+    _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+    if not _same(data, words.starts, words.ends, first[inverse]):
+        # Two words of one hash: nothing is told apart by hashes then.
+        spelt = [bytes(data[a:b]) for a, b in zip(words.starts, words.ends, strict=True)]
+        _, first, inverse = np.unique(np.array(spelt, object), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    keys = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
     ids = list(map(code.words.get, keys))
     new = [i for i, x in enumerate(ids) if x is None]
     often = np.bincount(inverse, minlength=len(keys)).tolist()
-    for i, x in zip(new, code.encode_words([bytes(data[words.starts[j] : words.ends[j]]).decode() for j in first[new]]), strict=True):
+    for i, x in zip(new, code.encode_words([keys[i].decode() for i in new]), strict=True):
         ids[i] = x
         if often[i] > 1 and len(code.words) < CACHE:
             code.words[keys[i]] = x
@@ -145,8 +187,8 @@ def _frames(path: str, end_id: int, width: int):
     def run(batches):
         for batch in pieces(batches, 2048, 3 << 20):
             ids, stops = text_ids(*bytes_of(batch.column(1)), path)
-            out = [frame(d, np.append(ids[a:b], np.uint32(end_id)), width)[:-1] for d, a, b in zip(batch.column(0).to_pylist(), stops, stops[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+            made = frames(batch.column(0).to_pylist(), [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(stops, stops[1:], strict=False)], width)
+            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in made], pa.binary())], ["frame"])
 
     return run
 
@@ -154,9 +196,12 @@ def _frames(path: str, end_id: int, width: int):
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int, partitions: int) -> None:
     """Encodes ``documents`` and writes them in ascending order of ``doc_id`` (then text) to ``folder``.
 
-    Files sort by name as their records do.  A null or empty text is one end id;
-    repeated rows are written each; a null ``doc_id`` counts as the smallest long.
-    ``partitions`` bounds the files' sizes; one record is never split.
+    The numbers in the files' names ascend as their records do.  A null or empty
+    text is one end id; repeated rows are written each, ties of an id in order of
+    their texts; a null ``doc_id`` counts as the smallest long; an empty table
+    gives no records; other columns are dropped, whatever their names.
+    ``partitions`` bounds the files' sizes; one record, of a text of any length,
+    is never split.
     """
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     docs = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
@@ -174,11 +219,10 @@ def _scan(width: int):
     def run(frames):
         for pdf in frames:
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
-                view, at, place, rows = memoryview(content), 0, 0, []
-                while at < len(view):
-                    doc_id, ids, stop = unframe(view, at, width)
+                place, rows = 0, []
+                for doc_id, ids, at, stop in unframe(content, None, width):
                     rows.append((file, doc_id, at, stop - at, place, len(ids)))
-                    at, place = stop, place + len(ids)
+                    place += len(ids)
                 import pandas as pd
 
                 yield pd.DataFrame(rows, columns=["file", "doc_id", "offset", "length", "place", "n_tokens"])
@@ -195,12 +239,17 @@ def _index(spark: SparkSession, folder: str, width: int) -> DataFrame:
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """The offset index: ``file``, ``doc_id``, ``offset``, ``length``, ``start`` (ids before the record), ``n_tokens``, ``width``.
 
-    ``start`` adds to a record's place in its file the ids of all files before
-    it; only one row per file is summed in order.
+    ``start`` adds to a record's place in its file the ids of all files before it,
+    files in order of the numbers in their names.  One row per file is summed in
+    order within blocks of files, then one row per block.
     """
     index = spark.read.parquet(f"{folder}/index")
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("long")
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("number", number).withColumn("block", F.expr(f"number div {FILES}"))
+    blocks = files.groupBy("block").agg(F.sum("total").alias("sum"))
+    blocks = blocks.select("block", (F.sum("sum").over(Window.orderBy("block")) - F.col("sum")).alias("earlier"))
+    inside = F.sum("total").over(Window.partitionBy("block").orderBy("number")) - F.col("total")
+    before = files.select("file", "block", inside.alias("inside")).join(blocks, "block").select("file", (F.col("earlier") + F.col("inside")).alias("before"))
     return index.join(before, "file").withColumn("start", F.col("before") + F.col("place")).drop("before", "place", "total")
 
 
@@ -217,12 +266,9 @@ def map_records(spark: SparkSession, folder: str, function, schema: str, index:
 
         for pdf in frames:
             for content, places in zip(pdf["content"], pdf["rows"], strict=True):
-                view = memoryview(content)
-                made = []
-                for r in places:
-                    doc_id, ids, _ = unframe(view, r["offset"], r["width"])
-                    made.append(function(doc_id, r["start"], ids))
-                yield pd.DataFrame(made, columns=names)
+                # All records of an index have one width.
+                found = unframe(content, [r["offset"] for r in places], places[0]["width"])
+                yield pd.DataFrame([function(doc_id, r["start"], ids) for r, (doc_id, ids, _, _) in zip(places, found, strict=True)], columns=names)
 
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     return _files(spark, folder).join(rows, "file").select("content", "rows").mapInPandas(run, schema)

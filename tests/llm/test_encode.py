@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folio.llm import binary_records, byte_bpe, license_scan, quality_cascade
+from folio.llm import binary_records, byte_bpe, crc32c, license_scan, quality_cascade
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -74,15 +74,63 @@ def test_records_round_trip(spark, tmp_path):
     assert {r["doc_id"] for r in some.collect()} == {i for i, _ in rows if i % 2 == 0}
 
 
+def plain_crc32c(data):
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc ^= byte
+        for _ in range(8):
+            crc = crc >> 1 ^ 0x82F63B78 * (crc & 1)
+    return crc ^ 0xFFFFFFFF
+
+
+def test_checksums():
+    r = random.Random(7)
+    parts = [b"123456789", b"", b"\0" * 70, *(r.randbytes(n) for n in (1, 7, 63, 64, 65, 128, 1000, 5000)), b""]
+    ends = np.cumsum([len(x) for x in parts])
+    got = crc32c.checksums(np.frombuffer(b"".join(parts), np.uint8), np.append(0, ends[:-1]), ends)
+    assert got[0] == 0xE3069283 and got.tolist() == [plain_crc32c(x) for x in parts]
+
+
 def test_records_detect_damage():
-    good = binary_records.frame(7, np.array([1, 2, 300], np.uint32), 2)
-    doc_id, ids, stop = binary_records.unframe(memoryview(good), 0, 2)
-    assert (doc_id, ids.tolist(), stop) == (7, [1, 2, 300], len(good))
+    both = binary_records.frames([7, -1], [np.array([1, 2, 300], np.uint32), np.zeros(0, np.uint32)], 2)
+    good = b"".join(both)
+    got = [(d, x.tolist(), a, b) for d, x, a, b in binary_records.unframe(good, None, 2)]
+    assert got == [(7, [1, 2, 300], 0, len(both[0])), (-1, [], len(both[0]), len(good))]
+    assert binary_records.unframe(good, [len(both[0])], 2)[0][0] == -1 and binary_records.unframe(b"", None, 2) == []
     for at in range(len(good)):
         bad = bytearray(good)
         bad[at] ^= 4
         with pytest.raises(ValueError):
-            binary_records.unframe(memoryview(bytes(bad)), 0, 2)
+            binary_records.unframe(bytes(bad), None, 2)
+
+
+def test_files_in_order_of_their_numbers(spark, tmp_path, monkeypatch):
+    """A name of six digits sorts before one of five as text."""
+    monkeypatch.setattr(binary_records, "FILES", 2)
+    rows = [(f"part-{n}-x.txt", n, 0, 1, 0, n % 7 + 1, 2) for n in (99998, 99999, 100000, 100001, 3)]
+    spark.createDataFrame(rows, "file string, doc_id long, offset long, length long, place long, n_tokens long, width int").write.parquet(f"{tmp_path}/index")
+    got = {r["doc_id"]: r["start"] for r in binary_records.read_index(spark, str(tmp_path)).collect()}
+    start = 0
+    for n in sorted(got):
+        assert got[n] == start
+        start += n % 7 + 1
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    t = Tokenizer.from_file(WORD)
+    t.encode_special_tokens = True
+    real = binary_records.Words
+
+    def few(*args):
+        words = real(*args)
+        words.hash = words.hash % np.uint64(3)
+        return words
+
+    monkeypatch.setattr(binary_records, "Words", few)
+    texts = ["one two three", "four five", "", "six one"]
+    data = [x.encode() for x in texts]
+    ids, stops = binary_records.text_ids(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])), WORD)
+    assert [ids[a:b].tolist() for a, b in zip(stops, stops[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_records_empty_table(spark, tmp_path):
