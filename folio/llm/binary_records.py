@@ -139,13 +139,26 @@ class Coder:
 coder = lru_cache(2)(Coder)
 
 
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
     """Whether each span has the same bytes as the span whose number ``other`` has in its place."""
     size = ends - starts
     if (size != size[other]).any():
         return False
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return bool((data[np.repeat(starts, size) + step] == data[np.repeat(starts[other], size) + step]).all())
+    # Eight bytes of each span at a time, read at any place.
+    padded = np.append(data, np.zeros(8, np.uint8))
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at = np.arange(len(size))
+    for k in range(0, 64, 8):
+        mask = _MASKS[np.minimum(size[at] - k, 8)]
+        if ((words[starts[at] + k] ^ words[starts[other[at]] + k]) & mask).any():
+            return False
+        at = at[size[at] > k + 8]
+        if not len(at):
+            return True
+    return all((data[starts[i] : ends[i]] == data[starts[j] : ends[j]]).all() for i, j in zip(at.tolist(), other[at].tolist(), strict=True) if i != j)
 
 
 def text_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
