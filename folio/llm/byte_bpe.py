@@ -71,32 +71,35 @@ def hand_over(own: list[int], text: str, at: int, pattern: str, settled: int = 4
     return next((at + end for end in boundaries(text[at:], pattern, settled) if at + end in ours), None)
 
 
-def _hand_overs(pattern: str, chunk: int):
-    def run(frames):
-        for frame in frames:
-            ends = [None if last else hand_over(boundaries(text, pattern, 4), text, chunk, pattern) for text, last in zip(frame["text"], frame["last"], strict=True)]
-            yield frame.assign(stop=ends).astype({"stop": "Int64"})
+def _chunks(pattern: str, chunk: int, overlap: int):
+    """Cuts texts in one pass, and finds where each chunk hands over to the next."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                count = max(1, -(-len(text) // chunk))
+                parts = [text[i * chunk : (i + 1) * chunk + overlap] for i in range(count)]
+                stops = [hand_over(boundaries(x, pattern, 4), x, chunk, pattern) for x in parts[:-1]]
+                columns = ([row] * count, range(count), [False] * (count - 1) + [True], parts, [*stops, None])
+                types = (pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "n", "last", "text", "stop"])
 
     return run
 
 
 def stitched(long: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Cuts each text (``doc_id``, ``row``, ``text``) at pre-token boundaries: adds ``piece``."""
-    m = F.floor((F.length("text") - 1) / chunk).cast("int")
-    chunks = long.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), m)).alias("n"), m.alias("m")).select(
-        "doc_id", "row", "n", (F.col("n") == F.col("m")).alias("last"), F.expr(f"substring(text, n * {chunk} + 1, {chunk + overlap})").alias("text")
-    )
-    ended = chunks.mapInPandas(_hand_overs(pattern, chunk), "doc_id long, row long, n int, last boolean, text string, stop long")
+    """Cuts each text (``row``, ``text``) at pre-token boundaries: ``row``, ``piece``, ``text``."""
+    ended = long.select("row", "text").mapInArrow(_chunks(pattern, chunk, overlap), "row string, n int, last boolean, text string, stop long")
     order = Window.partitionBy("row").orderBy("n")
     before = F.lag("stop").over(order)
     part = ended.select(
-        "doc_id", "row", "n", "text",
+        "row", "n", "text",
         F.when(before.isNull(), 0).otherwise(before - chunk).alias("a"),
         F.when(F.col("stop").isNotNull(), F.col("stop")).when(F.col("last"), F.length("text")).otherwise(chunk).alias("b"),
         F.sum(F.when(before.isNull(), 0).otherwise(1)).over(order).alias("piece"),
     )
     parts = F.array_sort(F.collect_list(F.struct("n", F.expr("substring(text, int(a) + 1, int(b - a))").alias("text"))))
-    return part.groupBy("row", "piece").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+    return part.groupBy("row", "piece").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
 
 
 def _encoder(ranks_path: str, pattern: str):
@@ -116,16 +119,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     """``doc_id``, ``ids``: the token ids of each text, one row per input row.
 
     Texts of up to ``chunk`` characters are encoded where they are read; only
-    the chunks of longer ones are shuffled, to meet again.  Null and empty texts
-    get no ids, repeated rows are encoded each, other columns are dropped.
-    ``ranks_path`` must be readable on every executor.
+    the chunks of longer ones are shuffled, to meet again; these are known by
+    their id and digest, and equal ones are encoded once and returned as often as
+    they stand there.  Null and empty texts get no ids, a null ``doc_id`` stays
+    null, repeated rows give as many rows, an empty table gives an empty result,
+    other columns are dropped, whatever their names.  Texts of any length are
+    taken whole, in time linear in it.  ``ranks_path`` must be readable on every
+    executor.
     """
     docs, code = documents(docs), _encoder(ranks_path, pattern)
     small = docs.where(F.length("text") <= chunk).mapInArrow(code, "doc_id long, ids array<int>")
-    long = docs.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    coded = stitched(long, pattern, chunk, overlap).select("doc_id", "row", "piece", "text").mapInArrow(code, "doc_id long, row long, piece long, ids array<int>")
-    whole = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-    return small.unionByName(whole.select("doc_id", F.expr("flatten(transform(p, x -> x.ids))").alias("ids")))
+    name = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256))
+    long = docs.where(F.length("text") > chunk).select(name.alias("row"), "text").groupBy("row").agg(F.first("text").alias("text"))
+    # The number of copies is small beside the texts, and joins what is made of them.
+    coded = stitched(long, pattern, chunk, overlap).select("row", "piece", "text").mapInArrow(code, "row string, piece long, ids array<int>")
+    whole = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    counts = docs.where(F.length("text") > chunk).groupBy(name.alias("row"), "doc_id").agg(F.count("*").alias("copies"))
+    whole = whole.join(counts, "row").select("doc_id", F.expr("flatten(transform(p, x -> x.ids))").alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return small.unionByName(whole.drop("copy"))
 
 
 def _decoder(ranks_path: str, pattern: str):
@@ -163,5 +174,5 @@ def _digests(ranks_path: str, pattern: str):
 
 
 def digests(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per row ``n_tokens`` and SHA-256 in hex of the ids (little-endian, 32 bits) and of the bytes they decode to."""
+    """Per row ``doc_id`` as it is, ``n_tokens`` and SHA-256 in hex of the ids (little-endian, 32 bits) and of the bytes they decode to."""
     return coded.select("doc_id", "ids").mapInArrow(_digests(ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
