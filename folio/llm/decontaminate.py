@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import IS_MARK, LOWER, Words, bytes_of, pieces, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits that may differ, and the widths of the blocks.  Similarity 0.8 means 9.7 bits on average, 19 is 3.2 standard deviations more.
-RADIUS, BLOCKS = 19, (13, 13, 13, 13, 12)
+#: Bits that may differ, and the widths of the blocks.  Similarity 0.8 means 9.7 bits on average, 23 is 4.6 standard deviations more.
+RADIUS, BLOCKS = 23, (11, 11, 11, 11, 10, 10)
 #: Bounds of one block of items.
 ITEMS, ITEM_BYTES = 2_000, 4 << 20
 
@@ -190,8 +190,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) ->
     """One row per document and item with a window of similarity 0.8 or more: the best and first such window.
 
     Null and empty texts and items match nothing; items under five words match
-    where all their words stand in a row.  Repeated rows give repeated results;
-    other columns don't disturb.
+    where all their words stand in a row.  Repeated rows give repeated results, a
+    null ``doc_id`` stays null, items without an id are none; an empty table of
+    either kind gives an empty result; other columns don't disturb.  Texts of any
+    length are searched whole; of windows equally similar the first is told.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     out = None
@@ -212,7 +214,7 @@ def _clean(block, name: str):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item of ``benchmark`` is found."""
+    """The rows of ``docs``, all columns, in which no item of ``benchmark`` is found; see :func:`contaminations`."""
     name = "_".join(["folded", *docs.columns])
     out = docs.withColumn(name, F.lower(F.coalesce("text", F.lit(""))))
     for block in item_blocks(benchmark, items):
