@@ -27,10 +27,13 @@ _powers: dict[str, np.ndarray] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset and all runs on one machine, as in tests, a temporary
+    folder is used; on a cluster the setting must be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

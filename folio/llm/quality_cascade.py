@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import IS_SPACE, Words, bytes_of, documents, mix, pieces, span_hashes, starts_within, windows
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
-#: Rows from which cost and selectivity are estimated.
-SAMPLE_ROWS = 2_000
+#: Rows from which cost and selectivity are estimated, and their longest text in bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 32_768
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), list(range(65, 91)))
@@ -33,9 +33,9 @@ _HEAD = (np.arange(256) & 0xC0) != 0x80
 class Texts:
     """A batch of texts and what the rules look at; each part is made when first asked for."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: Words | None = None):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self.words = Words(data, offsets, IS_SPACE)
+        self.words = Words(data, offsets, IS_SPACE) if words is None else words
         self.n_words = self.words.counts()
         self.memo: dict[str, np.ndarray] = {}
 
@@ -57,7 +57,14 @@ class Texts:
         keep = np.zeros(self.n, bool)
         keep[rows] = True
         size = np.diff(self.offsets)
-        return Texts(self.data[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
+        stay, offsets = np.repeat(keep, size), np.concatenate([[0], np.cumsum(size[keep])])
+        # The words stay what they are, at other places.
+        words, own = Words.__new__(Words), np.repeat(keep, self.n_words)
+        back = np.repeat(self.offsets[:-1][keep] - offsets[:-1], self.n_words[keep])
+        words.inside, words.hash = self.words.inside[stay], self.words.hash[own]
+        words.starts, words.ends = self.words.starts[own] - back, self.words.ends[own] - back
+        words.first = np.concatenate([[0], np.cumsum(self.n_words[keep])])
+        return Texts(self.data[stay], offsets, words)
 
 
 def _dup_lines(t: Texts) -> np.ndarray:
@@ -154,7 +161,7 @@ def cascade(texts: Texts, rules) -> np.ndarray:
 
 def estimate(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Each rule with its cost (seconds a text) and share of rejections, on ``sample_rows`` rows at most."""
-    rows = documents(docs).limit(sample_rows).collect()
+    rows = documents(docs).where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_rows).collect()
     data = [r["text"].encode() for r in rows]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
     out = []
@@ -192,8 +199,10 @@ def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Dat
     """Per row: the base figures, ``base_failed`` and ``kept``.
 
     Words are runs of anything but ASCII white space.  Null and empty texts have
-    no words and fail the base.  Repeated rows are judged each, an empty table
-    gives an empty result, other columns are dropped.
+    no words and fail the base.  Repeated rows are judged each, a null ``doc_id``
+    stays null, an empty table gives an empty result, other columns are dropped,
+    whatever their names.  Texts of any length are measured whole; figures that
+    equal a rule's bound pass.
     """
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in _BASE) + ", base_failed boolean, kept boolean"
     return documents(docs).mapInArrow(_measure(order(docs, rules, sample_rows)), schema)
