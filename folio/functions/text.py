@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The characters that count as white space everywhere in this library.
 WHITE = "\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+#: The same for Java's patterns: what lies below the first rare one is settled by one comparison.
+JAVA_WHITE = f"\\t-\\r [\\x{{A0}}-\\x{{FEFF}}&&[{WHITE.split(' ')[1]}]]"
 #: The same for Python's ``re``.
 PY_WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
@@ -18,7 +20,9 @@ def falsy(x: Column) -> Column:
 
 def normalize_text(x: Column) -> Column:
     """White space runs become one blank, ends are trimmed, null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), f"[{WHITE}]+", " "))
+    # Single blanks, which most are, are not matched: replacing them by themselves would cost more than all else.
+    runs = f"[{JAVA_WHITE.replace(' ', '', 1)}][{JAVA_WHITE}]*| [{JAVA_WHITE}]+"
+    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), runs, " "))
 
 
 #: Spellings of the path segments for "here" and "up".
@@ -162,7 +166,7 @@ def decoded(content: Column, charset: Column) -> Column:
 
 def section_key(section_id: Column, ordinal: Column) -> Column:
     """A section's id with white space as dashes, else its number from 1."""
-    return F.coalesce(F.regexp_replace(falsy(section_id), f"[{WHITE}]+", "-"), F.concat(F.lit("section-"), (ordinal + 1).cast("string")))
+    return F.coalesce(F.regexp_replace(falsy(section_id), f"[{JAVA_WHITE}]+", "-"), F.concat(F.lit("section-"), (ordinal + 1).cast("string")))
 
 
 def windows_of(text: Column, size: int = 4000) -> Column:

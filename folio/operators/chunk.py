@@ -45,14 +45,16 @@ def chunks(docs: DataFrame) -> DataFrame:
     order = F.col("doc_seq") if "doc_seq" in docs.columns else F.lit(0).cast("long")
     family = F.coalesce(falsy(F.col("family")), F.lit("generic"))
     # Outer generators: from an inner one a filter on the array would be inferred and pushed down, and extraction run twice.
-    flat = docs.select("*", order.alias("doc_order"), family.alias("own_family"), F.explode_outer("sections").alias("section"))
+    # What a document has once is worked out before its blocks multiply it.
+    docs = docs.select("*", order.alias("doc_order"), family.alias("own_family"), document_id(F.col("url")).alias("doc_id"))
+    flat = docs.select("*", F.explode_outer("sections").alias("section"))
     full = F.filter(F.transform("section.blocks", lambda b: F.struct(b.alias("b"), block_text(b).alias("text"))), lambda x: x["text"] != "")
     flat = flat.select("*", F.explode_outer(full).alias("x")).where("x is not null").select("*", F.col("x.b").alias("block"), F.col("x.text").alias("flat_text"))
     name = F.coalesce(falsy(F.col("block.id")), F.concat(F.lit("block-"), (F.col("block.ordinal") + 1).cast("string")))
     anchor = F.coalesce(falsy(F.col("block.source.fragment")), falsy(F.col("section.id")))
     out = flat.select(
         "doc_order", F.col("section.ordinal").alias("section_ordinal"), F.col("block.ordinal").alias("block_ordinal"),
-        document_id(F.col("url")).alias("doc_id"), section_key(F.col("section.id"), F.col("section.ordinal")).alias("section_key"), name.alias("block_key"),
+        "doc_id", section_key(F.col("section.id"), F.col("section.ordinal")).alias("section_key"), name.alias("block_key"),
         "url", F.concat(F.lit("#"), anchor).alias("fragment"), F.col("own_family").alias("family"), F.coalesce(falsy(F.col("authority")), F.lit("informative")).alias("authority"),
         falsy(F.col("section.id")).alias("section_id"), falsy(F.col("block.id")).alias("block_id"), F.col("block.type").alias("block_type"),
         falsy(F.col("section.heading")).alias("heading"), F.nullif(F.col("section.level"), F.lit(0)).alias("level"), F.col("flat_text").alias("text"),

@@ -7,13 +7,14 @@ then cut out of that walk.  Pages are parsed in Arrow batches, once each.
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from folio.functions.families import BY_ID
 from folio.functions.text import PY_WHITE
@@ -31,7 +32,8 @@ INFORMATIVE = ("note", "informative", "non-normative", "warning", "issue", "edno
 EXAMPLE = ("example", "examples")
 NORMATIVE = ("normative",)
 
-_SPACES = re.compile(f"[{PY_WHITE}]+")
+#: White space but for single blanks, which stay as they are.
+_SPACES = re.compile(f"[{PY_WHITE.replace(' ', '')}][{PY_WHITE}]*| [{PY_WHITE}]+")
 _PRODUCTION = re.compile(rf"^[{PY_WHITE}]*([^:]+)::=[{PY_WHITE}]*(.+)$")
 
 
@@ -293,11 +295,19 @@ def extract_html(text: str | None, url: str, rules: dict, authority: str = "info
 def extracted(text: Column, url: Column, family: Column, authority: Column, rules: dict[str, dict] | None = None) -> Column:
     """The extraction of a column of pages, by the rules of each page's family; null for null."""
     by_family = {f: family_.html_rules() for f, family_ in BY_ID.items()} | (rules or {})
-    frozen = json.dumps(by_family)
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, urls: pd.Series, families: pd.Series, authorities: pd.Series) -> pd.Series:
-        known = json.loads(frozen)
-        return pd.Series([None if t is None else json.dumps(extract_html(t, u, known.get(f) or known["generic"], a)) for t, u, f, a in zip(texts, urls, families, authorities, strict=True)])
+    def one(text: str | None, url: str, family: str, authority: str) -> dict | None:
+        return None if text is None else extract_html(text, url, by_family.get(family) or by_family["generic"], authority)
 
-    return F.from_json(run(text, url, family, authority), EXTRACTED)
+    return as_structs(one)(text, url, family, authority)
+
+
+def as_structs(one):
+    """A column function that makes of each row what ``one`` does, handed over as Arrow structs."""
+    made = to_arrow_type(_parse_datatype_string(EXTRACTED))
+
+    @F.arrow_udf(EXTRACTED)
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], made)
+
+    return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, falsy, iso
+from folio.functions.text import JAVA_WHITE, falsy, iso
 from folio.operators.chunk import definition_lines, joined
 
 EMPTY = "array<string>"
@@ -54,5 +54,5 @@ def markdown(docs: DataFrame) -> DataFrame:
         optional("Authority", "authority"), optional("Snapshot", "snapshot_id"),
         F.array(F.concat(F.lit("Extracted: "), F.coalesce(iso(F.col("extracted_at")), F.lit(""))), F.lit("")), F.flatten(F.transform("sections", section_markdown)),
     )
-    text = F.concat(F.regexp_replace(joined(lines, "\n"), f"[{WHITE}]+$", ""), F.lit("\n"))
+    text = F.concat(F.regexp_replace(joined(lines, "\n"), f"[{JAVA_WHITE}]+$", ""), F.lit("\n"))
     return docs.select("url", *[c for c in ("path",) if c in docs.columns], text.alias("markdown"))
