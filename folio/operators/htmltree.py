@@ -341,7 +341,7 @@ class Document:
 
     @property
     def title(self) -> str:
-        """The text of the first ``title``, without the white space around it."""
+        """The text of the first ``title`` as it stands, empty without one."""
         node = next((n for n in self.root.walk() if n.tag == "title"), None)
         return node.text() if node else ""
 

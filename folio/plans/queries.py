@@ -84,11 +84,14 @@ def sql_slug(url: str) -> str:
     return f"lower(regexp_replace(regexp_replace(regexp_replace({bare}, '/$', ''), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g'))"
 
 
-def sql_html(x: str) -> str:
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+def sql_entities(x: str) -> str:
     for entity, char in ENTITIES:
         x = f"replace({x}, '{entity}', '{char}')"
-    return sql_norm(x)
+    return x
+
+
+def sql_html(x: str) -> str:
+    return sql_norm(sql_entities(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
 
 
 URL_SQL = "'https://corpus.example/' || source || '/' || doc_id"
@@ -291,7 +294,12 @@ def html_block_counts(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"SELECT page_id, title, 'article:nth-of-type(1) > h1:nth-of-type(1)' AS section_path, json_object('ordinal', pos, 'type', 'paragraph', 'text', p.t, 'normativity', 'informative', 'links', [], 'source', "
+    "json_object('url', regexp_replace(url, '#.*$', ''), 'path', 'article:nth-of-type(1) > p:nth-of-type(' || p.k || ')'))::VARCHAR AS block "
+    f"FROM (SELECT page_id, url, title, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM (SELECT page_id, url, {sql_entities("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, "
+    f"list_filter(list_transform(string_split(split_part(split_part(html, '</h1>', 2), '</article>', 1), '<p>')[2:], lambda x, i: {{'t': {sql_html('x')}, 'k': i}}), lambda y: y.t <> '') AS ps FROM pages))"
+)
 def html_full(spark, sf_dir):
     """Every field of every block of the pages."""
     docs = page_documents(spark, sf_dir).select(F.col("doc_seq").alias("page_id"), "title", F.explode("sections").alias("s"))

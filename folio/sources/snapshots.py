@@ -56,14 +56,25 @@ def to_fetch(manifest: DataFrame, snapshots: DataFrame | None, reuse: bool = Fal
     return wanted.join(snapshots.select(F.col("source_url").alias("url")), "url", "left_anti")
 
 
+#: Bytes of an answer that a task takes in; a longer one is a failure.
+ANSWER_BYTES = 256 << 20
+
+
 def http_get(url: str, timeout: float) -> tuple[str, str, bytes]:
-    """Final URL, content type and bytes; raises on any status but success."""
+    """Final URL, content type and bytes; raises on any status but success, and on answers beyond :data:`ANSWER_BYTES`."""
     with urllib.request.urlopen(urllib.request.Request(url, headers=HEADERS), timeout=timeout) as answer:
-        return answer.geturl(), answer.headers.get("Content-Type") or OCTETS, answer.read()
+        body = answer.read(ANSWER_BYTES + 1)
+        if len(body) > ANSWER_BYTES:
+            raise ValueError(f"{url} answers with more than {ANSWER_BYTES} bytes")
+        return answer.geturl(), answer.headers.get("Content-Type") or OCTETS, body
 
 
 def fetch(urls: DataFrame, get: Callable[[str, float], tuple[str, str, bytes]] = http_get, timeout_ms: int = 60_000, quarantine: bool = False) -> DataFrame:
-    """Fetches each URL in the tasks.  The first failure ends the run, or, with ``quarantine``, becomes a row with ``error``."""
+    """Fetches each URL in the tasks.
+
+    The first failure ends the run, when other tasks may have asked for theirs
+    already, or, with ``quarantine``, becomes a row with ``error``.
+    """
 
     def run(frames):
         for frame in frames:
