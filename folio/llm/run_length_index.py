@@ -212,21 +212,36 @@ def _index(rows: list[tuple]):
     return out
 
 
+#: Rows equal to the one before whose intervals are handed on together.
+EQUAL_ROWS = 100_000
+
+
 def _intervals(batches):
-    def done(rows):
-        columns = list(zip(*_index(rows), strict=True)) or [[]] * 4
+    """Rows come sorted, so equal ones follow each other: only the first of them is kept, however many there are."""
+
+    def done(found):
+        columns = list(zip(*found, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "copy", "start", "stop"])
 
-    rows, size = [], 0
+    rows, size, equal = [], 0, []
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            if rows and row[8] and row[0] == rows[-1][0] and row[7:] == rows[-1][7:]:
+                rows[-1] = (*rows[-1][:6], True, *rows[-1][7:])
+                equal.append((row[1], row[2], row[4], row[5] + LENGTH))
+                if len(equal) >= EQUAL_ROWS:
+                    yield done(equal)
+                    equal = []
+                continue
             if size >= INDEX_BYTES and row[0] != rows[-1][0]:
-                yield done(rows)
+                yield done(_index(rows))
                 rows, size = [], 0
             rows.append(row)
             size += len(row[7]) + len(row[8]) + 100
     if rows:
-        yield done(rows)
+        yield done(_index(rows))
+    if equal:
+        yield done(equal)
 
 
 def _remove(batches):

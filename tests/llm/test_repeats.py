@@ -143,3 +143,17 @@ def test_anchors_over_step_borders(monkeypatch):
 def test_empty_tables(spark):
     assert recompression.remove_repeats(table(spark, [])).count() == 0
     assert run_length_index.remove_long_repeats(table(spark, [])).count() == 0
+
+
+def test_equal_rows_are_kept_once(monkeypatch):
+    """Many copies of one context, in batches of any size, give what all of them together give."""
+    r = random.Random(5)
+    contexts = [(r.randbytes(50), r.randbytes(400)) for _ in range(4)]
+    contexts.append((contexts[0][0], contexts[0][1][:390] + b"0123456789"))
+    rows = sorted(((k % 2, i, 0, 1000, 950, 1000, False, *contexts[k]) for i in range(200) for k in [r.randrange(5)]), key=lambda x: (x[0], x[8], x[7]))
+    names = ["key", "doc_id", "copy", "place", "low", "high", "full", "before", "after"]
+    whole = sorted(run_length_index._index(rows))
+    monkeypatch.setattr(run_length_index, "EQUAL_ROWS", 7)
+    batches = [run_length_index.pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows[a : a + 30]]) for a in range(0, len(rows), 30)]
+    got = [tuple(x.values()) for out in run_length_index._intervals(batches) for x in out.to_pylist()]
+    assert sorted(got) == whole and len(whole) > 150
