@@ -176,7 +176,7 @@ def _texts(batch, words_of):
 def _matches(block):
     def run(batches):
         items = Items(block)
-        for batch in pieces(batches):
+        for batch in pieces(batches, 512, 1 << 20):
             out = []
             for doc, words in zip(batch.column(0).to_pylist(), _texts(batch, batch.column(1)), strict=True):
                 out += [(doc, item, score, start, size) for item, (score, start, size) in sorted(items.matches(words).items())]
@@ -206,7 +206,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) ->
 def _clean(block, name: str):
     def run(batches):
         items = Items(block)
-        for batch in pieces(batches):
+        for batch in pieces(batches, 512, 1 << 20):
             keep = [not items.matches(words) for words in _texts(batch, batch.column(batch.schema.get_field_index(name)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

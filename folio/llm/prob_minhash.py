@@ -105,7 +105,7 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def _sign(batches):
-    for batch in pieces(batches):
+    for batch in pieces(batches, 512, 1 << 20):
         data, offsets = bytes_of(batch.column(1))
         words = Words(data, offsets, IS_MARK, LOWER)
         text, shingle, weight = bags(words)
@@ -122,7 +122,7 @@ def _names(words: Words) -> tuple[list[str | None], np.ndarray]:
 
 
 def _bags(batches):
-    for batch in pieces(batches):
+    for batch in pieces(batches, 512, 1 << 20):
         data, offsets = bytes_of(batch.column(batch.schema.get_field_index("text")))
         words = Words(data, offsets, IS_MARK, LOWER)
         text, shingle, weight = bags(words)
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _keyed(place: int):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, 512, 1 << 20):
             words = Words(*bytes_of(batch.column(batch.schema.get_field_index("text"))), IS_MARK, LOWER)
             yield batch.set_column(place, batch.schema.names[place], pa.array(_names(words)[0], pa.string()))
 

@@ -183,7 +183,7 @@ _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def _measure(rules):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, 512, 1 << 20):
             texts = Texts(*bytes_of(batch.column(1)))
             base = {x: texts.get(x).astype(np.int64) for x in _BASE}
             failed = base_failed(base["n_words"], base["n_repeat_words"])
@@ -210,7 +210,7 @@ def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Dat
 
 def _judge(rules):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, 512, 1 << 20):
             column = batch.column(batch.schema.get_field_index("text"))
             texts = Texts(*bytes_of(column))
             rest = np.flatnonzero(~base_failed(texts.n_words, texts.get("n_repeat_words")))
