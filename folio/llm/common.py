@@ -143,9 +143,9 @@ LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 class Words:
-    """The words of a batch of texts: ``starts``, ``ends``, ``hash``, and ``first[i]:first[i + 1]`` for text i."""
+    """The words of a batch of texts: ``starts``, ``ends``, ``hash`` (where asked for), and ``first[i]:first[i + 1]`` for text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE, fold: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE, fold: np.ndarray | None = None, hashed: bool = True):
         inside = ~separator[data]
         n = len(inside)
         begin, end = inside.copy(), inside.copy()
@@ -159,7 +159,8 @@ class Words:
         self.inside = inside
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hash = span_hashes(data, self.starts, self.ends, fold)
+        if hashed:
+            self.hash = span_hashes(data, self.starts, self.ends, fold)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -6,10 +6,11 @@ import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import binary_records, byte_bpe, decontaminate, katz_lm, license_scan, line_templates, prob_minhash, quality_cascade, recompression, run_length_index
+from folio.llm import binary_records, byte_bpe, decontaminate, katz_lm, license_scan, line_templates, neighbour_vote, periodic_runs, prob_minhash, quality_cascade, recompression, run_length_index, source_divergence
 from folio.llm.common import scratch
 
 
@@ -73,9 +74,52 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = neighbour_vote.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def _words_again(batches):
+    """Every tenth document, by a hash of its id, as the contract has it: its words repeat from one of them on."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        changed = {}
+        for i, doc_id in enumerate(ids):
+            h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+            if h % 10 == 0:
+                words = periodic_runs.tokens(texts.slice(i, 1))[0].to_pylist()
+                if n := len(words):
+                    g = h // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    changed[i] = " ".join(words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a])
+        if changed:
+            texts = pa.array([changed.get(i, x) for i, x in enumerate(texts.to_pylist())], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_words_again, "doc_id bigint, text string")
+    out = periodic_runs.periodic_runs(docs)
+    # The greatest length, then the smallest start, then the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = out.withColumn("best", best)
+    return out.select(
+        "doc_id", F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op7_recompression, op8_run_length_index, op9_katz_lm, op10_prob_minhash)
+    for f in (op1_license_scan, op2_byte_bpe, op3_binary_records, op4_line_templates, op5_quality_cascade, op6_decontaminate, op7_recompression, op8_run_length_index, op9_katz_lm, op10_prob_minhash, op11_source_divergence, op12_neighbour_vote, op13_periodic_runs)
 }
 
 
@@ -96,6 +140,22 @@ def _quoted(text: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+keep AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM keep GROUP BY 1),
+g AS (SELECT lang, source, (SELECT count(*) FROM w JOIN keep USING (lang, term) WHERE w.lang = x.lang AND w.source = x.source) AS total FROM (SELECT DISTINCT lang, source FROM d) x),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3),
+p AS (SELECT g.lang, g.source, keep.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * l.v) AS p, 1 + 1000000000 * (keep.n + 2) // (l.total + 2 * l.v) AS q
+  FROM g JOIN l ON g.lang = l.lang JOIN keep ON keep.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = keep.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+both_parts AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 10
+""",
     "op7_recompression": r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(doc_id, -9223372036854775808) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 x AS (SELECT id, doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
