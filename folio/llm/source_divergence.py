@@ -71,11 +71,11 @@ def term_counts(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
 
 
 def kept_postings(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """The inverted index: ``lang``, ``term``, ``source`` and its count ``n``, with the language's count ``lang_n``, of the terms kept."""
+    """The inverted index: ``lang``, ``term``, ``source`` and its count ``n`` in ``docs`` documents, with the language's count ``lang_n`` and the number of ``sources``, of the terms kept."""
     dealt = term_counts(docs).repartition("lang", "term")
-    kept = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("lang_n")).where(F.col("in_docs") >= min_docs).drop("in_docs")
-    # Both sides are dealt by the same exchange; the kept terms are the lesser one.
-    return dealt.drop("docs").join(kept.hint("shuffle_hash"), ["lang", "term"]).select("lang", "term", "source", "n", "lang_n")
+    kept = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("lang_n"), F.count("source").alias("sources")).where(F.col("in_docs") >= min_docs)
+    # Both sides take all columns, so that one exchange, and one pass over the texts, serves both; the kept terms are the lesser side.
+    return dealt.join(kept.hint("shuffle_hash"), ["lang", "term"]).select("lang", "term", "source", "n", "docs", "lang_n", "sources", "in_docs")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
