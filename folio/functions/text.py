@@ -18,6 +18,11 @@ def falsy(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
+def bound(x: Column, f) -> Column:
+    """``f`` of ``x``, which is worked out once however often ``f`` names it: a plain call would repeat its whole expression each time."""
+    return F.transform(F.array(x), f)[0]
+
+
 def normalize_text(x: Column) -> Column:
     """White space runs become one blank, ends are trimmed, null becomes empty."""
     # Single blanks, which most are, are not matched: replacing them by themselves would cost more than all else.
@@ -52,6 +57,10 @@ def _escaped(x: Column, unsafe: str) -> Column:
     return F.when(x.rlike(unsafe), made).otherwise(x)
 
 
+#: Web addresses that are normal already, their fragment aside; most are, and are told by one pattern.
+_NORMAL = r"^https?://[a-z0-9-]+(\.[a-z0-9-]+)*/(?![^?#]*(?<=/)(\.|%2[eE]){1,2}([/?#]|$))[A-Za-z0-9_.~!$&'()*+,;=:@%/-]*(\?[A-Za-z0-9_.~!$&()*+,;=:@%/?-]*)?(#[\x21-\x7E]*)?$"
+
+
 def normalize_url(url: Column) -> Column:
     """A URL without its fragment, as the URL standard writes web addresses.
 
@@ -59,19 +68,34 @@ def normalize_url(url: Column) -> Column:
     dropped, empty path as ``/``, dot segments resolved, backslashes as slashes,
     unsafe characters as percent codes, line ends and tabs taken out.
     """
+    return F.when(url.rlike(_NORMAL), F.substring_index(url, "#", 1)).otherwise(_normalized(url))
+
+
+def _normalized(url: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\t\n\r]", ""), "#.*$", "")
     head = r"^([A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}[^/?\\]*)"
-    host = F.replace(F.lower(F.regexp_extract(bare, head, 1)), F.lit("\\"), F.lit("/"))
-    # Only the name before a port goes through the JVM's IDN; a name that it refuses stays.
-    name = F.regexp_extract(host, "^[^/]*//(?:[^@]*@)?([^:]*)", 1)
-    host = F.when(name.rlike("[^\\x00-\\x7F]"), F.replace(host, name, F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name), name))).otherwise(host)
-    host = F.regexp_replace(F.regexp_replace(host, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
-    rest = F.regexp_replace(bare, head, "")
-    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
-    path = F.replace(path, F.lit("\\"), F.lit("/"))
-    path = F.when((host != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    path = F.when((host != "") & path.rlike(_DOTTED), _without_dots(path)).otherwise(path)
-    return F.concat(host, _escaped(path, r"""[^\x21-\x7E]|["<>`{}^]"""), _escaped(query, r"""[^\x21-\x7E]|["<>']"""))
+
+    def host_of_bare(bare: Column) -> Column:
+        def ascii_host(host: Column) -> Column:
+            # Only the name before a port goes through the JVM's IDN; a name that it refuses stays.
+            name = F.regexp_extract(host, "^[^/]*//(?:[^@]*@)?([^:]*)", 1)
+            return bound(name, lambda n: F.when(n.rlike("[^\\x00-\\x7F]"), F.replace(host, n, F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), n), n))).otherwise(host))
+
+        lower = F.replace(F.lower(F.regexp_extract(bare, head, 1)), F.lit("\\"), F.lit("/"))
+        return F.regexp_replace(F.regexp_replace(bound(lower, ascii_host), "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
+
+    def path_of(rest: Column, host: Column) -> Column:
+        path = F.replace(F.regexp_extract(rest, r"^([^?]*)", 1), F.lit("\\"), F.lit("/"))
+        path = bound(path, lambda p: F.when((host != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p))
+        path = bound(path, lambda p: F.when((host != "") & p.rlike(_DOTTED), _without_dots(p)).otherwise(p))
+        return bound(path, lambda p: _escaped(p, r"""[^\x21-\x7E]|["<>`{}^]"""))
+
+    def whole(bare: Column) -> Column:
+        rest = F.regexp_replace(bare, head, "")
+        query = F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
+        return bound(host_of_bare(bare), lambda host: F.concat(host, path_of(rest, host), bound(query, lambda q: _escaped(q, r"""[^\x21-\x7E]|["<>']"""))))
+
+    return bound(bare, whole)
 
 
 def host_of(url: Column) -> Column:
@@ -139,7 +163,7 @@ def charset_of(content_type: Column) -> Column:
 CHARSETS = {
     "utf8": "UTF-8",
     "utf-8": "UTF-8",
-    "ascii": "ISO-8859-1",
+    "ascii": "US-ASCII",
     "latin1": "ISO-8859-1",
     "binary": "ISO-8859-1",
     "utf16le": "UTF-16LE",
@@ -149,12 +173,21 @@ CHARSETS = {
 }
 
 
+def _seven_bits(content: Column) -> Column:
+    """Bytes as ASCII text: a byte's high bit doesn't count."""
+    high, low = "".join(map(chr, range(129, 256))), "".join(map(chr, range(1, 128)))
+    # translate() drops what it maps to NUL, so the one byte that becomes NUL goes apart.
+    return F.translate(F.replace(F.decode(content, "ISO-8859-1"), F.lit("\x80"), F.lit("\x00")), high, low)
+
+
 def decoded(content: Column, charset: Column) -> Column:
     """Struct (text, warning): the bytes as text, with a warning where the charset is unknown and UTF-8 stands in."""
     name = F.coalesce(falsy(charset), F.lit("utf8"))
     text, known = F.make_valid_utf8(F.coalesce(content, F.lit(b"")).cast("string")), F.lit(False)
     for own, java in CHARSETS.items():
-        if java != "UTF-8":
+        if java == "US-ASCII":
+            text = F.when(name == own, _seven_bits(content)).otherwise(text)
+        elif java != "UTF-8":
             text = F.when(name == own, F.decode(content, java)).otherwise(text)
         known = known | (name == own)
     as_bytes = {"base64": F.base64(content), "base64url": F.rtrim(F.translate(F.base64(content), "+/", "-_"), F.lit("=")), "hex": F.lower(F.hex(content))}

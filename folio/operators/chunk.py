@@ -68,8 +68,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 ORDER = ("doc_order", "section_ordinal", "block_ordinal")
 
 
-def chunk_index(chunked: DataFrame) -> DataFrame:
-    """The list of chunks: one row per chunk with the hash of its text."""
+def chunk_index(chunked: DataFrame, *more: Column) -> DataFrame:
+    """The list of chunks: one row per chunk with the hash of its text, and ``more`` columns."""
     return chunked.select(
-        *ORDER, "chunk_id", "doc_id", "family", "heading", "section_id", "block_id", "block_type", "url", "fragment", "path", F.sha2("text", 256).alias("text_hash"),
+        *ORDER, "chunk_id", "doc_id", "family", "heading", "section_id", "block_id", "block_type", "url", "fragment", "path", F.sha2("text", 256).alias("text_hash"), *more,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.chunk import ORDER, chunk_index
@@ -16,9 +16,10 @@ def index_chunks(chunked: DataFrame) -> DataFrame:
     Chunks of one path share a file, and the last one written is what it holds:
     previews and normativity come from it, the hash stays each row's own.
     """
-    last = F.max(F.struct(*ORDER, F.substring("text", 1, PREVIEW).alias("text_preview"), "normativity")).alias("last")
-    kept = chunked.groupBy("path").agg(last).select("path", F.col("last.text_preview").alias("text_preview"), F.col("last.normativity").alias("normativity"))
-    return chunk_index(chunked).join(kept, "path", "left").withColumn("text_preview", F.coalesce("text_preview", F.lit("")))
+    # A window, not a join with an aggregate: the chunks, and the pages behind them, are read once.
+    last = F.max(F.struct(*ORDER, F.substring("text", 1, PREVIEW).alias("text_preview"), "normativity")).over(Window.partitionBy("path"))
+    listed = chunk_index(chunked, last.alias("last"))
+    return listed.select(*listed.columns[:-1], F.coalesce("last.text_preview", F.lit("")).alias("text_preview"), F.col("last.normativity").alias("normativity"))
 
 
 def index_documents(chunked: DataFrame) -> DataFrame:
@@ -30,14 +31,18 @@ def index_documents(chunked: DataFrame) -> DataFrame:
     )
 
 
+def searched_text() -> Column:
+    """What a query looks at: heading, URL and preview, joined by blanks."""
+    return F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("text_preview", F.lit("")))
+
+
 def query_index(index: DataFrame, term: str, family: str | None = None) -> DataFrame:
     """Rows whose heading, URL and preview, joined by blanks, hold ``term`` in any case; of one family if given."""
     if not isinstance(term, str):
         raise TypeError("a term is a string")
     if family:
         index = index.where(F.col("family") == family)
-    text = F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("text_preview", F.lit("")))
-    return index.where(F.contains(F.lower(text), F.lower(F.lit(term))))
+    return index.where(F.contains(F.lower(searched_text()), F.lower(F.lit(term))))
 
 
 def in_order(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from folio.operators.htmltree import Element
 
 _PART = re.compile(r"(?P<type>[A-Za-z][\w-]*|\*)|#(?P<id>[\w-]+)|\.(?P<class>[\w-]+)|\[\s*(?P<name>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\]\s]+))\s*)?\]")
@@ -30,6 +33,21 @@ class _Compound:
             else:
                 self.tests.append(("attribute", m["name"].lower(), m["op"] or "", m["a"] or m["b"] or m["c"] or ""))
 
+    def column(self, node: Column) -> Column:
+        """The tests on a node of :mod:`folio.operators.html_nodes`."""
+        out = node["tag"].isNotNull()
+        for kind, name, op, value in self.tests:
+            if kind == "attribute":
+                own = F.try_element_at(node["attributes"], F.lit(name))
+                tests = {
+                    "": own.isNotNull(), "=": own == value, "~=": F.array_contains(F.split(own, r"\s+"), F.lit(value)), "|=": (own == value) | own.startswith(f"{value}-"),
+                    "^=": own.startswith(value), "$=": own.endswith(value), "*=": own.contains(value),
+                }
+                out = out & (F.lit(False) if op in ("^=", "$=", "*=") and not value else tests[op])
+            else:
+                out = out & {"type": node["tag"] == name, "id": node["id"] == name, "class": F.array_contains(node["classes"], F.lit(name))}[kind]
+        return out
+
     def __call__(self, node: Element) -> bool:
         for kind, name, op, value in self.tests:
             if kind == "type" and node.tag != name or kind == "id" and node.id != name or kind == "class" and name not in node.classes:
@@ -90,3 +108,22 @@ def query_all(root: Element, selector: str) -> list[Element]:
 
 def query_one(root: Element, selector: str) -> Element | None:
     return next((n for n in root.walk() if matches(n, selector)), None)
+
+
+def column_matches(selectors: list[str] | tuple[str, ...], node: Column, at) -> Column:
+    """Whether a node matches one of the selectors; ``at`` gives the node at a place."""
+
+    def test(x: Column, steps, i: int) -> Column:
+        combinator, compound = steps[i]
+        own = compound.column(x)
+        if i + 1 == len(steps):
+            return own
+        if combinator == ">":
+            return own & test(at(x["parent"]), steps, i + 1)
+        return own & F.exists(x["above"], lambda a: test(at(a), steps, i + 1))
+
+    out = F.lit(False)
+    for selector in selectors:
+        for steps in compiled(selector) or ():
+            out = out | test(node, steps, 0)
+    return F.coalesce(out, F.lit(False))

@@ -91,7 +91,7 @@ def html_definition_lists(spark, sf_dir):
     """Every third line is a term; the lines before the first one have none."""
     body = each(lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("<dt>"), x, F.lit("</dt>"))).otherwise(F.concat(F.lit("<dd>"), x, F.lit("</dd>"))))
     rows = blocks(pages(spark, sf_dir, with_heading("<dl>", body, "</dl>")))
-    return rows.select("doc_id", F.posexplode("b.definitions").alias("at", "d")).select("doc_id", (F.col("at") * 3).cast("long").alias("at"), "d.term", "d.definition")
+    return rows.select("doc_id", F.posexplode_outer("b.definitions").alias("at", "d")).where("d is not null").select("doc_id", (F.col("at") * 3).cast("long").alias("at"), "d.term", "d.definition")
 
 
 @query(
@@ -134,7 +134,7 @@ def html_algorithms(spark, sf_dir):
     steps = each(lambda x, i: F.concat(F.lit("<li>"), F.when(i % 3 != 0, x).otherwise(" "), F.lit("</li>")))
     body = with_heading('<emu-alg id="emu-alg"><ol>', steps, '</ol></emu-alg><div class="algorithm" id="div" data-algorithm="named"><p></p><ol>', steps, "</ol></div>")
     rows = blocks(pages(spark, sf_dir, body, "www.w3.org")).where("b.type = 'algorithm' and b.id is not null")
-    return rows.select("doc_id", F.col("b.id").alias("kind"), "b.title", F.explode("b.steps").alias("x")).select("doc_id", "kind", "title", "x.step_id", "x.text")
+    return rows.select("doc_id", F.col("b.id").alias("kind"), "b.title", F.explode_outer("b.steps").alias("x")).where("x is not null").select("doc_id", "kind", "title", "x.step_id", "x.text")
 
 
 @query(f"SELECT doc_id, unnest(['k' || i FOR i IN range(1, len(l) + 1) IF i % 2 = 1]) AS lhs, unnest([replace(l[i], ':', ';') FOR i IN range(1, len(l) + 1) IF i % 2 = 1]) AS rhs FROM {ROWS_SQL}")
@@ -142,14 +142,14 @@ def html_grammars(spark, sf_dir):
     """Every second line is no production and goes."""
     body = each(lambda x, i: F.concat(F.when(i % 2 == 1, F.concat(F.lit(" k"), number(i), F.lit(" ::= "))).otherwise(""), F.replace(x, F.lit(":"), F.lit(";")), F.lit("\n")))
     rows = blocks(pages(spark, sf_dir, with_heading('<pre class="grammar">', body, "</pre>"), "www.w3.org"))
-    return rows.where("b.type = 'grammar'").select("doc_id", F.explode("b.productions").alias("p")).select("doc_id", "p.lhs", "p.rhs")
+    return rows.where("b.type = 'grammar'").select("doc_id", F.explode_outer("b.productions").alias("p")).where("p is not null").select("doc_id", "p.lhs", "p.rhs")
 
 
 @query(f"SELECT doc_id, i AS pos, k AS link, CASE k WHEN 0 THEN l[i] ELSE 'https://e.example/' || i END AS text, CASE k WHEN 0 THEN '#p' || i ELSE 'https://e.example/' || i END AS href, CASE k WHEN 0 THEN 'p' || i END AS resolved_id FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM {ROWS_SQL}), (VALUES (0), (1)) t(k)")
 def html_links(spark, sf_dir):
     body = each(lambda x, i: F.concat(F.lit('<p>to <a href="#p'), number(i), F.lit('">'), x, F.lit('</a><a>none</a><a href=""></a><a href="https://e.example/'), number(i), F.lit('"> </a></p>')))
     rows = blocks(pages(spark, sf_dir, with_heading(body)))
-    links = rows.select("doc_id", (F.col("b.ordinal") + 1).cast("long").alias("pos"), F.posexplode("b.links").alias("link", "x"))
+    links = rows.select("doc_id", (F.col("b.ordinal") + 1).cast("long").alias("pos"), F.posexplode_outer("b.links").alias("link", "x")).where("x is not null")
     return links.select("doc_id", "pos", "link", "x.text", "x.href", "x.resolved_id")
 
 
@@ -193,7 +193,7 @@ def html_nested_sections(spark, sf_dir):
     inner = each(lambda x, i: F.concat(F.lit("<ul><li><p>"), x, F.lit("</p><pre>y</pre></li></ul>")))
     body = F.concat(F.lit('<main><section id="outer"><h2>Outer</h2><p>first</p><section id="inner"><h3>Inner</h3>'), inner, F.lit("<blockquote><p>q</p></blockquote></section></section></main>"))
     docs = extract(pages(spark, sf_dir, body, "www.w3.org"), run_ts(), extractors=("html",))
-    return docs.select(F.col("doc_seq").alias("doc_id"), F.explode("sections").alias("s")).select("doc_id", F.col("s.id").alias("kind"), "s.heading", F.size("s.blocks").cast("long").alias("n_blocks"))
+    return docs.select(F.col("doc_seq").alias("doc_id"), F.explode_outer("sections").alias("s")).where("s is not null").select("doc_id", F.col("s.id").alias("kind"), "s.heading", F.size("s.blocks").cast("long").alias("n_blocks"))
 
 
 @query(f"SELECT doc_id, 'Doc ' || doc_id AS heading, 1 AS level, len(l) AS n_blocks, 'https://pages.example/d/' || doc_id AS url, sha256(array_to_string(l, chr(10))) AS texts FROM {ROWS_SQL}")
@@ -285,7 +285,7 @@ def xml_lines(spark, sf_dir):
     from folio.operators import xml_extract
 
     made = rows.select("doc_id", xml_extract.extracted(text, F.lit("u")).alias("e"))
-    return made.select("doc_id", F.posexplode(F.col("e.sections")[0]["blocks"][0]["items"]).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+    return made.select("doc_id", F.posexplode_outer(F.col("e.sections")[0]["blocks"][0]["items"]).alias("pos", "line")).where("line is not null").withColumn("pos", F.col("pos").cast("long"))
 
 
 #: A schema a part, its names and values taken from the row; braces mark where they go.
@@ -327,8 +327,8 @@ def xsd_definitions(spark, sf_dir):
     text = F.lit(XSD)
     for mark, column in _PART.items():
         text = F.replace(text, F.lit(mark), escaped(F.col(column).cast("string")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(xml_extract.extracted(text, F.lit("u"))["sections"]).alias("s"))
-    return rows.select("p_partkey", F.col("s.id").alias("section"), F.explode(F.col("s.blocks")[0]["definitions"]).alias("d")).select("p_partkey", "section", "d.term", "d.definition")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode_outer(xml_extract.extracted(text, F.lit("u"))["sections"]).alias("s"))
+    return rows.select("p_partkey", F.col("s.id").alias("section"), F.explode_outer(F.col("s.blocks")[0]["definitions"]).alias("d")).where("d is not null").select("p_partkey", "section", "d.term", "d.definition")
 
 
 # PDF.

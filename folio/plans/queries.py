@@ -15,7 +15,7 @@ from folio.operators.diff import diff_documents
 from folio.operators.extract import extract, output_path
 from folio.operators.index import index_chunks, index_documents, query_index
 from folio.operators.render import markdown
-from folio.sources.documents import invalid_documents
+from folio.sources.documents import breaks_contract
 from folio.sources.snapshots import latest, manual_ingest, snapshot_index, snapshot_rows, to_fetch, with_snapshots
 
 RUN_TS = "2024-01-01 00:00:00"
@@ -276,13 +276,13 @@ def snapshot_latest(spark, sf_dir):
 @query(f"SELECT page_id, 1 AS n_sections, NULL::VARCHAR AS section_id, {sql_html(chr(34) + 'h' + chr(34))} AS heading, 1 AS level FROM (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages)")
 def html_sections(spark, sf_dir):
     docs = page_documents(spark, sf_dir)
-    return docs.select(F.col("doc_seq").alias("page_id"), F.size("sections").alias("n_sections"), F.explode("sections").alias("s")).select("page_id", "n_sections", F.col("s.id").alias("section_id"), F.col("s.heading").alias("heading"), F.col("s.level").alias("level"))
+    return docs.select(F.col("doc_seq").alias("page_id"), F.size("sections").alias("n_sections"), F.explode_outer("sections").alias("s")).where("s is not null").select("page_id", "n_sections", F.col("s.id").alias("section_id"), F.col("s.heading").alias("heading"), F.col("s.level").alias("level"))
 
 
 @query(f"SELECT page_id, unnest(range(1, len(ps) + 1)) AS pos, unnest(ps) AS text FROM (SELECT page_id, {PARAGRAPHS_SQL} AS ps FROM pages)")
 def html_paragraphs(spark, sf_dir):
-    docs = page_documents(spark, sf_dir).select(F.col("doc_seq").alias("page_id"), F.explode("sections").alias("s"))
-    return docs.select("page_id", F.posexplode("s.blocks").alias("i", "b")).select("page_id", (F.col("i") + 1).cast("long").alias("pos"), F.col("b.text").alias("text"))
+    docs = page_documents(spark, sf_dir).select(F.col("doc_seq").alias("page_id"), F.explode_outer("sections").alias("s"))
+    return docs.select("page_id", F.posexplode_outer("s.blocks").alias("i", "b")).where("b is not null").select("page_id", (F.col("i") + 1).cast("long").alias("pos"), F.col("b.text").alias("text"))
 
 
 @query(f"SELECT page_id, len({PARAGRAPHS_SQL}) AS n_blocks, len({PARAGRAPHS_SQL}) AS n_paragraphs, 0 AS n_links FROM pages")
@@ -302,8 +302,8 @@ def html_block_counts(spark, sf_dir):
 )
 def html_full(spark, sf_dir):
     """Every field of every block of the pages."""
-    docs = page_documents(spark, sf_dir).select(F.col("doc_seq").alias("page_id"), "title", F.explode("sections").alias("s"))
-    return docs.select("page_id", "title", F.col("s.source.path").alias("section_path"), F.explode("s.blocks").alias("b")).select("page_id", "title", "section_path", F.to_json("b").alias("block"))
+    docs = page_documents(spark, sf_dir).select(F.col("doc_seq").alias("page_id"), "title", F.explode_outer("sections").alias("s"))
+    return docs.select("page_id", "title", F.col("s.source.path").alias("section_path"), F.explode_outer("s.blocks").alias("b")).where("b is not null").select("page_id", "title", "section_path", F.to_json("b").alias("block"))
 
 
 @query(f"SELECT page_id, 1 AS n_sections, CASE WHEN contains(url, '#') THEN 'Fragment not found: ' || regexp_extract(url, '#(.*)$', 1) END AS warning FROM pages")
@@ -454,7 +454,7 @@ def output_paths(spark, sf_dir):
 @query("SELECT 0::BIGINT AS n_invalid, (SELECT count(*) FROM documents) + (SELECT count(*) FROM pages) AS n_documents")
 def contract_check(spark, sf_dir):
     docs = text_documents(spark, sf_dir).unionByName(page_documents(spark, sf_dir))
-    return docs.agg(F.count("*").alias("n_documents")).join(F.broadcast(invalid_documents(docs).agg(F.count("*").alias("n_invalid"))), F.lit(True)).select("n_invalid", "n_documents")
+    return docs.agg(F.count_if(breaks_contract()).alias("n_invalid"), F.count("*").alias("n_documents"))
 
 
 @query(f"SELECT * FROM (VALUES {', '.join(f'({f.id!r}, {f.authority!r}, {f.document_type!r}, {f.extractor!r})' if f.document_type else f'({f.id!r}, {f.authority!r}, NULL, {f.extractor!r})' for f in FAMILIES)}) t(family, default_authority, document_type, default_extractor)")

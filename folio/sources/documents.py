@@ -6,7 +6,7 @@ import json
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import iso
@@ -96,14 +96,19 @@ def _from_contract(read: DataFrame) -> DataFrame:
     )
 
 
-def invalid_documents(docs: DataFrame) -> DataFrame:
-    """Documents that break the contract: a required field is null, of the document, a section or a block."""
+def breaks_contract() -> Column:
+    """Whether a required field is null, of a document, a section or a block."""
     required = [F.col(c).isNull() for c in ("schema_version", "url", "title", "family", "sections", "extracted_at")]
     bad = F.lit(False)
     for test in required:
         bad = bad | test
     section = F.exists("sections", lambda s: s["heading"].isNull() | s["level"].isNull() | s["blocks"].isNull() | F.exists(s["blocks"], lambda b: b["type"].isNull()))
-    return docs.where(bad | section)
+    return F.coalesce(bad | section, F.lit(False))
+
+
+def invalid_documents(docs: DataFrame) -> DataFrame:
+    """Documents that break the contract."""
+    return docs.where(breaks_contract())
 
 
 def contract_json(docs: DataFrame, pretty: bool = True) -> DataFrame:
