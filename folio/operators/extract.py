@@ -37,10 +37,11 @@ def extract(
 ) -> DataFrame:
     """Documents of manifest entries that carry their snapshot (``content``, ``content_type``, ``charset``, ``snapshot_id``).
 
-    One pass over the entries: every parser sees nulls but for its own rows.
-    Where it is known which extractors occur, naming them leaves the others out
-    of the plan; with ``text`` alone no Python runs.  ``run_ts`` stamps all
-    documents of a run.  A page that is not ``text/html`` and an unknown
+    HTML pages go their own way, through tables of nodes; all other entries take
+    one pass, in which every parser sees nulls but for its own rows.  Where it is
+    known which extractors occur, naming them leaves the others out of the plan;
+    with ``text`` alone no Python runs and nothing is shuffled.  ``run_ts`` stamps
+    all documents of a run.  A page that is not ``text/html`` and an unknown
     extractor give documents without sections and a warning.
 
     ``families`` are resolved in their order; ``rules`` replaces the HTML rules of
@@ -59,9 +60,11 @@ def extract(
         return F.when(F.col("route") == name, x)
 
     text, warning = F.col("t.text"), F.col("t.warning")
+    keep = [c for c in ("doc_seq", "output", "label") if c in entries.columns]
+    head = [*keep, "url", "family", "authority", "document_type", "snapshot_id"]
+    pages = rows.where(F.col("route") == "html").select(*head, text.alias("text"), warning.alias("warning"))
+    rows = rows.where(F.col("route") != "html")
     made = {}
-    if "html" in extractors:
-        made["html"] = with_warnings(html_extract.extracted(own("html", text), url, family, authority, rules), warning)
     if "xml" in extractors:
         made["xml"] = with_warnings(xml_extract.extracted(own("xml", text), url), warning)
     if "text" in extractors:
@@ -74,8 +77,11 @@ def extract(
     extraction = unsupported(F.col("extractor"), url)
     for name, x in made.items():
         extraction = F.when(F.col("route") == name, x).otherwise(extraction)
-    keep = [c for c in ("doc_seq", "output", "label") if c in entries.columns]
-    docs = rows.select(*keep, "url", "family", "authority", "document_type", "snapshot_id", extraction.alias("e")).select(
+    docs = rows.select(*head, extraction.alias("e"))
+    if "html" in extractors:
+        found = html_extract.extract_pages(pages, rules=rules)
+        docs = docs.unionByName(found.select(*head, with_warnings(F.col("e"), F.col("warning")).alias("e")))
+    docs = docs.select(
         *keep, F.lit(SCHEMA_VERSION).alias("schema_version"), "url", F.col("e.title").alias("title"), "family", "authority", "document_type", "snapshot_id",
         fragment_of(url).alias("fragment"), run_ts.alias("extracted_at"), F.col("e.sections").alias("sections"), F.col("e.warnings").alias("warnings"),
     )

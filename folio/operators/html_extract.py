@@ -1,26 +1,34 @@
-"""HTML pages to sections of typed blocks.
-
-One walk over the pruned tree notes, for every element, its path, and what it
-inherits from above: the nearest class that settles normativity.  Sections are
-then cut out of that walk.  Pages are parsed in Arrow batches, once each.
+"""HTML pages to sections of typed blocks, as columns over flat tables of nodes.
+
+The parser hands out a page's nodes (:mod:`folio.operators.html_nodes`); all the
+rest is Spark.  It goes from pages to rows of nodes, of blocks and of sections, and back:
+
+``node_rows``     what holds of a node by itself and its ancestors: pruned or not,
+                  block, heading, section, and what hides it
+``counted``       windows: a step of a path is a ``row_number`` among siblings of a
+                  tag, the heading before a node the last that isn't null, and a
+                  running count says how many blocks come before it
+``block_rows``    a row a block, with the nodes between its ``pre`` and ``end``
+``section_rows``  a row a section, with the blocks between two running counts
+
+Pages are dealt by a number of their own before they are parsed, each once; the
+windows and gatherings behind keep that dealing, so that there is one exchange,
+of pages, not of nodes.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
 
 from folio.functions.families import BY_ID
-from folio.functions.text import PY_WHITE
-from folio.operators.htmltree import HEADINGS, Document, Element
-from folio.operators.schema import EXTRACTED, block
-from folio.operators.selectors import matches, query_all, query_one
+from folio.functions.text import JAVA_WHITE, bound, falsy, normalize_text
+from folio.operators.html_nodes import nodes_of
+from folio.operators.htmltree import HEADINGS
+from folio.operators.schema import BLOCK, BLOCK_FIELDS, EXTRACTED, SECTION, SOURCE
+from folio.operators.selectors import column_matches
 
 #: Elements that are blocks, and elements that are sections.
 BLOCK_TAGS = frozenset("p pre ul ol table blockquote dl emu-alg emu-grammar emu-code emu-note emu-example emu-equation emu-table".split())
@@ -32,282 +40,381 @@ INFORMATIVE = ("note", "informative", "non-normative", "warning", "issue", "edno
 EXAMPLE = ("example", "examples")
 NORMATIVE = ("normative",)
 
-#: White space but for single blanks, which stay as they are.
-_SPACES = re.compile(f"[{PY_WHITE.replace(' ', '')}][{PY_WHITE}]*| [{PY_WHITE}]+")
-_PRODUCTION = re.compile(rf"^[{PY_WHITE}]*([^:]+)::=[{PY_WHITE}]*(.+)$")
-
-
-def clean(text: str | None) -> str:
-    return _SPACES.sub(" ", text or "").strip(" ")
-
-
-@dataclass
-class Note:
-    """What the walk knows of an element."""
-
-    path: str
-    norm: str | None
-
-
-@dataclass
-class Page:
-    """A page under extraction."""
-
-    document: Document
-    rules: dict
-    url: str
-    authority: str
-    notes: dict[int, Note] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.base = self.url.split("#", 1)[0]
-        self.kinds = {}
-        for kind, default in (("normative", NORMATIVE), ("informative", INFORMATIVE), ("example", EXAMPLE)):
-            own = self.rules.get(kind)
-            self.kinds |= dict.fromkeys(default if own is None else own, kind)
-        for selector in self.rules.get("prune") or ():
-            for node in query_all(self.document.root, selector):
-                node.remove()
-        self.body = self.document.within()
-        self.survey()
-
-    def survey(self) -> None:
-        """Notes paths below the body and inherited normativity, top down."""
-        if self.body is None:
-            return
-        self.notes[id(self.body)] = Note("", None)
-        stack = [self.body]
-        while stack:
-            parent = stack.pop()
-            above, seen = self.notes[id(parent)], {}
-            for child in parent.elements():
-                seen[child.tag] = seen.get(child.tag, 0) + 1
-                step = f"{child.tag}:nth-of-type({seen[child.tag]})"
-                own = next((self.kinds[c] for c in child.classes if c in self.kinds), None)
-                self.notes[id(child)] = Note(f"{above.path} > {step}" if above.path else step, own or above.norm)
-                stack.append(child)
-
-    def source(self, node: Element | None, fragment: str | None) -> dict:
-        note = self.notes.get(id(node)) if node is not None else None
-        return {"url": f"{self.base}#{fragment}" if fragment else self.base, "fragment": fragment or None, "path": note.path if note else None}
-
-    def is_any(self, node: Element, rule: str) -> bool:
-        return any(matches(node, s) for s in self.rules.get(rule) or ())
-
-    def is_block(self, node: Element) -> bool:
-        return node.tag in BLOCK_TAGS or self.is_any(node, "algorithm") or self.is_any(node, "grammar")
-
-    def parts(self, container: Element):
-        """Headings and top-level blocks below an element, in order: (is it a heading, element)."""
-        stack = [(c, False) for c in container.elements()[::-1]]
-        while stack:
-            node, hidden = stack.pop()
-            if node.tag in HEADINGS:
-                yield True, node
-            elif not hidden and self.is_block(node):
-                yield False, node
-            hidden = hidden or node.tag in BLOCK_TAGS or node.tag in SECTION_TAGS
-            stack.extend((c, hidden) for c in node.elements()[::-1])
-
-    def blocks(self, container: Element | None) -> list[dict]:
-        """The blocks of one section; headings that algorithms or grammars claim count as blocks too."""
-        found = []
-        if container is not None:
-            stack = [(c, False) for c in container.elements()[::-1]]
-            while stack:
-                node, hidden = stack.pop()
-                if not hidden and self.is_block(node):
-                    found.append(self.block(node))
-                hidden = hidden or node.tag in BLOCK_TAGS or node.tag in SECTION_TAGS
-                stack.extend((c, hidden) for c in node.elements()[::-1])
-        return [b for b in found if b]
-
-    def by_headings(self, root: Element | None) -> list[dict]:
-        sections: list[dict] = []
-        if root is None:
-            return sections
-        for heading, node in self.parts(root):
-            if heading:
-                sections.append(self.section(node, node, node, []))
-            elif sections and (made := self.block(node)):
-                sections[-1]["blocks"].append(made)
-        return sections or [self.whole()]
-
-    def by_selector(self, root: Element | None, selector: str) -> list[dict]:
-        sections = []
-        for node in query_all(root, selector) if root is not None else []:
-            heading = next((n for n in node.walk() if n.tag in HEADINGS), None)
-            blocks = self.blocks(node)
-            if blocks or heading is not None and clean(heading.text()):
-                sections.append(self.section(node, heading, heading or node, blocks))
-        return sections or self.by_headings(self.body)
-
-    def whole(self) -> dict:
-        return {"id": None, "heading": self.document.title or "Document", "level": 1, "blocks": self.blocks(self.body), "source": self.source(self.body, None)}
-
-    def section(self, container: Element, heading: Element | None, at: Element, blocks: list[dict]) -> dict:
-        name = self.section_id(container, heading)
-        text = clean(heading.text()) if heading is not None else ""
-        return {"id": name, "heading": text or "Untitled", "level": int(heading.tag[1]) if heading is not None else 1, "blocks": blocks, "source": self.source(at, name)}
-
-    @staticmethod
-    def anchor(node: Element | None) -> str | None:
-        """The id or name of the first descendant that has one."""
-        found = query_one(node, "[id], a[name]") if node is not None else None
-        return None if found is None else found.get("id") if found.get("id") is not None and found.get("id") != "" else found.get("name")
-
-    def section_id(self, container: Element, heading: Element | None) -> str | None:
-        own = container.id or (heading.id if heading is not None else "")
-        if own:
-            return own
-        for place in (heading, container):
-            if place is not None and query_one(place, "[id], a[name]") is not None:
-                return self.anchor(place)
-        link = query_one(heading, "a[href^='#']") if heading is not None else None
-        return link.get("href").removeprefix("#") if link is not None else None
-
-    # Blocks.
-
-    def block(self, node: Element) -> dict | None:
-        if self.is_any(node, "algorithm"):
-            made = self.algorithm(node)
-        elif self.is_any(node, "grammar"):
-            made = self.grammar(node)
-        else:
-            made = self.plain(node)
-        if made is None:
-            return None
-        name = node.id or self.anchor(node)
-        note = self.notes.get(id(node))
-        norm = (note.norm if note else None) or ("normative" if self.authority == "normative" else "informative")
-        return block(id=name, normativity=norm, source=self.source(node, name), links=self.links(node), **made)
-
-    @staticmethod
-    def links(node: Element) -> list[dict]:
-        hrefs = [(a, a.get("href")) for a in node.walk() if a.tag == "a" and a.get("href")]
-        return [{"text": clean(a.text()) or h, "href": h, "resolved_id": h[1:] if h.startswith("#") else None} for a, h in hrefs]
-
-    @staticmethod
-    def plain(node: Element) -> dict | None:
-        tag = node.tag
-        if tag == "p" or tag in NOTE_TAGS:
-            text = clean(node.text())
-            return {"type": "paragraph" if tag == "p" else "note", "text": text} if text else None
-        if tag in CODE_TAGS:
-            text = re.sub("\n{3,}", "\n\n", node.text()).rstrip(PY_WHITE_SET)
-            return {"type": "code", "text": text} if text else None
-        if tag in ("ul", "ol"):
-            items = [t for t in (clean(c.text()) for c in node.elements() if c.tag == "li") if t]
-            return {"type": "list", "ordered": tag == "ol", "items": items} if items else None
-        if tag == "dl":
-            pairs = []
-            for c in node.elements():
-                if c.tag == "dt":
-                    pairs.append([clean(c.text()), []])
-                elif c.tag == "dd":
-                    if not pairs:
-                        pairs.append(["", []])
-                    pairs[-1][1].append(clean(c.text()))
-            made = [{"term": term, "definition": " ".join(d for d in definitions if d)} for term, definitions in pairs]
-            return {"type": "definitionList", "definitions": made} if made else None
-        if tag in ("table", "emu-table"):
-            return table(node)
-        return None
-
-    def algorithm(self, node: Element) -> dict | None:
-        items = node if node.tag == "ol" else next((n for n in node.walk() if n.tag == "ol"), None)
-        if items is None:
-            return None
-        texts = [clean(c.text()) for c in items.elements() if c.tag == "li"]
-        steps = [{"step_id": str(i), "text": t} for i, t in enumerate(texts, 1) if t]
-        if not steps:
-            return None
-        label = node.get("data-algorithm") or node.get("aria-label")
-        if not label:
-            before = self.heading_before(node)
-            label = before.text() if before is not None else None
-        return {"type": "algorithm", "title": None if label is None else clean(label), "steps": steps}
-
-    def heading_before(self, node: Element) -> Element | None:
-        """The nearest heading among earlier siblings, then among those of its ancestors up to the body."""
-        while node.parent is not None:
-            earlier = []
-            for sibling in node.parent.elements():
-                if sibling is node:
-                    break
-                earlier.append(sibling)
-            found = next((n for n in reversed(earlier) if n.tag in HEADINGS), None)
-            if found is not None or node.parent is self.body:
-                return found
-            node = node.parent
-        return None
-
-    @staticmethod
-    def grammar(node: Element) -> dict | None:
-        lines = (_PRODUCTION.match(line) for line in node.text().replace("\r\n", "\n").strip(PY_WHITE_SET).split("\n"))
-        made = [{"lhs": clean(m[1]), "rhs": clean(m[2])} for m in lines if m]
-        return {"type": "grammar", "productions": made} if made else None
-
-    def extract(self) -> dict:
-        root = query_one(self.document.root, self.rules["root"]) if self.rules.get("root") else None
-        root = root or self.body
-        pre = next((n for n in root.walk() if n.tag == "pre"), None) if self.rules.get("single_pre") and root is not None else None
-        if pre is not None and clean(pre.text()):
-            made = self.block(pre)
-            sections = [{"id": pre.id or None, "heading": self.document.title or "Document", "level": 1, "blocks": [made] if made else [], "source": self.source(pre, pre.id or None)}]
-        elif not self.rules.get("single_pre") and self.rules.get("sections"):
-            sections = self.by_selector(root, self.rules["sections"])
-        else:
-            sections = self.by_headings(root)
-        return {"title": self.document.title or (sections[0]["heading"] if sections else "Untitled"), "sections": numbered(sections), "warnings": None}
-
-
-PY_WHITE_SET = "".join(chr(i) for i in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
-
-
-def table(node: Element) -> dict | None:
-    inner = list(node.walk())
-    all_rows = [n for n in inner if n.tag == "tr"]
-
-    def cells(of: Element, tags=("th", "td")) -> list[str]:
-        return [clean(n.text()) for n in of.walk() if n.tag in tags]
-
-    head = next((n for n in inner if n.tag == "thead"), None)
-    headers = cells(head) if head is not None else cells(all_rows[0], ("th",)) if all_rows else []
-    headers = [h for h in headers if h]
-    rows = [n for n in all_rows if any(up.tag == "tbody" for up in n.ancestors())] or all_rows
-    if headers and rows and cells(rows[0], ("th",)):
-        rows = rows[1:]
-    rows = [c for c in map(cells, rows) if c]
-    return {"type": "table", "headers": headers, "rows": rows} if headers or rows else None
-
-
-def numbered(sections: list[dict]) -> list[dict]:
-    """Sections and blocks with their ordinals."""
-    return [{**s, "ordinal": i, "blocks": [{**b, "ordinal": j} for j, b in enumerate(s["blocks"])]} for i, s in enumerate(sections)]
+STRINGS = "array<string>"
 
 
-def extract_html(text: str | None, url: str, rules: dict, authority: str = "informative") -> dict:
-    """One page: ``title``, ``sections`` and ``warnings``."""
-    return Page(Document(text or ""), rules, url or "", authority or "informative").extract()
+def _in(x: Column, values) -> Column:
+    return F.coalesce(x.isin(*sorted(values)), F.lit(False))
+
+
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _first(items: Column) -> Column:
+    return F.get(items, F.lit(0))
+
+
+class Rules:
+    """Rules of families as columns: where families share a rule they share its column."""
+
+    def __init__(self, family: Column, by_family: dict[str, dict]):
+        self.family, self.by_family = family, by_family
+
+    def each(self, value: Callable[[dict], object], column: Callable[[object], Column]) -> Column:
+        """A column by family; families that the rules don't name follow ``generic``."""
+        groups: dict = {}
+        for name, rules in self.by_family.items():
+            groups.setdefault(value(rules), []).append(name)
+        general = value(self.by_family["generic"])
+        out = None
+        for one, names in groups.items():
+            if one != general:
+                out = F.when(self.family.isin(*names), column(one)) if out is None else out.when(self.family.isin(*names), column(one))
+        return column(general) if out is None else out.otherwise(column(general))
+
+    def matches(self, rule: str, node: Column, at) -> Column:
+        def selectors(rules: dict) -> tuple[str, ...]:
+            own = rules.get(rule) or ()
+            return (own,) if isinstance(own, str) else tuple(own)
+
+        return self.each(selectors, lambda found: column_matches(found, node, at) if found else F.lit(False))
+
+    def has(self, rule: str) -> Column:
+        return self.each(lambda rules: bool(rules.get(rule)), F.lit)
+
+    def kinds(self) -> Column:
+        """Map of a class to the normativity that it settles."""
+
+        def pairs(rules: dict) -> tuple:
+            made: dict[str, str] = {}
+            for kind, default in (("normative", NORMATIVE), ("informative", INFORMATIVE), ("example", EXAMPLE)):
+                own = rules.get(kind)
+                made |= dict.fromkeys(default if own is None else own, kind)
+            return tuple(made.items())
+
+        return self.each(pairs, lambda found: F.create_map(*[F.lit(x) for pair in found for x in pair]) if found else F.lit(None).cast("map<string,string>"))
+
 
+class Tree:
+    """A stretch of a page's nodes, from the place behind ``base`` on."""
 
-def extracted(text: Column, url: Column, family: Column, authority: Column, rules: dict[str, dict] | None = None) -> Column:
-    """The extraction of a column of pages, by the rules of each page's family; null for null."""
-    by_family = {f: family_.html_rules() for f, family_ in BY_ID.items()} | (rules or {})
+    def __init__(self, nodes: Column, base: Column):
+        self.nodes, self.base = nodes, base
 
-    def one(text: str | None, url: str, family: str, authority: str) -> dict | None:
-        return None if text is None else extract_html(text, url, by_family.get(family) or by_family["generic"], authority)
+    def at(self, place: Column) -> Column:
+        return F.get(self.nodes, place - self.base - 1)
 
-    return as_structs(one)(text, url, family, authority)
+    def below(self, x: Column, test=None) -> Column:
+        """The nodes below ``x`` that are left, in order."""
+        part = F.slice(self.nodes, x["pre"] - self.base + 1, x["end"] - x["pre"] - 1)
+        return F.filter(part, lambda k: ~k["gone"] if test is None else ~k["gone"] & F.coalesce(test(k), F.lit(False)))
 
+    def elements(self, x: Column, *tags: str) -> Column:
+        return self.below(x, lambda k: k["tag"].isin(*tags) if tags else k["tag"].isNotNull())
 
-def as_structs(one):
-    """A column function that makes of each row what ``one`` does, handed over as Arrow structs."""
-    made = to_arrow_type(_parse_datatype_string(EXTRACTED))
+    def children(self, x: Column, *tags: str) -> Column:
+        return self.below(x, lambda k: (k["parent"] == x["pre"]) & k["tag"].isin(*tags))
 
-    @F.arrow_udf(EXTRACTED)
-    def run(*columns: pa.Array) -> pa.Array:
-        return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], made)
+    def text(self, x: Column) -> Column:
+        """All text below an element as it stands; null for none."""
+        return F.array_join(F.transform(self.below(x, lambda k: k["tag"].isNull()), lambda k: k["text"]), "")
 
-    return run
+    def clean(self, x: Column) -> Column:
+        return F.when(x.isNotNull(), normalize_text(self.text(x)))
+
+    def anchor(self, x: Column) -> Column:
+        """The first node below that has an id, or is a named link."""
+        has = lambda k, name: F.map_contains_key(k["attributes"], name)
+        return _first(self.below(x, lambda k: has(k, "id") | ((k["tag"] == "a") & has(k, "name"))))
+
+
+def attribute(x: Column, name: str) -> Column:
+    return F.try_element_at(x["attributes"], F.lit(name))
+
+
+def name_of(anchor: Column) -> Column:
+    return F.coalesce(anchor["id"], attribute(anchor, "name"))
+
+
+def source(base: Column, path: Column, fragment: Column) -> Column:
+    name = falsy(fragment)
+    return F.struct(F.concat(base, F.coalesce(F.concat(F.lit("#"), name), F.lit(""))).alias("url"), name.alias("fragment"), path.alias("path")).cast(SOURCE)
+
+
+# Nodes.
+
+
+def node_rows(parsed: DataFrame, rules: Rules) -> DataFrame:
+    """A row a node, ``x``, of the pages in ``nodes``, with the page's ``body``, ``root``, ``scope`` and ``title``; a page without nodes has one row."""
+    n = F.col("nodes")
+    tree = Tree(n, F.lit(-1))
+    cut = F.transform(F.filter(n, lambda x: x["tag"].isNotNull() & rules.matches("prune", x, tree.at)), lambda x: x["pre"])
+    rows = parsed.withColumn("cut", cut)
+    c = F.col("cut")
+    gone = lambda x: (F.size(c) > 0) & (F.array_contains(c, x["pre"]) | F.arrays_overlap(c, x["above"]))
+    rows = rows.withColumn("nodes", F.transform(n, lambda x: x.withField("gone", gone(x))))
+
+    element = lambda test: _first(F.filter(n, lambda x: x["tag"].isNotNull() & ~x["gone"] & F.coalesce(test(x), F.lit(False))))
+    rows = rows.withColumns(
+        {
+            "body": F.coalesce(element(lambda x: x["tag"] == "body")["pre"], element(lambda x: x["parent"] == -1)["pre"], F.lit(-1)),
+            "root": element(lambda x: rules.matches("root", x, tree.at))["pre"],
+            "t": element(lambda x: x["tag"] == "title"),
+        }
+    )
+    body, root = F.col("body"), F.coalesce("root", "body")
+    # Sections by a selector fall back on the headings of the whole body.
+    by_selector = rules.has("sections") & ~rules.has("single_pre")
+    kinds = F.col("kinds")
+    rows = rows.withColumns({"root": root, "scope": F.when(by_selector, body).otherwise(root), "title": F.coalesce(tree.text(F.col("t")), F.lit("")), "kinds": rules.kinds()})
+
+    def described(x: Column) -> Column:
+        left = x["tag"].isNotNull() & ~x["gone"]
+        tag_above = lambda tags: F.transform(F.filter(x["above"], lambda a: _in(tree.at(a)["tag"], tags)), lambda a: a)
+        parts = {
+            "algorithm": left & rules.matches("algorithm", x, tree.at),
+            "grammar": left & rules.matches("grammar", x, tree.at),
+            "section": left & rules.matches("sections", x, tree.at),
+            "heading": left & _in(x["tag"], HEADINGS),
+            "hider": F.when(left, F.coalesce(F.array_max(tag_above(BLOCK_TAGS | SECTION_TAGS)), F.lit(-1))),
+            "in_body": F.array_contains(x["above"], body),
+            "in_tbody": (x["tag"] == "tr") & (F.size(tag_above(("tbody",))) > 0),
+            "norm": F.when(left, _first(F.filter(F.transform(x["classes"], lambda k: F.try_element_at(kinds, k)), lambda v: v.isNotNull()))),
+        }
+        for name, value in parts.items():
+            x = x.withField(name, value)
+        return x
+
+    # An outer generator: pages without a node stay, and nothing is inferred about the parse and run twice.
+    rows = rows.withColumn("nodes", F.transform(n, described))
+    return rows.select("page", "own", "body", "root", "scope", "title", F.explode_outer("nodes").alias("x"))
+
+
+def is_block(x: Column) -> Column:
+    return ~x["gone"] & (_in(x["tag"], BLOCK_TAGS) | x["algorithm"] | x["grammar"])
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """A row a page again, ``n`` its nodes with ``nth``, ``heading_before``, ``before`` and what follows from them: ``path``, ``norm`` and, for algorithms, ``titled_by``."""
+    x = F.col("x")
+    siblings = Window.partitionBy("page", x["parent"], x["gone"], x["tag"]).orderBy(x["pre"])
+    family = Window.partitionBy("page", x["parent"]).orderBy(x["pre"]).rowsBetween(Window.unboundedPreceding, -1)
+    document = Window.partitionBy("page").orderBy(x["pre"]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("nth", F.row_number().over(siblings))
+    rows = rows.withColumn("heading_before", F.last(F.when(x["heading"], x["pre"]), ignorenulls=True).over(family))
+    rows = rows.withColumn("before", F.count_if(is_block(x)).over(document).cast("int"))
+    node = x
+    for name in ("nth", "heading_before", "before"):
+        node = node.withField(name, F.col(name))
+    first = [F.first(c).alias(c) for c in ("own", "body", "root", "scope", "title")]
+    pages = rows.groupBy("page").agg(*first, F.collect_list(F.when(x.isNotNull(), node)).alias("n"))
+    pages = pages.withColumn("n", F.array_sort("n", lambda a, b: a["pre"] - b["pre"]))
+
+    tree, body = Tree(F.col("n"), F.lit(-1)), F.col("body")
+    step = lambda k: F.concat(k["tag"], F.lit(":nth-of-type("), k["nth"].cast("string"), F.lit(")"))
+    # From the element up, without the body and what holds it; outside the body all that holds the element.
+    up = lambda x: F.reverse(F.concat(F.filter(x["above"], lambda a: ~x["in_body"] | (a > body)), F.array(x["pre"])))
+    nearest = lambda x, field: _first(F.filter(F.transform(up(x), lambda a: tree.at(a)[field]), lambda v: v.isNotNull()))
+
+    def placed(x: Column) -> Column:
+        wanted = is_block(x) | x["heading"] | x["section"]
+        path = F.array_join(F.transform(F.reverse(up(x)), lambda a: step(tree.at(a))), " > ")
+        x = x.withField("path", F.when(x["pre"] == body, "").when(wanted & x["in_body"], path))
+        return x.withField("norm", F.when(is_block(x) & x["in_body"], nearest(x, "norm"))).withField("titled_by", F.when(x["algorithm"], nearest(x, "heading_before")))
+
+    return pages.withColumn("n", F.transform("n", placed))
+
+
+# Blocks.
+
+
+def links(tree: Tree, x: Column) -> Column:
+    one = lambda k: F.struct(
+        F.coalesce(falsy(tree.clean(k)), attribute(k, "href")).alias("text"), attribute(k, "href").alias("href"), F.when(attribute(k, "href").startswith("#"), F.substring(attribute(k, "href"), 2, 1 << 30)).alias("resolved_id")
+    )
+    return F.transform(tree.below(x, lambda k: (k["tag"] == "a") & (attribute(k, "href") != "")), one)
+
+
+def steps(tree: Tree, items: Column) -> Column:
+    """Numbered over all items, blank ones left out."""
+    every = F.transform(tree.children(items, "li"), lambda k, i: F.struct((i + 1).cast("string").alias("step_id"), tree.clean(k).alias("text")))
+    return F.filter(every, lambda s: s["text"] != "")
+
+
+def productions(text: Column) -> Column:
+    lines = F.split(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), f"^[{JAVA_WHITE}]+|[{JAVA_WHITE}]+$", ""), "\n", -1)
+    pattern = rf"(?s)^[{JAVA_WHITE}]*([^:]+)::=[{JAVA_WHITE}]*(.+)\z"
+    part = lambda t, i: normalize_text(F.regexp_extract(t, pattern, i))
+    return F.transform(F.filter(lines, lambda t: t.rlike(pattern)), lambda t: F.struct(part(t, 1).alias("lhs"), part(t, 2).alias("rhs")))
+
+
+def definitions(items: Column) -> Column:
+    """A term and the definitions up to the next one, of (is a term, text) in order; those before the first term have none."""
+    starts = F.filter(F.transform(items, lambda k, i: F.when(k["term"] | (i == 0), i)), lambda i: i.isNotNull())
+
+    def pair(s: Column, first: Column, j: Column) -> Column:
+        stop = F.coalesce(F.get(s, j + 1), F.size(items))
+        skip = F.when(F.get(items, first)["term"], 1).otherwise(0)
+        texts = F.transform(F.slice(items, first + skip + 1, stop - first - skip), lambda k: k["text"])
+        return F.struct(F.when(skip == 1, F.get(items, first)["text"]).otherwise("").alias("term"), F.array_join(F.filter(texts, lambda t: t != ""), " ").alias("definition"))
+
+    return bound(starts, lambda s: F.transform(s, lambda first, j: pair(s, first, j)))
+
+
+def cells(tree: Tree, row: Column, *tags: str) -> Column:
+    return F.transform(tree.elements(row, *tags), lambda c: tree.clean(c))
+
+
+def block_rows(pages: DataFrame) -> DataFrame:
+    """Of each page a row for itself, ``n`` its nodes, and one for each block, ``block`` null where it has nothing to say.
+
+    A block is what its rule, for algorithms and grammars, or its element makes it.
+    """
+    tree = Tree(F.col("n"), F.lit(-1))
+    part = lambda x: F.slice(F.col("n"), x["pre"] + 2, x["end"] - x["pre"] - 1)
+    item = lambda x: F.struct(x.alias("x"), part(x).alias("part"), bound(tree.at(x["titled_by"]), lambda h: F.when(h.isNotNull(), tree.text(h))).alias("heading"))
+    blocks = F.transform(F.filter("n", is_block), item)
+    page = F.array(F.struct(F.get("n", F.lit(-1)).alias("x"), F.col("n").alias("part"), F.lit(None).cast("string").alias("heading")))
+    rows = pages.select("page", "own", "body", "root", "scope", "title", F.explode(F.concat(page, blocks)).alias("i"))
+    rows = rows.select("page", "own", "body", "root", "scope", "title", F.col("i.x").alias("x"), F.col("i.part").alias("part"), F.col("i.heading").alias("heading"))
+
+    x, tag = F.col("x"), F.col("x.tag")
+    tree = Tree(F.col("part"), x["pre"])
+    first = lambda *tags: _first(tree.elements(x, *tags))
+    is_list, is_table = _in(tag, ("ul", "ol")), _in(tag, ("table", "emu-table"))
+    rule = F.when(x["algorithm"], "algorithm").when(x["grammar"], "grammar")
+    kind = (
+        F.when(tag == "p", "paragraph").when(_in(tag, NOTE_TAGS), "note").when(_in(tag, CODE_TAGS), "code").when(is_list, "list").when(tag == "dl", "definitionList").when(is_table, "table")
+    )
+    rows = rows.withColumn("type", F.coalesce(rule, kind))
+    of = lambda *types: F.col("type").isin(*types)
+    rows = rows.withColumns(
+        {
+            "raw": F.when(of("paragraph", "note", "code", "grammar"), tree.text(x)),
+            "ol": F.when(of("algorithm"), F.when(tag == "ol", x).otherwise(first("ol"))),
+            "dl": F.when(of("definitionList"), F.transform(tree.children(x, "dt", "dd"), lambda k: F.struct((k["tag"] == "dt").alias("term"), tree.clean(k).alias("text")))),
+            "tr": F.when(of("table"), tree.elements(x, "tr")),
+            "thead": F.when(of("table"), first("thead")),
+            "anchor": F.when(x["id"].isNull(), tree.anchor(x)),
+        }
+    )
+    tr, thead = F.col("tr"), F.col("thead")
+    named = F.when(thead.isNotNull(), cells(tree, thead, "th", "td")).when(F.size(tr) > 0, bound(_first(tr), lambda r: cells(tree, r, "th"))).otherwise(F.array().cast(STRINGS))
+    bodies = F.filter(tr, lambda r: r["in_tbody"])
+    rows = rows.withColumns({"headers": F.when(of("table"), F.filter(named, lambda h: h != "")), "tr": F.when(F.size(bodies) > 0, bodies).otherwise(tr)})
+    headed = (F.size("headers") > 0) & F.coalesce(F.size(bound(_first(tr), lambda r: tree.elements(r, "th"))) > 0, F.lit(False))
+    lines = F.transform(F.filter(tr, lambda r, i: (i > 0) | ~headed), lambda r: cells(tree, r, "th", "td"))
+    raw = F.col("raw")
+    code = F.regexp_replace(F.regexp_replace(raw, "\n{3,}", "\n\n"), f"[{JAVA_WHITE}]+$", "")
+    title = F.coalesce(falsy(attribute(x, "data-algorithm")), falsy(attribute(x, "aria-label")), F.col("heading"))
+    items = F.filter(F.transform(tree.children(x, "li"), lambda k: tree.clean(k)), lambda t: t != "")
+    rows = rows.withColumns(
+        {
+            "text": F.when(of("paragraph", "note"), normalize_text(raw)).when(of("code"), code),
+            "items": F.when(of("list"), items),
+            "ordered": F.when(of("list"), tag == "ol"),
+            "definitions": F.when(of("definitionList"), definitions(F.col("dl"))),
+            "rows": F.when(of("table"), F.filter(lines, lambda r: F.size(r) > 0)),
+            "steps": F.when(of("algorithm"), steps(tree, F.col("ol"))),
+            "named": F.when(of("algorithm") & title.isNotNull(), normalize_text(title)),
+            "productions": F.when(of("grammar"), productions(raw)),
+            "name": F.coalesce(x["id"], name_of(F.col("anchor"))),
+        }
+    )
+    filled = [F.size(c) > 0 for c in ("items", "definitions", "headers", "rows", "steps", "productions")]
+    says = F.coalesce(F.col("text") != "", F.lit(False))
+    for test in filled:
+        says = says | F.coalesce(test, F.lit(False))
+    authority = F.when(F.col("own.authority") == "normative", "normative").otherwise("informative")
+    parts = {f: F.col(f) for f in ("type", "text", "ordered", "items", "definitions", "headers", "rows", "steps", "productions")}
+    parts |= {"id": F.col("name"), "title": F.col("named"), "normativity": F.coalesce(x["norm"], authority), "links": links(tree, x), "source": source(F.substring_index("own.url", "#", 1), x["path"], F.col("name"))}
+    block = F.struct(*[parts.get(f, F.lit(None)).alias(f) for f in BLOCK_FIELDS]).cast(BLOCK)
+    return rows.select("page", "own", "body", "root", "scope", "title", x["pre"].alias("pre"), x["hider"].alias("hider"), x["heading"].alias("is_heading"), F.when(x.isNull(), F.col("part")).alias("n"), F.when(x.isNotNull() & says, block).alias("block"))
+
+
+# Sections.
+
+
+def section_rows(blocks: DataFrame, rules: Rules) -> DataFrame:
+    """A row a section, ``section``, numbered by ``at``; a page without any keeps a row."""
+    kept = F.when(F.col("pre").isNotNull(), F.struct("pre", "hider", "is_heading", "block"))
+    first = [F.first(c).alias(c) for c in ("own", "body", "root", "scope", "title")]
+    pages = blocks.groupBy("page").agg(*first, F.first("n", ignorenulls=True).alias("n"), F.collect_list(kept).alias("made"))
+    pages = pages.withColumn("made", F.array_sort("made", lambda a, b: a["pre"] - b["pre"]))
+
+    n, made, body, root, scope = (F.col(c) for c in ("n", "made", "body", "root", "scope"))
+    tree = Tree(n, F.lit(-1))
+    count = lambda place: F.coalesce(tree.at(place)["before"], F.size(made))
+
+    def shown(start: Column, end: Column, container: Column, headings: bool) -> Column:
+        """The blocks from one place up to another: a slice, as nodes know how many come before them; without those that a block or section below the container hides."""
+        part = F.slice(made, count(start) + 1, F.greatest(count(end) - count(start), F.lit(0)))
+        good = F.filter(part, lambda m: m["block"].isNotNull() & (m["hider"] <= container) & (F.lit(headings) | ~m["is_heading"]))
+        return F.transform(good, lambda m: m["block"])
+
+    inside = lambda x: (x["pre"] > scope) & (x["pre"] < tree.at(scope)["end"])
+    single = rules.has("single_pre")
+    pages = pages.withColumns(
+        {
+            "heads": F.filter(n, lambda x: ~x["gone"] & x["heading"] & inside(x)),
+            "pre": F.when(single, bound(tree.at(root), lambda r: _first(tree.elements(r, "pre")))),
+            "holders": F.when(~single & rules.has("sections"), bound(tree.at(root), lambda r: tree.below(r, lambda x: x["section"]))),
+            "all": tree.at(body),
+        }
+    )
+    heads, pre, whole = F.col("heads"), F.col("pre"), F.col("all")
+    item = lambda c, h, place, b, fixed=None: F.struct(c.alias("container"), h.alias("heading"), place.alias("path"), b.alias("blocks"), F.lit(fixed).cast("string").alias("fixed"))
+    none = F.get(n, F.lit(-1))
+
+    def holder(c: Column) -> Column:
+        return bound(_first(tree.below(c, lambda k: k["heading"])), lambda h: item(c, h, F.coalesce(h["path"], c["path"]), shown(c["pre"] + 1, c["end"], c["pre"], True)))
+
+    by_heading = F.transform(heads, lambda h, i: item(h, h, h["path"], shown(h["pre"], F.coalesce(F.get(heads, i + 1)["pre"], tree.at(scope)["end"]), scope, False)))
+    in_all = F.array(item(none, none, whole["path"], shown(whole["pre"] + 1, whole["end"], whole["pre"], True), "title"))
+    in_pre = F.array(item(pre, none, pre["path"], shown(pre["pre"], pre["pre"] + 1, F.lit(1 << 30), True), "title"))
+    selected = F.filter(F.transform("holders", holder), lambda s: (F.size(s["blocks"]) > 0) | (F.coalesce(tree.clean(s["heading"]), F.lit("")) != ""))
+    pages = pages.withColumns({"by_heading": F.when(F.size(heads) > 0, by_heading).otherwise(in_all), "selected": selected, "said": tree.clean(pre), "in_pre": in_pre})
+    chosen = F.when(F.coalesce(F.col("said") != "", F.lit(False)), F.col("in_pre")).when(F.coalesce(F.size("selected") > 0, F.lit(False)), F.col("selected")).otherwise(F.col("by_heading"))
+
+    def with_parts(s: Column) -> Column:
+        h, c = s["heading"], s["container"]
+        link = _first(tree.below(h, lambda k: (k["tag"] == "a") & attribute(k, "href").startswith("#")))
+        return s.withField("said", tree.clean(h)).withField("in_heading", tree.anchor(h)).withField("in_container", tree.anchor(c)).withField("link", link)
+
+    pages = pages.withColumn("chosen", chosen).withColumn("chosen", F.transform("chosen", with_parts))
+    rows = pages.select("page", "own", "title", F.posexplode_outer("chosen").alias("at", "s"))
+    s = F.col("s")
+    h, c, titled = s["heading"], s["container"], s["fixed"].isNotNull()
+    found = F.when(s["in_heading"].isNotNull(), name_of(s["in_heading"])).when(s["in_container"].isNotNull(), name_of(s["in_container"])).otherwise(F.substring(attribute(s["link"], "href"), 2, 1 << 30))
+    # A section for a whole page has its title for a heading, and an id only of its own.
+    name = F.when(titled, c["id"]).otherwise(F.coalesce(c["id"], h["id"], found))
+    rows = rows.withColumn("name", name)
+    title = F.coalesce(falsy(F.col("title")), F.lit("Document"))
+    section = F.struct(
+        F.col("at").alias("ordinal"), F.col("name").alias("id"), F.when(titled, title).otherwise(F.coalesce(falsy(s["said"]), F.lit("Untitled"))).alias("heading"),
+        F.when(h.isNotNull(), F.substring(h["tag"], 2, 1).cast("int")).otherwise(1).alias("level"), source(F.substring_index("own.url", "#", 1), s["path"], F.col("name")).alias("source"),
+        F.transform(s["blocks"], lambda b, j: b.withField("ordinal", j)).alias("blocks"),
+    ).cast(SECTION)
+    return rows.select("page", "own", "title", "at", F.when(s.isNotNull(), section).alias("section"))
+
+
+def extract_pages(pages: DataFrame, text: str = "text", rules: dict[str, dict] | None = None) -> DataFrame:
+    """``pages`` (with ``url``, ``family``, ``authority``) with ``e``, the extraction of their text by the rules of their family, in place of ``text``."""
+    by_family = {f: family.html_rules() for f, family in BY_ID.items()} | (rules or {})
+    own = F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c == "url" else F.col(c) for c in pages.columns if c != text])
+    dealt = pages.select(own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("page")).repartition("page")
+    rule = Rules(F.col("own.family"), by_family)
+    nodes = node_rows(dealt.select("page", "own", nodes_of("html").alias("nodes")), rule)
+    rows = section_rows(block_rows(counted(nodes)), rule)
+    sections = rows.groupBy("page").agg(F.first("own").alias("own"), F.first("title").alias("title"), F.collect_list("section").alias("sections"))
+    sections = sections.withColumn("sections", F.array_sort("sections", lambda a, b: a["ordinal"] - b["ordinal"]))
+    title = F.coalesce(falsy(F.col("title")), F.get("sections", F.lit(0))["heading"], F.lit("Untitled"))
+    return sections.select("own.*", F.struct(title.alias("title"), "sections", _none(STRINGS).alias("warnings")).cast(EXTRACTED).alias("e"))
+
+
+def extract_html(text: str | None, url: str, rules: dict, authority: str = "informative") -> dict:
+    """One page, for looking at: ``title``, ``sections`` and ``warnings``."""
+    spark = SparkSession.builder.getOrCreate()
+    row = spark.createDataFrame([(text or "", url, "own", authority)], "text string, url string, family string, authority string")
+    return extract_pages(row, rules={"own": rules}).first()["e"].asDict(True)

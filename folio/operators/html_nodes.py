@@ -8,6 +8,7 @@ ancestors from the top.  Elements have a ``tag``, texts a ``text``.
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -39,30 +40,38 @@ def flat(root: Element) -> list[tuple]:
     return out
 
 
-def nested(lists, value_type: pa.DataType, kind: type[pa.Array] = pa.ListArray) -> pa.Array:
+def nested(lists, value_type: pa.DataType) -> pa.ListArray:
     ends, values = [0], []
     for x in lists:
         values.extend(x)
         ends.append(len(values))
-    return kind.from_arrays(pa.array(ends, pa.int32()), pa.array(values, value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, value_type))
 
 
-@F.arrow_udf(NODES)
-def nodes_of(pages: pa.Array) -> pa.Array:
-    """The nodes of each page; null for null."""
+def tables(pages: pa.Array, node: pa.StructType) -> pa.Array:
+    """The nodes of each page as Arrow structs; null for null."""
     rows, ends, missing = [], [0], []
     for page in pages.to_pylist():
         rows += flat(parse(page)[0]) if page is not None else []
         ends.append(len(rows))
         missing.append(page is None)
     columns = list(zip(*rows, strict=True)) or [()] * 9
-    keys = [[k for k, _ in x] for x in columns[8]]
-    values = [[v for _, v in x] for x in columns[8]]
-    of = to_arrow_type(_parse_datatype_string(NODE))
-    names = nested(keys, pa.string())
+    names = nested([[k for k, _ in x] for x in columns[8]], pa.string())
+    values = nested([[v for _, v in x] for x in columns[8]], pa.string())
     made = [
         *[pa.array(columns[i], pa.int32()) for i in range(3)], nested(columns[3], pa.int32()), *[pa.array(columns[i], pa.string()) for i in (4, 5, 6)], nested(columns[7], pa.string()),
-        pa.MapArray.from_arrays(names.offsets, names.values, nested(values, pa.string()).values),
+        pa.MapArray.from_arrays(names.offsets, names.values, values.values),
     ]
-    struct = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(made, of, strict=True)], fields=list(of))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct, mask=pa.array(missing))
+    struct = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(made, node, strict=True)], fields=list(node))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct, mask=pa.array(missing, pa.bool_()))
+
+
+def nodes_of(page: Column | str) -> Column:
+    """The nodes of a page."""
+    node = to_arrow_type(_parse_datatype_string(NODE))
+
+    @F.arrow_udf(NODES)
+    def run(pages: pa.Array) -> pa.Array:
+        return tables(pages, node)
+
+    return run(page)

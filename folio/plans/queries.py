@@ -311,20 +311,20 @@ def fragment_filter(spark, sf_dir):
     return page_documents(spark, sf_dir).select(F.col("doc_seq").alias("page_id"), F.size("sections").alias("n_sections"), F.try_element_at("warnings", F.lit(1)).alias("warning"))
 
 
-NORM_HTML = (
-    '<html><body><main><h1 id=a>T</h1><p class="note">n</p><p class="example warning">e</p><p class="warning normative">w</p><div class="normative"><p>i</p></div><p>d</p></main></body></html>'
-)
-NORM_ROWS = "(0, 'n', 'informative', 'normative'), (1, 'e', 'example', 'normative'), (2, 'w', 'informative', 'normative'), (3, 'i', 'normative', 'normative'), (4, 'd', 'informative', 'normative')"
-
-
 @query(
-    f"SELECT pos::BIGINT AS pos, txt AS text, a AS authority, CASE WHEN txt = 'd' THEN a ELSE n END AS normativity FROM (VALUES {NORM_ROWS}) t(pos, txt, n, m), (VALUES ('informative'), ('normative')) u(a)"
+    "SELECT page_id, pos, txt AS text, authority, CASE WHEN pos = 4 THEN authority ELSE n END AS normativity FROM (SELECT page_id, a AS authority, pos, m || ' ' || page_id AS txt, n FROM pages, (VALUES ('informative'), ('normative')) u(a), "
+    "(VALUES (0::BIGINT, 'n', 'informative'), (1, 'e', 'example'), (2, 'w', 'informative'), (3, 'i', 'normative'), (4, 'd', NULL)) t(pos, m, n))"
 )
 def normativity(spark, sf_dir):
-    rows = spark.createDataFrame([(NORM_HTML, a) for a in ("informative", "normative")], "html string, authority string")
-    docs = rows.withColumn("e", html_extract.extracted(F.col("html"), F.lit("https://x.example/"), F.lit("generic"), F.col("authority")))
-    blocks = docs.select("authority", F.explode("e.sections").alias("s")).select("authority", F.posexplode("s.blocks").alias("pos", "b"))
-    return blocks.select(F.col("pos").cast("long").alias("pos"), F.col("b.text").alias("text"), "authority", F.col("b.normativity").alias("normativity"))
+    """Paragraphs with own, several, contrary, inherited and no classes, on pages of both authorities."""
+    i = F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit("</p>"))
+    marks = (' class="note">n', ' class="example warning">e', ' class="warning normative">w', ">i", ">d")
+    p = [F.concat(F.lit(f"<p{m}"), i) for m in marks]
+    page = F.concat(F.lit("<html><body><main><h1 id=a>T</h1>"), *p[:3], F.lit('<div class="normative">'), p[3], F.lit("</div>"), p[4], F.lit("</main></body></html>"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lit("https://x.example/").alias("url"), F.lit("generic").alias("family"), page.alias("text"), F.explode(F.array(F.lit("informative"), F.lit("normative"))).alias("authority"))
+    sections = html_extract.extract_pages(rows).select("page_id", "authority", F.explode_outer("e.sections").alias("s"))
+    blocks = sections.select("page_id", "authority", F.posexplode_outer("s.blocks").alias("pos", "b")).where("b is not null")
+    return blocks.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("b.text").alias("text"), "authority", F.col("b.normativity").alias("normativity"))
 
 
 # XML.
