@@ -11,24 +11,28 @@ rest is Spark.  It goes from pages to rows of nodes, of blocks and of sections,
 ``block_rows``    a row a block, with the nodes between its ``pre`` and ``end``
 ``section_rows``  a row a section, with the blocks between two running counts
 
-Pages are dealt by a number of their own before they are parsed, each once; the
-windows and gatherings behind keep that dealing, so that there is one exchange,
-of pages, not of nodes.
+Expressions are SQL text: one that is built from Python columns asks the JVM for
+each of its parts, and there are thousands of them.
+
+Pages are parsed once each and dealt by a number of their own; the windows and
+gatherings behind keep that dealing, so that there is one exchange, of a row a
+page.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.families import BY_ID
-from folio.functions.text import JAVA_WHITE, bound, falsy, normalize_text
+from folio.functions.text import JAVA_WHITE
 from folio.operators.html_nodes import nodes_of
 from folio.operators.htmltree import HEADINGS
 from folio.operators.schema import BLOCK, BLOCK_FIELDS, EXTRACTED, SECTION, SOURCE
-from folio.operators.selectors import column_matches
+from folio.operators.selectors import sql_matches
 
 #: Elements that are blocks, and elements that are sections.
 BLOCK_TAGS = frozenset("p pre ul ol table blockquote dl emu-alg emu-grammar emu-code emu-note emu-example emu-equation emu-table".split())
@@ -40,50 +44,92 @@ INFORMATIVE = ("note", "informative", "non-normative", "warning", "issue", "edno
 EXAMPLE = ("example", "examples")
 NORMATIVE = ("normative",)
 
-STRINGS = "array<string>"
+PAGE = ("page", "own", "body", "root", "scope", "title")
+_RUNS = f"[{JAVA_WHITE.replace(' ', '', 1)}][{JAVA_WHITE}]*| [{JAVA_WHITE}]+"
+_names = count()
+
+
+# SQL text.
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fresh() -> str:
+    """A name for a lambda's variable that no other has."""
+    return f"v{next(_names)}"
+
+
+def let(x: str, body: Callable[[str], str]) -> str:
+    """``body`` of ``x``, which is worked out once however often it is named."""
+    v = fresh()
+    return f"transform(array({x}), {v} -> {body(v)})[0]"
+
+
+def transform(items: str, body: Callable[..., str], index: bool = False) -> str:
+    v, i = fresh(), fresh()
+    return f"transform({items}, ({v}, {i}) -> {body(v, i)})" if index else f"transform({items}, {v} -> {body(v)})"
+
+
+def where(items: str, test: Callable[..., str], index: bool = False) -> str:
+    v, i = fresh(), fresh()
+    return f"filter({items}, ({v}, {i}) -> {test(v, i)})" if index else f"filter({items}, {v} -> {test(v)})"
 
 
-def _in(x: Column, values) -> Column:
-    return F.coalesce(x.isin(*sorted(values)), F.lit(False))
+def first(items: str) -> str:
+    return f"get({items}, 0)"
 
 
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
+def one_of(x: str, values: Iterable[str]) -> str:
+    return f"coalesce({x} IN ({', '.join(quoted(v) for v in sorted(values))}), false)"
 
 
-def _first(items: Column) -> Column:
-    return F.get(items, F.lit(0))
+def full(x: str) -> str:
+    """Null for an empty string."""
+    return f"nullif({x}, '')"
+
+
+def normal(x: str) -> str:
+    """White space normalised, as :func:`folio.functions.text.normalize_text` does it."""
+    return f"trim(regexp_replace(coalesce({x}, ''), r'{_RUNS}', ' '))"
+
+
+def with_fields(x: str, fields: dict[str, str], names: Iterable[str]) -> str:
+    """A struct of ``x``'s fields ``names`` and more."""
+    return "named_struct(" + ", ".join([f"'{n}', {x}.`{n}`" for n in names] + [f"'{n}', {v}" for n, v in fields.items()]) + ")"
+
+
+def struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in fields.items()) + ")"
 
 
 class Rules:
-    """Rules of families as columns: where families share a rule they share its column."""
+    """Rules of families as SQL: where families share a rule they share its text."""
 
-    def __init__(self, family: Column, by_family: dict[str, dict]):
+    def __init__(self, family: str, by_family: dict[str, dict]):
         self.family, self.by_family = family, by_family
 
-    def each(self, value: Callable[[dict], object], column: Callable[[object], Column]) -> Column:
-        """A column by family; families that the rules don't name follow ``generic``."""
+    def each(self, value: Callable[[dict], object], text: Callable[[object], str]) -> str:
+        """By family; families that the rules don't name follow ``generic``."""
         groups: dict = {}
         for name, rules in self.by_family.items():
             groups.setdefault(value(rules), []).append(name)
         general = value(self.by_family["generic"])
-        out = None
-        for one, names in groups.items():
-            if one != general:
-                out = F.when(self.family.isin(*names), column(one)) if out is None else out.when(self.family.isin(*names), column(one))
-        return column(general) if out is None else out.otherwise(column(general))
+        cases = " ".join(f"WHEN {one_of(self.family, names)} THEN {text(one)}" for one, names in groups.items() if one != general)
+        return f"CASE {cases} ELSE {text(general)} END" if cases else text(general)
 
-    def matches(self, rule: str, node: Column, at) -> Column:
+    def matches(self, rule: str, node: str, at: Callable[[str], str]) -> str:
         def selectors(rules: dict) -> tuple[str, ...]:
             own = rules.get(rule) or ()
             return (own,) if isinstance(own, str) else tuple(own)
 
-        return self.each(selectors, lambda found: column_matches(found, node, at) if found else F.lit(False))
+        return self.each(selectors, lambda found: sql_matches(found, node, at, fresh))
 
-    def has(self, rule: str) -> Column:
-        return self.each(lambda rules: bool(rules.get(rule)), F.lit)
+    def has(self, rule: str) -> str:
+        return self.each(lambda rules: bool(rules.get(rule)), lambda x: str(x).lower())
 
-    def kinds(self) -> Column:
+    def kinds(self) -> str:
         """Map of a class to the normativity that it settles."""
 
         def pairs(rules: dict) -> tuple:
@@ -93,177 +139,161 @@ class Rules:
                 made |= dict.fromkeys(default if own is None else own, kind)
             return tuple(made.items())
 
-        return self.each(pairs, lambda found: F.create_map(*[F.lit(x) for pair in found for x in pair]) if found else F.lit(None).cast("map<string,string>"))
+        return self.each(pairs, lambda found: f"map({', '.join(quoted(x) for pair in found for x in pair)})" if found else "CAST(NULL AS map<string,string>)")
 
 
 class Tree:
     """A stretch of a page's nodes, from the place behind ``base`` on."""
 
-    def __init__(self, nodes: Column, base: Column):
+    def __init__(self, nodes: str, base: str = "-1"):
         self.nodes, self.base = nodes, base
 
-    def at(self, place: Column) -> Column:
-        return F.get(self.nodes, place - self.base - 1)
+    def at(self, place: str) -> str:
+        return f"get({self.nodes}, {place} - {self.base} - 1)"
 
-    def below(self, x: Column, test=None) -> Column:
+    def below(self, x: str, test: Callable[[str], str] | None = None) -> str:
         """The nodes below ``x`` that are left, in order."""
-        part = F.slice(self.nodes, x["pre"] - self.base + 1, x["end"] - x["pre"] - 1)
-        return F.filter(part, lambda k: ~k["gone"] if test is None else ~k["gone"] & F.coalesce(test(k), F.lit(False)))
+        part = f"slice({self.nodes}, {x}.pre - {self.base} + 1, {x}.`end` - {x}.pre - 1)"
+        return where(part, lambda k: f"NOT {k}.gone" if test is None else f"NOT {k}.gone AND coalesce({test(k)}, false)")
 
-    def elements(self, x: Column, *tags: str) -> Column:
-        return self.below(x, lambda k: k["tag"].isin(*tags) if tags else k["tag"].isNotNull())
+    def elements(self, x: str, *tags: str) -> str:
+        return self.below(x, lambda k: one_of(f"{k}.tag", tags))
 
-    def children(self, x: Column, *tags: str) -> Column:
-        return self.below(x, lambda k: (k["parent"] == x["pre"]) & k["tag"].isin(*tags))
+    def children(self, x: str, *tags: str) -> str:
+        return self.below(x, lambda k: f"{k}.parent = {x}.pre AND {one_of(f'{k}.tag', tags)}")
 
-    def text(self, x: Column) -> Column:
+    def text(self, x: str) -> str:
         """All text below an element as it stands; null for none."""
-        return F.array_join(F.transform(self.below(x, lambda k: k["tag"].isNull()), lambda k: k["text"]), "")
+        return f"array_join({transform(self.below(x, lambda k: f'{k}.tag IS NULL'), lambda k: f'{k}.text')}, '')"
 
-    def clean(self, x: Column) -> Column:
-        return F.when(x.isNotNull(), normalize_text(self.text(x)))
+    def clean(self, x: str) -> str:
+        return f"CASE WHEN {x} IS NOT NULL THEN {normal(self.text(x))} END"
 
-    def anchor(self, x: Column) -> Column:
+    def anchor(self, x: str) -> str:
         """The first node below that has an id, or is a named link."""
-        has = lambda k, name: F.map_contains_key(k["attributes"], name)
-        return _first(self.below(x, lambda k: has(k, "id") | ((k["tag"] == "a") & has(k, "name"))))
+        return first(self.below(x, lambda k: f"map_contains_key({k}.attributes, 'id') OR ({k}.tag = 'a' AND map_contains_key({k}.attributes, 'name'))"))
 
 
-def attribute(x: Column, name: str) -> Column:
-    return F.try_element_at(x["attributes"], F.lit(name))
+def attribute(x: str, name: str) -> str:
+    return f"try_element_at({x}.attributes, '{name}')"
 
 
-def name_of(anchor: Column) -> Column:
-    return F.coalesce(anchor["id"], attribute(anchor, "name"))
+def name_of(anchor: str) -> str:
+    return f"coalesce({anchor}.id, {attribute(anchor, 'name')})"
 
 
-def source(base: Column, path: Column, fragment: Column) -> Column:
-    name = falsy(fragment)
-    return F.struct(F.concat(base, F.coalesce(F.concat(F.lit("#"), name), F.lit(""))).alias("url"), name.alias("fragment"), path.alias("path")).cast(SOURCE)
+def source(path: str, fragment: str) -> str:
+    name, base = full(fragment), "substring_index(own.url, '#', 1)"
+    return f"CAST({struct(url=f"concat({base}, coalesce(concat('#', {name}), ''))", fragment=name, path=path)} AS {SOURCE})"
 
 
 # Nodes.
 
+#: What a node of the parse has, and what ``node_rows`` and ``counted`` add to it.
+PARSED = ("pre", "end", "parent", "above", "tag", "text", "id", "classes", "attributes")
+FOUND = ("gone", "algorithm", "grammar", "section", "heading", "hider", "in_body", "in_tbody", "norm")
+COUNTED = ("nth", "heading_before", "before")
+
 
 def node_rows(parsed: DataFrame, rules: Rules) -> DataFrame:
     """A row a node, ``x``, of the pages in ``nodes``, with the page's ``body``, ``root``, ``scope`` and ``title``; a page without nodes has one row."""
-    n = F.col("nodes")
-    tree = Tree(n, F.lit(-1))
-    cut = F.transform(F.filter(n, lambda x: x["tag"].isNotNull() & rules.matches("prune", x, tree.at)), lambda x: x["pre"])
-    rows = parsed.withColumn("cut", cut)
-    c = F.col("cut")
-    gone = lambda x: (F.size(c) > 0) & (F.array_contains(c, x["pre"]) | F.arrays_overlap(c, x["above"]))
-    rows = rows.withColumn("nodes", F.transform(n, lambda x: x.withField("gone", gone(x))))
-
-    element = lambda test: _first(F.filter(n, lambda x: x["tag"].isNotNull() & ~x["gone"] & F.coalesce(test(x), F.lit(False))))
-    rows = rows.withColumns(
-        {
-            "body": F.coalesce(element(lambda x: x["tag"] == "body")["pre"], element(lambda x: x["parent"] == -1)["pre"], F.lit(-1)),
-            "root": element(lambda x: rules.matches("root", x, tree.at))["pre"],
-            "t": element(lambda x: x["tag"] == "title"),
-        }
-    )
-    body, root = F.col("body"), F.coalesce("root", "body")
+    tree = Tree("nodes")
+    cut = transform(where("nodes", lambda x: f"{x}.tag IS NOT NULL AND {rules.matches('prune', x, tree.at)}"), lambda x: f"{x}.pre")
+    rows = parsed.selectExpr("page", "own", "nodes", f"{cut} AS cut", f"{rules.kinds()} AS kinds")
+    gone = lambda x: f"size(cut) > 0 AND (array_contains(cut, {x}.pre) OR arrays_overlap(cut, {x}.above))"
+    rows = rows.selectExpr("page", "own", "kinds", f"{transform('nodes', lambda x: with_fields(x, {'gone': gone(x)}, PARSED))} AS nodes")
+
+    element = lambda test: first(where("nodes", lambda x: f"{x}.tag IS NOT NULL AND NOT {x}.gone AND coalesce({test(x)}, false)"))
+    rows = rows.selectExpr(
+        "*", f"coalesce({element(lambda x: f"{x}.tag = 'body'")}.pre, {element(lambda x: f'{x}.parent = -1')}.pre, -1) AS body",
+        f"{element(lambda x: rules.matches('root', x, tree.at))}.pre AS own_root", f"{element(lambda x: f"{x}.tag = 'title'")} AS t",
+    )
     # Sections by a selector fall back on the headings of the whole body.
-    by_selector = rules.has("sections") & ~rules.has("single_pre")
-    kinds = F.col("kinds")
-    rows = rows.withColumns({"root": root, "scope": F.when(by_selector, body).otherwise(root), "title": F.coalesce(tree.text(F.col("t")), F.lit("")), "kinds": rules.kinds()})
-
-    def described(x: Column) -> Column:
-        left = x["tag"].isNotNull() & ~x["gone"]
-        tag_above = lambda tags: F.transform(F.filter(x["above"], lambda a: _in(tree.at(a)["tag"], tags)), lambda a: a)
-        parts = {
-            "algorithm": left & rules.matches("algorithm", x, tree.at),
-            "grammar": left & rules.matches("grammar", x, tree.at),
-            "section": left & rules.matches("sections", x, tree.at),
-            "heading": left & _in(x["tag"], HEADINGS),
-            "hider": F.when(left, F.coalesce(F.array_max(tag_above(BLOCK_TAGS | SECTION_TAGS)), F.lit(-1))),
-            "in_body": F.array_contains(x["above"], body),
-            "in_tbody": (x["tag"] == "tr") & (F.size(tag_above(("tbody",))) > 0),
-            "norm": F.when(left, _first(F.filter(F.transform(x["classes"], lambda k: F.try_element_at(kinds, k)), lambda v: v.isNotNull()))),
-        }
-        for name, value in parts.items():
-            x = x.withField(name, value)
-        return x
+    scope = f"CASE WHEN {rules.has('sections')} AND NOT {rules.has('single_pre')} THEN body ELSE coalesce(own_root, body) END"
+    rows = rows.selectExpr("page", "own", "nodes", "kinds", "body", "coalesce(own_root, body) AS root", f"{scope} AS scope", f"coalesce({tree.text('t')}, '') AS title")
+
+    def described(x: str) -> str:
+        left = f"({x}.tag IS NOT NULL AND NOT {x}.gone)"
+        tagged = lambda tags: where(f"{x}.above", lambda a: one_of(f"{tree.at(a)}.tag", tags))
+        own = first(where(transform(f"{x}.classes", lambda k: f"try_element_at(kinds, {k})"), lambda v: f"{v} IS NOT NULL"))
+        rule = lambda name: f"{left} AND {rules.matches(name, x, tree.at)}"
+        fields = {
+            "gone": f"{x}.gone", "algorithm": rule("algorithm"), "grammar": rule("grammar"), "section": rule("sections"), "heading": f"{left} AND {one_of(f'{x}.tag', HEADINGS)}",
+            "hider": f"CASE WHEN {left} THEN coalesce(array_max({tagged(BLOCK_TAGS | SECTION_TAGS)}), -1) END", "in_body": f"array_contains({x}.above, body)",
+            "in_tbody": f"{x}.tag = 'tr' AND size({tagged(('tbody',))}) > 0", "norm": f"CASE WHEN {left} THEN {own} END",
+        }
+        return with_fields(x, fields, PARSED)
 
     # An outer generator: pages without a node stay, and nothing is inferred about the parse and run twice.
-    rows = rows.withColumn("nodes", F.transform(n, described))
-    return rows.select("page", "own", "body", "root", "scope", "title", F.explode_outer("nodes").alias("x"))
+    rows = rows.selectExpr(*PAGE, f"{transform('nodes', described)} AS nodes")
+    return rows.selectExpr(*PAGE, "explode_outer(nodes) AS x")
 
 
-def is_block(x: Column) -> Column:
-    return ~x["gone"] & (_in(x["tag"], BLOCK_TAGS) | x["algorithm"] | x["grammar"])
+def is_block(x: str) -> str:
+    return f"(NOT {x}.gone AND ({one_of(f'{x}.tag', BLOCK_TAGS)} OR {x}.algorithm OR {x}.grammar))"
 
 
 def counted(rows: DataFrame) -> DataFrame:
     """A row a page again, ``n`` its nodes with ``nth``, ``heading_before``, ``before`` and what follows from them: ``path``, ``norm`` and, for algorithms, ``titled_by``."""
-    x = F.col("x")
-    siblings = Window.partitionBy("page", x["parent"], x["gone"], x["tag"]).orderBy(x["pre"])
-    family = Window.partitionBy("page", x["parent"]).orderBy(x["pre"]).rowsBetween(Window.unboundedPreceding, -1)
-    document = Window.partitionBy("page").orderBy(x["pre"]).rowsBetween(Window.unboundedPreceding, -1)
+    siblings = Window.partitionBy("page", "x.parent", "x.gone", "x.tag").orderBy("x.pre")
+    family = Window.partitionBy("page", "x.parent").orderBy("x.pre").rowsBetween(Window.unboundedPreceding, -1)
+    document = Window.partitionBy("page").orderBy("x.pre").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("nth", F.row_number().over(siblings))
-    rows = rows.withColumn("heading_before", F.last(F.when(x["heading"], x["pre"]), ignorenulls=True).over(family))
-    rows = rows.withColumn("before", F.count_if(is_block(x)).over(document).cast("int"))
-    node = x
-    for name in ("nth", "heading_before", "before"):
-        node = node.withField(name, F.col(name))
-    first = [F.first(c).alias(c) for c in ("own", "body", "root", "scope", "title")]
-    pages = rows.groupBy("page").agg(*first, F.collect_list(F.when(x.isNotNull(), node)).alias("n"))
-    pages = pages.withColumn("n", F.array_sort("n", lambda a, b: a["pre"] - b["pre"]))
-
-    tree, body = Tree(F.col("n"), F.lit(-1)), F.col("body")
-    step = lambda k: F.concat(k["tag"], F.lit(":nth-of-type("), k["nth"].cast("string"), F.lit(")"))
+    rows = rows.withColumn("heading_before", F.last(F.expr("CASE WHEN x.heading THEN x.pre END"), ignorenulls=True).over(family))
+    rows = rows.withColumn("before", F.count_if(F.expr(is_block("x"))).over(document).cast("int"))
+    node = with_fields("x", {c: c for c in COUNTED}, (*PARSED, *FOUND))
+    pages = rows.groupBy("page").agg(*[F.first(c).alias(c) for c in PAGE[1:]], F.collect_list(F.expr(f"CASE WHEN x IS NOT NULL THEN {node} END")).alias("n"))
+    pages = pages.selectExpr(*PAGE, "array_sort(n, (a, b) -> a.pre - b.pre) AS n")
+
+    tree = Tree("n")
+    step = lambda k: f"concat({k}.tag, ':nth-of-type(', {k}.nth, ')')"
     # From the element up, without the body and what holds it; outside the body all that holds the element.
-    up = lambda x: F.reverse(F.concat(F.filter(x["above"], lambda a: ~x["in_body"] | (a > body)), F.array(x["pre"])))
-    nearest = lambda x, field: _first(F.filter(F.transform(up(x), lambda a: tree.at(a)[field]), lambda v: v.isNotNull()))
+    down = lambda x: f"concat({where(f'{x}.above', lambda a: f'(NOT {x}.in_body OR {a} > body)')}, array({x}.pre))"
+    nearest = lambda x, field: first(where(transform(f"reverse({down(x)})", lambda a: f"{tree.at(a)}.{field}"), lambda v: f"{v} IS NOT NULL"))
 
-    def placed(x: Column) -> Column:
-        wanted = is_block(x) | x["heading"] | x["section"]
-        path = F.array_join(F.transform(F.reverse(up(x)), lambda a: step(tree.at(a))), " > ")
-        x = x.withField("path", F.when(x["pre"] == body, "").when(wanted & x["in_body"], path))
-        return x.withField("norm", F.when(is_block(x) & x["in_body"], nearest(x, "norm"))).withField("titled_by", F.when(x["algorithm"], nearest(x, "heading_before")))
+    def placed(x: str) -> str:
+        path = f"array_join({transform(down(x), lambda a: let(tree.at(a), step))}, ' > ')"
+        wanted = f"({is_block(x)} OR {x}.heading OR {x}.section)"
+        fields = {
+            "path": f"CASE WHEN {x}.pre = body THEN '' WHEN {wanted} AND {x}.in_body THEN {path} END",
+            "norm": f"CASE WHEN {is_block(x)} AND {x}.in_body THEN {nearest(x, 'norm')} END", "titled_by": f"CASE WHEN {x}.algorithm THEN {nearest(x, 'heading_before')} END",
+        }
+        return with_fields(x, fields, (*PARSED, *[c for c in (*FOUND, *COUNTED) if c != "norm"]))
 
-    return pages.withColumn("n", F.transform("n", placed))
+    return pages.selectExpr(*PAGE, f"{transform('n', placed)} AS n")
 
 
 # Blocks.
 
 
-def links(tree: Tree, x: Column) -> Column:
-    one = lambda k: F.struct(
-        F.coalesce(falsy(tree.clean(k)), attribute(k, "href")).alias("text"), attribute(k, "href").alias("href"), F.when(attribute(k, "href").startswith("#"), F.substring(attribute(k, "href"), 2, 1 << 30)).alias("resolved_id")
-    )
-    return F.transform(tree.below(x, lambda k: (k["tag"] == "a") & (attribute(k, "href") != "")), one)
+def links(tree: Tree, x: str) -> str:
+    href = lambda k: attribute(k, "href")
+    one = lambda k: struct(text=f"coalesce({full(tree.clean(k))}, {href(k)})", href=href(k), resolved_id=f"CASE WHEN startswith({href(k)}, '#') THEN substring({href(k)}, 2) END")
+    return transform(tree.below(x, lambda k: f"{k}.tag = 'a' AND {href(k)} <> ''"), one)
 
 
-def steps(tree: Tree, items: Column) -> Column:
-    """Numbered over all items, blank ones left out."""
-    every = F.transform(tree.children(items, "li"), lambda k, i: F.struct((i + 1).cast("string").alias("step_id"), tree.clean(k).alias("text")))
-    return F.filter(every, lambda s: s["text"] != "")
+def productions(text: str) -> str:
+    lines = f"split(regexp_replace(replace({text}, '\\r\\n', '\\n'), r'^[{JAVA_WHITE}]+|[{JAVA_WHITE}]+$', ''), '\\n', -1)"
+    pattern = rf"r'(?s)^[{JAVA_WHITE}]*([^:]+)::=[{JAVA_WHITE}]*(.+)\z'"
+    part = lambda t, i: normal(f"regexp_extract({t}, {pattern}, {i})")
+    return transform(where(lines, lambda t: f"{t} RLIKE {pattern}"), lambda t: struct(lhs=part(t, 1), rhs=part(t, 2)))
 
 
-def productions(text: Column) -> Column:
-    lines = F.split(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), f"^[{JAVA_WHITE}]+|[{JAVA_WHITE}]+$", ""), "\n", -1)
-    pattern = rf"(?s)^[{JAVA_WHITE}]*([^:]+)::=[{JAVA_WHITE}]*(.+)\z"
-    part = lambda t, i: normalize_text(F.regexp_extract(t, pattern, i))
-    return F.transform(F.filter(lines, lambda t: t.rlike(pattern)), lambda t: F.struct(part(t, 1).alias("lhs"), part(t, 2).alias("rhs")))
-
-
-def definitions(items: Column) -> Column:
+def definitions(items: str) -> str:
     """A term and the definitions up to the next one, of (is a term, text) in order; those before the first term have none."""
-    starts = F.filter(F.transform(items, lambda k, i: F.when(k["term"] | (i == 0), i)), lambda i: i.isNotNull())
+    starts = where(transform(items, lambda k, i: f"CASE WHEN {k}.term OR {i} = 0 THEN {i} END", True), lambda i: f"{i} IS NOT NULL")
 
-    def pair(s: Column, first: Column, j: Column) -> Column:
-        stop = F.coalesce(F.get(s, j + 1), F.size(items))
-        skip = F.when(F.get(items, first)["term"], 1).otherwise(0)
-        texts = F.transform(F.slice(items, first + skip + 1, stop - first - skip), lambda k: k["text"])
-        return F.struct(F.when(skip == 1, F.get(items, first)["text"]).otherwise("").alias("term"), F.array_join(F.filter(texts, lambda t: t != ""), " ").alias("definition"))
+    def pair(s: str, at: str, j: str) -> str:
+        skip = f"CASE WHEN get({items}, {at}).term THEN 1 ELSE 0 END"
+        texts = transform(f"slice({items}, {at} + {skip} + 1, coalesce(get({s}, {j} + 1), size({items})) - {at} - {skip})", lambda k: f"{k}.text")
+        term = f"CASE WHEN get({items}, {at}).term THEN get({items}, {at}).text ELSE '' END"
+        return struct(term=term, definition=f"array_join({where(texts, lambda t: f"{t} <> ''")}, ' ')")
 
-    return bound(starts, lambda s: F.transform(s, lambda first, j: pair(s, first, j)))
+    return let(starts, lambda s: transform(s, lambda at, j: pair(s, at, j), True))
 
 
-def cells(tree: Tree, row: Column, *tags: str) -> Column:
-    return F.transform(tree.elements(row, *tags), lambda c: tree.clean(c))
+def cells(tree: Tree, row: str, *tags: str) -> str:
+    return transform(tree.elements(row, *tags), tree.clean)
 
 
 def block_rows(pages: DataFrame) -> DataFrame:
@@ -271,66 +301,46 @@ def block_rows(pages: DataFrame) -> DataFrame:
 
     A block is what its rule, for algorithms and grammars, or its element makes it.
     """
-    tree = Tree(F.col("n"), F.lit(-1))
-    part = lambda x: F.slice(F.col("n"), x["pre"] + 2, x["end"] - x["pre"] - 1)
-    item = lambda x: F.struct(x.alias("x"), part(x).alias("part"), bound(tree.at(x["titled_by"]), lambda h: F.when(h.isNotNull(), tree.text(h))).alias("heading"))
-    blocks = F.transform(F.filter("n", is_block), item)
-    page = F.array(F.struct(F.get("n", F.lit(-1)).alias("x"), F.col("n").alias("part"), F.lit(None).cast("string").alias("heading")))
-    rows = pages.select("page", "own", "body", "root", "scope", "title", F.explode(F.concat(page, blocks)).alias("i"))
-    rows = rows.select("page", "own", "body", "root", "scope", "title", F.col("i.x").alias("x"), F.col("i.part").alias("part"), F.col("i.heading").alias("heading"))
-
-    x, tag = F.col("x"), F.col("x.tag")
-    tree = Tree(F.col("part"), x["pre"])
-    first = lambda *tags: _first(tree.elements(x, *tags))
-    is_list, is_table = _in(tag, ("ul", "ol")), _in(tag, ("table", "emu-table"))
-    rule = F.when(x["algorithm"], "algorithm").when(x["grammar"], "grammar")
-    kind = (
-        F.when(tag == "p", "paragraph").when(_in(tag, NOTE_TAGS), "note").when(_in(tag, CODE_TAGS), "code").when(is_list, "list").when(tag == "dl", "definitionList").when(is_table, "table")
-    )
-    rows = rows.withColumn("type", F.coalesce(rule, kind))
-    of = lambda *types: F.col("type").isin(*types)
-    rows = rows.withColumns(
-        {
-            "raw": F.when(of("paragraph", "note", "code", "grammar"), tree.text(x)),
-            "ol": F.when(of("algorithm"), F.when(tag == "ol", x).otherwise(first("ol"))),
-            "dl": F.when(of("definitionList"), F.transform(tree.children(x, "dt", "dd"), lambda k: F.struct((k["tag"] == "dt").alias("term"), tree.clean(k).alias("text")))),
-            "tr": F.when(of("table"), tree.elements(x, "tr")),
-            "thead": F.when(of("table"), first("thead")),
-            "anchor": F.when(x["id"].isNull(), tree.anchor(x)),
-        }
-    )
-    tr, thead = F.col("tr"), F.col("thead")
-    named = F.when(thead.isNotNull(), cells(tree, thead, "th", "td")).when(F.size(tr) > 0, bound(_first(tr), lambda r: cells(tree, r, "th"))).otherwise(F.array().cast(STRINGS))
-    bodies = F.filter(tr, lambda r: r["in_tbody"])
-    rows = rows.withColumns({"headers": F.when(of("table"), F.filter(named, lambda h: h != "")), "tr": F.when(F.size(bodies) > 0, bodies).otherwise(tr)})
-    headed = (F.size("headers") > 0) & F.coalesce(F.size(bound(_first(tr), lambda r: tree.elements(r, "th"))) > 0, F.lit(False))
-    lines = F.transform(F.filter(tr, lambda r, i: (i > 0) | ~headed), lambda r: cells(tree, r, "th", "td"))
-    raw = F.col("raw")
-    code = F.regexp_replace(F.regexp_replace(raw, "\n{3,}", "\n\n"), f"[{JAVA_WHITE}]+$", "")
-    title = F.coalesce(falsy(attribute(x, "data-algorithm")), falsy(attribute(x, "aria-label")), F.col("heading"))
-    items = F.filter(F.transform(tree.children(x, "li"), lambda k: tree.clean(k)), lambda t: t != "")
-    rows = rows.withColumns(
-        {
-            "text": F.when(of("paragraph", "note"), normalize_text(raw)).when(of("code"), code),
-            "items": F.when(of("list"), items),
-            "ordered": F.when(of("list"), tag == "ol"),
-            "definitions": F.when(of("definitionList"), definitions(F.col("dl"))),
-            "rows": F.when(of("table"), F.filter(lines, lambda r: F.size(r) > 0)),
-            "steps": F.when(of("algorithm"), steps(tree, F.col("ol"))),
-            "named": F.when(of("algorithm") & title.isNotNull(), normalize_text(title)),
-            "productions": F.when(of("grammar"), productions(raw)),
-            "name": F.coalesce(x["id"], name_of(F.col("anchor"))),
-        }
-    )
-    filled = [F.size(c) > 0 for c in ("items", "definitions", "headers", "rows", "steps", "productions")]
-    says = F.coalesce(F.col("text") != "", F.lit(False))
-    for test in filled:
-        says = says | F.coalesce(test, F.lit(False))
-    authority = F.when(F.col("own.authority") == "normative", "normative").otherwise("informative")
-    parts = {f: F.col(f) for f in ("type", "text", "ordered", "items", "definitions", "headers", "rows", "steps", "productions")}
-    parts |= {"id": F.col("name"), "title": F.col("named"), "normativity": F.coalesce(x["norm"], authority), "links": links(tree, x), "source": source(F.substring_index("own.url", "#", 1), x["path"], F.col("name"))}
-    block = F.struct(*[parts.get(f, F.lit(None)).alias(f) for f in BLOCK_FIELDS]).cast(BLOCK)
-    return rows.select("page", "own", "body", "root", "scope", "title", x["pre"].alias("pre"), x["hider"].alias("hider"), x["heading"].alias("is_heading"), F.when(x.isNull(), F.col("part")).alias("n"), F.when(x.isNotNull() & says, block).alias("block"))
+    tree = Tree("n")
+    part = lambda x: f"slice(n, {x}.pre + 2, {x}.`end` - {x}.pre - 1)"
+    titled = lambda x: let(tree.at(f"{x}.titled_by"), lambda h: f"CASE WHEN {h} IS NOT NULL THEN {tree.text(h)} END")
+    items = transform(where("n", is_block), lambda x: struct(x=x, part=part(x), heading=titled(x)))
+    page = f"array({struct(x='get(n, -1)', part='n', heading='CAST(NULL AS string)')})"
+    rows = pages.selectExpr(*PAGE, f"explode(concat({page}, {items})) AS i").selectExpr(*PAGE, "i.x AS x", "i.part AS part", "i.heading AS heading")
+
+    tree = Tree("part", "x.pre")
+    rule = "CASE WHEN x.algorithm THEN 'algorithm' WHEN x.grammar THEN 'grammar'"
+    tags = {"paragraph": ("p",), "note": NOTE_TAGS, "code": CODE_TAGS, "list": ("ul", "ol"), "definitionList": ("dl",), "table": ("table", "emu-table")}
+    kind = " ".join(f"WHEN {one_of('x.tag', t)} THEN '{name}'" for name, t in tags.items())
+    rows = rows.selectExpr("*", f"{rule} {kind} END AS type")
+    of = lambda value, *types: f"CASE WHEN {one_of('type', types)} THEN {value} END"
+    pairs = transform(tree.children("x", "dt", "dd"), lambda k: struct(term=f"{k}.tag = 'dt'", text=tree.clean(k)))
+    rows = rows.selectExpr(
+        "*", f"{of(tree.text('x'), 'paragraph', 'note', 'code', 'grammar')} AS raw", f"{of(f"CASE WHEN x.tag = 'ol' THEN x ELSE {first(tree.elements('x', 'ol'))} END", 'algorithm')} AS ol",
+        f"{of(pairs, 'definitionList')} AS dl", f"{of(tree.elements('x', 'tr'), 'table')} AS every_tr", f"{of(first(tree.elements('x', 'thead')), 'table')} AS thead",
+        f"CASE WHEN x.id IS NULL THEN {tree.anchor('x')} END AS anchor",
+    )
+    named = f"CASE WHEN thead IS NOT NULL THEN {cells(tree, 'thead', 'th', 'td')} WHEN size(every_tr) > 0 THEN {let(first('every_tr'), lambda r: cells(tree, r, 'th'))} ELSE CAST(array() AS array<string>) END"
+    bodies = where("every_tr", lambda r: f"{r}.in_tbody")
+    rows = rows.selectExpr("*", f"{of(where(named, lambda h: f"{h} <> ''"), 'table')} AS headers", f"{let(bodies, lambda b: f'CASE WHEN size({b}) > 0 THEN {b} ELSE every_tr END')} AS tr")
+    headed = f"(size(headers) > 0 AND coalesce(size({let(first('tr'), lambda r: tree.elements(r, 'th'))}) > 0, false))"
+    rows = rows.selectExpr("*", f"CASE WHEN {headed} THEN slice(tr, 2, size(tr)) ELSE tr END AS kept_tr")
+    lines = where(transform("kept_tr", lambda r: cells(tree, r, "th", "td")), lambda r: f"size({r}) > 0")
+    code = rf"regexp_replace(regexp_replace(raw, '\n{{3,}}', '\n\n'), r'[{JAVA_WHITE}]+$', '')"
+    title = f"coalesce({full(attribute('x', 'data-algorithm'))}, {full(attribute('x', 'aria-label'))}, heading)"
+    items = where(transform(tree.children("x", "li"), tree.clean), lambda t: f"{t} <> ''")
+    # Steps are numbered over all items, blank ones left out.
+    steps = where(transform(tree.children("ol", "li"), lambda k, i: struct(step_id=f"CAST({i} + 1 AS string)", text=tree.clean(k)), True), lambda s: f"{s}.text <> ''")
+    rows = rows.selectExpr(
+        *PAGE, "x", "part", "type", "headers", f"coalesce({of(normal('raw'), 'paragraph', 'note')}, {of(code, 'code')}) AS text", f"{of(items, 'list')} AS items", f"{of("x.tag = 'ol'", 'list')} AS ordered",
+        f"{of(definitions('dl'), 'definitionList')} AS definitions", f"{of(lines, 'table')} AS rows", f"{of(steps, 'algorithm')} AS steps",
+        f"{of(f'CASE WHEN {title} IS NOT NULL THEN {normal(title)} END', 'algorithm')} AS named", f"{of(productions('raw'), 'grammar')} AS productions", f"coalesce(x.id, {name_of('anchor')}) AS name",
+    )
+    says = " OR ".join(["coalesce(text <> '', false)", *[f"coalesce(size({c}) > 0, false)" for c in ("items", "definitions", "headers", "rows", "steps", "productions")]])
+    parts = {f: f for f in ("type", "text", "ordered", "items", "definitions", "headers", "rows", "steps", "productions")}
+    parts |= {"id": "name", "title": "named", "normativity": "coalesce(x.norm, CASE WHEN own.authority = 'normative' THEN 'normative' ELSE 'informative' END)", "links": links(tree, "x"), "source": source("x.path", "name")}
+    block = f"CAST({struct(**{f: parts.get(f, 'NULL') for f in BLOCK_FIELDS})} AS {BLOCK})"
+    return rows.selectExpr(*PAGE, "x.pre AS pre", "x.hider AS hider", "x.heading AS is_heading", "CASE WHEN x IS NULL THEN part END AS n", f"CASE WHEN x IS NOT NULL AND ({says}) THEN {block} END AS block")
 
 
 # Sections.
@@ -338,83 +348,77 @@ def block_rows(pages: DataFrame) -> DataFrame:
 
 def section_rows(blocks: DataFrame, rules: Rules) -> DataFrame:
     """A row a section, ``section``, numbered by ``at``; a page without any keeps a row."""
-    kept = F.when(F.col("pre").isNotNull(), F.struct("pre", "hider", "is_heading", "block"))
-    first = [F.first(c).alias(c) for c in ("own", "body", "root", "scope", "title")]
-    pages = blocks.groupBy("page").agg(*first, F.first("n", ignorenulls=True).alias("n"), F.collect_list(kept).alias("made"))
-    pages = pages.withColumn("made", F.array_sort("made", lambda a, b: a["pre"] - b["pre"]))
+    kept = F.expr("CASE WHEN pre IS NOT NULL THEN named_struct('pre', pre, 'hider', hider, 'is_heading', is_heading, 'block', block) END")
+    pages = blocks.groupBy("page").agg(*[F.first(c).alias(c) for c in PAGE[1:]], F.first("n", ignorenulls=True).alias("n"), F.collect_list(kept).alias("made"))
+    pages = pages.selectExpr(*PAGE, "n", "array_sort(made, (a, b) -> a.pre - b.pre) AS made")
 
-    n, made, body, root, scope = (F.col(c) for c in ("n", "made", "body", "root", "scope"))
-    tree = Tree(n, F.lit(-1))
-    count = lambda place: F.coalesce(tree.at(place)["before"], F.size(made))
+    tree, single = Tree("n"), rules.has("single_pre")
+    number = lambda place: f"coalesce({tree.at(place)}.before, size(made))"
 
-    def shown(start: Column, end: Column, container: Column, headings: bool) -> Column:
+    def shown(start: str, end: str, container: str, headings: bool) -> str:
         """The blocks from one place up to another: a slice, as nodes know how many come before them; without those that a block or section below the container hides."""
-        part = F.slice(made, count(start) + 1, F.greatest(count(end) - count(start), F.lit(0)))
-        good = F.filter(part, lambda m: m["block"].isNotNull() & (m["hider"] <= container) & (F.lit(headings) | ~m["is_heading"]))
-        return F.transform(good, lambda m: m["block"])
-
-    inside = lambda x: (x["pre"] > scope) & (x["pre"] < tree.at(scope)["end"])
-    single = rules.has("single_pre")
-    pages = pages.withColumns(
-        {
-            "heads": F.filter(n, lambda x: ~x["gone"] & x["heading"] & inside(x)),
-            "pre": F.when(single, bound(tree.at(root), lambda r: _first(tree.elements(r, "pre")))),
-            "holders": F.when(~single & rules.has("sections"), bound(tree.at(root), lambda r: tree.below(r, lambda x: x["section"]))),
-            "all": tree.at(body),
-        }
-    )
-    heads, pre, whole = F.col("heads"), F.col("pre"), F.col("all")
-    item = lambda c, h, place, b, fixed=None: F.struct(c.alias("container"), h.alias("heading"), place.alias("path"), b.alias("blocks"), F.lit(fixed).cast("string").alias("fixed"))
-    none = F.get(n, F.lit(-1))
-
-    def holder(c: Column) -> Column:
-        return bound(_first(tree.below(c, lambda k: k["heading"])), lambda h: item(c, h, F.coalesce(h["path"], c["path"]), shown(c["pre"] + 1, c["end"], c["pre"], True)))
-
-    by_heading = F.transform(heads, lambda h, i: item(h, h, h["path"], shown(h["pre"], F.coalesce(F.get(heads, i + 1)["pre"], tree.at(scope)["end"]), scope, False)))
-    in_all = F.array(item(none, none, whole["path"], shown(whole["pre"] + 1, whole["end"], whole["pre"], True), "title"))
-    in_pre = F.array(item(pre, none, pre["path"], shown(pre["pre"], pre["pre"] + 1, F.lit(1 << 30), True), "title"))
-    selected = F.filter(F.transform("holders", holder), lambda s: (F.size(s["blocks"]) > 0) | (F.coalesce(tree.clean(s["heading"]), F.lit("")) != ""))
-    pages = pages.withColumns({"by_heading": F.when(F.size(heads) > 0, by_heading).otherwise(in_all), "selected": selected, "said": tree.clean(pre), "in_pre": in_pre})
-    chosen = F.when(F.coalesce(F.col("said") != "", F.lit(False)), F.col("in_pre")).when(F.coalesce(F.size("selected") > 0, F.lit(False)), F.col("selected")).otherwise(F.col("by_heading"))
-
-    def with_parts(s: Column) -> Column:
-        h, c = s["heading"], s["container"]
-        link = _first(tree.below(h, lambda k: (k["tag"] == "a") & attribute(k, "href").startswith("#")))
-        return s.withField("said", tree.clean(h)).withField("in_heading", tree.anchor(h)).withField("in_container", tree.anchor(c)).withField("link", link)
-
-    pages = pages.withColumn("chosen", chosen).withColumn("chosen", F.transform("chosen", with_parts))
-    rows = pages.select("page", "own", "title", F.posexplode_outer("chosen").alias("at", "s"))
-    s = F.col("s")
-    h, c, titled = s["heading"], s["container"], s["fixed"].isNotNull()
-    found = F.when(s["in_heading"].isNotNull(), name_of(s["in_heading"])).when(s["in_container"].isNotNull(), name_of(s["in_container"])).otherwise(F.substring(attribute(s["link"], "href"), 2, 1 << 30))
+        part = f"slice(made, {number(start)} + 1, greatest({number(end)} - {number(start)}, 0))"
+        good = where(part, lambda m: f"{m}.block IS NOT NULL AND {m}.hider <= {container}" + ("" if headings else f" AND NOT {m}.is_heading"))
+        return transform(good, lambda m: f"{m}.block")
+
+    heads = where("n", lambda x: f"NOT {x}.gone AND {x}.heading AND {x}.pre > scope AND {x}.pre < {tree.at('scope')}.`end`")
+    pages = pages.selectExpr(
+        "*", f"{heads} AS heads", f"CASE WHEN {single} THEN {let(tree.at('root'), lambda r: first(tree.elements(r, 'pre')))} END AS pre",
+        f"CASE WHEN NOT {single} AND {rules.has('sections')} THEN {let(tree.at('root'), lambda r: tree.below(r, lambda x: f'{x}.section'))} END AS holders", f"{tree.at('body')} AS whole",
+    )
+
+    def item(container: str, heading: str, path: str, blocks: str, titled: bool = False) -> str:
+        return struct(container=container, heading=heading, path=path, blocks=blocks, titled=str(titled).lower())
+
+    def holder(c: str) -> str:
+        return let(first(tree.below(c, lambda k: f"{k}.heading")), lambda h: item(c, h, f"coalesce({h}.path, {c}.path)", shown(f"{c}.pre + 1", f"{c}.`end`", f"{c}.pre", True)))
+
+    by_heading = transform("heads", lambda h, i: item(h, h, f"{h}.path", shown(f"{h}.pre", f"coalesce(get(heads, {i} + 1).pre, {tree.at('scope')}.`end`)", "scope", False)), True)
+    in_all = f"array({item('get(n, -1)', 'get(n, -1)', 'whole.path', shown('whole.pre + 1', 'whole.`end`', 'whole.pre', True), True)})"
+    in_pre = f"array({item('pre', 'get(n, -1)', 'pre.path', shown('pre.pre', 'pre.pre + 1', str(1 << 30), True), True)})"
+    selected = where(transform("holders", holder), lambda s: f"size({s}.blocks) > 0 OR coalesce({tree.clean(f'{s}.heading')}, '') <> ''")
+    pages = pages.selectExpr("page", "own", "title", "n", f"CASE WHEN size(heads) > 0 THEN {by_heading} ELSE {in_all} END AS by_heading", f"{selected} AS selected", f"{tree.clean('pre')} AS said", f"{in_pre} AS in_pre")
+    chosen = "CASE WHEN coalesce(said <> '', false) THEN in_pre WHEN coalesce(size(selected) > 0, false) THEN selected ELSE by_heading END"
+
+    def with_parts(s: str) -> str:
+        h, c = f"{s}.heading", f"{s}.container"
+        link = first(tree.below(h, lambda k: f"{k}.tag = 'a' AND startswith({attribute(k, 'href')}, '#')"))
+        fields = {"said": tree.clean(h), "in_heading": tree.anchor(h), "in_container": tree.anchor(c), "link": link}
+        return with_fields(s, fields, ("container", "heading", "path", "blocks", "titled"))
+
+    pages = pages.selectExpr("page", "own", "title", "n", f"{chosen} AS chosen")
+    rows = pages.selectExpr("page", "own", "title", f"{transform('chosen', with_parts)} AS chosen").selectExpr("page", "own", "title", "posexplode_outer(chosen) AS (at, s)")
+    found = f"CASE WHEN s.in_heading IS NOT NULL THEN {name_of('s.in_heading')} WHEN s.in_container IS NOT NULL THEN {name_of('s.in_container')} ELSE substring({attribute('s.link', 'href')}, 2) END"
     # A section for a whole page has its title for a heading, and an id only of its own.
-    name = F.when(titled, c["id"]).otherwise(F.coalesce(c["id"], h["id"], found))
-    rows = rows.withColumn("name", name)
-    title = F.coalesce(falsy(F.col("title")), F.lit("Document"))
-    section = F.struct(
-        F.col("at").alias("ordinal"), F.col("name").alias("id"), F.when(titled, title).otherwise(F.coalesce(falsy(s["said"]), F.lit("Untitled"))).alias("heading"),
-        F.when(h.isNotNull(), F.substring(h["tag"], 2, 1).cast("int")).otherwise(1).alias("level"), source(F.substring_index("own.url", "#", 1), s["path"], F.col("name")).alias("source"),
-        F.transform(s["blocks"], lambda b, j: b.withField("ordinal", j)).alias("blocks"),
-    ).cast(SECTION)
-    return rows.select("page", "own", "title", "at", F.when(s.isNotNull(), section).alias("section"))
-
-
-def extract_pages(pages: DataFrame, text: str = "text", rules: dict[str, dict] | None = None) -> DataFrame:
-    """``pages`` (with ``url``, ``family``, ``authority``) with ``e``, the extraction of their text by the rules of their family, in place of ``text``."""
-    by_family = {f: family.html_rules() for f, family in BY_ID.items()} | (rules or {})
+    rows = rows.selectExpr("*", f"CASE WHEN s.titled THEN s.container.id ELSE coalesce(s.container.id, s.heading.id, {found}) END AS name")
+    heading = f"CASE WHEN s.titled THEN coalesce({full('title')}, 'Document') ELSE coalesce({full('s.said')}, 'Untitled') END"
+    level = "CASE WHEN s.heading IS NOT NULL THEN CAST(substring(s.heading.tag, 2, 1) AS int) ELSE 1 END"
+    numbered = transform("s.blocks", lambda b, j: struct(**{f: f"{b}.{f}" if f != "ordinal" else j for f in BLOCK_FIELDS}), True)
+    section = f"CAST({struct(ordinal='at', id='name', heading=heading, level=level, source=source('s.path', 'name'), blocks=numbered)} AS {SECTION})"
+    return rows.selectExpr("page", "own", "title", "at", f"CASE WHEN s IS NOT NULL THEN {section} END AS section")
+
+
+def extract_pages(pages: DataFrame, text: str = "text", rules: dict[str, dict] | None = None, families: Iterable[str] = tuple(BY_ID)) -> DataFrame:
+    """``pages`` (with ``url``, ``family``, ``authority``) with ``e``, the extraction of their text by the rules of their family, in place of ``text``.
+
+    ``rules`` come before those of the known ``families``; naming fewer of these
+    makes the plan smaller.
+    """
+    by_family = {f: BY_ID[f].html_rules() for f in dict.fromkeys(("generic", *families))} | (rules or {})
     own = F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c == "url" else F.col(c) for c in pages.columns if c != text])
-    dealt = pages.select(own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("page")).repartition("page")
-    rule = Rules(F.col("own.family"), by_family)
-    nodes = node_rows(dealt.select("page", "own", nodes_of("html").alias("nodes")), rule)
+    rule = Rules("own.family", by_family)
+    parsed = pages.select(F.monotonically_increasing_id().alias("page"), own.alias("own"), nodes_of(F.coalesce(F.col(text), F.lit(""))).alias("nodes"))
+    # Dealt behind the parser, as Spark doesn't see that a page's row comes out of it where it went in.
+    nodes = node_rows(parsed.repartition("page"), rule)
     rows = section_rows(block_rows(counted(nodes)), rule)
     sections = rows.groupBy("page").agg(F.first("own").alias("own"), F.first("title").alias("title"), F.collect_list("section").alias("sections"))
-    sections = sections.withColumn("sections", F.array_sort("sections", lambda a, b: a["ordinal"] - b["ordinal"]))
-    title = F.coalesce(falsy(F.col("title")), F.get("sections", F.lit(0))["heading"], F.lit("Untitled"))
-    return sections.select("own.*", F.struct(title.alias("title"), "sections", _none(STRINGS).alias("warnings")).cast(EXTRACTED).alias("e"))
+    sections = sections.selectExpr("own", "title", "array_sort(sections, (a, b) -> a.ordinal - b.ordinal) AS sections")
+    title = f"coalesce({full('title')}, get(sections, 0).heading, 'Untitled')"
+    return sections.selectExpr("own.*", f"CAST({struct(title=title, sections='sections', warnings='NULL')} AS {EXTRACTED}) AS e")
 
 
 def extract_html(text: str | None, url: str, rules: dict, authority: str = "informative") -> dict:
     """One page, for looking at: ``title``, ``sections`` and ``warnings``."""
     spark = SparkSession.builder.getOrCreate()
     row = spark.createDataFrame([(text or "", url, "own", authority)], "text string, url string, family string, authority string")
-    return extract_pages(row, rules={"own": rules}).first()["e"].asDict(True)
+    return extract_pages(row, rules={"own": rules}, families=()).first()["e"].asDict(True)

@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from folio.operators.htmltree import Element
 
 _PART = re.compile(r"(?P<type>[A-Za-z][\w-]*|\*)|#(?P<id>[\w-]+)|\.(?P<class>[\w-]+)|\[\s*(?P<name>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\]\s]+))\s*)?\]")
@@ -33,20 +30,21 @@ class _Compound:
             else:
                 self.tests.append(("attribute", m["name"].lower(), m["op"] or "", m["a"] or m["b"] or m["c"] or ""))
 
-    def column(self, node: Column) -> Column:
-        """The tests on a node of :mod:`folio.operators.html_nodes`."""
-        out = node["tag"].isNotNull()
+    def sql(self, node: str) -> str:
+        """The tests on a node of :mod:`folio.operators.html_nodes`, as SQL."""
+        out = [f"{node}.tag IS NOT NULL"]
         for kind, name, op, value in self.tests:
-            if kind == "attribute":
-                own = F.try_element_at(node["attributes"], F.lit(name))
-                tests = {
-                    "": own.isNotNull(), "=": own == value, "~=": F.array_contains(F.split(own, r"\s+"), F.lit(value)), "|=": (own == value) | own.startswith(f"{value}-"),
-                    "^=": own.startswith(value), "$=": own.endswith(value), "*=": own.contains(value),
-                }
-                out = out & (F.lit(False) if op in ("^=", "$=", "*=") and not value else tests[op])
+            name, value = (x.replace("\\", "\\\\").replace("'", "\\'") for x in (name, value))
+            own = f"try_element_at({node}.attributes, '{name}')"
+            if kind == "attribute" and op in ("^=", "$=", "*=") and not value:
+                out.append("false")
+            elif kind == "attribute":
+                test = {"": "{0} IS NOT NULL", "=": "{0} = '{1}'", "~=": "array_contains(split({0}, r'\\s+'), '{1}')", "|=": "({0} = '{1}' OR startswith({0}, '{1}-'))"}
+                test |= {"^=": "startswith({0}, '{1}')", "$=": "endswith({0}, '{1}')", "*=": "contains({0}, '{1}')"}
+                out.append(test[op].format(own, value))
             else:
-                out = out & {"type": node["tag"] == name, "id": node["id"] == name, "class": F.array_contains(node["classes"], F.lit(name))}[kind]
-        return out
+                out.append({"type": f"{node}.tag = '{name}'", "id": f"{node}.id = '{name}'", "class": f"array_contains({node}.classes, '{name}')"}[kind])
+        return " AND ".join(out)
 
     def __call__(self, node: Element) -> bool:
         for kind, name, op, value in self.tests:
@@ -110,20 +108,18 @@ def query_one(root: Element, selector: str) -> Element | None:
     return next((n for n in root.walk() if matches(n, selector)), None)
 
 
-def column_matches(selectors: list[str] | tuple[str, ...], node: Column, at) -> Column:
-    """Whether a node matches one of the selectors; ``at`` gives the node at a place."""
+def sql_matches(selectors: tuple[str, ...], node: str, at, fresh) -> str:
+    """Whether a node matches one of the selectors, as SQL; ``at`` gives the node at a place, ``fresh`` a name for a variable."""
 
-    def test(x: Column, steps, i: int) -> Column:
+    def test(x: str, steps, i: int) -> str:
         combinator, compound = steps[i]
-        own = compound.column(x)
+        own = compound.sql(x)
         if i + 1 == len(steps):
             return own
         if combinator == ">":
-            return own & test(at(x["parent"]), steps, i + 1)
-        return own & F.exists(x["above"], lambda a: test(at(a), steps, i + 1))
-
-    out = F.lit(False)
-    for selector in selectors:
-        for steps in compiled(selector) or ():
-            out = out | test(node, steps, 0)
-    return F.coalesce(out, F.lit(False))
+            return f"{own} AND {test(at(f'{x}.parent'), steps, i + 1)}"
+        a = fresh()
+        return f"{own} AND exists({x}.above, {a} -> {test(at(a), steps, i + 1)})"
+
+    tests = [f"({test(node, steps, 0)})" for selector in selectors for steps in compiled(selector) or ()]
+    return f"coalesce({' OR '.join(tests)}, false)" if tests else "false"
