@@ -41,6 +41,8 @@ def write_index(index: DataFrame, path: str) -> None:
     spark = index.sparkSession
     numbered = index.withColumn("row", F.monotonically_increasing_id()).withColumn("segment", F.shiftright("row", SEGMENT_BITS))
     numbered.write.mode("overwrite").partitionBy("segment").parquet(f"{path}/rows")
+    # A table of folders has no columns while it has no rows; this one, without rows, says what they are.
+    numbered.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
     # Characters are split once a row, each trigram of a row is listed once.
     chars = stored_rows(spark, path).select("segment", F.col("row").bitwiseAND((1 << SEGMENT_BITS) - 1).cast("int").alias("place"), F.split(F.lower(searched_text()), "").alias("c"))
     c = F.col("c")
@@ -52,7 +54,11 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows").withColumn("segment", F.col("segment").cast("long"))
+    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+
+
+def stored_lists(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("gram string, segment bigint, n int, places array<int>, bucket int").parquet(f"{path}/grams")
 
 
 def candidates(spark: SparkSession, path: str, folded: str, lists: int = 4) -> tuple[DataFrame | None, int]:
@@ -62,7 +68,7 @@ def candidates(spark: SparkSession, path: str, folded: str, lists: int = 4) -> t
     """
     grams = grams_of(folded)
     buckets = sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
-    postings = spark.read.parquet(f"{path}/grams").where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
+    postings = stored_lists(spark, path).where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
     # One number a trigram of the term; the lists themselves aren't read for it.
     count = {r["gram"]: r["n"] for r in postings.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     if len(count) < len(grams):
@@ -70,7 +76,7 @@ def candidates(spark: SparkSession, path: str, folded: str, lists: int = 4) -> t
     rare = sorted(grams, key=lambda g: (count[g], g))[:lists]
     found = postings.where(F.col("gram").isin(rare)).groupBy("segment").agg(F.collect_list("places").alias("l")).where(F.size("l") == len(rare))
     both = F.aggregate(F.slice("l", 2, len(rare)), F.col("l")[0], F.array_intersect)
-    rows = found.select(F.col("segment").cast("long").alias("segment"), F.explode(both).alias("place"))
+    rows = found.select("segment", F.explode(both).alias("place"))
     return rows.select("segment", (F.shiftleft("segment", SEGMENT_BITS) + F.col("place")).alias("row")), count[rare[0]]
 
 

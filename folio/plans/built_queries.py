@@ -436,7 +436,7 @@ def commands(spark, sf_dir):
     ):
         if cli.main(command.split(), spark):
             raise RuntimeError(command)
-    index = spark.read.parquet(f"{folder}/index/chunks")
+    index = spark.read.parquet(f"{folder}/index/rows")
     rows = index.select(F.regexp_extract("url", "p=([0-9]+)", 1).cast("long").alias("doc_id"), "family")
     return rows.groupBy("doc_id", "family").agg(F.count("*").alias("n_chunks")).select("doc_id", "family", F.lit("informative").alias("authority"), "n_chunks")
 

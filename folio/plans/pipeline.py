@@ -22,8 +22,13 @@ class Result:
 
 def run(manifest: DataFrame, snapshots: DataFrame, run_ts: Column, out: str | None = None, rules: dict[str, dict] | None = None) -> Result:
     """Lazy tables of every step; with ``out`` documents and chunks are written there and read back, so each page is parsed once."""
-    spark = manifest.sparkSession
-    docs = extract(with_snapshots(manifest, snapshots, check=out is not None), run_ts, rules)
+    return run_entries(with_snapshots(manifest, snapshots, check=out is not None), run_ts, out, rules)
+
+
+def run_entries(entries: DataFrame, run_ts: Column, out: str | None = None, rules: dict[str, dict] | None = None) -> Result:
+    """As :func:`run`, of entries that carry their snapshots."""
+    spark = entries.sparkSession
+    docs = extract(entries, run_ts, rules)
     if out:
         docs.write.mode("overwrite").parquet(f"{out}/documents")
         docs = spark.read.parquet(f"{out}/documents")

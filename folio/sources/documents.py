@@ -68,13 +68,40 @@ def write_files(texts: DataFrame, indent: bool = False) -> None:
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Documents of a folder, searched to any depth; JSON records without sections are none, malformed ones an error."""
+    """Documents of a folder, searched to any depth; JSON values without sections are none, malformed JSON is an error."""
     if fmt == "json":
-        read = spark.read.schema(CONTRACT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "FAILFAST").json(path)
-        return _from_contract(read.where("sections is not null"))
+        return _from_contract(read_json_documents(spark, path))
     return spark.read.parquet(path).select(*[F.col(c) for c in spark.createDataFrame([], DOCUMENT_SCHEMA).columns])
 
 
+def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents among a folder's JSON files, whatever else lies there, under the contract's names.
+
+    Each file is read as a VARIANT: an object with an array of sections is a
+    document, other objects, arrays and plain values are not.  Of a document that
+    has a field of another type that field is null.  A malformed file ends the run.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    # A file of white space alone is no JSON; anything that can't be parsed is an error here.
+    value = F.parse_json("value").alias("v")
+    documents = files.select(value).where("coalesce(schema_of_variant(try_variant_get(v, '$.sections', 'variant')), '') LIKE 'ARRAY%'")
+    fields = [f.strip().split(" ", 1) for f in _fields(CONTRACT_SCHEMA)]
+    # What isn't an array of sections after all, but of other values, is no document either.
+    return documents.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields]).where("sections is not null")
+
+
+def _fields(schema: str) -> list[str]:
+    """The fields of a schema in DDL, cut at commas outside of brackets."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += {"<": 1, ">": -1}.get(c, 0)
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def _from_contract(read: DataFrame) -> DataFrame:
     """Documents in the contract's form under the names and types of :data:`DOCUMENT_SCHEMA`."""
     pair = "struct<term:string,definition:string>"
@@ -127,3 +154,28 @@ def contract_json(docs: DataFrame, pretty: bool = True) -> DataFrame:
         "fragment", iso(F.col("extracted_at")).alias("extractedAt"), F.transform("sections", section).alias("sections"), "warnings",
     )
     return docs.select("url", *[c for c in ("path",) if c in docs.columns], F.to_json(whole, {"pretty": str(pretty).lower()}).alias("json"))
+
+
+#: The contract's names of columns of chunks and of the index.
+_NAMES = {
+    "chunk_id": "chunkId", "doc_id": "docId", "section_id": "sectionId", "block_id": "blockId", "block_type": "blockType", "snapshot_id": "snapshotId", "extracted_at": "extractedAt",
+    "text_hash": "textHash", "text_preview": "textPreview",
+}
+_KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def chunk_json(chunked: DataFrame, folder: str) -> DataFrame:
+    """``path`` below ``folder`` and ``text``: chunks as JSON under the contract's names; of chunks with one path the last."""
+    link = lambda d: F.struct(d["text"].alias("text"), d["href"].alias("href"), d["resolved_id"].alias("resolvedId"))
+    made = {"links": F.transform("links", link), "extracted_at": iso(F.col("extracted_at"))}
+    names = ("chunk_id", "doc_id", "url", "fragment", "family", "authority", "section_id", "block_id", "block_type", "heading", "level", "text", "source", "links", "snapshot_id", "extracted_at", "normativity")
+    text = F.to_json(F.struct(*[made.get(c, F.col(c)).alias(_NAMES.get(c, c)) for c in names]), _KEEP_NULLS)
+    order = F.struct("doc_order", "section_ordinal", "block_ordinal")
+    last = chunked.select("path", text.alias("text"), order.alias("o")).groupBy("path").agg(F.max_by("text", "o").alias("text"))
+    return last.select(F.concat(F.lit(f"{folder}/"), "path").alias("path"), "text")
+
+
+def index_json(index: DataFrame) -> DataFrame:
+    """``json``: entries of the index under the contract's names."""
+    names = ("chunk_id", "doc_id", "family", "heading", "section_id", "block_id", "url", "fragment", "path", "text_hash", "normativity", "block_type", "text_preview")
+    return index.select(F.to_json(F.struct(*[F.col(c).alias(_NAMES.get(c, c)) for c in names]), _KEEP_NULLS).alias("json"))
