@@ -1,9 +1,16 @@
 """License scan by canonical digest.
 
-A text and each known licence are brought to one canonical form (case,
-punctuation, white space, copyright lines, titles and equivalent spellings no
-longer count), digested, and joined by digest.  Entire texts are compared, never
-parts of one; a document's lines may be scanned as texts of their own, for notices.
+A text and each known licence are brought to canonical forms (case, punctuation,
+white space, line breaks and equivalent spellings no longer count), digested, and
+joined by digest.  Entire texts are compared, never parts of one; a document's
+lines may be scanned as texts of their own, for notices.
+
+There are two forms.  In the full one every word counts: it is that of licences
+that are handed on word for word, statements of copyright included.  In the bare
+one statements of copyright and titles are left out, which differ from copy to
+copy of the short licences.  A statement starts a line and ends with it, or, where
+the line ends in a comma, "and", "by" or "&", with the next; an enumerator "(c)"
+starts none unless a year follows.  A text is known by either form.
 
 Lines are brought to their form once; the entire text is its lines' words end to
 end.  Of the lines, only those as long as a known notice are digested.
@@ -69,7 +76,7 @@ _BSD_WARRANTY = (
     "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 #: The clauses are numbered, or marked with signs that don't count.
-_BULLETS = (("", "", ""), ("1.", "2.", "3."))
+_BULLETS = (("", "", ""), ("1.", "2.", "3."), ("(a)", "(b)", "(c)"))
 _RESERVED = ("", "All rights reserved.\n")
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
@@ -99,36 +106,36 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 )
-#: Digests of the canonical forms of licences too long to print here, as their publishers distribute them;
-#: where a licence ends in advice how to apply it, with and without that.
+#: Digests of the full forms of licences too long to print here, as their publishers distribute them;
+#: where a licence ends in advice how to apply it, with and without that, and with and without the line before it.
 KNOWN_DIGESTS = (
-    ("Apache-2.0", 9828, "3420cffbc5a189344e1877fb60e7273e53d7e783559abf595c291da52ded4de1"),
-    ("Apache-2.0", 8811, "536268a29a0159e67af17c6e67180c66dd3d63b55f1de711e05c122be8002289"),
-    ("Apache-2.0", 8783, "e31ac59f164ccf53aa974b50f93c9ea55654552a7beb0de32efa0ddda78b04a9"),
+    ("Apache-2.0", 9929, "8318fc18753641674a0b35f73f00e865e8cceb1ed8b6eb85f62d4a5d5146a5f1"),
+    ("Apache-2.0", 8872, "6530dac82be99e5bbcc128a6caf5bfdd0451a21fe23ac3df15ed85a1c550c859"),
+    ("Apache-2.0", 8844, "2b4a3f34572f63637f58db72bdacad38516a1e1e6788b08931d0a0d5c0be33dd"),
     ("Artistic-1.0-Perl", 5833, "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
     ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2", 19584, "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
-    ("GFDL-1.2", 18387, "8d636e2e2f248f9b102e9d9f78337901ec8bca3bfe91434cdcf261a01bf305b1"),
-    ("GFDL-1.3", 22020, "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
-    ("GFDL-1.3", 20823, "8b8b57bd195ed50d50edb5da1dd173b409fb9b075910c69726be7d0363c40008"),
-    ("GPL-1.0", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
-    ("GPL-1.0", 9415, "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
-    ("GPL-1.0", 9387, "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
-    ("GPL-2.0", 17117, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
-    ("GPL-2.0", 14483, "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
-    ("GPL-2.0", 14455, "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
-    ("GPL-3.0", 33409, "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
-    ("GPL-3.0", 30968, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
-    ("GPL-3.0", 30940, "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
-    ("LGPL-2.0", 24130, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
-    ("LGPL-2.0", 22277, "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
-    ("LGPL-2.0", 22249, "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
-    ("LGPL-2.1", 25217, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
-    ("LGPL-2.1", 23365, "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
-    ("LGPL-2.1", 23337, "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
-    ("LGPL-3.0", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", 22340, "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
-    ("MPL-2.0", 14284, "4389b7c80c5d1ae93b31c4594939d7de1a2cd8cbb91d63f692c81d1ebd9cf507"),
+    ("GFDL-1.2", 19667, "61501da4fb94cceda16cd9affa2c77a91451ac2041c3baac644d4090c86855de"),
+    ("GFDL-1.2", 18443, "54ac735272717aced6ea284772b1c97ffbffb0fb718ed7ca609ec1fcbe6e8898"),
+    ("GFDL-1.3", 22113, "cdf3d9ad52a468f1e3a38b3cd70b6b38978b4acbb41cceee134bf4e2e6168fe4"),
+    ("GFDL-1.3", 20889, "d651ff1557654d5aa24f6f7f68987b58e8d376b75beba4cab39a2dbf27de6930"),
+    ("GPL-1.0", 11843, "d408d9dad6e4560274412e743ec3ba01007197655029f60544c308bc54f80499"),
+    ("GPL-1.0", 9461, "90b42d1cf0f9ef747c945cda0a54d5bd16341c8491956c54b3f4f283efa0176a"),
+    ("GPL-1.0", 9433, "24bc5345819daf657c4709aebe2be24875e021dde1ced86cd813b9ae9ae62a60"),
+    ("GPL-2.0", 17200, "0bfb659bf7eeb9921df1446a6a93beba70e0dc947eec10a42d26bb310dccd498"),
+    ("GPL-2.0", 14534, "8607b1cff63e9a9dc468bf76327bdd0bb2d2abe09d6e8076427fd49236f46f29"),
+    ("GPL-2.0", 14506, "e1bcfaf28e42eba7ac6b0aa31f0165c8241a74641090fe675acc693f1a3e5df1"),
+    ("GPL-3.0", 33501, "7d478223d8fcde6480339b8bbaadacf6b93d7007d04a13fbd30f71a80fd981a0"),
+    ("GPL-3.0", 31028, "d9de3adc6f88fd297c319c8e5efae6a00c1606770b4d22bd8fdc95a7071b5251"),
+    ("GPL-3.0", 31000, "c5dfddbc99d5359297177162fc4dba244c813c2b1d105bae18b52b8c9eca813e"),
+    ("LGPL-2.0", 24208, "9ccbf81e2fd78db81966e466a22ed39318d0a4b4550cd69d1144dcf09722ff10"),
+    ("LGPL-2.0", 22323, "9e78fa98415a9a8c863589ab742457328d22cd2319bbf585de04b27baf33a2be"),
+    ("LGPL-2.0", 22295, "a1d17eaee69b0acf82494ed25367a5de1fc23474406d17ff81a7b1ee484363e2"),
+    ("LGPL-2.1", 25300, "a9cc8dda4023821e198a2e1bee36afc3e68fce90828780c7bac37ffe33565e15"),
+    ("LGPL-2.1", 23416, "f13ce8aa4b0cc0de7c3b73a95e705f217972ef8710e7c0a463342682e2e523de"),
+    ("LGPL-2.1", 23388, "e8ebe2513d0bd90d40bb6e894699a044e69aa9b44afada1fb47e767c3fed7f15"),
+    ("LGPL-3.0", 7164, "3ce770135de37fc153de7af30789ebf6cf1e9ad54eb9b487647ea8aa9ccae9c2"),
+    ("MPL-1.1", 22468, "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", 14354, "4544af666fc42fe3ea03e86d5db9fef4f4c41c50c15f04550119fdb67822747b"),
 )
 
 #: Lines that are no more than a licence's title, in canonical form.
@@ -145,9 +152,11 @@ NO_ID = -(1 << 63)
 
 #: A statement of copyright: behind comment marks, the word or the sign, then a year, the sign, "by", a blank to fill in or a name.
 COPYRIGHT_LINE = (
-    r"^[^\p{L}\p{N}(©]*((\([cC]\)|©)|[cC](opyright|OPYRIGHT)([ \t]*[:,]?[ \t]*(\([cC]\)|©|[0-9]{4}|[bB][yY] |[\[<{]))|Copyright (The |the )?[A-Z][a-z])"
+    r"^[^\p{L}\p{N}(©]*(\([cC]\)[ \t]*[0-9]{4}|©|[cC](opyright|OPYRIGHT)([ \t]*[:,]?[ \t]*(\([cC]\)|©|[0-9]{4}|[bB][yY] |[\[<{]))|Copyright (The |the )?[A-Z][a-z])"
 )
 NOT_A_COPYRIGHT_LINE = r"^[^\p{L}\p{N}(©]*Copyright (The |the )?(Notice|Holder|Owner|License|Licence|Law|Statement)"
+#: How a statement's line ends that goes on in the next one.
+GOES_ON = r"(,|&|\b[aA]nd|\b[bB]y)[ \t\r]*$"
 NOT_A_WORD = r"[^\p{L}\p{N} ]+"
 
 
@@ -174,14 +183,26 @@ def one_spelling(words: Column) -> Column:
     return F.trim(F.replace(x, F.lit("  "), F.lit(" ")))
 
 
+def goes_on(before: Column) -> Column:
+    """Whether the line before starts a statement that it doesn't end."""
+    return F.coalesce(before["starts"] & before["line"].rlike(GOES_ON), F.lit(False))
+
+
 def line_forms(text: Column) -> Column:
-    """Per line with words: the ``words``, whether it is a ``copyright`` statement, and whether it does ``count`` in the entire text."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(line_form(x).alias("words"), is_copyright(x).alias("copyright")))
+    """Per line with words: the ``words``, whether it is of a ``copyright`` statement, and whether it does ``count`` in the bare form."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), is_copyright(x).alias("starts")))
+    # Bound to a name, so that a line can look at the one before it.
+    lines = F.transform(F.array(lines), lambda all_lines: F.transform(all_lines, lambda x, i: F.struct(line_form(x["line"]).alias("words"), (x["starts"] | goes_on(F.get(all_lines, i - 1))).alias("copyright"))))[0]
     return F.transform(F.filter(lines, lambda x: x["words"] != ""), lambda x: F.struct(x["words"].alias("words"), x["copyright"].alias("copyright"), (~x["copyright"] & ~x["words"].isin(*TITLES)).alias("count")))
 
 
+def full_form(forms: Column) -> Column:
+    """The full canonical form of an entire text from those of its lines."""
+    return one_spelling(F.array_join(F.transform(forms, lambda x: x["words"]), " "))
+
+
 def whole_form(forms: Column) -> Column:
-    """The canonical form of an entire text from those of its lines."""
+    """The bare canonical form of an entire text from those of its lines."""
     return one_spelling(F.array_join(F.transform(F.filter(forms, lambda x: x["count"]), lambda x: x["words"]), " "))
 
 
@@ -190,7 +211,7 @@ _ODD = ("licence", "sub licen", "non commercial", "per cent", "copyright owner",
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form in hex; null where no word is left."""
+    """SHA-256 of the bare form in hex; null where no word is left."""
     x = whole_form(line_forms(text))
     return F.when(x != "", F.sha2(x, 256))
 
@@ -204,9 +225,9 @@ def known_digests(spark: SparkSession, known=KNOWN, digests=KNOWN_DIGESTS) -> Da
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, lines: bool = True, broadcast_rows: int = 100_000) -> DataFrame:
-    """Per document: ``text_digest``, ``license`` of the entire text, and of its lines ``n_notices`` and ``notices``.
+    """Per document: ``text_digest`` of the bare form, ``license`` of the entire text, and of its lines ``n_notices`` and ``notices``.
 
-    ``known`` (``digest``, ``license``, and ``length`` of the form, or null) is
+    ``known`` (``digest`` of either form, ``license``, and ``length`` of the form, or null) is
     counted and broadcast up to ``broadcast_rows`` rows of some hundred bytes
     each, joined by shuffle beyond.  Null, empty and wordless texts get a null
     digest and no licence.  Repeated rows are scanned each; rows of one
@@ -223,7 +244,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, lines: bool =
     # Generators of one row keep the optimizer from working out the forms again for every use.
     forms = docs.select("doc_id", F.explode_outer(F.array(line_forms(F.col("text")))).alias("f"))
     odd = reduce(Column.__or__, (F.contains("all", F.lit(x)) for x in _ODD))
-    forms = forms.select("doc_id", "f", F.explode_outer(F.array(F.array_join(F.transform("f", lambda x: x["words"]), " "))).alias("all")).select("doc_id", "f", odd.alias("odd"))
+    forms = forms.select("doc_id", "f", F.explode_outer(F.array(F.array_join(F.transform("f", lambda x: x["words"]), " "))).alias("all")).select("doc_id", "f", "all", odd.alias("odd"))
+    full = F.when(F.col("odd"), one_spelling(F.col("all"))).otherwise(F.col("all"))
     whole = F.array_join(F.transform(F.filter("f", lambda x: x["count"]), lambda x: x["words"]), " ")
     whole = F.when(F.col("odd"), one_spelling(whole)).otherwise(whole)
     words = F.transform(F.filter("f", lambda x: ~x["copyright"]), lambda x: x["words"])
@@ -231,9 +253,11 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, lines: bool =
     # A line as long as no known notice is none.
     fits = (lambda x: F.lit(True)) if None in lengths or len(lengths) > LENGTHS else (lambda x: F.length(x).isin(*lengths))
     notices = F.transform(F.filter(words, fits), lambda x: F.sha2(x, 256)) if lines else F.array().cast("array<string>")
-    rows = forms.select("doc_id", F.explode_outer(F.array(whole)).alias("whole"), notices.alias("notices"))
-    rows = written(rows.select("doc_id", F.when(F.col("whole") != "", F.sha2("whole", 256)).alias("text_digest"), "notices"), "forms")
-    out = rows.join(known, F.col("text_digest") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license")
+    rows = forms.select("doc_id", F.explode_outer(F.array(whole)).alias("whole"), F.sha2(full, 256).alias("full_digest"), notices.alias("notices"))
+    rows = written(rows.select("doc_id", F.when(F.col("whole") != "", F.sha2("whole", 256)).alias("text_digest"), "full_digest", "notices"), "forms")
+    by_full = known.select(F.col("known_digest").alias("full_digest"), F.col("license").alias("full_license"))
+    out = rows.join(known, F.col("text_digest") == F.col("known_digest"), "left").join(by_full, "full_digest", "left")
+    out = out.select("doc_id", "text_digest", F.coalesce("license", "full_license").alias("license"))
     if not lines:
         return out
     found = rows.select("doc_id", F.explode("notices").alias("notice")).join(known, F.col("notice") == F.col("known_digest"))

@@ -171,9 +171,12 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(a
 WITH texts AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, NULL AS license FROM documents
   UNION ALL SELECT -row_number() OVER (), NULL, body, name FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in license_scan.KNOWN)}) v(name, body)),
-line AS (
-  SELECT id, doc_id, pos, {_line_sql('l')} AS words, regexp_matches(l, '{license_scan.COPYRIGHT_LINE}') AND NOT regexp_matches(l, '{license_scan.NOT_A_COPYRIGHT_LINE}') AS statement
+starts AS (
+  SELECT *, regexp_matches(l, '{license_scan.COPYRIGHT_LINE}') AND NOT regexp_matches(l, '{license_scan.NOT_A_COPYRIGHT_LINE}') AS start
   FROM (SELECT id, doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS pos FROM texts)),
+line AS (
+  SELECT id, doc_id, pos, {_line_sql('l')} AS words, start OR coalesce(lag(start AND regexp_matches(l, '{license_scan.GOES_ON}')) OVER (PARTITION BY id ORDER BY pos), false) AS statement FROM starts),
+entire AS (SELECT id, {_spelled_sql("string_agg(words, ' ' ORDER BY pos)")} AS c FROM line WHERE words <> '' GROUP BY id),
 whole AS (
   SELECT id, {_spelled_sql("string_agg(words, ' ' ORDER BY pos)")} AS c FROM line
   WHERE words <> '' AND NOT statement AND words NOT IN ({', '.join(map(_quoted, license_scan.TITLES))}) GROUP BY id),
@@ -184,8 +187,8 @@ known AS (
 found AS (
   SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS names
   FROM line JOIN known ON digest = sha256({_spelled_sql('words')}) WHERE id > 0 AND words <> '' AND NOT statement GROUP BY doc_id)
-SELECT d.doc_id, sha256(w.c) AS text_digest, k.license, coalesce(f.n, 0) AS n_notices, coalesce(f.names, '') AS notices
-FROM texts d LEFT JOIN whole w USING (id) LEFT JOIN known k ON k.digest = sha256(w.c) LEFT JOIN found f ON f.doc_id IS NOT DISTINCT FROM d.doc_id WHERE d.id > 0
+SELECT d.doc_id, sha256(w.c) AS text_digest, coalesce(k.license, ke.license) AS license, coalesce(f.n, 0) AS n_notices, coalesce(f.names, '') AS notices
+FROM texts d LEFT JOIN whole w USING (id) LEFT JOIN known k ON k.digest = sha256(w.c) LEFT JOIN entire e USING (id) LEFT JOIN known ke ON ke.digest = sha256(e.c) LEFT JOIN found f ON f.doc_id IS NOT DISTINCT FROM d.doc_id WHERE d.id > 0
 """,
     "op4_line_templates": r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(doc_id, -9223372036854775808) AS key, doc_id, text FROM documents),
