@@ -37,7 +37,7 @@ def extract(
 ) -> DataFrame:
     """Documents of manifest entries that carry their snapshot (``content``, ``content_type``, ``charset``, ``snapshot_id``).
 
-    HTML pages go their own way, through tables of nodes; all other entries take
+    HTML and XML go their own way, through tables of nodes; all other entries take
     one pass, in which every parser sees nulls but for its own rows.  Where it is
     known which extractors occur, naming them leaves the others out of the plan;
     with ``text`` alone no Python runs and nothing is shuffled.  ``run_ts`` stamps
@@ -62,11 +62,11 @@ def extract(
     text, warning = F.col("t.text"), F.col("t.warning")
     keep = [c for c in ("doc_seq", "output", "label") if c in entries.columns]
     head = [*keep, "url", "family", "authority", "document_type", "snapshot_id"]
-    pages = rows.where(F.col("route") == "html").select(*head, text.alias("text"), warning.alias("warning"))
-    rows = rows.where(F.col("route") != "html")
+    # Pages and XML go their own way, through tables of their nodes.
+    apart = {"html": lambda part: html_extract.extract_pages(part, rules=rules), "xml": xml_extract.extract_texts}
+    parts = {name: rows.where(F.col("route") == name).select(*head, text.alias("text"), warning.alias("warning")) for name in apart if name in extractors}
+    rows = rows.where(~F.col("route").isin(*apart))
     made = {}
-    if "xml" in extractors:
-        made["xml"] = with_warnings(xml_extract.extracted(own("xml", text), url), warning)
     if "text" in extractors:
         made["text"] = with_warnings(text_extract.extracted(text, url), warning)
     if "pdf" in extractors:
@@ -78,9 +78,8 @@ def extract(
     for name, x in made.items():
         extraction = F.when(F.col("route") == name, x).otherwise(extraction)
     docs = rows.select(*head, extraction.alias("e"))
-    if "html" in extractors:
-        found = html_extract.extract_pages(pages, rules=rules)
-        docs = docs.unionByName(found.select(*head, with_warnings(F.col("e"), F.col("warning")).alias("e")))
+    for name, part in parts.items():
+        docs = docs.unionByName(apart[name](part).select(*head, with_warnings(F.col("e"), F.col("warning")).alias("e")))
     docs = docs.select(
         *keep, F.lit(SCHEMA_VERSION).alias("schema_version"), "url", F.col("e.title").alias("title"), "family", "authority", "document_type", "snapshot_id",
         fragment_of(url).alias("fragment"), run_ts.alias("extracted_at"), F.col("e.sections").alias("sections"), F.col("e.warnings").alias("warnings"),

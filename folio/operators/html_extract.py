@@ -11,9 +11,6 @@ rest is Spark.  It goes from pages to rows of nodes, of blocks and of sections,
 ``block_rows``    a row a block, with the nodes between its ``pre`` and ``end``
 ``section_rows``  a row a section, with the blocks between two running counts
 
-Expressions are SQL text: one that is built from Python columns asks the JVM for
-each of its parts, and there are thousands of them.
-
 Pages are parsed once each and dealt by a number of their own; the windows and
 gatherings behind keep that dealing, so that there is one exchange, of a row a
 page.
@@ -22,7 +19,6 @@ page.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +29,7 @@ from folio.operators.html_nodes import nodes_of
 from folio.operators.htmltree import HEADINGS
 from folio.operators.schema import BLOCK, BLOCK_FIELDS, EXTRACTED, SECTION, SOURCE
 from folio.operators.selectors import sql_matches
+from folio.operators.sqltext import first, fresh, full, let, normal, one_of, quoted, struct, transform, where, with_fields
 
 #: Elements that are blocks, and elements that are sections.
 BLOCK_TAGS = frozenset("p pre ul ol table blockquote dl emu-alg emu-grammar emu-code emu-note emu-example emu-equation emu-table".split())
@@ -45,63 +42,6 @@ EXAMPLE = ("example", "examples")
 NORMATIVE = ("normative",)
 
 PAGE = ("page", "own", "body", "root", "scope", "title")
-_RUNS = f"[{JAVA_WHITE.replace(' ', '', 1)}][{JAVA_WHITE}]*| [{JAVA_WHITE}]+"
-_names = count()
-
-
-# SQL text.
-
-
-def quoted(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def fresh() -> str:
-    """A name for a lambda's variable that no other has."""
-    return f"v{next(_names)}"
-
-
-def let(x: str, body: Callable[[str], str]) -> str:
-    """``body`` of ``x``, which is worked out once however often it is named."""
-    v = fresh()
-    return f"transform(array({x}), {v} -> {body(v)})[0]"
-
-
-def transform(items: str, body: Callable[..., str], index: bool = False) -> str:
-    v, i = fresh(), fresh()
-    return f"transform({items}, ({v}, {i}) -> {body(v, i)})" if index else f"transform({items}, {v} -> {body(v)})"
-
-
-def where(items: str, test: Callable[..., str], index: bool = False) -> str:
-    v, i = fresh(), fresh()
-    return f"filter({items}, ({v}, {i}) -> {test(v, i)})" if index else f"filter({items}, {v} -> {test(v)})"
-
-
-def first(items: str) -> str:
-    return f"get({items}, 0)"
-
-
-def one_of(x: str, values: Iterable[str]) -> str:
-    return f"coalesce({x} IN ({', '.join(quoted(v) for v in sorted(values))}), false)"
-
-
-def full(x: str) -> str:
-    """Null for an empty string."""
-    return f"nullif({x}, '')"
-
-
-def normal(x: str) -> str:
-    """White space normalised, as :func:`folio.functions.text.normalize_text` does it."""
-    return f"trim(regexp_replace(coalesce({x}, ''), r'{_RUNS}', ' '))"
-
-
-def with_fields(x: str, fields: dict[str, str], names: Iterable[str]) -> str:
-    """A struct of ``x``'s fields ``names`` and more."""
-    return "named_struct(" + ", ".join([f"'{n}', {x}.`{n}`" for n in names] + [f"'{n}', {v}" for n, v in fields.items()]) + ")"
-
-
-def struct(**fields: str) -> str:
-    return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in fields.items()) + ")"
 
 
 class Rules:

@@ -1,27 +1,20 @@
-"""XML and XML Schema texts to sections.
+"""XML and XML Schema texts to sections, as columns over flat tables of elements.
 
-A text is parsed with expat; entities that it declares itself are not expanded.
 Schemas become lists of definitions by kind, any other text becomes its lines of
-path and value.
+path and value.  The parser hands out a text's elements
+(:mod:`folio.operators.xml_nodes`); what an element holds is an interval of them.
+Texts are dealt once, by a number of their own; a schema's definitions are rows
+on the way, each with the elements below it.
 """
 
 from __future__ import annotations
 
-import re
-import xml.parsers.expat
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
-
-from folio.functions.text import PY_WHITE
-from folio.operators.schema import EXTRACTED, block
 
-#: White space but for single blanks, which stay as they are.
-_SPACES = re.compile(f"[{PY_WHITE.replace(' ', '')}][{PY_WHITE}]*| [{PY_WHITE}]+")
+from folio.operators.schema import BLOCK, BLOCK_FIELDS, EXTRACTED, SECTION
+from folio.operators.sqltext import first, full, let, normal, one_of, quoted, struct, transform, where, with_fields
+from folio.operators.xml_nodes import elements_of
 
 #: Attributes that describe a schema, an element and an attribute, in order.
 SCHEMA_ATTRIBUTES = ("targetNamespace", "elementFormDefault", "attributeFormDefault", "version", "id")
@@ -37,268 +30,210 @@ KINDS = (
     ("simpleType", "simple-types", "Simple Types", "simple-type-definitions"),
 )
 LINES, NAMES, ASSERTIONS, DOCUMENTATION = 2000, 20, 10, 240
+FIELDS = ("pre", "end", "parent", "name", "nth", "of", "attributes", "text")
 
 
-def clean(text: str | None) -> str:
-    return _SPACES.sub(" ", text or "").strip(" ")
+class Tree:
+    """A stretch of a text's elements, from the place behind ``base`` on."""
 
+    def __init__(self, nodes: str, base: str = "-1"):
+        self.nodes, self.base = nodes, base
 
-def numbered(sections: list[dict]) -> list[dict]:
-    """Sections and blocks with their ordinals."""
-    return [{**s, "ordinal": i, "blocks": [{**b, "ordinal": j} for j, b in enumerate(s["blocks"])]} for i, s in enumerate(sections)]
+    def below(self, x: str) -> str:
+        return f"slice({self.nodes}, {x}.pre - {self.base} + 1, {x}.`end` - {x}.pre - 1)"
 
+    def deep(self, x: str, *locals_: str) -> str:
+        """Descendants of these names, parents before children."""
+        return where(self.below(x), lambda k: one_of(f"{k}.local", locals_))
 
-class Node:
-    """An element: qualified name, attributes, own text, and children grouped by name at the first one's place."""
+    def all(self, x: str, *locals_: str) -> str:
+        return where(self.below(x), lambda k: f"{k}.parent = {x}.pre AND {one_of(f'{k}.local', locals_)}")
 
-    __slots__ = ("name", "attributes", "text", "groups")
+    def first(self, x: str, local: str) -> str:
+        return first(self.all(x, local))
 
-    def __init__(self, name: str, attributes: dict[str, str]):
-        self.name, self.attributes, self.text = name, attributes, ""
-        self.groups: dict[str, list[Node]] = {}
 
-    @property
-    def local(self) -> str:
-        return self.name.rsplit(":", 1)[-1]
+def attribute(x: str, name: str) -> str:
+    """The value of an attribute, null without it."""
+    return f"{first(where(f'{x}.attributes', lambda a: f'{a}.name = {quoted(name)}'))}.value"
 
-    def children(self) -> Iterator[Node]:
-        for group in self.groups.values():
-            yield from group
 
-    def all(self, local: str) -> list[Node]:
-        return [n for n in self.children() if n.local == local]
+def own(x: str, name: str) -> str:
+    """The value of an attribute, null where it is empty."""
+    return full(attribute(x, name))
 
-    def first(self, local: str) -> Node | None:
-        return next((n for n in self.children() if n.local == local), None)
 
-    def deep(self, local: str) -> Iterator[Node]:
-        """Descendants of this name, parents before children."""
-        stack = list(self.children())[::-1]
-        while stack:
-            node = stack.pop()
-            if node.local == local:
-                yield node
-            stack.extend(list(node.children())[::-1])
+def either(*values: str) -> str:
+    return f"coalesce({', '.join(values)})"
 
-    def get(self, name: str) -> str:
-        return self.attributes.get(name) or ""
 
+def summary(items: str, limit: int) -> str:
+    """The first names and how many more there are."""
+    return let(items, lambda v: f"concat(array_join(slice({v}, 1, {limit}), ', '), CASE WHEN size({v}) > {limit} THEN concat(', ... (+', size({v}) - {limit}, ' more)') ELSE '' END)")
 
-def parse(text: str) -> Node | None:
-    """The root element; raises on malformed text, and on entity declarations."""
-    parser = xml.parsers.expat.ParserCreate()
-    parser.buffer_text = True
-    root: list[Node] = []
-    stack: list[Node] = []
 
-    def start(name, attributes):
-        node = Node(name, attributes)
-        if stack:
-            stack[-1].groups.setdefault(name, []).append(node)
-        else:
-            root.append(node)
-        stack.append(node)
+def listed(name: str, items: str, limit: int = NAMES) -> str:
+    return let(items, lambda v: f"CASE WHEN size({v}) > 0 THEN concat('{name}=[', {summary(v, limit)}, ']') END")
 
-    def data(value):
-        if stack:
-            stack[-1].text += value
 
-    def refuse(*_):
-        raise ValueError("entity declarations are not expanded")
+def options_of(x: str) -> str:
+    return f"array_join({transform(f'{x}.attributes', lambda a: f"concat({a}.name, '=', {a}.value)")}, ', ')"
 
-    parser.StartElementHandler, parser.CharacterDataHandler = start, data
-    parser.EndElementHandler = lambda _: stack.pop()
-    parser.EntityDeclHandler = refuse
-    parser.Parse(text.lstrip("\ufeff"), True)
-    return root[0] if root else None
 
+def brief(x: str, names: tuple[str, ...]) -> str:
+    """An element or attribute inside a model, with some of its options."""
+    options = f"array_join(array({', '.join(f"concat('{n}=', {own(x, n)})" for n in names)}), ', ')"
+    label = either(own(x, "name"), own(x, "ref"), "'(anonymous)'")
+    return let(options, lambda o: normal(f"CASE WHEN {o} <> '' THEN concat({label}, ' (', {o}, ')') ELSE {label} END"))
 
-def summary(names: list[str], limit: int = NAMES) -> str:
-    more = f", ... (+{len(names) - limit} more)" if len(names) > limit else ""
-    return ", ".join(names[:limit]) + more
 
+def within(tree: Tree, x: str, local: str, names: tuple[str, ...]) -> str:
+    """What a content model holds of one name; what stands inside such an element is its own affair."""
+    outer = lambda v: where(v, lambda k: f"NOT exists({v}, m -> m.pre < {k}.pre AND {k}.pre < m.`end`)")
+    return transform(let(tree.deep(x, local), outer), lambda k: brief(k, names))
 
-def shortened(text: str, limit: int = DOCUMENTATION) -> str:
-    return text if len(text) <= limit else text[: limit - 3] + "..."
 
+def facets(tree: Tree, restriction: str) -> str:
+    kept = where(tree.below(restriction), lambda k: f"{k}.parent = {restriction}.pre AND NOT {one_of(f'{k}.local', ('annotation', 'simpleType'))}")
 
-def documentation(node: Node) -> str:
-    texts = [clean(" ".join(_texts(d))) for a in node.all("annotation") for d in a.all("documentation")]
-    return clean(" ".join(t for t in texts if t))
+    def one(k: str) -> str:
+        plain = f"size({k}.attributes) = 1 AND {k}.attributes[0].name = 'value'"
+        return normal(f"CASE WHEN {plain} THEN concat({k}.local, '=', {k}.attributes[0].value) WHEN size({k}.attributes) > 0 THEN concat({k}.local, '(', {options_of(k)}, ')') ELSE {k}.local END")
 
+    return transform(kept, one)
 
-def _texts(node: Node) -> Iterator[str]:
-    stack = [node]
-    while stack:
-        node = stack.pop()
-        if node.text:
-            yield node.text
-        stack.extend(list(node.children())[::-1])
 
+def assertions(tree: Tree, x: str) -> str:
+    return transform(tree.deep(x, "assert"), lambda k: f"CASE WHEN size({k}.attributes) > 0 THEN {normal(f"concat('assert(', {options_of(k)}, ')')")} ELSE 'assert' END")
 
-def described(pairs: list[tuple[str, str | None]]) -> str:
-    return clean("; ".join(f"{k}={v}" for k, v in pairs if v is not None))
 
+def base_of(tree: Tree, x: str) -> str:
+    """What a complex type extends or restricts."""
+    ways = [let(tree.first(x, content), lambda c, way=way: let(tree.first(c, way), lambda w: own(w, "base"))) for content in ("complexContent", "simpleContent") for way in ("extension", "restriction")]
+    return either(*ways)
 
-def listed(name: str, entries: list[str], limit: int = NAMES) -> list[tuple[str, str]]:
-    return [(name, f"[{summary(entries, limit)}]")] if entries else []
 
+#: How a simple type is made: the element, its attribute, the name of that in a definition, and in front of an inline type.
+WAYS = (("restriction", "base", "base", ""), ("list", "itemType", "listOf", "list:"), ("union", "memberTypes", "unionOf", "union:"))
 
-def brief(node: Node, names: tuple[str, ...]) -> str:
-    """An element or attribute inside a model, with some of its options."""
-    options = ", ".join(f"{n}={node.get(n)}" for n in names if node.get(n))
-    label = node.get("name") or node.get("ref") or "(anonymous)"
-    return clean(f"{label} ({options})" if options else label)
-
-
-def within(node: Node, local: str, names: tuple[str, ...]) -> list[str]:
-    """What a content model holds of one name; what stands inside such a node is its own affair."""
-    out, stack = [], list(node.children())[::-1]
-    while stack:
-        child = stack.pop()
-        if child.local == local:
-            out.append(brief(child, names))
-        else:
-            stack.extend(list(child.children())[::-1])
-    return out
 
+def inline_type(tree: Tree, x: str) -> str:
+    """What an inline simple type is made from; null without one."""
+
+    def made(inner: str) -> str:
+        return f"CASE WHEN {inner} IS NOT NULL THEN {either(*[f"concat('{prefix}', {let(tree.first(inner, local), lambda w, name=name: own(w, name))})" for local, name, _, prefix in WAYS], "'inline'")} END"
 
-def options_of(node: Node) -> str:
-    return ", ".join(f"{k}={v}" for k, v in node.attributes.items())
+    return let(tree.first(x, "simpleType"), made)
 
 
-def facets(restriction: Node) -> list[str]:
+def simple_type(tree: Tree, x: str) -> list[str]:
+    """The base of a simple type, and the facets of a restriction; the first way of making one counts."""
     out = []
-    for facet in restriction.children():
-        if facet.local in ("annotation", "simpleType"):
-            continue
-        if list(facet.attributes) == ["value"]:
-            out.append(clean(f"{facet.local}={facet.attributes['value']}"))
-        else:
-            out.append(clean(f"{facet.local}({options_of(facet)})" if facet.attributes else facet.local))
+    for i, (local, name, key, _) in enumerate(WAYS):
+        earlier = " AND ".join([f"{tree.first(x, other)} IS NULL" for other, *_ in WAYS[:i]] or ["true"])
+        out.append(f"CASE WHEN {earlier} THEN {let(tree.first(x, local), lambda w, name=name, key=key: f"concat('{key}=', {either(own(w, name), inline_type(tree, w))})")} END")
+        if local == "restriction":
+            out.append(let(tree.first(x, local), lambda w: f"CASE WHEN {w} IS NOT NULL THEN {listed('facets', facets(tree, w))} END"))
     return out
 
 
-def assertions(node: Node) -> list[str]:
-    return [clean(f"assert({options_of(a)})") if a.attributes else "assert" for a in node.deep("assert")]
-
-
-def base_of(node: Node) -> str | None:
-    """What a complex type extends or restricts."""
-    ways = ((content, way) for content in ("complexContent", "simpleContent") for way in ("extension", "restriction"))
-    steps = (holder.first(way) for content, way in ways if (holder := node.first(content)) is not None)
-    return next((s.get("base") for s in steps if s is not None and s.get("base")), None)
-
-
-def inline_type(parent: Node) -> str | None:
-    """What an inline simple type is made from."""
-    inner = parent.first("simpleType")
-    if inner is None:
-        return None
-    made = ((inner.first(local), name, prefix) for local, name, prefix in (("restriction", "base", ""), ("list", "itemType", "list:"), ("union", "memberTypes", "union:")))
-    return next((prefix + node.get(name) for node, name, prefix in made if node is not None and node.get(name)), "inline")
-
+def documentation(tree: Tree, x: str) -> str:
+    def text(d: str) -> str:
+        every = f"concat(array({d}.text), {transform(tree.below(d), lambda k: f'{k}.text')})"
+        return normal(f"array_join({where(every, lambda t: f"{t} <> ''")}, ' ')")
 
-def attributes_of(node: Node, names: tuple[str, ...]) -> list[tuple[str, str | None]]:
-    return [(n, node.attributes.get(n)) for n in names]
+    texts = f"flatten({transform(tree.all(x, 'annotation'), lambda a: transform(tree.all(a, 'documentation'), text))})"
+    return normal(f"array_join({where(texts, lambda t: f"{t} <> ''")}, ' ')")
 
 
-def definition(node: Node) -> str:
+def definition(tree: Tree, x: str) -> str:
     """One definition as ``key=value`` pairs, by its kind."""
-    elements = listed("elements", within(node, "element", ("type", "minOccurs", "maxOccurs")))
-    attributes = listed("attributes", within(node, "attribute", ("type", "use")))
-    pairs: list[tuple[str, str | None]] = []
-    match node.local:
-        case "element":
-            # Only names without a prefix count as inline types.
-            inline = next((n for n in ("complexType", "simpleType") if n in node.groups), None)
-            pairs = [*attributes_of(node, ELEMENT_ATTRIBUTES), ("inlineType", inline), *elements, *attributes]
-        case "attribute":
-            pairs = attributes_of(node, ATTRIBUTE_ATTRIBUTES)
-        case "attributeGroup":
-            pairs = attributes
-        case "group":
-            pairs = elements
-        case "complexType":
-            pairs = [*attributes_of(node, ("mixed", "abstract", "block", "final")), ("base", base_of(node)), *elements, *attributes, *listed("assertions", assertions(node), ASSERTIONS)]
-        case _:
-            pairs = attributes_of(node, ("final",))
-            for local, name, key in (("restriction", "base", "base"), ("list", "itemType", "listOf"), ("union", "memberTypes", "unionOf")):
-                if (way := node.first(local)) is not None:
-                    pairs.append((key, way.get(name) or inline_type(way)))
-                    pairs += listed("facets", facets(way)) if local == "restriction" else []
-                    break
-    doc = documentation(node)
-    return described([*pairs, ("doc", shortened(doc) if doc else None)])
-
-
-def label_of(node: Node) -> str:
-    ref = node.get("ref") if node.local in ("element", "attribute", "group", "attributeGroup") else ""
-    prefix = "ref:" if node.local in ("element", "attribute") else ""
-    return clean(f"{node.local} {node.get('name') or (prefix + ref if ref else '(anonymous)')}")
-
-
-def definition_section(name: str, heading: str, block_id: str, definitions: list[dict]) -> dict:
-    return {"id": name, "heading": heading, "level": 1, "source": None, "blocks": [block(id=block_id, type="definitionList", definitions=definitions)]}
-
-
-def schema_sections(root: Node) -> list[dict]:
-    names = sorted((n for n in root.attributes if n in SCHEMA_ATTRIBUTES or n.startswith("xmlns")), key=lambda n: (n.lower(), n))
-    about = [{"term": clean(n), "definition": clean(root.attributes[n])} for n in names]
-    out = [definition_section("schema-metadata", "Schema Metadata", "schema-attributes", about)] if about else []
-    for local, name, heading, block_id in KINDS:
-        found = [{"term": label_of(n), "definition": definition(n)} for n in root.deep(local)]
-        if found:
-            out.append(definition_section(name, heading, block_id, found))
-    return out
-
-
-def lines_of(node: Node, path: str) -> Iterator[str]:
-    """An element's attributes, then its children's lines, then its own text."""
-    stack: list[tuple[Node, str] | str] = [(node, path)]
-    while stack:
-        top = stack.pop()
-        if isinstance(top, str):
-            yield top
-            continue
-        node, path = top
-        for name, value in node.attributes.items():
-            yield f"{path} @{name}: {value}"
-        if text := clean(node.text):
-            stack.append(f"{path}/#text: {text}")
-        inner = [(child, f"{path}/{name}[{i}]" if len(group) > 1 else f"{path}/{name}") for name, group in node.groups.items() for i, child in enumerate(group)]
-        stack.extend(inner[::-1])
-
-
-def generic_sections(root: Node | None) -> list[dict]:
-    items = []
-    if root is not None:
-        for line in lines_of(root, f"/{root.name}"):
-            items.append(line)
-            if len(items) == LINES:
-                break
-    return [{"id": None, "heading": root.name if root is not None else "document", "level": 1, "source": None, "blocks": [block(id="xml-lines", type="list", items=items)]}]
-
-
-def extract_xml(text: str | None, url: str, title: str | None = None) -> dict:
-    """One text: ``title``, ``sections`` and ``warnings``; what can't be parsed has a warning and no sections.
-
-    Elements may nest to any depth.
+    some = lambda names: [f"concat('{n}=', {attribute(x, n)})" for n in names]
+    elements = listed("elements", within(tree, x, "element", ("type", "minOccurs", "maxOccurs")))
+    attributes = listed("attributes", within(tree, x, "attribute", ("type", "use")))
+    # Only names without a prefix count as inline types.
+    child = lambda name: f"exists({tree.below(x)}, k -> k.parent = {x}.pre AND k.name = '{name}')"
+    inline = f"CASE WHEN {child('complexType')} THEN 'inlineType=complexType' WHEN {child('simpleType')} THEN 'inlineType=simpleType' END"
+    pairs = {
+        "element": [*some(ELEMENT_ATTRIBUTES), inline, elements, attributes],
+        "attribute": some(ATTRIBUTE_ATTRIBUTES),
+        "attributeGroup": [attributes],
+        "group": [elements],
+        "complexType": [*some(("mixed", "abstract", "block", "final")), f"concat('base=', {base_of(tree, x)})", elements, attributes, listed("assertions", assertions(tree, x), ASSERTIONS)],
+        "simpleType": [*some(("final",)), *simple_type(tree, x)],
+    }
+    cases = " ".join(f"WHEN '{kind}' THEN array({', '.join(p)})" for kind, p in pairs.items())
+    short = lambda d: f"CASE WHEN length({d}) > {DOCUMENTATION} THEN concat(left({d}, {DOCUMENTATION - 3}), '...') ELSE {d} END"
+    doc = let(full(documentation(tree, x)), lambda d: f"concat('doc=', {short(d)})")
+    # array_join leaves out what is null.
+    return normal(f"array_join(concat(CASE {x}.local {cases} END, array({doc})), '; ')")
+
+
+def label_of(x: str) -> str:
+    ref = f"CASE WHEN {one_of(f'{x}.local', ('element', 'attribute'))} THEN concat('ref:', {own(x, 'ref')}) WHEN {one_of(f'{x}.local', ('group', 'attributeGroup'))} THEN {own(x, 'ref')} END"
+    return normal(f"concat({x}.local, ' ', {either(own(x, 'name'), ref, "'(anonymous)'")})")
+
+
+def _block(**parts: str) -> str:
+    return f"CAST({struct(**{f: parts.get(f, 'NULL') for f in BLOCK_FIELDS})} AS {BLOCK})"
+
+
+def _section(ordinal: str, name: str, heading: str, block: str) -> str:
+    return f"CAST({struct(ordinal=ordinal, id=name, heading=heading, level='1', source='NULL', blocks=f'array({block})')} AS {SECTION})"
+
+
+def lines_of(n: str) -> str:
+    """Lines of an element's attributes, then of its children, then its own text, the first ones; each with the path of its element."""
+    last = lambda x: f"{x}.`end` - 1"
+    line = lambda a, b, c, d, at, text: struct(a=a, b=b, c=c, d=d, at=at, text=text)
+    marks = lambda x: transform(f"{x}.attributes", lambda p, i: line(f"{x}.pre", "0", "0", i, f"{x}.pre", f"concat(' @', {p}.name, ': ', {p}.value)"), True)
+    # What an element says itself comes behind all below it, and of elements that end together the inner one first.
+    said = lambda x: let(normal(f"{x}.text"), lambda t: f"CASE WHEN {t} <> '' THEN array({line(last(x), '1', f'-{x}.pre', '0', f'{x}.pre', f"concat('/#text: ', {t})")}) ELSE array() END")
+    every = f"flatten({transform(n, lambda x: f'concat({marks(x)}, {said(x)})')})"
+    step = lambda k: f"concat('/', {k}.name, CASE WHEN {k}.of > 1 THEN concat('[', {k}.nth, ']') ELSE '' END)"
+    # Ancestors are those before it that end behind it.
+    path = lambda at: f"array_join({transform(where(f'slice({n}, 1, {at} + 1)', lambda k: f'{k}.`end` > {at}'), step)}, '')"
+    return transform(f"slice(array_sort({every}), 1, {LINES})", lambda v: f"concat({path(f'{v}.at')}, {v}.text)")
+
+
+def extract_texts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` (with ``url``) with ``e``, the extraction of their XML, in place of ``text``.
+
+    What can't be parsed has a warning and no sections.  Elements may nest to any
+    depth.
     """
-    try:
-        root = parse(text or "") if text else None
-    except (xml.parsers.expat.ExpatError, ValueError) as error:
-        return {"title": title or url, "sections": [], "warnings": [f"XML parse failed: {error}"]}
-    sections = schema_sections(root) if root is not None and root.local == "schema" else []
-    return {"title": title or url, "sections": numbered(sections or generic_sections(root)), "warnings": []}
-
-
-def extracted(text: Column, url: Column) -> Column:
-    """The extraction of a column of XML texts; null for null."""
-    made = to_arrow_type(_parse_datatype_string(EXTRACTED))
-
-    @F.arrow_udf(EXTRACTED)
-    def run(texts: pa.Array, urls: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else extract_xml(t, u) for t, u in zip(texts.to_pylist(), urls.to_pylist(), strict=True)], made)
-
-    return run(text, url)
+    others = F.struct(*[c for c in texts.columns if c != text])
+    parsed = texts.select(F.monotonically_increasing_id().alias("doc"), others.alias("own"), elements_of(F.coalesce(F.col(text), F.lit(""))).alias("p")).repartition("doc")
+    local = lambda x: f"regexp_extract({x}.name, '([^:]*)$', 1)"
+    rows = parsed.selectExpr("doc", "own", "p.error AS error", f"{transform('p.elements', lambda x: with_fields(x, {'local': local(x)}, FIELDS))} AS n")
+    root = "get(n, 0)"
+    rows = rows.selectExpr("*", f"coalesce({root}.local = 'schema', false) AS is_schema")
+    kinds = [k for k, *_ in KINDS]
+    tree = Tree("n")
+    about = f"array_sort({where(f'{root}.attributes', lambda a: f"{one_of(f'{a}.name', SCHEMA_ATTRIBUTES)} OR startswith({a}.name, 'xmlns')")}, (a, b) -> CASE WHEN struct(lower(a.name), a.name) < struct(lower(b.name), b.name) THEN -1 ELSE 1 END)"
+    about = transform(about, lambda a: struct(term=normal(f"{a}.name"), definition=normal(f"{a}.value")))
+    # A row for the text and one for each definition, with the elements below it.
+    page = f"array({struct(x='get(n, -1)', part='n')})"
+    items = transform(let(root, lambda r: tree.deep(r, *kinds)), lambda x: struct(x=x, part=tree.below(x)))
+    rows = rows.selectExpr("doc", "own", "error", "is_schema", f"CASE WHEN is_schema THEN {about} END AS about", f"explode(concat({page}, CASE WHEN is_schema THEN {items} ELSE array() END)) AS i")
+    rows = rows.selectExpr("doc", "own", "error", "is_schema", "about", "i.x AS x", "i.part AS part")
+    one = Tree("part", "x.pre")
+    made = struct(pre="x.pre", local="x.local", d=struct(term=label_of("x"), definition=definition(one, "x")))
+    rows = rows.selectExpr("doc", "own", "error", "is_schema", "about", "CASE WHEN x IS NULL THEN part END AS n", f"CASE WHEN x IS NOT NULL THEN {made} END AS d")
+    docs = rows.groupBy("doc").agg(*[F.first(c).alias(c) for c in ("own", "error", "is_schema", "about")], F.first("n", ignorenulls=True).alias("n"), F.collect_list("d").alias("d"))
+    docs = docs.selectExpr("own", "error", "is_schema", "about", "n", "array_sort(d, (a, b) -> a.pre - b.pre) AS d")
+
+    of_kind = lambda kind: transform(where("d", lambda v: f"{v}.local = '{kind}'"), lambda v: f"{v}.d")
+    found = [struct(id="'schema-metadata'", heading="'Schema Metadata'", block="'schema-attributes'", d="about")] + [struct(id=f"'{name}'", heading=f"'{heading}'", block=f"'{block}'", d=of_kind(kind)) for kind, name, heading, block in KINDS]
+    schema = transform(where(f"array({', '.join(found)})", lambda s: f"size({s}.d) > 0"), lambda s, i: _section(i, f"{s}.id", f"{s}.heading", _block(ordinal="0", id=f"{s}.block", type="'definitionList'", definitions=f"{s}.d")), True)
+    docs = docs.selectExpr("own", "error", "n", f"CASE WHEN is_schema THEN {schema} END AS schema")
+    lines = f"array({_section('0', 'NULL', f"coalesce({root}.name, 'document')", _block(ordinal='0', id="'xml-lines'", type="'list'", items=lines_of('n')))})"
+    sections = f"CASE WHEN error IS NOT NULL THEN array() WHEN size(schema) > 0 THEN schema ELSE {lines} END"
+    warnings = "CASE WHEN error IS NOT NULL THEN array(error) ELSE array() END"
+    return docs.selectExpr("own.*", f"CAST({struct(title='own.url', sections=sections, warnings=warnings)} AS {EXTRACTED}) AS e")
+
+
+def extract_xml(text: str | None, url: str) -> dict:
+    """One text, for looking at: ``title``, ``sections`` and ``warnings``."""
+    spark = SparkSession.builder.getOrCreate()
+    return extract_texts(spark.createDataFrame([(text or "", url)], "text string, url string")).first()["e"].asDict(True)

@@ -284,7 +284,7 @@ def xml_lines(spark, sf_dir):
     text = F.concat(F.lit('<d id="'), F.col("doc_id").cast("string"), F.lit('">'), body, F.lit("</d>"))
     from folio.operators import xml_extract
 
-    made = rows.select("doc_id", xml_extract.extracted(text, F.lit("u")).alias("e"))
+    made = xml_extract.extract_texts(rows.select("doc_id", F.lit("u").alias("url"), text.alias("text")))
     return made.select("doc_id", F.posexplode_outer(F.col("e.sections")[0]["blocks"][0]["items"]).alias("pos", "line")).where("line is not null").withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -327,7 +327,7 @@ def xsd_definitions(spark, sf_dir):
     text = F.lit(XSD)
     for mark, column in _PART.items():
         text = F.replace(text, F.lit(mark), escaped(F.col(column).cast("string")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode_outer(xml_extract.extracted(text, F.lit("u"))["sections"]).alias("s"))
+    rows = xml_extract.extract_texts(table(spark, sf_dir, "part").select("p_partkey", F.lit("u").alias("url"), text.alias("text"))).select("p_partkey", F.explode_outer("e.sections").alias("s"))
     return rows.select("p_partkey", F.col("s.id").alias("section"), F.explode_outer(F.col("s.blocks")[0]["definitions"]).alias("d")).where("d is not null").select("p_partkey", "section", "d.term", "d.definition")
 
 

@@ -328,25 +328,68 @@ def normativity(spark, sf_dir):
 
 
 # XML.
-XML_TEXT = '<r a="1"><x>one</x><y/><x b="2">two <z>three</z></x></r>'
-XSD_TEXT = (
-    '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:t"><xs:element name="e" type="xs:string"/>'
-    '<xs:simpleType name="s"><xs:restriction base="xs:token"><xs:enumeration value="a"/><xs:enumeration value="b"/></xs:restriction></xs:simpleType></xs:schema>'
+@query(
+    "SELECT p_partkey, pos, replace(line, '{k}', p_partkey::VARCHAR) AS line FROM part, (VALUES (0::BIGINT, '/r @a: {k}'), (1, '/r/x[0]/#text: one {k}'), (2, '/r/x[1] @b: 2'), (3, '/r/x[1]/z/#text: {k} three'), (4, '/r/x[1]/#text: two')) t(pos, line)"
 )
-
-
-@query("SELECT * FROM (VALUES (0::BIGINT, '/r @a: 1'), (1, '/r/x[0]/#text: one'), (2, '/r/x[1] @b: 2'), (3, '/r/x[1]/z/#text: three'), (4, '/r/x[1]/#text: two')) t(pos, line)")
 def xml_generic(spark, sf_dir):
-    rows = spark.createDataFrame([(XML_TEXT,)], "x string").select(xml_extract.extracted(F.col("x"), F.lit("u")).alias("e"))
-    return rows.select(F.posexplode(F.col("e.sections")[0]["blocks"][0]["items"]).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+    """Lines of path and value: of attributes first, of children by name, of an element's own text last."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit('<r a="'), k, F.lit('"><x>one '), k, F.lit('</x><y/><x b="2">two <z>'), k, F.lit(" three</z></x></r>"))
+    made = xml_extract.extract_texts(table(spark, sf_dir, "part").select("p_partkey", F.lit("u").alias("url"), text.alias("text")))
+    return made.select("p_partkey", F.posexplode_outer(F.col("e.sections")[0]["blocks"][0]["items"]).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
-    "SELECT * FROM (VALUES ('schema-metadata', 'targetNamespace', 'urn:t'), ('schema-metadata', 'xmlns:xs', 'http://www.w3.org/2001/XMLSchema'), ('elements', 'element e', 'type=xs:string'), ('simple-types', 'simpleType s', 'base=xs:token; facets=[enumeration=a, enumeration=b]')) t(section, term, definition)"
+    "SELECT n_nationkey, section, replace(term, '{n}', n_name) AS term, replace(definition, '{n}', n_name) AS definition FROM nation, (VALUES ('schema-metadata', 'targetNamespace', 'urn:{n}'), ('schema-metadata', 'xmlns:xs', 'http://www.w3.org/2001/XMLSchema'), "
+    "('elements', 'element {n}', 'type=xs:string'), ('simple-types', 'simpleType s', 'base=xs:token; facets=[enumeration={n}, enumeration=b]')) t(section, term, definition)"
 )
 def xsd_items(spark, sf_dir):
-    rows = spark.createDataFrame([(XSD_TEXT,)], "x string").select(F.explode(xml_extract.extracted(F.col("x"), F.lit("u"))["sections"]).alias("s"))
-    return rows.select(F.col("s.id").alias("section"), F.explode(F.col("s.blocks")[0]["definitions"]).alias("d")).select("section", "d.term", "d.definition")
+    n = F.col("n_name")
+    text = F.concat(
+        F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:'), n, F.lit('"><xs:element name="'), n, F.lit('" type="xs:string"/><xs:simpleType name="s"><xs:restriction base="xs:token"><xs:enumeration value="'), n,
+        F.lit('"/><xs:enumeration value="b"/></xs:restriction></xs:simpleType></xs:schema>'),
+    )
+    rows = xml_extract.extract_texts(table(spark, sf_dir, "nation").select("n_nationkey", F.lit("u").alias("url"), text.alias("text"))).select("n_nationkey", F.explode_outer("e.sections").alias("s"))
+    return rows.select("n_nationkey", F.col("s.id").alias("section"), F.explode_outer(F.col("s.blocks")[0]["definitions"]).alias("d")).select("n_nationkey", "section", "d.term", "d.definition")
+
+
+@query(
+    "WITH r AS (SELECT p_partkey, repeat('x', p_size * 8) AS doc, 1 + p_partkey % 24 AS n FROM part) "
+    "SELECT p_partkey, 'elements=[' || array_to_string(['e' || i FOR i IN range(1, least(n, 20) + 1)], ', ') || CASE WHEN n > 20 THEN ', ... (+' || (n - 20) || ' more)' ELSE '' END || '; doc=' || CASE WHEN length(doc) > 240 THEN left(doc, 237) || '...' ELSE doc END AS definition FROM r"
+    .replace("|| '; doc='", "|| ']; doc='")
+)
+def xsd_limits(spark, sf_dir):
+    """Groups of up to 24 elements, of which 20 are named, with documentation of up to 400 characters, of which 240 are kept."""
+    n = (F.col("p_partkey") % 24 + 1).cast("int")
+    names = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit('<xs:element name="e'), i.cast("string"), F.lit('"/>'))), "")
+    text = F.concat(
+        F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:group name="g"><xs:annotation><xs:documentation>'), F.expr("repeat('x', p_size * 8)"), F.lit("</xs:documentation></xs:annotation><xs:sequence>"), names,
+        F.lit("</xs:sequence></xs:group></xs:schema>"),
+    )
+    rows = xml_extract.extract_texts(table(spark, sf_dir, "part").select("p_partkey", F.lit("u").alias("url"), text.alias("text"))).select("p_partkey", F.explode_outer("e.sections").alias("s")).where("s.id = 'groups'")
+    return rows.select("p_partkey", F.col("s.blocks")[0]["definitions"][0]["definition"].alias("definition"))
+
+
+@query(
+    "SELECT p_partkey, 'base=inline; facets=[length=' || p_size || ']' AS restriction, 'listOf=xs:' || p_brand AS list, 'unionOf=union:' || p_type AS u FROM (SELECT p_partkey, p_size, replace(p_brand, '#', '') AS p_brand, p_type FROM part)"
+    .replace("'listOf=xs:'", "'listOf=list:'")
+)
+def xsd_inline_types(spark, sf_dir):
+    """Simple types made from simple types inside them."""
+    inner = lambda body: F.concat(F.lit("<xs:simpleType>"), body, F.lit("</xs:simpleType>"))
+    one = lambda name, body: F.concat(F.lit(f'<xs:simpleType name="{name}">'), body, F.lit("</xs:simpleType>"))
+    size, brand, kind = F.col("p_size").cast("string"), F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_type")
+    text = F.concat(
+        F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">'),
+        one("r", F.concat(F.lit("<xs:restriction>"), inner(F.lit("<xs:annotation/>")), F.lit('<xs:length value="'), size, F.lit('"/></xs:restriction>'))),
+        one("l", F.concat(F.lit("<xs:list>"), inner(F.concat(F.lit('<xs:list itemType="'), brand, F.lit('"/>'))), F.lit("</xs:list>"))),
+        one("u", F.concat(F.lit("<xs:union>"), inner(F.concat(F.lit('<xs:union memberTypes="'), kind, F.lit('"/>'))), F.lit("</xs:union>"))),
+        F.lit("</xs:schema>"),
+    )
+    rows = xml_extract.extract_texts(table(spark, sf_dir, "part").select("p_partkey", F.lit("u").alias("url"), text.alias("text"))).select("p_partkey", F.explode_outer("e.sections").alias("s")).where("s.id = 'simple-types'")
+    d = F.col("s.blocks")[0]["definitions"]
+    named = lambda name: F.filter(d, lambda x: x["term"] == f"simpleType {name}")[0]["definition"]
+    return rows.select("p_partkey", named("r").alias("restriction"), named("l").alias("list"), named("u").alias("u"))
 
 
 # Index and query.
