@@ -65,7 +65,8 @@ def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    out = katz_lm.scores(table(spark, sf_dir, "documents"), ~held_out)
+    # Order 3 takes more disk than the check tool allows, measured again in round 3; see README.
+    out = katz_lm.scores(table(spark, sf_dir, "documents"), ~held_out, order=2)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
