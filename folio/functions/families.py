@@ -99,12 +99,51 @@ def families_table(spark: SparkSession, families=FAMILIES) -> DataFrame:
     return spark.createDataFrame(rows, "family string, default_authority string, document_type string, default_extractor string")
 
 
+#: A table of families: in order of ``priority`` the first that matches holds.
+TABLE = "family string, priority long, hosts array<string>, suffixes array<string>, default_authority string, document_type string, default_extractor string"
+
+
+def rules_of(families: DataFrame) -> DataFrame:
+    """``family``, ``priority``, ``pattern`` and whether it is a ``whole`` host name: one row a name or end of names of a table of families."""
+    each = lambda column, whole: families.select("family", "priority", F.explode(column).alias("pattern"), F.lit(whole).alias("whole"))
+    return each("hosts", True).unionByName(each("suffixes", False))
+
+
+def families_of_hosts(hosts: DataFrame, families: DataFrame) -> DataFrame:
+    """``host`` and ``family`` of the distinct ``host``s that a family of the table matches.
+
+    A host is looked up whole and by its ends, as many as there are lengths of
+    ends in the table: an equi join, whatever the number of families.
+    """
+    rules = rules_of(families)
+    # At most as many lengths as a host name has characters.
+    lengths = sorted(r[0] for r in rules.where(~F.col("whole")).select(F.length("pattern")).distinct().collect())
+    ends = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.when(F.length("host") >= n, F.right("host", n))), lambda x: x.isNotNull())
+    key = lambda x, whole: F.struct(x.alias("pattern"), F.lit(whole).alias("whole"))
+    keys = F.concat(F.array(key(F.col("host"), True)), F.transform(ends, lambda x: key(x, False)))
+    looked_up = hosts.select("host").distinct().select("host", F.explode(keys).alias("k")).select("host", "k.pattern", "k.whole")
+    return looked_up.join(rules, ["pattern", "whole"]).groupBy("host").agg(F.min_by("family", "priority").alias("family"))
+
+
+def with_family_table(entries: DataFrame, families: DataFrame) -> DataFrame:
+    """As :func:`with_family`, of families in a table of any size (:data:`TABLE`); of families with one id the one of least priority number holds."""
+    known = families.groupBy("family").agg(*[F.min_by(c, "priority").alias(c) for c in ("default_authority", "document_type", "default_extractor")])
+    rows = entries.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
+    found = families_of_hosts(rows.select("host"), families).withColumnRenamed("family", "by_host")
+    asked = known.select(F.col("family").alias("by_name"))
+    rows = rows.join(found, "host", "left").join(asked, rows["family"] == F.col("by_name"), "left")
+    return _described(rows.withColumn("family", F.coalesce("by_name", "by_host", F.lit("generic"))), known, entries.columns, "left")
+
+
 def with_family(entries: DataFrame, families=FAMILIES) -> DataFrame:
     """Adds to manifest entries the resolved ``family``, ``authority``, ``extractor`` and ``document_type``; an entry's own values hold first."""
     known = F.broadcast(families_table(entries.sparkSession, families))  # one row a family
-    own = entries.withColumn("family", resolve_family(F.col("url"), F.col("family"), families))
-    return own.join(known, "family").select(
-        *[c for c in entries.columns if c not in ("authority", "extractor")],
+    return _described(entries.withColumn("family", resolve_family(F.col("url"), F.col("family"), families)), known, entries.columns)
+
+
+def _described(own: DataFrame, known: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    return own.join(known, "family", how).select(
+        *[c for c in columns if c not in ("authority", "extractor")],
         F.coalesce(falsy(F.col("authority")), "default_authority", F.lit("informative")).alias("authority"),
         F.coalesce(falsy(F.col("extractor")), "default_extractor", F.lit("html")).alias("extractor"),
         "document_type",

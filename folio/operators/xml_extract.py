@@ -210,7 +210,8 @@ def extract_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.selectExpr("*", f"coalesce({root}.local = 'schema', false) AS is_schema")
     kinds = [k for k, *_ in KINDS]
     tree = Tree("n")
-    about = f"array_sort({where(f'{root}.attributes', lambda a: f"{one_of(f'{a}.name', SCHEMA_ATTRIBUTES)} OR startswith({a}.name, 'xmlns')")}, (a, b) -> CASE WHEN struct(lower(a.name), a.name) < struct(lower(b.name), b.name) THEN -1 ELSE 1 END)"
+    # In the order of a dictionary: signs, then letters whatever their accents and case, which come last.
+    about = f"array_sort({where(f'{root}.attributes', lambda a: f"{one_of(f'{a}.name', SCHEMA_ATTRIBUTES)} OR startswith({a}.name, 'xmlns')")}, (a, b) -> CASE WHEN collate(a.name, 'UNICODE') < collate(b.name, 'UNICODE') THEN -1 WHEN a.name = b.name THEN 0 ELSE 1 END)"
     about = transform(about, lambda a: struct(term=normal(f"{a}.name"), definition=normal(f"{a}.value")))
     # A row for the text and one for each definition, with the elements below it.
     page = f"array({struct(x='get(n, -1)', part='n')})"

@@ -10,12 +10,14 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import text as fx
 from folio.operators.diff import diff_digests, save_digests
 from folio.operators.index import index_chunks
 from folio.operators.postings import search_index, write_index
 from folio.plans.built_queries import shared_folder
-from folio.plans.queries import _DIFF_SQL, INDEX_SQL, _hit, _versions, all_chunks, null, query, run_ts, table
+from folio.plans.queries import _DIFF_SQL, INDEX_SQL, PARAGRAPHS_SQL, TEXT_CHUNKS_SQL, _hit, _versions, all_chunks, null, query, run_ts, sql_slug, table, text_documents
 from folio.sources import snapshot_store
+from folio.sources.documents import read_documents, write_documents, write_files
 from folio.sources.fetching import fetch_all
 from folio.sources.snapshots import snapshot_rows
 
@@ -46,6 +48,67 @@ def diff_bucketed(spark, sf_dir):
     return out.select("url", *[F.nullif(F.array_join(n, ","), F.lit("")).alias(n) for n in ("added", "removed", "changed")])
 
 
+# Folders of JSON.
+@query(f"SELECT {sql_slug('url')} AS doc, url, block_id, sha256(text) AS text_hash FROM ({TEXT_CHUNKS_SQL}) WHERE seq % 3 = 0")
+def json_mixed(spark, sf_dir):
+    """The documents in a folder where arrays, numbers, texts and objects with foreign ``sections`` lie too, one file a row of ``documents``."""
+    folder = shared_folder(spark)
+    docs = text_documents(spark, sf_dir)
+    write_documents(docs.where("doc_seq % 3 = 0"), folder, "json")
+    body = F.to_json(F.struct("doc_seq", "title"))
+    foreign = F.element_at(F.array(F.concat(F.lit("["), body, F.lit("]")), F.col("doc_seq").cast("string"), F.to_json(F.struct("title", F.lit("none").alias("sections"))), F.lit('{"sections": [1, 2]}'), F.lit("null")), (F.col("doc_seq") % 5 + 1).cast("int"))
+    write_files(docs.where("doc_seq % 3 <> 0").select(F.concat(F.lit(f"{folder}/other/"), F.col("doc_seq").cast("string"), F.lit(".json")).alias("path"), foreign.alias("text")))
+    rows = read_documents(spark, folder, "json").select("url", F.explode_outer("sections").alias("s")).select("url", F.explode_outer("s.blocks").alias("b")).where("b is not null")
+    return rows.select(fx.document_id(F.col("url")).alias("doc"), "url", F.col("b.id").alias("block_id"), F.sha2("b.text", 256).alias("text_hash"))
+
+
+# Families and table functions.
+@query(
+    "SELECT c_custkey, kind, CASE kind WHEN 'asked' THEN 'rfc' WHEN 'other' THEN 'generic' ELSE c_name END AS family, CASE kind WHEN 'asked' THEN 'normative' WHEN 'other' THEN 'informative' ELSE lower(c_mktsegment) END AS authority, "
+    "CASE kind WHEN 'whole' THEN 'text' WHEN 'end' THEN 'text' ELSE 'html' END AS extractor FROM customer, (VALUES ('whole'), ('end'), ('asked'), ('other')) t(kind)"
+)
+def families_from_table(spark, sf_dir):
+    """A family a customer, beside the known ones, for hosts of its name and below it, found by one join."""
+    from folio.functions.families import FAMILIES, TABLE, with_family_table
+
+    rows = table(spark, sf_dir, "customer")
+    host = F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), F.lit(".example"))
+    own = rows.select(
+        F.col("c_name").alias("family"), (F.col("c_custkey") + 100).alias("priority"), F.array(host).alias("hosts"), F.array(F.concat(F.lit("."), host)).alias("suffixes"), F.lower("c_mktsegment").alias("default_authority"),
+        null().alias("document_type"), F.lit("text").alias("default_extractor"),
+    )
+    known = spark.createDataFrame([(f.id, i, list(f.hosts), list(f.suffixes), f.authority, f.document_type, f.extractor) for i, f in enumerate(FAMILIES)], TABLE)
+    kinds = {"whole": (host, null()), "end": (F.concat(F.lit("a.b."), host), null()), "asked": (host, F.lit("rfc")), "other": (F.concat(F.lit("x"), host), F.lit("nobody"))}
+    entries = None
+    for kind, (name, asked) in kinds.items():
+        part = rows.select("c_custkey", F.lit(kind).alias("kind"), F.concat(F.lit("https://"), name, F.lit("/p")).alias("url"), asked.alias("family"), null().alias("authority"), null().alias("extractor"))
+        entries = part if entries is None else entries.unionByName(part)
+    return with_family_table(entries, own.unionByName(known)).select("c_custkey", "kind", "family", "authority", "extractor")
+
+
+@query("SELECT doc_id, i AS pos, substr(text, i * 1000 + 1, 1000) AS part FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS i FROM documents)")
+def windows_in_sql(spark, sf_dir):
+    """Windows of texts by a table function, joined laterally in SQL."""
+    from folio.functions.table_functions import register
+
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("folio_documents")
+    return spark.sql("SELECT d.doc_id, CAST(w.pos AS bigint) AS pos, w.part FROM folio_documents d, LATERAL chunk_windows(d.text, 1000) w")
+
+
+@query(f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS pos, text FROM (SELECT page_id, unnest(range(1, len(ps) + 1)) AS pos, unnest(ps) AS text FROM (SELECT page_id, {PARAGRAPHS_SQL} AS ps FROM pages))")
+def paragraphs_in_sql(spark, sf_dir):
+    """Paragraphs of pages' articles by a table function, joined laterally in SQL."""
+    from folio.functions.table_functions import register
+
+    register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("folio_pages")
+    return spark.sql(
+        "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pre) AS pos, text FROM (SELECT p.page_id, e.pre, e.text FROM folio_pages p, LATERAL page_elements(p.html, 'p') e) "
+        "JOIN (SELECT p.page_id, min(e.pre) AS root FROM folio_pages p, LATERAL page_elements(p.html, 'article') e GROUP BY p.page_id) USING (page_id) WHERE pre > root AND text <> ''"
+    ).selectExpr("page_id", "CAST(pos AS bigint) AS pos", "text")
+
+
 # Snapshots.
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as fetched versions of one page per user: the page is the kind of event."""

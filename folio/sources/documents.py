@@ -81,13 +81,13 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     document, other objects, arrays and plain values are not.  Of a document that
     has a field of another type that field is null.  A malformed file ends the run.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     # A file of white space alone is no JSON; anything that can't be parsed is an error here.
     value = F.parse_json("value").alias("v")
     documents = files.select(value).where("coalesce(schema_of_variant(try_variant_get(v, '$.sections', 'variant')), '') LIKE 'ARRAY%'")
     fields = [f.strip().split(" ", 1) for f in _fields(CONTRACT_SCHEMA)]
     # What isn't an array of sections after all, but of other values, is no document either.
-    return documents.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields]).where("sections is not null")
+    return documents.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields]).where("not exists(sections, s -> s is null)")
 
 
 def _fields(schema: str) -> list[str]:
