@@ -7,9 +7,7 @@ so on, extracted again, and compared with what SQL makes of the same lines.
 
 from __future__ import annotations
 
-import http.server
 import tempfile
-import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -358,17 +356,28 @@ def pdf_documents(spark, sf_dir):
 
 
 # URLs and content types.
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '.html' WHEN page_id % 3 = 0 THEN '.dat' ELSE '.bin' END AS extension FROM pages")
+_EXTENSION = "regexp_extract(regexp_replace(lower(title), '[^a-z]', '', 'g'), '^(.{1,3})', 1)"
+
+
+@query(
+    f"SELECT page_id, CASE WHEN contains(lower(title), 'th') THEN '.html' WHEN {_EXTENSION} = '' THEN '.bin' ELSE '.' || {_EXTENSION} END AS extension FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)"
+)
 def file_extensions(spark, sf_dir):
-    kind = F.when(F.col("page_id") % 2 == 0, "text/html").otherwise("x/own")
-    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".DAT"))).otherwise("/in/plain")
-    return table(spark, sf_dir, "pages").select("page_id", fx.extension_or_own(kind, path).alias("extension"))
+    """A known type's extension, else that of the file, whose name is made of the page's title."""
+    title = F.lower(F.regexp_extract("html", "<title>(.*?)</title>", 1))
+    end = F.regexp_extract(F.regexp_replace(title, "[^a-z]", ""), "^(.{1,3})", 1)
+    kind = F.when(F.contains(title, F.lit("th")), "text/html").otherwise("x/own")
+    return table(spark, sf_dir, "pages").select("page_id", fx.extension_or_own(kind, F.concat(F.lit("/in/file."), F.upper(end))).alias("extension"))
 
 
-@query("SELECT page_id, 'https://xn--bcher-kva.example/' || page_id || '/c%20%C3%A9?q=%22' || page_id AS url FROM pages")
+_TITLE_WORD = "regexp_extract(html, '<title>([A-Za-z]*)', 1)"
+
+
+@query(f"SELECT page_id, 'https://xn--bcher-kva.example/' || {_TITLE_WORD} || '/' || page_id || '/c%20%C3%A9?q=%22' || {_TITLE_WORD} AS url FROM pages")
 def url_normal_forms(spark, sf_dir):
-    own = F.col("page_id").cast("string")
-    return table(spark, sf_dir, "pages").select("page_id", fx.normalize_url(F.concat(F.lit(" HTTPS://BÜCHER.example:443/a/../"), own, F.lit('/./b/%2E%2e/c é?q="'), own, F.lit("#f"))).alias("url"))
+    own, word = F.col("page_id").cast("string"), F.regexp_extract("html", "<title>([A-Za-z]*)", 1)
+    url = F.concat(F.lit(" HTTPS://BÜCHER.example:443/a/../"), word, F.lit("/"), own, F.lit('/./b/%2E%2e/c é?q="'), word, F.lit("#f"))
+    return table(spark, sf_dir, "pages").select("page_id", fx.normalize_url(url).alias("url"))
 
 
 # Families and extractors of one's own.
@@ -454,51 +463,6 @@ def streamed_chunks(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("chunk_id", F.sha2("text", 256).alias("text_hash"))
 
 
-class _Pages(http.server.BaseHTTPRequestHandler):
-    """Answers that follow from the path alone: some move, some fail, some name no type."""
-
-    def do_GET(self):
-        number = int(self.path.split("/")[-1].split("?")[0])
-        if number % 5 == 4 and "moved" not in self.path:
-            self.send_response(302)
-            self.send_header("Location", f"/moved/{number}")
-            self.end_headers()
-            return
-        self.send_response(404 if number % 7 == 3 else 200)
-        if number % 2:
-            self.send_header("Content-Type", "text/plain; charset=ISO-8859-1")
-        body = f"page {number}".encode()
-        self.send_header("Content-Length", str(len(body)))
-        self.end_headers()
-        self.wfile.write(body)
-
-    def log_message(self, *_):
-        pass
-
-
-@query(
-    "SELECT page_id, '/' || CASE WHEN page_id % 5 = 4 THEN 'moved' ELSE 'p' END || '/' || page_id AS final_path, CASE WHEN page_id % 2 = 1 THEN 'text/plain; charset=ISO-8859-1' ELSE 'application/octet-stream' END AS content_type, "
-    "CASE WHEN page_id % 2 = 1 THEN 'latin1' END AS charset, sha256('page ' || page_id) AS sha256, octet_length(encode('page ' || page_id)) AS bytes FROM pages WHERE page_id % 7 <> 3 AND page_id % 4 <> 0 "
-    "UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL FROM pages WHERE page_id % 7 = 3 AND page_id % 4 <> 0"
-)
-def http_snapshots(spark, sf_dir):
-    """Pages fetched from a server that this query starts: moved ones followed, failures set apart, known ones left out."""
-    from folio.sources.snapshots import fetch, snapshot_rows, to_fetch
-
-    server = http.server.ThreadingHTTPServer(("", 0), _Pages)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    host = f"http://{spark.sparkContext.getConf().get('spark.driver.host', '127.0.0.1')}:{server.server_port}/p/"
-    manifest = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(host), F.col("page_id").cast("string"), F.lit("#f")).alias("url"))
-    known = manifest.where("page_id % 4 = 0").select(fx.normalize_url(F.col("url")).alias("source_url"))
-    got = fetch(to_fetch(manifest, known, reuse=True), quarantine=True)
-    number = F.regexp_extract("url", "/p/([0-9]+)", 1).cast("long").alias("page_id")
-    rows = snapshot_rows(got.where("error is null"), run_ts()).withColumnRenamed("source_url", "url")
-    path = F.regexp_extract("final_url", "(/[a-z]+/[0-9]+)$", 1).alias("final_path")
-    fine = rows.select(number, path, "content_type", "charset", "sha256", "bytes")
-    failed = got.where("error is not null").select(number, *[null().alias(c) for c in ("final_path", "content_type", "charset", "sha256")], F.lit(None).cast("long").alias("bytes"))
-    return fine.unionByName(failed)
-
-
 # Last wins.
 _LAST = "arg_max(text, turn)"
 

@@ -191,25 +191,33 @@ def family_resolve(spark, sf_dir):
     return with_family(rows.withColumn("extractor", null())).select("url", "family", "authority", "extractor")
 
 
-TYPES = ("text/html", "Text/HTML ; charset=UTF-8", "text/plain;charset=us-ascii", "application/pdf", "application/xml; CHARSET=ISO-8859-1", "text/xml", "text/markdown", "application/json", "application/zip", "image/png", "", "text/plain; charset=windows-1252")
-_TYPES_SQL = f"(VALUES {', '.join(f'({t!r})' for t in TYPES)}) t(ct)"
+#: Content types as servers write them; ``{w}`` is a word of the row's own text.
+TYPES = ("text/html", "Text/HTML ; charset={w}", "text/plain;charset=us-ascii", "application/pdf", "application/xml; CHARSET=ISO-8859-1", "text/xml;x={w}", "text/markdown", "application/json", "application/zip", "{w}/png", "", "text/plain; charset=windows-{w}")
+_WORD_SQL = "regexp_extract(html, '<p>([A-Za-z]+)', 1)"
+_TYPES_SQL = f"(SELECT page_id, kind, replace(t, '{{w}}', w) AS ct FROM (SELECT page_id, {_WORD_SQL} AS w FROM pages), (VALUES {', '.join(f'({i}, {t!r})' for i, t in enumerate(TYPES))}) v(kind, t))"
+
+
+def _content_types(spark, sf_dir):
+    """Every content type for every page, with a word of the page in it."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<p>([A-Za-z]+)", 1).alias("w"), F.posexplode(F.array(*[F.lit(t) for t in TYPES])).alias("kind", "t"))
+    return rows.select("page_id", "kind", F.replace("t", F.lit("{w}"), F.col("w")).alias("ct"))
 
 
 @query(
-    "SELECT ct, CASE lower(trim(split_part(ct, ';', 1))) WHEN 'text/html' THEN '.html' WHEN 'text/markdown' THEN '.md' WHEN 'text/plain' THEN '.txt' WHEN 'application/json' THEN '.json' WHEN 'application/pdf' THEN '.pdf' "
+    "SELECT page_id, kind, CASE lower(trim(split_part(ct, ';', 1))) WHEN 'text/html' THEN '.html' WHEN 'text/markdown' THEN '.md' WHEN 'text/plain' THEN '.txt' WHEN 'application/json' THEN '.json' WHEN 'application/pdf' THEN '.pdf' "
     f"WHEN 'application/zip' THEN '.zip' WHEN 'application/xml' THEN '.xml' WHEN 'text/xml' THEN '.xml' ELSE '.bin' END AS extension FROM {_TYPES_SQL}"
 )
 def content_type_map(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in TYPES], "ct string").select("ct", fx.extension_of(F.col("ct")).alias("extension"))
+    return _content_types(spark, sf_dir).select("page_id", "kind", fx.extension_of(F.col("ct")).alias("extension"))
 
 
 @query(
-    f"SELECT ct, CASE c WHEN '' THEN NULL WHEN 'utf-8' THEN 'utf8' WHEN 'us-ascii' THEN 'ascii' WHEN 'iso-8859-1' THEN 'latin1' ELSE c END AS charset, CASE WHEN c IN ('windows-1252') THEN 'Unsupported charset \"' || c || '\", decoded as utf8' END AS warning "
-    f"FROM (SELECT ct, lower(trim(regexp_extract(ct, '(?i)charset=([^;]+)', 1))) AS c FROM {_TYPES_SQL})"
+    "SELECT page_id, kind, CASE c WHEN '' THEN NULL WHEN 'utf-8' THEN 'utf8' WHEN 'us-ascii' THEN 'ascii' WHEN 'iso-8859-1' THEN 'latin1' ELSE c END AS charset, CASE WHEN kind IN (1, 11) AND c <> '' THEN 'Unsupported charset \"' || c || '\", decoded as utf8' END AS warning "
+    f"FROM (SELECT page_id, kind, lower(trim(regexp_extract(ct, '(?i)charset=([^;]+)', 1))) AS c FROM {_TYPES_SQL})"
 )
 def charset_map(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in TYPES], "ct string").withColumn("charset", fx.charset_of(F.col("ct")))
-    return rows.withColumn("warning", fx.decoded(F.encode(F.lit("x"), "UTF-8"), F.col("charset"))["warning"])
+    rows = _content_types(spark, sf_dir).withColumn("charset", fx.charset_of(F.col("ct")))
+    return rows.select("page_id", "kind", "charset", fx.decoded(F.encode(F.col("ct"), "UTF-8"), F.col("charset"))["warning"].alias("warning"))
 
 
 # Snapshots.
@@ -500,6 +508,14 @@ def contract_check(spark, sf_dir):
     return docs.agg(F.count_if(breaks_contract()).alias("n_invalid"), F.count("*").alias("n_documents"))
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({f.id!r}, {f.authority!r}, {f.document_type!r}, {f.extractor!r})' if f.document_type else f'({f.id!r}, {f.authority!r}, NULL, {f.extractor!r})' for f in FAMILIES)}) t(family, default_authority, document_type, default_extractor)")
+_FAMILY_ROWS = ", ".join(f"({f.id!r}, {f.authority!r}, {'NULL' if f.document_type is None else repr(f.document_type)}, {f.extractor!r})" for f in FAMILIES)
+
+
+@query(
+    f"SELECT t.family, t.default_authority, t.document_type, t.default_extractor, count(p.family) AS n_pages FROM (VALUES {_FAMILY_ROWS}) t(family, default_authority, document_type, default_extractor) "
+    f"LEFT JOIN (SELECT {_family_sql()} AS family FROM (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages)) p USING (family) GROUP BY 1, 2, 3, 4"
+)
 def family_table(spark, sf_dir):
-    return families_table(spark)
+    """The families and how many pages each has."""
+    found = table(spark, sf_dir, "pages").groupBy(resolve_family(F.col("url")).alias("family")).agg(F.count("*").alias("n"))
+    return families_table(spark).join(found, "family", "left").select("family", "default_authority", "document_type", "default_extractor", F.coalesce("n", F.lit(0)).cast("long").alias("n_pages"))

@@ -19,7 +19,7 @@ from folio.plans.queries import _DIFF_SQL, INDEX_SQL, PARAGRAPHS_SQL, TEXT_CHUNK
 from folio.sources import snapshot_store
 from folio.sources.documents import read_documents, write_documents, write_files
 from folio.sources.fetching import fetch_all
-from folio.sources.snapshots import snapshot_rows
+from folio.sources.snapshots import fetch, snapshot_rows, to_fetch
 
 
 # Index.
@@ -192,3 +192,24 @@ def fetched_by_host(spark, sf_dir):
     return fine.unionByName(got.where("error is not null").select(number, *[null().alias(c) for c in ("final_path", "content_type", "charset", "sha256")]))
 
 
+
+
+@query(
+    "SELECT page_id, '/' || CASE WHEN page_id % 5 = 4 THEN 'moved' ELSE 'p' END || '/' || page_id AS final_path, CASE WHEN page_id % 2 = 1 THEN 'text/plain; charset=ISO-8859-1' ELSE 'application/octet-stream' END AS content_type, "
+    "CASE WHEN page_id % 2 = 1 THEN 'latin1' END AS charset, sha256('page ' || page_id) AS sha256, octet_length(encode('page ' || page_id)) AS bytes FROM pages WHERE page_id % 7 <> 3 AND page_id % 4 <> 0 "
+    "UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL FROM pages WHERE page_id % 7 = 3 AND page_id % 4 <> 0"
+)
+def http_snapshots(spark, sf_dir):
+    """Pages fetched from a server that this query starts and ends: moved ones followed, failures set apart, known ones left out."""
+    folder = shared_folder(spark)
+    with serving(spark) as address:
+        manifest = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(f"{address}/p/"), F.col("page_id").cast("string"), F.lit("#f")).alias("url"))
+        known = manifest.where("page_id % 4 = 0").select(fx.normalize_url(F.col("url")).alias("source_url"))
+        fetch(to_fetch(manifest, known, reuse=True), quarantine=True).write.parquet(folder)
+    got = spark.read.parquet(folder)
+    number = F.regexp_extract("url", "/p/([0-9]+)", 1).cast("long").alias("page_id")
+    rows = snapshot_rows(got.where("error is null"), run_ts()).withColumnRenamed("source_url", "url")
+    path = F.regexp_extract("final_url", "(/[a-z]+/[0-9]+)$", 1).alias("final_path")
+    fine = rows.select(number, path, "content_type", "charset", "sha256", "bytes")
+    failed = got.where("error is not null").select(number, *[null().alias(c) for c in ("final_path", "content_type", "charset", "sha256")], F.lit(None).cast("long").alias("bytes"))
+    return fine.unionByName(failed)

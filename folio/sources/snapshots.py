@@ -16,8 +16,8 @@ SCHEMA = (
     "fetched_at timestamp, file_name string, manual boolean, manual_source_path string, content binary"
 )
 OCTETS = "application/octet-stream"
-#: What a fetch tells the server.
-HEADERS = {"User-Agent": "folio/0.1", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,text/plain;q=0.8,*/*;q=0.5"}
+#: What a fetch tells the server: its own name, and (fixed value) the types that it would rather have.
+HEADERS = {"User-Agent": "folio/0.1", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8"}
 
 
 def snapshot_rows(fetched: DataFrame, run_ts: Column, manual: bool = False) -> DataFrame:
