@@ -15,7 +15,7 @@ from folio.operators.diff import diff_digests, save_digests
 from folio.operators.index import index_chunks
 from folio.operators.postings import search_index, write_index
 from folio.plans.built_queries import shared_folder
-from folio.plans.queries import _DIFF_SQL, INDEX_SQL, PARAGRAPHS_SQL, TEXT_CHUNKS_SQL, _hit, _versions, all_chunks, null, query, run_ts, sql_slug, table, text_documents
+from folio.plans.queries import _DIFF_SQL, INDEX_SQL, PARAGRAPHS_SQL, TEXT_CHUNKS_SQL, URL_SQL, _hit, _versions, all_chunks, null, query, run_ts, sql_norm, sql_slug, table, text_documents
 from folio.sources import snapshot_store
 from folio.sources.documents import read_documents, write_documents, write_files
 from folio.sources.fetching import fetch_all
@@ -213,3 +213,25 @@ def http_snapshots(spark, sf_dir):
     fine = rows.select(number, path, "content_type", "charset", "sha256", "bytes")
     failed = got.where("error is not null").select(number, *[null().alias(c) for c in ("final_path", "content_type", "charset", "sha256")], F.lit(None).cast("long").alias("bytes"))
     return fine.unionByName(failed)
+
+
+# Streams with state.
+@query(
+    f"SELECT {sql_slug(URL_SQL)} AS doc, 'section-1' AS section_id, sha256({sql_norm("CASE WHEN doc_id % 3 = 0 THEN text || ' more' ELSE text END")}) AS hash FROM documents"
+)
+def streamed_changes(spark, sf_dir):
+    """Two versions of every third document, the newer one first, and one of the others: the sections that the streamed changes lead to."""
+    from folio.streaming import changes
+
+    folder = shared_folder(spark)
+    url = F.concat(F.lit("https://corpus.example/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    rows = lambda text: docs.where("doc_id % 3 = 0").select(url.alias("url"), null().alias("final_url"), F.lit("text/plain").alias("content_type"), F.encode(text, "UTF-8").alias("content"))
+    newer = snapshot_rows(rows(F.concat("text", F.lit(" more"))), F.lit("2024-02-01").cast("timestamp"))
+    older = snapshot_rows(rows(F.col("text")), run_ts())
+    others = snapshot_rows(docs.where("doc_id % 3 <> 0").select(url.alias("url"), null().alias("final_url"), F.lit("text/plain").alias("content_type"), F.encode("text", "UTF-8").alias("content")), run_ts())
+    for part in (newer, older.unionByName(others)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        changes.start_digests(spark, f"{folder}/in", f"{folder}/digests", f"{folder}/check-1", run_ts(), extractor="text").awaitTermination()
+        changes.start_changes(spark, f"{folder}/digests", f"{folder}/out", f"{folder}/check-2").awaitTermination()
+    return changes.applied(spark.read.parquet(f"{folder}/out")).select(fx.document_id(F.col("url")).alias("doc"), "section_id", "hash")

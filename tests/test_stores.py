@@ -34,10 +34,10 @@ def index(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("term", ["the", "THE c", "é", "xy", "", "%", "h1 https://e.example/1", "zzz", "nowhere", "i̇st", "STRASSE", "ß", "𝒳yz", "d\te"])
-@pytest.mark.parametrize("family", [None, "w3c"])
-@pytest.mark.parametrize("few", [0, 10_000])
-def test_search_equals_the_scan(spark, index, term, family, few):
+def test_search_equals_the_scan(spark, index, term):
     rows, path = index
+    # One family where the term has an even length; candidates broadcast, or joined by shuffle.
+    family, few = [None, "w3c"][len(term) % 2 == 0], [0, 10_000][len(term) % 3 > 0]
     found = search_index(spark, path, term, family, few=few)
     assert found.columns == rows.columns
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, query_index(rows, term, family).collect()))
