@@ -19,7 +19,7 @@ from folio.operators.extract import extract
 from folio.operators.index import in_order, index_chunks, index_documents
 from folio.operators.postings import search_index, write_index
 from folio.plans import pipeline
-from folio.sources import snapshot_store
+from folio.sources import chunk_store, snapshot_store
 from folio.sources import snapshots as snap
 from folio.sources.documents import chunk_json, index_json, read_documents, write_documents, write_files
 from folio.sources.manifest import load_ingest_map, load_manifest
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     command("snapshot", *fetched, ("out", "snapshots"))
     command("manual-ingest", ("map", ...), ("snapshots", "snapshots"), ("reuse", False), ("refresh", False), store)
     command("extract", ("manifest", "manifest.json"), ("snapshots", "snapshots"), ("out", "specs"), ("format", "parquet"), ("families", None), store)
-    command("chunk", ("input", "specs"), ("out", "chunks"), ("format", "parquet"), ("files", False))
+    command("chunk", ("input", "specs"), ("out", "chunks"), ("format", "parquet"), ("files", False), ("update", False))
     command("index", ("chunks", "chunks"), ("out", None), ("json", None))
     command("query", ("term", ...), ("index", "chunks-index"), ("family", None), ("format", "lines"))
     command("diff", ("from", ...), ("to", ...), ("out", "diffs"), ("format", "parquet"), ("files", False))
@@ -124,6 +124,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             entries = with_snapshots(load_manifest(spark, o["manifest"]), o["snapshots"], o["store"])
             families = families_of([row.asDict(True) for row in spark.read.option("multiLine", True).json(o["families"]).collect()]) if o["families"] else FAMILIES
             write_documents(extract(entries, now, families=families), o["out"], o["format"])
+        case "chunk" if o["update"]:
+            done = chunk_store.update(spark, o["input"], o["out"], o["format"])
+            print(json.dumps({"read": len(done.read), "gone": len(done.gone)}))
         case "chunk":
             made = chunks(read_documents(spark, o["input"], o["format"]))
             if o["files"]:

@@ -59,7 +59,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         falsy(F.col("section.id")).alias("section_id"), falsy(F.col("block.id")).alias("block_id"), F.col("block.type").alias("block_type"),
         falsy(F.col("section.heading")).alias("heading"), F.nullif(F.col("section.level"), F.lit(0)).alias("level"), F.col("flat_text").alias("text"),
         F.coalesce("block.source", "section.source").alias("source"), F.coalesce("block.links", F.expr("cast(array() as array<struct<text:string,href:string,resolved_id:string>>)")).alias("links"),
-        "snapshot_id", "extracted_at", F.col("block.normativity").alias("normativity"),
+        "snapshot_id", "extracted_at", F.col("block.normativity").alias("normativity"), *[c for c in ("file",) if c in docs.columns],
     )
     key = F.concat_ws("--", "doc_id", "section_key", "block_key")
     return out.withColumns({"chunk_id": F.concat_ws("::", "doc_id", "section_key", "block_key"), "path": F.concat(F.col("family"), F.lit("/"), key, F.lit(".json"))})

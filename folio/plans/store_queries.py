@@ -15,7 +15,7 @@ from folio.operators.diff import diff_digests, save_digests
 from folio.operators.index import index_chunks
 from folio.operators.postings import search_index, write_index
 from folio.plans.built_queries import shared_folder
-from folio.plans.queries import _DIFF_SQL, INDEX_SQL, PARAGRAPHS_SQL, TEXT_CHUNKS_SQL, URL_SQL, _hit, _versions, all_chunks, null, query, run_ts, sql_norm, sql_slug, table, text_documents
+from folio.plans.queries import _DIFF_SQL, INDEX_SQL, PARAGRAPHS_SQL, TEXT_CHUNKS_SQL, URL_SQL, _hit, _versions, all_chunks, null, query, run_ts, sql_norm, sql_slug, table, text_documents, text_entries
 from folio.sources import snapshot_store
 from folio.sources.documents import read_documents, write_documents, write_files
 from folio.sources.fetching import fetch_all
@@ -235,3 +235,21 @@ def streamed_changes(spark, sf_dir):
         changes.start_digests(spark, f"{folder}/in", f"{folder}/digests", f"{folder}/check-1", run_ts(), extractor="text").awaitTermination()
         changes.start_changes(spark, f"{folder}/digests", f"{folder}/out", f"{folder}/check-2").awaitTermination()
     return changes.applied(spark.read.parquet(f"{folder}/out")).select(fx.document_id(F.col("url")).alias("doc"), "section_id", "hash")
+
+
+# Chunks kept up to date.
+_ALTERED_SQL = "(SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN text || ' more' ELSE text END AS text FROM documents)"
+
+
+@query(f"SELECT doc || '::section-1::' || block_id AS chunk_id, sha256(text) AS text_hash FROM ({TEXT_CHUNKS_SQL.replace('FROM documents', f'FROM {_ALTERED_SQL}')})")
+def chunks_updated(spark, sf_dir):
+    """Half of the documents as files and their chunks, then the other half and an altered tenth: the second update reads these alone."""
+    from folio.operators.extract import extract
+    from folio.sources import chunk_store
+
+    folder, entries = shared_folder(spark), text_entries(spark, sf_dir)
+    altered = F.when(F.col("doc_seq") % 10 == 0, F.encode(F.concat(F.decode("content", "UTF-8"), F.lit(" more")), "UTF-8")).otherwise(F.col("content"))
+    for part in (entries.where("doc_seq % 2 = 0"), entries.where("doc_seq % 2 = 1 or doc_seq % 10 = 0").withColumn("content", altered)):
+        write_documents(extract(part, run_ts(), extractors=("text",)), f"{folder}/in", "json")
+        chunk_store.update(spark, f"{folder}/in", f"{folder}/out")
+    return chunk_store.all_chunks(spark, f"{folder}/out").select("chunk_id", F.sha2("text", 256).alias("text_hash"))

@@ -67,14 +67,20 @@ def write_files(texts: DataFrame, indent: bool = False) -> None:
     texts.select("path", "text").foreachPartition(put)
 
 
-def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Documents of a folder, searched to any depth; JSON values without sections are none, malformed JSON is an error."""
+def read_documents(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
+    """Documents of a folder, searched to any depth, or of a list of files, which are then named in ``file``.
+
+    JSON values without sections are no documents, malformed JSON is an error.
+    """
+    named = not isinstance(path, str)
     if fmt == "json":
-        return _from_contract(read_json_documents(spark, path))
-    return spark.read.parquet(path).select(*[F.col(c) for c in spark.createDataFrame([], DOCUMENT_SCHEMA).columns])
+        return _from_contract(read_json_documents(spark, path, named), ["file"] if named else [])
+    read = spark.read.parquet(*path) if named else spark.read.parquet(path)
+    file = [F.col("_metadata.file_path").alias("file")] if named else []
+    return read.select(*[F.col(c) for c in spark.createDataFrame([], DOCUMENT_SCHEMA).columns], *file)
 
 
-def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_json_documents(spark: SparkSession, path: str | list[str], named: bool = False) -> DataFrame:
     """The documents among a folder's JSON files, whatever else lies there, under the contract's names.
 
     Each file is read as a VARIANT: an object with an array of sections is a
@@ -84,10 +90,11 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     # A file of white space alone is no JSON; anything that can't be parsed is an error here.
     value = F.parse_json("value").alias("v")
-    documents = files.select(value).where("coalesce(schema_of_variant(try_variant_get(v, '$.sections', 'variant')), '') LIKE 'ARRAY%'")
+    file = [F.col("_metadata.file_path").alias("file")] if named else []
+    documents = files.select(value, *file).where("coalesce(schema_of_variant(try_variant_get(v, '$.sections', 'variant')), '') LIKE 'ARRAY%'")
     fields = [f.strip().split(" ", 1) for f in _fields(CONTRACT_SCHEMA)]
     # What isn't an array of sections after all, but of other values, is no document either.
-    return documents.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields]).where("not exists(sections, s -> s is null)")
+    return documents.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields], *(["file"] if named else [])).where("not exists(sections, s -> s is null)")
 
 
 def _fields(schema: str) -> list[str]:
@@ -102,7 +109,7 @@ def _fields(schema: str) -> list[str]:
     return out
 
 
-def _from_contract(read: DataFrame) -> DataFrame:
+def _from_contract(read: DataFrame, more: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Documents in the contract's form under the names and types of :data:`DOCUMENT_SCHEMA`."""
     pair = "struct<term:string,definition:string>"
 
@@ -119,7 +126,7 @@ def _from_contract(read: DataFrame) -> DataFrame:
     section = lambda s, i: F.struct(i.alias("ordinal"), s["id"].alias("id"), s["heading"].alias("heading"), s["level"].alias("level"), s["source"].alias("source"), F.transform(s["blocks"], block).alias("blocks"))
     return read.select(
         F.col("schemaVersion").alias("schema_version"), "url", "title", "family", "authority", F.col("documentType").alias("document_type"), F.col("snapshotId").alias("snapshot_id"), "fragment",
-        F.to_timestamp("extractedAt").alias("extracted_at"), F.transform("sections", section).cast(f"array<{SECTION}>").alias("sections"), "warnings",
+        F.to_timestamp("extractedAt").alias("extracted_at"), F.transform("sections", section).cast(f"array<{SECTION}>").alias("sections"), "warnings", *more,
     )
 
 
