@@ -51,7 +51,7 @@ def extract(
     own_extractors = own_extractors or {}
     rules = {f.id: f.html_rules() for f in families} | (rules or {})
     rows = with_family(entries, families)
-    url, family, authority = F.col("url"), F.col("family"), F.col("authority")
+    url = F.col("url")
     is_html = F.coalesce(F.contains(F.col("content_type"), F.lit("text/html")), F.lit(False))
     route = F.when((F.col("extractor") == "html") & ~is_html, "none").when(F.col("extractor").isin(*extractors, *own_extractors), F.col("extractor")).otherwise("none")
     rows = rows.withColumn("route", route).withColumn("t", decoded(F.col("content"), F.col("charset")))
@@ -64,8 +64,8 @@ def extract(
     head = [*keep, "url", "family", "authority", "document_type", "snapshot_id"]
     # Pages and XML go their own way, through tables of their nodes.
     apart = {"html": lambda part: html_extract.extract_pages(part, rules=rules), "xml": xml_extract.extract_texts}
-    parts = {name: rows.where(F.col("route") == name).select(*head, text.alias("text"), warning.alias("warning")) for name in apart if name in extractors}
-    rows = rows.where(~F.col("route").isin(*apart))
+    parts = {name: rows.where(F.col("route") == name).select(*head, text.alias("text"), warning.alias("warning")) for name in apart if name in extractors and name not in own_extractors}
+    rows = rows.where(~F.col("route").isin(*parts))
     made = {}
     if "text" in extractors:
         made["text"] = with_warnings(text_extract.extracted(text, url), warning)

@@ -158,3 +158,14 @@ def test_urls_normal_and_not(spark):
     assert [tuple(r) for r in made.where("want <> got").collect()] == []
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 40
+
+
+def test_own_extractors_replace_the_built_in_ones(spark):
+    from folio.operators import text_extract
+    from folio.operators.extract import extract
+    from tests.test_plans import entries, ts
+
+    own = {"html": lambda text, url: text_extract.extracted(F.upper(text), url)}
+    docs = extract(entries(spark, [html(page="<p>x"), ("https://h.example/b", "xml", "text/xml", "<r>v</r>")]), ts(), own_extractors=own)
+    got = {r["url"][-1]: r["sections"][0]["blocks"][0] for r in docs.collect()}
+    assert got["a"]["text"] == "<P>X" and got["b"]["items"] == ["/r/#text: v"]
