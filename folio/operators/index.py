@@ -23,11 +23,11 @@ def index_chunks(chunked: DataFrame) -> DataFrame:
 
 
 def index_documents(chunked: DataFrame) -> DataFrame:
-    """One row per document: family and URL of its first chunk and all its chunk ids in order."""
-    order = F.struct(*ORDER)
+    """One row per document: family and URL of its first chunk, of several first ones the least, and all its chunk ids in order."""
+    order = F.struct(*ORDER, "url", "family")
     ids = F.array_sort(F.collect_list(F.struct(*ORDER, "chunk_id")))
     return chunked.groupBy("doc_id").agg(
-        F.min_by("family", order).alias("family"), F.min_by("url", order).alias("url"), F.min(order).alias("first"), F.transform(ids, lambda x: x["chunk_id"]).alias("chunks")
+        F.min_by("family", order).alias("family"), F.min_by("url", order).alias("url"), F.min(F.struct(*ORDER)).alias("first"), F.transform(ids, lambda x: x["chunk_id"]).alias("chunks")
     )
 
 

@@ -6,7 +6,7 @@ import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import charset_of, extension_or_own, falsy, iso, normalize_url
@@ -20,10 +20,11 @@ OCTETS = "application/octet-stream"
 HEADERS = {"User-Agent": "folio/0.1", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8"}
 
 
-def snapshot_rows(fetched: DataFrame, run_ts: Column, manual: bool = False) -> DataFrame:
+def snapshot_rows(fetched: DataFrame, run_ts: Column, manual: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Snapshot rows of ``url``, ``final_url``, ``content_type``, ``content`` (and ``local_path``), all fetched at ``run_ts``.
 
-    The id is a hash of what was asked for and when, the content hash one of the bytes.
+    The id is a hash of what was asked for and when, the content hash one of the
+    bytes.  Columns named in ``keep`` stay.
     """
     url = normalize_url(F.col("url"))
     path = F.col("local_path") if "local_path" in fetched.columns else F.lit(None).cast("string")
@@ -31,7 +32,7 @@ def snapshot_rows(fetched: DataFrame, run_ts: Column, manual: bool = False) -> D
     return fetched.select(
         F.sha2(F.concat(url, F.lit("|"), iso(run_ts)), 256).alias("snapshot_id"), url.alias("source_url"), F.coalesce("final_url", url).alias("final_url"), kind.alias("content_type"),
         charset_of(kind).alias("charset"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), run_ts.alias("fetched_at"),
-        F.concat(F.lit("content"), extension_or_own(kind, F.coalesce(path, F.lit("")))).alias("file_name"), F.lit(manual).alias("manual"), path.alias("manual_source_path"), "content",
+        F.concat(F.lit("content"), extension_or_own(kind, F.coalesce(path, F.lit("")))).alias("file_name"), F.lit(manual).alias("manual"), path.alias("manual_source_path"), "content", *keep,
     )
 
 
@@ -117,13 +118,19 @@ def manual_ingest(files: DataFrame, snapshots: DataFrame | None, run_ts: Column,
     return rows.join(known, ["source_url", "sha256"] if refresh else "source_url", "left_anti").select(*rows.columns)
 
 
-def with_snapshots(manifest: DataFrame, snapshots: DataFrame, check: bool = True) -> DataFrame:
-    """Manifest entries with bytes and meta of their latest snapshot; an entry without one ends the run."""
+def with_snapshots(manifest: DataFrame, snapshots: DataFrame, check: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Manifest entries with bytes and meta of their latest snapshot; an entry without one ends the run.
+
+    An entry stays one row: of snapshots of one URL and moment that with the
+    greatest hash holds.  ``by`` names columns of both that tell apart entries and
+    snapshots of one URL.
+    """
+    key = ["source_url", *by]
     entries = manifest.withColumn("source_url", normalize_url(F.col("url")))
     if check:
-        missing = entries.join(snapshots.select("source_url"), "source_url", "left_anti").select("url").limit(5).collect()
+        missing = entries.join(snapshots.select(*key), key, "left_anti").select("url").limit(5).collect()
         if missing:
             raise ValueError(f"no snapshot of {', '.join(r['url'] for r in missing)}")
-    last = latest(snapshots).select("snapshot_id")
-    rows = snapshots.join(last, "snapshot_id", "left_semi").select("source_url", "snapshot_id", "content_type", "charset", "content")
-    return entries.join(rows, "source_url").drop("source_url")
+    last = Window.partitionBy(*key).orderBy(F.desc("fetched_at"), F.desc("snapshot_id"), F.desc("sha256"))
+    rows = snapshots.withColumn("nth", F.row_number().over(last)).where("nth = 1").select(*key, "snapshot_id", "content_type", "charset", "content")
+    return entries.join(rows, key).drop("source_url")
