@@ -126,7 +126,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             write_documents(extract(entries, now, families=families), o["out"], o["format"])
         case "chunk" if o["update"]:
             done = chunk_store.update(spark, o["input"], o["out"], o["format"])
-            print(json.dumps({"read": len(done.read), "gone": len(done.gone)}))
+            print(json.dumps(dict(zip(("read", "gone"), done.counts(), strict=True))))
         case "chunk":
             made = chunks(read_documents(spark, o["input"], o["format"]))
             if o["files"]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,95 @@ def write_files(texts: DataFrame, indent: bool = False) -> None:
     texts.select("path", "text").foreachPartition(put)
 
 
+def listed_files(spark: SparkSession, path: str, suffix: str, tasks: int = 16) -> DataFrame:
+    """``file``, ``size`` and ``modified`` of the files below a folder, listed by tasks: no list of them is held as a whole.
+
+    The folder is one that Arrow's file systems know, as for :func:`write_files`;
+    ``file`` is a path there.
+    """
+
+    def children(store, folder):
+        from pyarrow import fs
+
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if e.is_dir():
+                        yield e.path, None, None
+                    elif e.name.endswith(suffix):
+                        at = e.stat()
+                        yield e.path, at.st_size, at.st_mtime_ns // 1000
+            return
+        for e in store.get_file_info(fs.FileSelector(folder)):
+            if e.type == fs.FileType.Directory:
+                yield e.path, None, None
+            elif e.base_name.endswith(suffix):
+                yield e.path, e.size, (e.mtime_ns or 0) // 1000
+
+    def list_once(deep):
+        def run(batches):
+            rows = []
+            for batch in batches:
+                for row in zip(*batch.to_pydict().values(), strict=True):
+                    open_ = [row]
+                    while open_:
+                        file, size, modified = open_.pop()
+                        if size is not None:
+                            found = [(file, size, modified)]
+                        else:
+                            found = children(opened(path)[0], file)
+                        for one in found:
+                            if deep and one[1] is None:
+                                open_.append(one)
+                                continue
+                            rows.append(one)
+                            if len(rows) == LISTED:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LISTED, strict=True)], list("fsm"))
+                                rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LISTED, strict=True)], list("fsm"))
+
+        return run
+
+    root = spark.createDataFrame([(opened(path)[1].rstrip("/"), None, None)], "f string, s long, m long")
+    # What stands in the folder itself is dealt, folders are listed to any depth where they go.
+    top = root.mapInArrow(list_once(False), root.schema).repartition(tasks, "f").mapInArrow(list_once(True), root.schema)
+    return top.select(F.col("f").alias("file"), F.col("s").alias("size"), F.timestamp_micros("m").alias("modified"))
+
+
+def file_texts(files: DataFrame, path: str) -> DataFrame:
+    """``file`` and ``value``, the text of each of the ``files`` below ``path``, read by the tasks one after the other."""
+
+    def run(batches):
+        store = opened(path)[0]
+        for batch in batches:
+            names, texts, size = [], [], 0
+            for file in batch.column(0).to_pylist():
+                with store.open_input_stream(file) as stream:
+                    texts.append(stream.read().decode("utf-8", "replace"))
+                names.append(file)
+                size += len(texts[-1])
+                if size >= TEXTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], ["file", "value"])
+                    names, texts, size = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], ["file", "value"])
+
+    return files.select("file").mapInArrow(run, "file string, value string")
+
+
+#: Rows of a batch of names, and characters from which on a batch of texts is full.
+LISTED, TEXTS = 1 << 12, 1 << 20
+_LISTED = (pa.string(), pa.int64(), pa.int64())
+
+
+def opened(path: str):
+    """Arrow's file system of a path or URI, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def read_documents(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
     """Documents of a folder, searched to any depth, or of a list of files, which are then named in ``file``.
 
@@ -88,10 +179,18 @@ def read_json_documents(spark: SparkSession, path: str | list[str], named: bool
     has a field of another type that field is null.  A malformed file ends the run.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return _json_documents(files.select("value", F.col("_metadata.file_path").alias("file")) if named else files, named)
+
+
+def read_listed(files: DataFrame, path: str) -> DataFrame:
+    """The documents in the JSON ``files`` of a folder, named in ``file``; the names stay with the tasks."""
+    return _from_contract(_json_documents(file_texts(files, path), True), ["file"])
+
+
+def _json_documents(files: DataFrame, named: bool) -> DataFrame:
     # A file of white space alone is no JSON; anything that can't be parsed is an error here.
     value = F.parse_json("value").alias("v")
-    file = [F.col("_metadata.file_path").alias("file")] if named else []
-    documents = files.select(value, *file).where("coalesce(schema_of_variant(try_variant_get(v, '$.sections', 'variant')), '') LIKE 'ARRAY%'")
+    documents = files.select(value, *(["file"] if named else [])).where("coalesce(schema_of_variant(try_variant_get(v, '$.sections', 'variant')), '') LIKE 'ARRAY%'")
     fields = [f.strip().split(" ", 1) for f in _fields(CONTRACT_SCHEMA)]
     # What isn't an array of sections after all, but of other values, is no document either.
     return documents.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields], *(["file"] if named else [])).where("not exists(sections, s -> s is null)")

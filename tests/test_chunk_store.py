@@ -41,3 +41,20 @@ def test_only_changed_files_are_read(spark, tmp_path):
     assert name(got.read) == ["h-example-4.json", "h-example-9.json"] and name(got.gone) == ["h-example-2.json"]
     same()
     assert update() == chunk_store.Update([], [])
+
+
+def test_the_driver_holds_no_names(spark, tmp_path, monkeypatch):
+    """Updates list and read files in the tasks: nothing that is collected grows with their number."""
+    docs = docs_of(spark, *[(f"https://h.example/{i}", "text", "text/plain", f"text {i}") for i in range(200)])
+    write_documents(docs, f"{tmp_path}/in", "json")
+    collected, collect = [], type(docs).collect
+
+    def counting(df):
+        rows = collect(df)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counting)
+    got = chunk_store.update(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert max(collected) <= chunk_store.BUCKETS
+    assert got.counts() == (200, 0) and chunk_store.all_chunks(spark, f"{tmp_path}/out").count() == 200
