@@ -1,26 +1,24 @@
 """HTML pages to sections of typed blocks, as columns over flat tables of nodes.
 
 The parser hands out a page's nodes (:mod:`folio.operators.html_nodes`); all the
-rest is Spark.  It goes from pages to rows of nodes, of blocks and of sections, and back:
-
-``node_rows``     what holds of a node by itself and its ancestors: pruned or not,
-                  block, heading, section, and what hides it
-``counted``       windows: a step of a path is a ``row_number`` among siblings of a
-                  tag, the heading before a node the last that isn't null, and a
-                  running count says how many blocks come before it
-``block_rows``    a row a block, with the nodes between its ``pre`` and ``end``
-``section_rows``  a row a section, with the blocks between two running counts
-
-Pages are parsed once each and dealt by a number of their own; the windows and
-gatherings behind keep that dealing, so that there is one exchange, of a row a
-page.
+rest is SQL over arrays, from nodes to blocks and sections:
+
+``described``  what holds of a node by itself and its ancestors: pruned or not,
+               block, heading, section, what hides it, and its number among siblings
+``placed``     paths, normativity and the headings that name algorithms
+``blocks``     a block for each node that is one, of the nodes between its ``pre`` and ``end``
+``sections``   a section for each heading or holder, with the blocks between two places
+
+Pages are dealt before the parser, which is the one exchange: what moves is a page,
+not its nodes, and a page stays one row from there on, so that a task holds one
+page's nodes at a time and nothing is sorted or gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.families import BY_ID
@@ -29,7 +27,7 @@ from folio.operators.html_nodes import nodes_of
 from folio.operators.htmltree import HEADINGS
 from folio.operators.schema import BLOCK, BLOCK_FIELDS, EXTRACTED, SECTION, SOURCE
 from folio.operators.selectors import sql_matches
-from folio.operators.sqltext import first, fresh, full, let, normal, one_of, quoted, struct, transform, where, with_fields
+from folio.operators.sqltext import first, fresh, full, let, normal, one_of, quoted, rank, struct, transform, where, with_fields
 
 #: Elements that are blocks, and elements that are sections.
 BLOCK_TAGS = frozenset("p pre ul ol table blockquote dl emu-alg emu-grammar emu-code emu-note emu-example emu-equation emu-table".split())
@@ -41,7 +39,7 @@ INFORMATIVE = ("note", "informative", "non-normative", "warning", "issue", "edno
 EXAMPLE = ("example", "examples")
 NORMATIVE = ("normative",)
 
-PAGE = ("page", "own", "body", "root", "scope", "title")
+PAGE = ("own", "body", "root", "scope", "title")
 
 
 class Rules:
@@ -129,19 +127,22 @@ def source(path: str, fragment: str) -> str:
 
 # Nodes.
 
-#: What a node of the parse has, and what ``node_rows`` and ``counted`` add to it.
-PARSED = ("pre", "end", "parent", "above", "tag", "text", "id", "classes", "attributes")
-FOUND = ("gone", "algorithm", "grammar", "section", "heading", "hider", "in_body", "in_tbody", "norm")
-COUNTED = ("nth", "heading_before", "before")
+#: What a node of the parse has, and what ``described`` adds to it.
+PARSED = ("pre", "end", "parent", "above", "tag", "text", "id", "classes", "attributes", "after")
+FOUND = ("nth", "gone", "algorithm", "grammar", "section", "heading", "hider", "in_body", "norm")
 
 
-def node_rows(parsed: DataFrame, rules: Rules) -> DataFrame:
-    """A row a node, ``x``, of the pages in ``nodes``, with the page's ``body``, ``root``, ``scope`` and ``title``; a page without nodes has one row."""
+def described(parsed: DataFrame, rules: Rules) -> DataFrame:
+    """Pages with what is found of each of their ``nodes``, and with the page's ``body``, ``root``, ``scope`` and ``title``."""
     tree = Tree("nodes")
-    cut = transform(where("nodes", lambda x: f"{x}.tag IS NOT NULL AND {rules.matches('prune', x, tree.at)}"), lambda x: f"{x}.pre")
-    rows = parsed.selectExpr("page", "own", "nodes", f"{cut} AS cut", f"{rules.kinds()} AS kinds")
-    gone = lambda x: f"size(cut) > 0 AND (array_contains(cut, {x}.pre) OR arrays_overlap(cut, {x}.above))"
-    rows = rows.selectExpr("page", "own", "kinds", f"{transform('nodes', lambda x: with_fields(x, {'gone': gone(x)}, PARSED))} AS nodes")
+    cut = transform(where("nodes", lambda x: f"{x}.tag IS NOT NULL AND {rules.matches('prune', x, tree.at)}"), lambda x: struct(pre=f"{x}.pre", parent=f"{x}.parent", tag=f"{x}.tag"))
+    rows = parsed.selectExpr("own", "nodes", f"{cut} AS cut", f"{rules.kinds()} AS kinds")
+    rows = rows.selectExpr("*", "cut.pre AS places")
+    gone = lambda x: f"size(places) > 0 AND (array_contains(places, {x}.pre) OR arrays_overlap(places, {x}.above))"
+    # Among siblings of a tag those that are pruned don't count.
+    earlier = lambda x: where("cut", lambda c: f"{c}.parent = {x}.parent AND {c}.tag = {x}.tag AND {c}.pre < {x}.pre")
+    nth = lambda x: f"CASE WHEN {x}.tag IS NULL OR size(cut) = 0 THEN {x}.nth ELSE {x}.nth - size({earlier(x)}) END"
+    rows = rows.selectExpr("own", "kinds", f"{transform('nodes', lambda x: with_fields(x, {'nth': nth(x), 'gone': gone(x)}, PARSED))} AS nodes")
 
     element = lambda test: first(where("nodes", lambda x: f"{x}.tag IS NOT NULL AND NOT {x}.gone AND coalesce({test(x)}, false)"))
     rows = rows.selectExpr(
@@ -150,57 +151,50 @@ def node_rows(parsed: DataFrame, rules: Rules) -> DataFrame:
     )
     # Sections by a selector fall back on the headings of the whole body.
     scope = f"CASE WHEN {rules.has('sections')} AND NOT {rules.has('single_pre')} THEN body ELSE coalesce(own_root, body) END"
-    rows = rows.selectExpr("page", "own", "nodes", "kinds", "body", "coalesce(own_root, body) AS root", f"{scope} AS scope", f"coalesce({tree.text('t')}, '') AS title")
+    rows = rows.selectExpr("own", "nodes", "kinds", "body", "coalesce(own_root, body) AS root", f"{scope} AS scope", f"coalesce({tree.text('t')}, '') AS title")
 
-    def described(x: str) -> str:
+    def found(x: str) -> str:
         left = f"({x}.tag IS NOT NULL AND NOT {x}.gone)"
         tagged = lambda tags: where(f"{x}.above", lambda a: one_of(f"{tree.at(a)}.tag", tags))
         own = first(where(transform(f"{x}.classes", lambda k: f"try_element_at(kinds, {k})"), lambda v: f"{v} IS NOT NULL"))
         rule = lambda name: f"{left} AND {rules.matches(name, x, tree.at)}"
         fields = {
-            "gone": f"{x}.gone", "algorithm": rule("algorithm"), "grammar": rule("grammar"), "section": rule("sections"), "heading": f"{left} AND {one_of(f'{x}.tag', HEADINGS)}",
+            "nth": f"{x}.nth", "gone": f"{x}.gone", "algorithm": rule("algorithm"), "grammar": rule("grammar"), "section": rule("sections"), "heading": f"{left} AND {one_of(f'{x}.tag', HEADINGS)}",
             "hider": f"CASE WHEN {left} THEN coalesce(array_max({tagged(BLOCK_TAGS | SECTION_TAGS)}), -1) END", "in_body": f"array_contains({x}.above, body)",
             "in_tbody": f"{x}.tag = 'tr' AND size({tagged(('tbody',))}) > 0", "norm": f"CASE WHEN {left} THEN {own} END",
         }
         return with_fields(x, fields, PARSED)
 
-    # An outer generator: pages without a node stay, and nothing is inferred about the parse and run twice.
-    rows = rows.selectExpr(*PAGE, f"{transform('nodes', described)} AS nodes")
-    return rows.selectExpr(*PAGE, "explode_outer(nodes) AS x")
+    return rows.selectExpr(*PAGE, f"{transform('nodes', found)} AS nodes")
 
 
 def is_block(x: str) -> str:
     return f"(NOT {x}.gone AND ({one_of(f'{x}.tag', BLOCK_TAGS)} OR {x}.algorithm OR {x}.grammar))"
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """A row a page again, ``n`` its nodes with ``nth``, ``heading_before``, ``before`` and what follows from them: ``path``, ``norm`` and, for algorithms, ``titled_by``."""
-    siblings = Window.partitionBy("page", "x.parent", "x.gone", "x.tag").orderBy("x.pre")
-    family = Window.partitionBy("page", "x.parent").orderBy("x.pre").rowsBetween(Window.unboundedPreceding, -1)
-    document = Window.partitionBy("page").orderBy("x.pre").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("nth", F.row_number().over(siblings))
-    rows = rows.withColumn("heading_before", F.last(F.expr("CASE WHEN x.heading THEN x.pre END"), ignorenulls=True).over(family))
-    rows = rows.withColumn("before", F.count_if(F.expr(is_block("x"))).over(document).cast("int"))
-    node = with_fields("x", {c: c for c in COUNTED}, (*PARSED, *FOUND))
-    pages = rows.groupBy("page").agg(*[F.first(c).alias(c) for c in PAGE[1:]], F.collect_list(F.expr(f"CASE WHEN x IS NOT NULL THEN {node} END")).alias("n"))
-    pages = pages.selectExpr(*PAGE, "array_sort(n, (a, b) -> a.pre - b.pre) AS n")
-
-    tree = Tree("n")
+def placed(pages: DataFrame) -> DataFrame:
+    """Pages with ``n``, their nodes with what follows from those around them: ``path``, ``norm`` and, for algorithms, ``titled_by``."""
+    tree = Tree("nodes")
     step = lambda k: f"concat({k}.tag, ':nth-of-type(', {k}.nth, ')')"
     # From the element up, without the body and what holds it; outside the body all that holds the element.
     down = lambda x: f"concat({where(f'{x}.above', lambda a: f'(NOT {x}.in_body OR {a} > body)')}, array({x}.pre))"
-    nearest = lambda x, field: first(where(transform(f"reverse({down(x)})", lambda a: f"{tree.at(a)}.{field}"), lambda v: f"{v} IS NOT NULL"))
+    nearest = lambda x, value: first(where(transform(f"reverse({down(x)})", lambda a: let(tree.at(a), value)), lambda v: f"{v} IS NOT NULL"))
 
-    def placed(x: str) -> str:
+    def heading_before(k: str) -> str:
+        """The last heading among the siblings before; where that is pruned, the last one that isn't."""
+        left = transform(where("nodes", lambda h: f"{h}.heading AND {h}.parent = {k}.parent AND {h}.pre < {k}.pre"), lambda h: f"{h}.pre")
+        return f"CASE WHEN {k}.after IS NOT NULL THEN CASE WHEN {tree.at(f'{k}.after')}.gone THEN array_max({left}) ELSE {k}.after END END"
+
+    def one(x: str) -> str:
         path = f"array_join({transform(down(x), lambda a: let(tree.at(a), step))}, ' > ')"
         wanted = f"({is_block(x)} OR {x}.heading OR {x}.section)"
         fields = {
             "path": f"CASE WHEN {x}.pre = body THEN '' WHEN {wanted} AND {x}.in_body THEN {path} END",
-            "norm": f"CASE WHEN {is_block(x)} AND {x}.in_body THEN {nearest(x, 'norm')} END", "titled_by": f"CASE WHEN {x}.algorithm THEN {nearest(x, 'heading_before')} END",
+            "norm": f"CASE WHEN {is_block(x)} AND {x}.in_body THEN {nearest(x, lambda k: f'{k}.norm')} END", "titled_by": f"CASE WHEN {x}.algorithm THEN {nearest(x, heading_before)} END",
         }
-        return with_fields(x, fields, (*PARSED, *[c for c in (*FOUND, *COUNTED) if c != "norm"]))
+        return with_fields(x, fields, (*PARSED, *[c for c in (*FOUND, "in_tbody") if c != "norm"]))
 
-    return pages.selectExpr(*PAGE, f"{transform('n', placed)} AS n")
+    return pages.selectExpr(*PAGE, f"{transform('nodes', one)} AS n")
 
 
 # Blocks.
@@ -236,68 +230,83 @@ def cells(tree: Tree, row: str, *tags: str) -> str:
     return transform(tree.elements(row, *tags), tree.clean)
 
 
-def block_rows(pages: DataFrame) -> DataFrame:
-    """Of each page a row for itself, ``n`` its nodes, and one for each block, ``block`` null where it has nothing to say.
+def blocks(pages: DataFrame) -> DataFrame:
+    """Pages with ``made``, what each of their blocks is, ``block`` null where it has nothing to say.
 
     A block is what its rule, for algorithms and grammars, or its element makes it.
     """
     tree = Tree("n")
     part = lambda x: f"slice(n, {x}.pre + 2, {x}.`end` - {x}.pre - 1)"
     titled = lambda x: let(tree.at(f"{x}.titled_by"), lambda h: f"CASE WHEN {h} IS NOT NULL THEN {tree.text(h)} END")
-    items = transform(where("n", is_block), lambda x: struct(x=x, part=part(x), heading=titled(x)))
-    page = f"array({struct(x='get(n, -1)', part='n', heading='CAST(NULL AS string)')})"
-    rows = pages.selectExpr(*PAGE, f"explode(concat({page}, {items})) AS i").selectExpr(*PAGE, "i.x AS x", "i.part AS part", "i.heading AS heading")
-
-    tree = Tree("part", "x.pre")
-    rule = "CASE WHEN x.algorithm THEN 'algorithm' WHEN x.grammar THEN 'grammar'"
+    rule = lambda x: f"CASE WHEN {x}.algorithm THEN 'algorithm' WHEN {x}.grammar THEN 'grammar'"
     tags = {"paragraph": ("p",), "note": NOTE_TAGS, "code": CODE_TAGS, "list": ("ul", "ol"), "definitionList": ("dl",), "table": ("table", "emu-table")}
-    kind = " ".join(f"WHEN {one_of('x.tag', t)} THEN '{name}'" for name, t in tags.items())
-    rows = rows.selectExpr("*", f"{rule} {kind} END AS type")
-    of = lambda value, *types: f"CASE WHEN {one_of('type', types)} THEN {value} END"
-    pairs = transform(tree.children("x", "dt", "dd"), lambda k: struct(term=f"{k}.tag = 'dt'", text=tree.clean(k)))
-    rows = rows.selectExpr(
-        "*", f"{of(tree.text('x'), 'paragraph', 'note', 'code', 'grammar')} AS raw", f"{of(f"CASE WHEN x.tag = 'ol' THEN x ELSE {first(tree.elements('x', 'ol'))} END", 'algorithm')} AS ol",
-        f"{of(pairs, 'definitionList')} AS dl", f"{of(tree.elements('x', 'tr'), 'table')} AS every_tr", f"{of(first(tree.elements('x', 'thead')), 'table')} AS thead",
-        f"CASE WHEN x.id IS NULL THEN {tree.anchor('x')} END AS anchor",
-    )
-    named = f"CASE WHEN thead IS NOT NULL THEN {cells(tree, 'thead', 'th', 'td')} WHEN size(every_tr) > 0 THEN {let(first('every_tr'), lambda r: cells(tree, r, 'th'))} ELSE CAST(array() AS array<string>) END"
-    bodies = where("every_tr", lambda r: f"{r}.in_tbody")
-    rows = rows.selectExpr("*", f"{of(where(named, lambda h: f"{h} <> ''"), 'table')} AS headers", f"{let(bodies, lambda b: f'CASE WHEN size({b}) > 0 THEN {b} ELSE every_tr END')} AS tr")
-    headed = f"(size(headers) > 0 AND coalesce(size({let(first('tr'), lambda r: tree.elements(r, 'th'))}) > 0, false))"
-    rows = rows.selectExpr("*", f"CASE WHEN {headed} THEN slice(tr, 2, size(tr)) ELSE tr END AS kept_tr")
-    lines = where(transform("kept_tr", lambda r: cells(tree, r, "th", "td")), lambda r: f"size({r}) > 0")
-    code = rf"regexp_replace(regexp_replace(raw, '\n{{3,}}', '\n\n'), r'[{JAVA_WHITE}]+$', '')"
-    title = f"coalesce({full(attribute('x', 'data-algorithm'))}, {full(attribute('x', 'aria-label'))}, heading)"
-    items = where(transform(tree.children("x", "li"), tree.clean), lambda t: f"{t} <> ''")
-    # Steps are numbered over all items, blank ones left out.
-    steps = where(transform(tree.children("ol", "li"), lambda k, i: struct(step_id=f"CAST({i} + 1 AS string)", text=tree.clean(k)), True), lambda s: f"{s}.text <> ''")
-    rows = rows.selectExpr(
-        *PAGE, "x", "part", "type", "headers", f"coalesce({of(normal('raw'), 'paragraph', 'note')}, {of(code, 'code')}) AS text", f"{of(items, 'list')} AS items", f"{of("x.tag = 'ol'", 'list')} AS ordered",
-        f"{of(definitions('dl'), 'definitionList')} AS definitions", f"{of(lines, 'table')} AS rows", f"{of(steps, 'algorithm')} AS steps",
-        f"{of(f'CASE WHEN {title} IS NOT NULL THEN {normal(title)} END', 'algorithm')} AS named", f"{of(productions('raw'), 'grammar')} AS productions", f"coalesce(x.id, {name_of('anchor')}) AS name",
-    )
-    says = " OR ".join(["coalesce(text <> '', false)", *[f"coalesce(size({c}) > 0, false)" for c in ("items", "definitions", "headers", "rows", "steps", "productions")]])
-    parts = {f: f for f in ("type", "text", "ordered", "items", "definitions", "headers", "rows", "steps", "productions")}
-    parts |= {"id": "name", "title": "named", "normativity": "coalesce(x.norm, CASE WHEN own.authority = 'normative' THEN 'normative' ELSE 'informative' END)", "links": links(tree, "x"), "source": source("x.path", "name")}
-    block = f"CAST({struct(**{f: parts.get(f, 'NULL') for f in BLOCK_FIELDS})} AS {BLOCK})"
-    return rows.selectExpr(*PAGE, "x.pre AS pre", "x.hider AS hider", "x.heading AS is_heading", "CASE WHEN x IS NULL THEN part END AS n", f"CASE WHEN x IS NOT NULL AND ({says}) THEN {block} END AS block")
+    kind = lambda x: " ".join(f"WHEN {one_of(f'{x}.tag', t)} THEN '{name}'" for name, t in tags.items())
+    rows = pages.selectExpr(*PAGE, "n", f"{transform(where('n', is_block), lambda x: struct(x=x, part=part(x), heading=titled(x), type=f'{rule(x)} {kind(x)} END'))} AS made")
+
+    def then(fields: Callable[[str, str, Tree, Callable[..., str]], dict[str, str]], *kept: str) -> None:
+        """One step: of each block the fields ``kept`` and more, which ``fields`` makes of the block, its node, the nodes below and a test of its type."""
+        nonlocal rows
+
+        def one(b: str) -> str:
+            of = lambda value, *types: f"CASE WHEN {one_of(f'{b}.type', types)} THEN {value} END"
+            return with_fields(b, fields(b, f"{b}.x", Tree(f"{b}.part", f"{b}.x.pre"), of), kept)
+
+        rows = rows.selectExpr(*PAGE, "n", f"{transform('made', one)} AS made")
+
+    then(lambda b, x, tree, of: {
+        "raw": of(tree.text(x), "paragraph", "note", "code", "grammar"), "ol": of(f"CASE WHEN {x}.tag = 'ol' THEN {x} ELSE {first(tree.elements(x, 'ol'))} END", "algorithm"),
+        "dl": of(transform(tree.children(x, "dt", "dd"), lambda k: struct(term=f"{k}.tag = 'dt'", text=tree.clean(k))), "definitionList"), "every_tr": of(tree.elements(x, "tr"), "table"),
+        "thead": of(first(tree.elements(x, "thead")), "table"), "anchor": f"CASE WHEN {x}.id IS NULL THEN {tree.anchor(x)} END",
+    }, "x", "part", "heading", "type")
+
+    def table_parts(b, x, tree, of):
+        empty = "CAST(array() AS array<string>)"
+        named = f"CASE WHEN {b}.thead IS NOT NULL THEN {cells(tree, f'{b}.thead', 'th', 'td')} WHEN size({b}.every_tr) > 0 THEN {let(first(f'{b}.every_tr'), lambda r: cells(tree, r, 'th'))} ELSE {empty} END"
+        bodies = where(f"{b}.every_tr", lambda r: f"{r}.in_tbody")
+        return {"headers": of(where(named, lambda h: f"{h} <> ''"), "table"), "tr": of(let(bodies, lambda v: f"CASE WHEN size({v}) > 0 THEN {v} ELSE {b}.every_tr END"), "table")}
+
+    then(table_parts, "x", "part", "heading", "type", "raw", "ol", "dl", "anchor")
+
+    def filled(b, x, tree, of):
+        headed = f"(size({b}.headers) > 0 AND coalesce(size({let(first(f'{b}.tr'), lambda r: tree.elements(r, 'th'))}) > 0, false))"
+        kept = f"CASE WHEN {headed} THEN slice({b}.tr, 2, size({b}.tr)) ELSE {b}.tr END"
+        lines = where(transform(kept, lambda r: cells(tree, r, "th", "td")), lambda r: f"size({r}) > 0")
+        code = rf"regexp_replace(regexp_replace({b}.raw, '\n{{3,}}', '\n\n'), r'[{JAVA_WHITE}]+$', '')"
+        title = f"coalesce({full(attribute(x, 'data-algorithm'))}, {full(attribute(x, 'aria-label'))}, {b}.heading)"
+        items = where(transform(tree.children(x, "li"), tree.clean), lambda t: f"{t} <> ''")
+        # Steps are numbered over all items, blank ones left out.
+        steps = where(transform(tree.children(f"{b}.ol", "li"), lambda k, i: struct(step_id=f"CAST({i} + 1 AS string)", text=tree.clean(k)), True), lambda s: f"{s}.text <> ''")
+        return {
+            "text": f"coalesce({of(normal(f'{b}.raw'), 'paragraph', 'note')}, {of(code, 'code')})", "items": of(items, "list"), "ordered": of(f"{x}.tag = 'ol'", "list"), "definitions": of(definitions(f"{b}.dl"), "definitionList"),
+            "rows": of(lines, "table"), "steps": of(steps, "algorithm"), "named": of(f"CASE WHEN {title} IS NOT NULL THEN {normal(title)} END", "algorithm"), "productions": of(productions(f"{b}.raw"), "grammar"),
+            "name": f"coalesce({x}.id, {name_of(f'{b}.anchor')})",
+        }
 
+    then(filled, "x", "part", "type", "headers")
 
-# Sections.
+    def whole(b, x, tree, of):
+        says = " OR ".join([f"coalesce({b}.text <> '', false)", *[f"coalesce(size({b}.{c}) > 0, false)" for c in ("items", "definitions", "headers", "rows", "steps", "productions")]])
+        parts = {f: f"{b}.{f}" for f in ("type", "text", "ordered", "items", "definitions", "headers", "rows", "steps", "productions")}
+        normativity = f"coalesce({x}.norm, CASE WHEN own.authority = 'normative' THEN 'normative' ELSE 'informative' END)"
+        parts |= {"id": f"{b}.name", "title": f"{b}.named", "normativity": normativity, "links": links(tree, x), "source": source(f"{x}.path", f"{b}.name")}
+        block = f"CAST({struct(**{f: parts.get(f, 'NULL') for f in BLOCK_FIELDS})} AS {BLOCK})"
+        return {"pre": f"{x}.pre", "hider": f"{x}.hider", "is_heading": f"{x}.heading", "block": f"CASE WHEN {says} THEN {block} END"}
 
+    then(whole)
+    return rows
 
-def section_rows(blocks: DataFrame, rules: Rules) -> DataFrame:
-    """A row a section, ``section``, numbered by ``at``; a page without any keeps a row."""
-    kept = F.expr("CASE WHEN pre IS NOT NULL THEN named_struct('pre', pre, 'hider', hider, 'is_heading', is_heading, 'block', block) END")
-    pages = blocks.groupBy("page").agg(*[F.first(c).alias(c) for c in PAGE[1:]], F.first("n", ignorenulls=True).alias("n"), F.collect_list(kept).alias("made"))
-    pages = pages.selectExpr(*PAGE, "n", "array_sort(made, (a, b) -> a.pre - b.pre) AS made")
 
+# Sections.
+
+
+def sections(pages: DataFrame, rules: Rules) -> DataFrame:
+    """Pages with their ``sections``, numbered."""
+    pages = pages.selectExpr("*", f"{transform('made', lambda m: f'{m}.pre')} AS places")
     tree, single = Tree("n"), rules.has("single_pre")
-    number = lambda place: f"coalesce({tree.at(place)}.before, size(made))"
 
     def shown(start: str, end: str, container: str, headings: bool) -> str:
-        """The blocks from one place up to another: a slice, as nodes know how many come before them; without those that a block or section below the container hides."""
-        part = f"slice(made, {number(start)} + 1, greatest({number(end)} - {number(start)}, 0))"
+        """The blocks from one place up to another, without those that a block or section below the container hides."""
+        part = let(rank("places", start), lambda a: f"slice(made, {a} + 1, greatest({rank('places', end)} - {a}, 0))")
         good = where(part, lambda m: f"{m}.block IS NOT NULL AND {m}.hider <= {container}" + ("" if headings else f" AND NOT {m}.is_heading"))
         return transform(good, lambda m: f"{m}.block")
 
@@ -317,7 +326,7 @@ def section_rows(blocks: DataFrame, rules: Rules) -> DataFrame:
     in_all = f"array({item('get(n, -1)', 'get(n, -1)', 'whole.path', shown('whole.pre + 1', 'whole.`end`', 'whole.pre', True), True)})"
     in_pre = f"array({item('pre', 'get(n, -1)', 'pre.path', shown('pre.pre', 'pre.pre + 1', str(1 << 30), True), True)})"
     selected = where(transform("holders", holder), lambda s: f"size({s}.blocks) > 0 OR coalesce({tree.clean(f'{s}.heading')}, '') <> ''")
-    pages = pages.selectExpr("page", "own", "title", "n", f"CASE WHEN size(heads) > 0 THEN {by_heading} ELSE {in_all} END AS by_heading", f"{selected} AS selected", f"{tree.clean('pre')} AS said", f"{in_pre} AS in_pre")
+    pages = pages.selectExpr("own", "title", "n", f"CASE WHEN size(heads) > 0 THEN {by_heading} ELSE {in_all} END AS by_heading", f"{selected} AS selected", f"{tree.clean('pre')} AS said", f"{in_pre} AS in_pre")
     chosen = "CASE WHEN coalesce(said <> '', false) THEN in_pre WHEN coalesce(size(selected) > 0, false) THEN selected ELSE by_heading END"
 
     def with_parts(s: str) -> str:
@@ -326,16 +335,22 @@ def section_rows(blocks: DataFrame, rules: Rules) -> DataFrame:
         fields = {"said": tree.clean(h), "in_heading": tree.anchor(h), "in_container": tree.anchor(c), "link": link}
         return with_fields(s, fields, ("container", "heading", "path", "blocks", "titled"))
 
-    pages = pages.selectExpr("page", "own", "title", "n", f"{chosen} AS chosen")
-    rows = pages.selectExpr("page", "own", "title", f"{transform('chosen', with_parts)} AS chosen").selectExpr("page", "own", "title", "posexplode_outer(chosen) AS (at, s)")
-    found = f"CASE WHEN s.in_heading IS NOT NULL THEN {name_of('s.in_heading')} WHEN s.in_container IS NOT NULL THEN {name_of('s.in_container')} ELSE substring({attribute('s.link', 'href')}, 2) END"
-    # A section for a whole page has its title for a heading, and an id only of its own.
-    rows = rows.selectExpr("*", f"CASE WHEN s.titled THEN s.container.id ELSE coalesce(s.container.id, s.heading.id, {found}) END AS name")
-    heading = f"CASE WHEN s.titled THEN coalesce({full('title')}, 'Document') ELSE coalesce({full('s.said')}, 'Untitled') END"
-    level = "CASE WHEN s.heading IS NOT NULL THEN CAST(substring(s.heading.tag, 2, 1) AS int) ELSE 1 END"
-    numbered = transform("s.blocks", lambda b, j: struct(**{f: f"{b}.{f}" if f != "ordinal" else j for f in BLOCK_FIELDS}), True)
-    section = f"CAST({struct(ordinal='at', id='name', heading=heading, level=level, source=source('s.path', 'name'), blocks=numbered)} AS {SECTION})"
-    return rows.selectExpr("page", "own", "title", "at", f"CASE WHEN s IS NOT NULL THEN {section} END AS section")
+    pages = pages.selectExpr("own", "title", "n", f"{chosen} AS chosen")
+    pages = pages.selectExpr("own", "title", f"{transform('chosen', with_parts)} AS chosen")
+
+    def with_name(s: str) -> str:
+        found = f"CASE WHEN {s}.in_heading IS NOT NULL THEN {name_of(f'{s}.in_heading')} WHEN {s}.in_container IS NOT NULL THEN {name_of(f'{s}.in_container')} ELSE substring({attribute(f'{s}.link', 'href')}, 2) END"
+        # A section for a whole page has its title for a heading, and an id only of its own.
+        name = f"CASE WHEN {s}.titled THEN {s}.container.id ELSE coalesce({s}.container.id, {s}.heading.id, {found}) END"
+        return with_fields(s, {"name": name}, ("heading", "path", "blocks", "titled", "said"))
+
+    def section(s: str, at: str) -> str:
+        heading = f"CASE WHEN {s}.titled THEN coalesce({full('title')}, 'Document') ELSE coalesce({full(f'{s}.said')}, 'Untitled') END"
+        level = f"CASE WHEN {s}.heading IS NOT NULL THEN CAST(substring({s}.heading.tag, 2, 1) AS int) ELSE 1 END"
+        numbered = transform(f"{s}.blocks", lambda b, j: struct(**{f: f"{b}.{f}" if f != "ordinal" else j for f in BLOCK_FIELDS}), True)
+        return f"CAST({struct(ordinal=at, id=f'{s}.name', heading=heading, level=level, source=source(f'{s}.path', f'{s}.name'), blocks=numbered)} AS {SECTION})"
+
+    return pages.selectExpr("own", "title", f"{transform(transform('chosen', with_name), section, True)} AS sections")
 
 
 def extract_pages(pages: DataFrame, text: str = "text", rules: dict[str, dict] | None = None, families: Iterable[str] = tuple(BY_ID)) -> DataFrame:
@@ -347,14 +362,12 @@ def extract_pages(pages: DataFrame, text: str = "text", rules: dict[str, dict] |
     by_family = {f: BY_ID[f].html_rules() for f in dict.fromkeys(("generic", *families))} | (rules or {})
     own = F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c == "url" else F.col(c) for c in pages.columns if c != text])
     rule = Rules("own.family", by_family)
-    parsed = pages.select(F.monotonically_increasing_id().alias("page"), own.alias("own"), nodes_of(F.coalesce(F.col(text), F.lit(""))).alias("nodes"))
-    # Dealt behind the parser, as Spark doesn't see that a page's row comes out of it where it went in.
-    nodes = node_rows(parsed.repartition("page"), rule)
-    rows = section_rows(block_rows(counted(nodes)), rule)
-    sections = rows.groupBy("page").agg(F.first("own").alias("own"), F.first("title").alias("title"), F.collect_list("section").alias("sections"))
-    sections = sections.selectExpr("own", "title", "array_sort(sections, (a, b) -> a.ordinal - b.ordinal) AS sections")
+    dealt = pages.select(F.monotonically_increasing_id().alias("page"), own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("page")
+    made = sections(blocks(placed(described(nodes_of(dealt), rule))), rule)
     title = f"coalesce({full('title')}, get(sections, 0).heading, 'Untitled')"
-    return sections.selectExpr("own.*", f"CAST({struct(title=title, sections='sections', warnings='NULL')} AS {EXTRACTED}) AS e")
+    e = f"CAST({struct(title=title, sections='sections', warnings='NULL')} AS {EXTRACTED})"
+    # A generator of one row, an outer one: a filter on what comes out of it isn't moved before it, where the extraction would run twice.
+    return made.selectExpr("own", f"explode_outer(array({e})) AS e").selectExpr("own.*", "e")
 
 
 def extract_html(text: str | None, url: str, rules: dict, authority: str = "informative") -> dict:

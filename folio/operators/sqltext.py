@@ -40,6 +40,16 @@ def where(items: str, test: Callable[..., str], index: bool = False) -> str:
     return f"filter({items}, ({v}, {i}) -> {test(v, i)})" if index else f"filter({items}, {v} -> {test(v)})"
 
 
+def rank(places: str, place: str) -> str:
+    """How many of the ascending ``places`` come before ``place``, by halving."""
+    s, i = fresh(), fresh()
+    middle = f"shiftright({s}.lo + {s}.hi, 1)"
+    return (
+        f"aggregate(sequence(1, 31), named_struct('lo', 0, 'hi', size({places})), ({s}, {i}) -> CASE WHEN {s}.lo >= {s}.hi THEN {s} "
+        f"WHEN get({places}, {middle}) < {place} THEN named_struct('lo', {middle} + 1, 'hi', {s}.hi) ELSE named_struct('lo', {s}.lo, 'hi', {middle}) END).lo"
+    )
+
+
 def first(items: str) -> str:
     return f"get({items}, 0)"
 

@@ -51,3 +51,33 @@ def test_an_entry_stays_one_row(spark):
     fetched = spark.createDataFrame([("https://a.example/x", None, "text/html", b"1"), ("https://a.example/x#f", None, "text/html", b"2")], "url string, final_url string, content_type string, content binary")
     rows = snapshot_rows(fetched, F.lit("2024-01-01").cast("timestamp"))
     assert with_snapshots(fetched.select("url"), rows).count() == 2
+
+
+def test_pages_are_dealt_before_the_parser(spark):
+    """What moves is pages, not their nodes, and no node is sorted or gathered."""
+    from folio.operators.html_extract import extract_pages
+
+    docs = spark.createDataFrame([("<p>x", "u", "generic", "x")], "text string, url string, family string, authority string")
+    plan = extract_pages(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+    assert not any(x in plan for x in ("Window", "Sort", "Aggregate"))
+
+
+def test_nodes_come_in_small_batches(spark, monkeypatch):
+    """The parser holds the nodes of a few pages at once, whatever the size of a batch."""
+    from pyspark.sql import functions as F
+
+    from folio.operators import html_nodes
+
+    most = spark.sparkContext.accumulator(0)
+    tables = html_nodes.tables
+
+    def counting(pages, node):
+        if len(pages) > 3:
+            most.add(len(pages))
+        return tables(pages, node)
+
+    monkeypatch.setattr(html_nodes, "tables", counting)
+    monkeypatch.setattr(html_nodes, "BATCH", 100)
+    rows = spark.range(0, 50, 1, 1).select(F.struct("id").alias("own"), F.repeat(F.lit("<p>x"), 10).alias("text"))
+    assert html_nodes.nodes_of(rows).where("size(nodes) > 0").count() == 50 and most.value == 0
