@@ -3,8 +3,8 @@
 Schemas become lists of definitions by kind, any other text becomes its lines of
 path and value.  The parser hands out a text's elements
 (:mod:`folio.operators.xml_nodes`); what an element holds is an interval of them.
-Texts are dealt once, by a number of their own; a schema's definitions are rows
-on the way, each with the elements below it.
+Texts are dealt once, before the parser, and stay one row each from there on; a
+schema's definitions are an array, each with the elements below it on the way.
 """
 
 from __future__ import annotations
@@ -203,9 +203,10 @@ def extract_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     depth.
     """
     others = F.struct(*[c for c in texts.columns if c != text])
-    parsed = texts.select(F.monotonically_increasing_id().alias("doc"), others.alias("own"), elements_of(F.coalesce(F.col(text), F.lit(""))).alias("p")).repartition("doc")
+    dealt = texts.select(F.monotonically_increasing_id().alias("doc"), others.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartition("doc")
+    parsed = dealt.select("own", elements_of(F.col("t")).alias("p"))
     local = lambda x: f"regexp_extract({x}.name, '([^:]*)$', 1)"
-    rows = parsed.selectExpr("doc", "own", "p.error AS error", f"{transform('p.elements', lambda x: with_fields(x, {'local': local(x)}, FIELDS))} AS n")
+    rows = parsed.selectExpr("own", "p.error AS error", f"{transform('p.elements', lambda x: with_fields(x, {'local': local(x)}, FIELDS))} AS n")
     root = "get(n, 0)"
     rows = rows.selectExpr("*", f"coalesce({root}.local = 'schema', false) AS is_schema")
     kinds = [k for k, *_ in KINDS]
@@ -213,16 +214,14 @@ def extract_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     # In the order of a dictionary: signs, then letters whatever their accents and case, which come last.
     about = f"array_sort({where(f'{root}.attributes', lambda a: f"{one_of(f'{a}.name', SCHEMA_ATTRIBUTES)} OR startswith({a}.name, 'xmlns')")}, (a, b) -> CASE WHEN collate(a.name, 'UNICODE') < collate(b.name, 'UNICODE') THEN -1 WHEN a.name = b.name THEN 0 ELSE 1 END)"
     about = transform(about, lambda a: struct(term=normal(f"{a}.name"), definition=normal(f"{a}.value")))
-    # A row for the text and one for each definition, with the elements below it.
-    page = f"array({struct(x='get(n, -1)', part='n')})"
     items = transform(let(root, lambda r: tree.deep(r, *kinds)), lambda x: struct(x=x, part=tree.below(x)))
-    rows = rows.selectExpr("doc", "own", "error", "is_schema", f"CASE WHEN is_schema THEN {about} END AS about", f"explode(concat({page}, CASE WHEN is_schema THEN {items} ELSE array() END)) AS i")
-    rows = rows.selectExpr("doc", "own", "error", "is_schema", "about", "i.x AS x", "i.part AS part")
-    one = Tree("part", "x.pre")
-    made = struct(pre="x.pre", local="x.local", d=struct(term=label_of("x"), definition=definition(one, "x")))
-    rows = rows.selectExpr("doc", "own", "error", "is_schema", "about", "CASE WHEN x IS NULL THEN part END AS n", f"CASE WHEN x IS NOT NULL THEN {made} END AS d")
-    docs = rows.groupBy("doc").agg(*[F.first(c).alias(c) for c in ("own", "error", "is_schema", "about")], F.first("n", ignorenulls=True).alias("n"), F.collect_list("d").alias("d"))
-    docs = docs.selectExpr("own", "error", "is_schema", "about", "n", "array_sort(d, (a, b) -> a.pre - b.pre) AS d")
+    rows = rows.selectExpr("own", "error", "is_schema", "n", f"CASE WHEN is_schema THEN {about} END AS about", f"CASE WHEN is_schema THEN {items} ELSE array() END AS items")
+
+    def made(i: str) -> str:
+        x = f"{i}.x"
+        return struct(local=f"{x}.local", d=struct(term=label_of(x), definition=definition(Tree(f"{i}.part", f"{x}.pre"), x)))
+
+    docs = rows.selectExpr("own", "error", "is_schema", "about", "n", f"{transform('items', made)} AS d")
 
     of_kind = lambda kind: transform(where("d", lambda v: f"{v}.local = '{kind}'"), lambda v: f"{v}.d")
     found = [struct(id="'schema-metadata'", heading="'Schema Metadata'", block="'schema-attributes'", d="about")] + [struct(id=f"'{name}'", heading=f"'{heading}'", block=f"'{block}'", d=of_kind(kind)) for kind, name, heading, block in KINDS]
@@ -231,7 +230,9 @@ def extract_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     lines = f"array({_section('0', 'NULL', f"coalesce({root}.name, 'document')", _block(ordinal='0', id="'xml-lines'", type="'list'", items=lines_of('n')))})"
     sections = f"CASE WHEN error IS NOT NULL THEN array() WHEN size(schema) > 0 THEN schema ELSE {lines} END"
     warnings = "CASE WHEN error IS NOT NULL THEN array(error) ELSE array() END"
-    return docs.selectExpr("own.*", f"CAST({struct(title='own.url', sections=sections, warnings=warnings)} AS {EXTRACTED}) AS e")
+    e = f"CAST({struct(title='own.url', sections=sections, warnings=warnings)} AS {EXTRACTED})"
+    # A generator of one row, an outer one, as for pages: filters stay behind the extraction.
+    return docs.selectExpr("own", f"explode_outer(array({e})) AS e").selectExpr("own.*", "e")
 
 
 def extract_xml(text: str | None, url: str) -> dict:

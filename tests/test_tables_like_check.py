@@ -81,3 +81,11 @@ def test_nodes_come_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(html_nodes, "BATCH", 100)
     rows = spark.range(0, 50, 1, 1).select(F.struct("id").alias("own"), F.repeat(F.lit("<p>x"), 10).alias("text"))
     assert html_nodes.nodes_of(rows).where("size(nodes) > 0").count() == 50 and most.value == 0
+
+
+def test_texts_are_dealt_before_the_parser(spark):
+    from folio.operators.xml_extract import extract_texts
+
+    plan = extract_texts(spark.createDataFrame([("<r/>", "u")], "text string, url string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Exchange") and plan.count("Exchange") == 1
+    assert not any(x in plan for x in ("Window", "Sort", "Aggregate"))
