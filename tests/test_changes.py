@@ -45,3 +45,29 @@ def test_any_order_ends_with_the_batch(spark, tmp_path):
 def test_states_that_are_forgotten_need_a_running_query(spark, tmp_path):
     with pytest.raises(ValueError, match="running"):
         changes.start_changes(spark, f"{tmp_path}/digests", f"{tmp_path}/out", f"{tmp_path}/c", forget_ms=1000)
+
+
+def test_states_meet_their_batch_without_python(spark, tmp_path, monkeypatch):
+    """Late, repeated and unchanged snapshots, over states that are kept whole in every second batch only."""
+    monkeypatch.setattr(changes, "FULL", 2)
+    section = lambda text, name: text * 64 + name
+    batches = [
+        [("u", "2024-01-02", "b", [section("1", "x"), section("1", "y")]), ("v", "2024-01-01", "a", [section("1", "x")])],
+        [("u", "2024-01-01", "a", [section("9", "z")]), ("u", "2024-01-03", "c", [section("2", "x"), section("1", "w")]), ("u", "2024-01-03", "c", [section("2", "x"), section("1", "w")])],
+        [("u", "2024-01-04", "d", [section("2", "x"), section("1", "w")]), ("u", "2024-01-05", "e", [])],
+        [("v", "2024-01-02", "b", [section("2", "x")]), ("u", "2024-01-05", "e", [section("9", "z")])],
+    ]
+    for number, rows in enumerate(batches):
+        table = spark.createDataFrame(rows, "url string, day string, snapshot_id string, sections array<string>").withColumn("fetched_at", F.to_timestamp("day"))
+        table.withColumn("digest", F.lit("")).select("url", "snapshot_id", "fetched_at", "digest", "sections").coalesce(1).write.parquet(f"{tmp_path}/digests/batch={number}")
+        changes.start_changes(spark, f"{tmp_path}/digests", f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(300)
+    got = sorted(tuple(x[c] for c in ("url", "number", "snapshot_id", "previous_id", "kind", "section_id")) for x in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [
+        ("u", 1, "b", None, "added", "x"), ("u", 1, "b", None, "added", "y"), ("u", 2, "c", "b", "added", "w"), ("u", 2, "c", "b", "changed", "x"), ("u", 2, "c", "b", "removed", "y"),
+        ("u", 4, "e", "d", "removed", "w"), ("u", 4, "e", "d", "removed", "x"), ("v", 1, "a", None, "added", "x"), ("v", 2, "b", "a", "changed", "x"),
+    ]
+    states = changes.read_states(spark, f"{tmp_path}/c/states", 4)
+    assert {x["url"] for x in states.collect()} == {"u", "v"}
+    assert changes.read_states(spark, f"{tmp_path}/c/states", 4, 1 << 60).isEmpty()
+    plan = changes.stepped(spark.read.schema(changes.DIGESTS).parquet(f"{tmp_path}/digests"), states, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
