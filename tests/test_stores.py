@@ -8,6 +8,8 @@ import textwrap
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,23 @@ def test_search_reads_only_its_buckets(spark, index):
         search_index(spark, path, 3)
 
 
+def test_lists_are_made_a_batch_at_a_time():
+    """Each trigram of a few batches is one row a segment, with the places of its rows, whatever their characters."""
+    from folio.operators import postings
+
+    texts = ["abcabc", "ab", "", "z\u00e4abc\U0001F600x", "abc", "abcd", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))]
+    rows = pa.table({"segment": pa.array([0, 0, 0, 0, 0, 1, 1], pa.int64()), "place": pa.array([5, 6, 7, 8, 9, 0, 1], pa.int32()), "folded": [t.encode() for t in texts[:5]] + [texts[5].encode() + b"\xff", texts[6].encode()]})
+    texts[5] += "\ufffd"
+    want = {}
+    for segment, place, text in zip(rows["segment"].to_pylist(), rows["place"].to_pylist(), texts, strict=True):
+        for gram in grams_of(text):
+            want.setdefault((gram, segment), []).append(place)
+    made = [x for batch in postings.listed(rows.to_batches(max_chunksize=2)) for x in batch.to_pylist()]
+    assert len(made) == len(want) and {(x["gram"], x["segment"]): x["places"] for x in made} == want
+    with pytest.raises(OverflowError):
+        postings.lists_of(["".join(map(chr, range(0x10000, 0x40000))), *["abc"] * 1999], np.arange(2000))
+
+
 def test_an_empty_index(spark, index, tmp_path):
     rows, _ = index
     write_index(rows.limit(0), f"{tmp_path}/none")
