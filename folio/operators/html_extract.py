@@ -3,10 +3,10 @@
 The parser hands out a page's nodes (:mod:`folio.operators.html_nodes`); all the
 rest is SQL over arrays, from nodes to blocks and sections:
 
-``described``  what holds of a node by itself and its ancestors: pruned or not,
-               block, heading, section, what hides it, and its number among siblings
-``placed``     paths, normativity and the headings that name algorithms
-``blocks``     a block for each node that is one, of the nodes between its ``pre`` and ``end``
+``described``  what holds of a node by itself: pruned or not, block, heading, section,
+               and its number among siblings
+``blocks``     a block for each node that is one, of the nodes between its ``pre`` and ``end``,
+               with its path, normativity and, for algorithms, the heading that names it
 ``sections``   a section for each heading or holder, with the blocks between two places
 
 Pages are dealt before the parser, which is the one exchange: what moves is a page,
@@ -23,15 +23,13 @@ from pyspark.sql import functions as F
 
 from folio.functions.families import BY_ID
 from folio.functions.text import JAVA_WHITE
-from folio.operators.html_nodes import nodes_of
+from folio.operators.html_nodes import BLOCK_TAGS, nodes_of
 from folio.operators.htmltree import HEADINGS
 from folio.operators.schema import BLOCK, BLOCK_FIELDS, EXTRACTED, SECTION, SOURCE
 from folio.operators.selectors import sql_matches
 from folio.operators.sqltext import first, fresh, full, let, normal, one_of, quoted, rank, struct, transform, where, with_fields
 
-#: Elements that are blocks, and elements that are sections.
-BLOCK_TAGS = frozenset("p pre ul ol table blockquote dl emu-alg emu-grammar emu-code emu-note emu-example emu-equation emu-table".split())
-SECTION_TAGS = frozenset("section emu-intro emu-clause emu-annex".split())
+#: Elements of code, and of notes.
 CODE_TAGS = frozenset("pre emu-alg emu-grammar emu-code emu-equation".split())
 NOTE_TAGS = frozenset("blockquote emu-note emu-example".split())
 #: Classes that settle normativity unless rules say otherwise.
@@ -81,18 +79,18 @@ class Rules:
 
 
 class Tree:
-    """A stretch of a page's nodes, from the place behind ``base`` on."""
+    """A page's nodes, by their places."""
 
-    def __init__(self, nodes: str, base: str = "-1"):
-        self.nodes, self.base = nodes, base
+    def __init__(self, nodes: str, gone: Callable[[str], str] = lambda k: f"{k}.gone"):
+        self.nodes, self.gone = nodes, gone
 
     def at(self, place: str) -> str:
-        return f"get({self.nodes}, {place} - {self.base} - 1)"
+        return f"get({self.nodes}, {place})"
 
     def below(self, x: str, test: Callable[[str], str] | None = None) -> str:
         """The nodes below ``x`` that are left, in order."""
-        part = f"slice({self.nodes}, {x}.pre - {self.base} + 1, {x}.`end` - {x}.pre - 1)"
-        return where(part, lambda k: f"NOT {k}.gone" if test is None else f"NOT {k}.gone AND coalesce({test(k)}, false)")
+        part = f"slice({self.nodes}, {x}.pre + 2, {x}.`end` - {x}.pre - 1)"
+        return where(part, lambda k: f"NOT {self.gone(k)}" if test is None else f"coalesce({test(k)}, false) AND NOT {self.gone(k)}")
 
     def elements(self, x: str, *tags: str) -> str:
         return self.below(x, lambda k: one_of(f"{k}.tag", tags))
@@ -109,7 +107,7 @@ class Tree:
 
     def anchor(self, x: str) -> str:
         """The first node below that has an id, or is a named link."""
-        return first(self.below(x, lambda k: f"map_contains_key({k}.attributes, 'id') OR ({k}.tag = 'a' AND map_contains_key({k}.attributes, 'name'))"))
+        return first(self.below(x, lambda k: f"{k}.tag IS NOT NULL AND (map_contains_key({k}.attributes, 'id') OR ({k}.tag = 'a' AND map_contains_key({k}.attributes, 'name')))"))
 
 
 def attribute(x: str, name: str) -> str:
@@ -127,74 +125,58 @@ def source(path: str, fragment: str) -> str:
 
 # Nodes.
 
-#: What a node of the parse has, and what ``described`` adds to it.
-PARSED = ("pre", "end", "parent", "above", "tag", "text", "id", "classes", "attributes", "after")
-FOUND = ("nth", "gone", "algorithm", "grammar", "section", "heading", "hider", "in_body", "norm")
+#: What is left of what a node of the parse has; ``described`` adds to it.
+PARSED = ("pre", "end", "parent", "above", "tag", "text", "id", "attributes", "after", "hider", "in_tbody")
 
 
 def described(parsed: DataFrame, rules: Rules) -> DataFrame:
-    """Pages with what is found of each of their ``nodes``, and with the page's ``body``, ``root``, ``scope`` and ``title``."""
-    tree = Tree("nodes")
+    """Pages with their nodes ``n`` and what is found of each of them, and with the page's ``body``, ``root``, ``scope`` and ``title``."""
+    # Tests come before what was pruned: it is looked up only for the few nodes that pass.
+    gone = lambda x: f"(size(places) > 0 AND (array_contains(places, {x}.pre) OR arrays_overlap(places, {x}.above)))"
+    tree = Tree("nodes", gone)
     cut = transform(where("nodes", lambda x: f"{x}.tag IS NOT NULL AND {rules.matches('prune', x, tree.at)}"), lambda x: struct(pre=f"{x}.pre", parent=f"{x}.parent", tag=f"{x}.tag"))
     rows = parsed.selectExpr("own", "nodes", f"{cut} AS cut", f"{rules.kinds()} AS kinds")
     rows = rows.selectExpr("*", "cut.pre AS places")
-    gone = lambda x: f"size(places) > 0 AND (array_contains(places, {x}.pre) OR arrays_overlap(places, {x}.above))"
-    # Among siblings of a tag those that are pruned don't count.
-    earlier = lambda x: where("cut", lambda c: f"{c}.parent = {x}.parent AND {c}.tag = {x}.tag AND {c}.pre < {x}.pre")
-    nth = lambda x: f"CASE WHEN {x}.tag IS NULL OR size(cut) = 0 THEN {x}.nth ELSE {x}.nth - size({earlier(x)}) END"
-    rows = rows.selectExpr("own", "kinds", f"{transform('nodes', lambda x: with_fields(x, {'nth': nth(x), 'gone': gone(x)}, PARSED))} AS nodes")
-
-    element = lambda test: first(where("nodes", lambda x: f"{x}.tag IS NOT NULL AND NOT {x}.gone AND coalesce({test(x)}, false)"))
+    left = lambda x, test: f"({x}.tag IS NOT NULL AND coalesce({test}, false) AND NOT {gone(x)})"
+    element = lambda test: first(where("nodes", lambda x: left(x, test(x))))
     rows = rows.selectExpr(
         "*", f"coalesce({element(lambda x: f"{x}.tag = 'body'")}.pre, {element(lambda x: f'{x}.parent = -1')}.pre, -1) AS body",
         f"{element(lambda x: rules.matches('root', x, tree.at))}.pre AS own_root", f"{element(lambda x: f"{x}.tag = 'title'")} AS t",
     )
     # Sections by a selector fall back on the headings of the whole body.
     scope = f"CASE WHEN {rules.has('sections')} AND NOT {rules.has('single_pre')} THEN body ELSE coalesce(own_root, body) END"
-    rows = rows.selectExpr("own", "nodes", "kinds", "body", "coalesce(own_root, body) AS root", f"{scope} AS scope", f"coalesce({tree.text('t')}, '') AS title")
+    # Among siblings of a tag those that are pruned don't count.
+    earlier = lambda x: where("cut", lambda c: f"{c}.parent = {x}.parent AND {c}.tag = {x}.tag AND {c}.pre < {x}.pre")
 
     def found(x: str) -> str:
-        left = f"({x}.tag IS NOT NULL AND NOT {x}.gone)"
-        tagged = lambda tags: where(f"{x}.above", lambda a: one_of(f"{tree.at(a)}.tag", tags))
         own = first(where(transform(f"{x}.classes", lambda k: f"try_element_at(kinds, {k})"), lambda v: f"{v} IS NOT NULL"))
-        rule = lambda name: f"{left} AND {rules.matches(name, x, tree.at)}"
+        rule = lambda name: left(x, rules.matches(name, x, tree.at))
         fields = {
-            "nth": f"{x}.nth", "gone": f"{x}.gone", "algorithm": rule("algorithm"), "grammar": rule("grammar"), "section": rule("sections"), "heading": f"{left} AND {one_of(f'{x}.tag', HEADINGS)}",
-            "hider": f"CASE WHEN {left} THEN coalesce(array_max({tagged(BLOCK_TAGS | SECTION_TAGS)}), -1) END", "in_body": f"array_contains({x}.above, body)",
-            "in_tbody": f"{x}.tag = 'tr' AND size({tagged(('tbody',))}) > 0", "norm": f"CASE WHEN {left} THEN {own} END",
+            "nth": f"CASE WHEN size(cut) = 0 OR {x}.tag IS NULL THEN {x}.nth ELSE {x}.nth - size({earlier(x)}) END", "gone": gone(x), "algorithm": rule("algorithm"), "grammar": rule("grammar"),
+            "section": rule("sections"), "heading": left(x, one_of(f"{x}.tag", HEADINGS)), "norm": f"CASE WHEN {left(x, f'size({x}.classes) > 0')} THEN {own} END",
         }
         return with_fields(x, fields, PARSED)
 
-    return rows.selectExpr(*PAGE, f"{transform('nodes', found)} AS nodes")
+    return rows.selectExpr("own", "body", "coalesce(own_root, body) AS root", f"{scope} AS scope", f"coalesce({tree.text('t')}, '') AS title", f"{transform('nodes', found)} AS n")
 
 
 def is_block(x: str) -> str:
     return f"(NOT {x}.gone AND ({one_of(f'{x}.tag', BLOCK_TAGS)} OR {x}.algorithm OR {x}.grammar))"
 
 
-def placed(pages: DataFrame) -> DataFrame:
-    """Pages with ``n``, their nodes with what follows from those around them: ``path``, ``norm`` and, for algorithms, ``titled_by``."""
-    tree = Tree("nodes")
-    step = lambda k: f"concat({k}.tag, ':nth-of-type(', {k}.nth, ')')"
-    # From the element up, without the body and what holds it; outside the body all that holds the element.
-    down = lambda x: f"concat({where(f'{x}.above', lambda a: f'(NOT {x}.in_body OR {a} > body)')}, array({x}.pre))"
-    nearest = lambda x, value: first(where(transform(f"reverse({down(x)})", lambda a: let(tree.at(a), value)), lambda v: f"{v} IS NOT NULL"))
+def in_body(x: str) -> str:
+    return f"array_contains({x}.above, body)"
 
-    def heading_before(k: str) -> str:
-        """The last heading among the siblings before; where that is pruned, the last one that isn't."""
-        left = transform(where("nodes", lambda h: f"{h}.heading AND {h}.parent = {k}.parent AND {h}.pre < {k}.pre"), lambda h: f"{h}.pre")
-        return f"CASE WHEN {k}.after IS NOT NULL THEN CASE WHEN {tree.at(f'{k}.after')}.gone THEN array_max({left}) ELSE {k}.after END END"
 
-    def one(x: str) -> str:
-        path = f"array_join({transform(down(x), lambda a: let(tree.at(a), step))}, ' > ')"
-        wanted = f"({is_block(x)} OR {x}.heading OR {x}.section)"
-        fields = {
-            "path": f"CASE WHEN {x}.pre = body THEN '' WHEN {wanted} AND {x}.in_body THEN {path} END",
-            "norm": f"CASE WHEN {is_block(x)} AND {x}.in_body THEN {nearest(x, lambda k: f'{k}.norm')} END", "titled_by": f"CASE WHEN {x}.algorithm THEN {nearest(x, heading_before)} END",
-        }
-        return with_fields(x, fields, (*PARSED, *[c for c in (*FOUND, "in_tbody") if c != "norm"]))
+def path_of(tree: Tree, x: str) -> str:
+    """An element's steps from the body down; null outside the body."""
+    path = transform(f"concat({where(f'{x}.above', lambda a: f'{a} > body')}, array({x}.pre))", lambda a: f"concat({tree.at(a)}.tag, ':nth-of-type(', {tree.at(a)}.nth, ')')")
+    return f"CASE WHEN {x}.pre = body THEN '' WHEN {in_body(x)} THEN array_join({path}, ' > ') END"
+
 
-    return pages.selectExpr(*PAGE, f"{transform('nodes', one)} AS n")
+def nearest(x: str, value: Callable[[str], str], test: Callable[[str], str]) -> str:
+    """From the element up the first ``value`` of a place that isn't null; of the ancestors only those that pass ``test``."""
+    return first(where(transform(f"reverse(concat({where(f'{x}.above', test)}, array({x}.pre)))", value), lambda v: f"{v} IS NOT NULL"))
 
 
 # Blocks.
@@ -236,12 +218,23 @@ def blocks(pages: DataFrame) -> DataFrame:
     A block is what its rule, for algorithms and grammars, or its element makes it.
     """
     tree = Tree("n")
-    part = lambda x: f"slice(n, {x}.pre + 2, {x}.`end` - {x}.pre - 1)"
-    titled = lambda x: let(tree.at(f"{x}.titled_by"), lambda h: f"CASE WHEN {h} IS NOT NULL THEN {tree.text(h)} END")
+
+    def heading_before(k: str) -> str:
+        """The last heading among the siblings before; where that is pruned, the last one that isn't."""
+        left = transform(where("n", lambda h: f"{h}.heading AND {h}.parent = {k}.parent AND {h}.pre < {k}.pre"), lambda h: f"{h}.pre")
+        return f"CASE WHEN {k}.after IS NOT NULL THEN CASE WHEN {tree.at(f'{k}.after')}.gone THEN array_max({left}) ELSE {k}.after END END"
+
+    titled = lambda x: let(tree.at(nearest(x, lambda a: let(tree.at(a), heading_before), lambda a: f"(NOT {in_body(x)} OR {a} > body)")), lambda h: f"CASE WHEN {h} IS NOT NULL THEN {tree.text(h)} END")
     rule = lambda x: f"CASE WHEN {x}.algorithm THEN 'algorithm' WHEN {x}.grammar THEN 'grammar'"
     tags = {"paragraph": ("p",), "note": NOTE_TAGS, "code": CODE_TAGS, "list": ("ul", "ol"), "definitionList": ("dl",), "table": ("table", "emu-table")}
     kind = lambda x: " ".join(f"WHEN {one_of(f'{x}.tag', t)} THEN '{name}'" for name, t in tags.items())
-    rows = pages.selectExpr(*PAGE, "n", f"{transform(where('n', is_block), lambda x: struct(x=x, part=part(x), heading=titled(x), type=f'{rule(x)} {kind(x)} END'))} AS made")
+
+    def block_node(x: str) -> str:
+        norm = f"CASE WHEN {in_body(x)} THEN {nearest(x, lambda a: f'{tree.at(a)}.norm', lambda a: f'{a} > body')} END"
+        return with_fields(x, {"path": path_of(tree, x), "norm": norm}, ("pre", "end", "tag", "id", "attributes", "hider", "heading"))
+
+    of_block = lambda x: struct(x=block_node(x), heading=f"CASE WHEN {x}.algorithm THEN {titled(x)} END", type=f"{rule(x)} {kind(x)} END")
+    rows = pages.selectExpr(*PAGE, "n", f"{transform(where('n', is_block), of_block)} AS made")
 
     def then(fields: Callable[[str, str, Tree, Callable[..., str]], dict[str, str]], *kept: str) -> None:
         """One step: of each block the fields ``kept`` and more, which ``fields`` makes of the block, its node, the nodes below and a test of its type."""
@@ -249,15 +242,15 @@ def blocks(pages: DataFrame) -> DataFrame:
 
         def one(b: str) -> str:
             of = lambda value, *types: f"CASE WHEN {one_of(f'{b}.type', types)} THEN {value} END"
-            return with_fields(b, fields(b, f"{b}.x", Tree(f"{b}.part", f"{b}.x.pre"), of), kept)
+            return with_fields(b, fields(b, f"{b}.x", tree, of), kept)
 
         rows = rows.selectExpr(*PAGE, "n", f"{transform('made', one)} AS made")
 
     then(lambda b, x, tree, of: {
-        "raw": of(tree.text(x), "paragraph", "note", "code", "grammar"), "ol": of(f"CASE WHEN {x}.tag = 'ol' THEN {x} ELSE {first(tree.elements(x, 'ol'))} END", "algorithm"),
+        "raw": of(tree.text(x), "paragraph", "note", "code", "grammar"), "ol": of(f"CASE WHEN {x}.tag = 'ol' THEN {tree.at(f'{x}.pre')} ELSE {first(tree.elements(x, 'ol'))} END", "algorithm"),
         "dl": of(transform(tree.children(x, "dt", "dd"), lambda k: struct(term=f"{k}.tag = 'dt'", text=tree.clean(k))), "definitionList"), "every_tr": of(tree.elements(x, "tr"), "table"),
         "thead": of(first(tree.elements(x, "thead")), "table"), "anchor": f"CASE WHEN {x}.id IS NULL THEN {tree.anchor(x)} END",
-    }, "x", "part", "heading", "type")
+    }, "x", "heading", "type")
 
     def table_parts(b, x, tree, of):
         empty = "CAST(array() AS array<string>)"
@@ -265,7 +258,7 @@ def blocks(pages: DataFrame) -> DataFrame:
         bodies = where(f"{b}.every_tr", lambda r: f"{r}.in_tbody")
         return {"headers": of(where(named, lambda h: f"{h} <> ''"), "table"), "tr": of(let(bodies, lambda v: f"CASE WHEN size({v}) > 0 THEN {v} ELSE {b}.every_tr END"), "table")}
 
-    then(table_parts, "x", "part", "heading", "type", "raw", "ol", "dl", "anchor")
+    then(table_parts, "x", "heading", "type", "raw", "ol", "dl", "anchor")
 
     def filled(b, x, tree, of):
         headed = f"(size({b}.headers) > 0 AND coalesce(size({let(first(f'{b}.tr'), lambda r: tree.elements(r, 'th'))}) > 0, false))"
@@ -282,7 +275,7 @@ def blocks(pages: DataFrame) -> DataFrame:
             "name": f"coalesce({x}.id, {name_of(f'{b}.anchor')})",
         }
 
-    then(filled, "x", "part", "type", "headers")
+    then(filled, "x", "type", "headers")
 
     def whole(b, x, tree, of):
         says = " OR ".join([f"coalesce({b}.text <> '', false)", *[f"coalesce(size({b}.{c}) > 0, false)" for c in ("items", "definitions", "headers", "rows", "steps", "productions")]])
@@ -320,11 +313,11 @@ def sections(pages: DataFrame, rules: Rules) -> DataFrame:
         return struct(container=container, heading=heading, path=path, blocks=blocks, titled=str(titled).lower())
 
     def holder(c: str) -> str:
-        return let(first(tree.below(c, lambda k: f"{k}.heading")), lambda h: item(c, h, f"coalesce({h}.path, {c}.path)", shown(f"{c}.pre + 1", f"{c}.`end`", f"{c}.pre", True)))
+        return let(first(tree.below(c, lambda k: f"{k}.heading")), lambda h: item(c, h, f"coalesce({path_of(tree, h)}, {path_of(tree, c)})", shown(f"{c}.pre + 1", f"{c}.`end`", f"{c}.pre", True)))
 
-    by_heading = transform("heads", lambda h, i: item(h, h, f"{h}.path", shown(f"{h}.pre", f"coalesce(get(heads, {i} + 1).pre, {tree.at('scope')}.`end`)", "scope", False)), True)
-    in_all = f"array({item('get(n, -1)', 'get(n, -1)', 'whole.path', shown('whole.pre + 1', 'whole.`end`', 'whole.pre', True), True)})"
-    in_pre = f"array({item('pre', 'get(n, -1)', 'pre.path', shown('pre.pre', 'pre.pre + 1', str(1 << 30), True), True)})"
+    by_heading = transform("heads", lambda h, i: item(h, h, path_of(tree, h), shown(f"{h}.pre", f"coalesce(get(heads, {i} + 1).pre, {tree.at('scope')}.`end`)", "scope", False)), True)
+    in_all = f"array({item('get(n, -1)', 'get(n, -1)', path_of(tree, 'whole'), shown('whole.pre + 1', 'whole.`end`', 'whole.pre', True), True)})"
+    in_pre = f"array({item('pre', 'get(n, -1)', path_of(tree, 'pre'), shown('pre.pre', 'pre.pre + 1', str(1 << 30), True), True)})"
     selected = where(transform("holders", holder), lambda s: f"size({s}.blocks) > 0 OR coalesce({tree.clean(f'{s}.heading')}, '') <> ''")
     pages = pages.selectExpr("own", "title", "n", f"CASE WHEN size(heads) > 0 THEN {by_heading} ELSE {in_all} END AS by_heading", f"{selected} AS selected", f"{tree.clean('pre')} AS said", f"{in_pre} AS in_pre")
     chosen = "CASE WHEN coalesce(said <> '', false) THEN in_pre WHEN coalesce(size(selected) > 0, false) THEN selected ELSE by_heading END"
@@ -363,7 +356,7 @@ def extract_pages(pages: DataFrame, text: str = "text", rules: dict[str, dict] |
     own = F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c == "url" else F.col(c) for c in pages.columns if c != text])
     rule = Rules("own.family", by_family)
     dealt = pages.select(F.monotonically_increasing_id().alias("page"), own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("page")
-    made = sections(blocks(placed(described(nodes_of(dealt), rule))), rule)
+    made = sections(blocks(described(nodes_of(dealt), rule)), rule)
     title = f"coalesce({full('title')}, get(sections, 0).heading, 'Untitled')"
     e = f"CAST({struct(title=title, sections='sections', warnings='NULL')} AS {EXTRACTED})"
     # A generator of one row, an outer one: a filter on what comes out of it isn't moved before it, where the extraction would run twice.

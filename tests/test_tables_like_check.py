@@ -89,3 +89,18 @@ def test_texts_are_dealt_before_the_parser(spark):
     plan = extract_texts(spark.createDataFrame([("<r/>", "u")], "text string, url string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Exchange") and plan.count("Exchange") == 1
     assert not any(x in plan for x in ("Window", "Sort", "Aggregate"))
+
+
+def test_what_is_found_of_nodes_takes_one_pass(spark):
+    """The parser says what hides a node, and all else that is found of nodes is written out once, without a copy of them for each block."""
+    from folio.operators.html_extract import extract_pages
+    from folio.operators.html_nodes import flat
+    from folio.operators.htmltree import parse
+
+    rows = flat(parse("<body><section><ul><li>a</li></ul></section><table><tr><td>b</table>")[0])
+    tags = {row[4]: row for row in rows if row[4]}
+    assert [tags[t][11] for t in ("section", "ul", "li", "td")] == [-1, tags["section"][0], tags["ul"][0], tags["table"][0]]
+    assert [t for t, row in tags.items() if row[12]] == ["tr"]
+    docs = spark.createDataFrame([("<p>x", "u", "generic", "x")], "text string, url string, family string, authority string")
+    plan = extract_pages(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS n#") == 1 and " AS nodes#" not in plan and " AS part" not in plan
