@@ -46,13 +46,15 @@ def section_markdown(s: Column) -> Column:
     return F.concat(F.array(heading), name, F.array(F.lit("")), body)
 
 
-def markdown(docs: DataFrame) -> DataFrame:
-    """``url``, ``path`` (if the documents have one) and ``markdown``."""
+def markdown(docs: DataFrame, trimmed: bool = True) -> DataFrame:
+    """``url``, ``path`` (if the documents have one) and ``markdown``, which ends in one line end unless ``trimmed`` is false: then its last lines stay as they are."""
     optional = lambda label, c: F.when(falsy(F.col(c)).isNotNull(), F.array(F.concat(F.lit(f"{label}: "), F.col(c)))).otherwise(_array())
     lines = F.concat(
         F.array(F.concat(F.lit("# "), F.col("title")), F.lit(""), F.concat(F.lit("URL: "), F.col("url")), F.concat(F.lit("Family: "), F.col("family"))),
         optional("Authority", "authority"), optional("Snapshot", "snapshot_id"),
         F.array(F.concat(F.lit("Extracted: "), F.coalesce(iso(F.col("extracted_at")), F.lit(""))), F.lit("")), F.flatten(F.transform("sections", section_markdown)),
     )
-    text = F.concat(F.regexp_replace(joined(lines, "\n"), f"[{JAVA_WHITE}]+$", ""), F.lit("\n"))
+    text = joined(lines, "\n")
+    if trimmed:
+        text = F.concat(F.regexp_replace(text, f"[{JAVA_WHITE}]+$", ""), F.lit("\n"))
     return docs.select("url", *[c for c in ("path",) if c in docs.columns], text.alias("markdown"))

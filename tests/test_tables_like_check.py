@@ -104,3 +104,28 @@ def test_what_is_found_of_nodes_takes_one_pass(spark):
     docs = spark.createDataFrame([("<p>x", "u", "generic", "x")], "text string, url string, family string, authority string")
     plan = extract_pages(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(" AS n#") == 1 and " AS nodes#" not in plan and " AS part" not in plan
+
+
+#: Texts without words, and such as end in what ends a line for Java but isn't white space here.
+ENDS = [(1, "one\n\ntwo"), (2, ""), (3, " \n\n\t\n\n "), (4, "a \u0085"), (5, "\u0085"), (6, "b\n\n　"), (7, "\r\n\r\n")]
+
+
+@pytest.fixture(scope="module")
+def ends(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("ends"))
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in ENDS], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(PAGES[:1], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+def test_markdown_of_texts_without_words_equals_its_sql(spark, ends):
+    compare(spark, ends, "render_markdown")
+
+
+def test_markdown_ends_in_one_line_end(spark, ends):
+    """The contract's form still trims white space."""
+    from folio.operators.render import markdown
+    from folio.plans.queries import text_documents
+
+    got = {int(r["url"].rsplit("/", 1)[1]): r["markdown"].split("## Document", 1)[1] for r in markdown(text_documents(spark, ends)).collect()}
+    assert got == {1: "\n\none\n\ntwo\n", 2: "\n", 3: "\n", 4: "\n\na \u0085\n", 5: "\n\n\u0085\n", 6: "\n\nb\n", 7: "\n"}
