@@ -35,14 +35,14 @@ CONTRACT_SCHEMA = (
 )
 
 
-def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Documents as Parquet by family, or as one file each (``json`` or ``md``) at its :func:`output_path` below ``path``."""
+def write_documents(docs: DataFrame, path: str, fmt: str = "parquet", trimmed: bool = True) -> None:
+    """Documents as Parquet by family, or as one file each (``json`` or ``md``, ``trimmed`` or not) at its :func:`output_path` below ``path``."""
     if fmt == "parquet":
         docs.write.mode("overwrite").partitionBy("family").parquet(path)
         return
     own = F.col("output") if "output" in docs.columns else F.lit(None).cast("string")
     placed = docs.withColumn("path", output_path(own, F.col("family"), F.col("url"), path, fmt))
-    texts = markdown(placed).select("path", F.col("markdown").alias("text")) if fmt == "md" else contract_json(placed, pretty=False).select("path", F.col("json").alias("text"))
+    texts = markdown(placed, trimmed).select("path", F.col("markdown").alias("text")) if fmt == "md" else contract_json(placed, pretty=False).select("path", F.col("json").alias("text"))
     write_files(texts, indent=fmt == "json")
 
 

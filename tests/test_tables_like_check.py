@@ -129,3 +129,7 @@ def test_markdown_ends_in_one_line_end(spark, ends):
 
     got = {int(r["url"].rsplit("/", 1)[1]): r["markdown"].split("## Document", 1)[1] for r in markdown(text_documents(spark, ends)).collect()}
     assert got == {1: "\n\none\n\ntwo\n", 2: "\n", 3: "\n", 4: "\n\na \u0085\n", 5: "\n\n\u0085\n", 6: "\n\nb\n", 7: "\n"}
+
+
+def test_markdown_files_of_texts_without_words_equal_their_sql(spark, ends):
+    compare(spark, ends, "markdown_files")
