@@ -125,6 +125,11 @@ def listed_files(spark: SparkSession, path: str, suffix: str, tasks: int = 16) -
     return top.select(F.col("f").alias("file"), F.col("s").alias("size"), F.timestamp_micros("m").alias("modified"))
 
 
+def dealt_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """The files of :func:`listed_files`, dealt over a set number of tasks: their names are few bytes, and what they name is many."""
+    return listed_files(spark, path, suffix).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+
+
 def file_texts(files: DataFrame, path: str) -> DataFrame:
     """``file`` and ``value``, the text of each of the ``files`` below ``path``, read by the tasks one after the other."""
 
@@ -158,6 +163,17 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
+def is_folder(path: str) -> bool:
+    """Whether Arrow's file systems know a path or URI as a folder."""
+    from pyarrow import fs
+
+    try:
+        store, place = opened(path)
+        return store.get_file_info(place).type == fs.FileType.Directory
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
 def read_documents(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
     """Documents of a folder, searched to any depth, or of a list of files, which are then named in ``file``.
 
@@ -177,7 +193,13 @@ def read_json_documents(spark: SparkSession, path: str | list[str], named: bool
     Each file is read as a VARIANT: an object with an array of sections is a
     document, other objects, arrays and plain values are not.  Of a document that
     has a field of another type that field is null.  A malformed file ends the run.
+
+    Files of a folder are listed and read by the tasks, hidden ones too; the driver
+    holds no list of them.  A single file, a pattern, a list and a folder in a store
+    that Arrow doesn't know go through Spark's own reader, which lists on the driver.
     """
+    if not named and is_folder(path):
+        return _json_documents(file_texts(dealt_files(spark, path, ".json"), path), False)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return _json_documents(files.select("value", F.col("_metadata.file_path").alias("file")) if named else files, named)
 

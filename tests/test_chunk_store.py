@@ -58,3 +58,21 @@ def test_the_driver_holds_no_names(spark, tmp_path, monkeypatch):
     got = chunk_store.update(spark, f"{tmp_path}/in", f"{tmp_path}/out")
     assert max(collected) <= chunk_store.BUCKETS
     assert got.counts() == (200, 0) and chunk_store.all_chunks(spark, f"{tmp_path}/out").count() == 200
+
+
+def test_a_folder_of_json_is_listed_by_the_tasks(spark, tmp_path):
+    """The plan names no file, however many there are; hidden files count, a single file and a pattern go through Spark's reader."""
+    from folio.sources.documents import read_documents
+
+    one = '{"schemaVersion": "0.2", "url": "https://a.example/%s", "title": "t", "family": "generic", "extractedAt": "2024-01-01T00:00:00.000Z", "sections": [{"heading": "h", "level": 1, "blocks": []}], "warnings": []}'
+    for name in ("a.json", "deep/er/b.json", "_own/c.json", ".d.json", "e.json.part", "f.JSON"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(one % name)
+    for path in (f"{tmp_path}/in", f"{tmp_path}/in/", f"file://{tmp_path}/in"):
+        docs = read_documents(spark, path, "json")
+        assert "FileScan" not in docs._jdf.queryExecution().executedPlan().toString() and docs.inputFiles() == []
+        assert sorted(r["url"].removeprefix("https://a.example/") for r in docs.collect()) == [".d.json", "_own/c.json", "a.json", "deep/er/b.json"]
+    for path in (f"{tmp_path}/in/a.json", f"{tmp_path}/i?/a.json", f"file:{tmp_path}/in/a.json"):
+        assert [r["url"] for r in read_documents(spark, path, "json").collect()] == ["https://a.example/a.json"]
+    (tmp_path / "none").mkdir()
+    assert read_documents(spark, f"{tmp_path}/none", "json").count() == 0
