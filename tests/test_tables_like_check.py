@@ -133,3 +133,11 @@ def test_markdown_ends_in_one_line_end(spark, ends):
 
 def test_markdown_files_of_texts_without_words_equal_their_sql(spark, ends):
     compare(spark, ends, "markdown_files")
+
+
+@pytest.mark.parametrize("name", ["json_mixed"])
+def test_files_are_listed_by_the_tasks(spark, ends, name):
+    """The plan names no file, however many there are."""
+    made = __spark_entry__.queries()[name](spark, ends)
+    assert made.inputFiles() == [] and "FileScan" not in made._jdf.queryExecution().executedPlan().toString()
+    compare(spark, ends, name)
