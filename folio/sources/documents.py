@@ -130,8 +130,9 @@ def dealt_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return listed_files(spark, path, suffix).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
 
 
-def file_texts(files: DataFrame, path: str) -> DataFrame:
-    """``file`` and ``value``, the text of each of the ``files`` below ``path``, read by the tasks one after the other."""
+def file_texts(files: DataFrame, path: str, binary: bool = False) -> DataFrame:
+    """``file`` and ``value``, the text, or the bytes, of each of the ``files`` below ``path``, read by the tasks one after the other."""
+    kind = pa.binary() if binary else pa.string()
 
     def run(batches):
         store = opened(path)[0]
@@ -139,19 +140,19 @@ def file_texts(files: DataFrame, path: str) -> DataFrame:
             names, texts, size = [], [], 0
             for file in batch.column(0).to_pylist():
                 with store.open_input_stream(file) as stream:
-                    texts.append(stream.read().decode("utf-8", "replace"))
+                    texts.append(stream.read() if binary else stream.read().decode("utf-8", "replace"))
                 names.append(file)
                 size += len(texts[-1])
                 if size >= TEXTS:
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], ["file", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts, kind)], ["file", "value"])
                     names, texts, size = [], [], 0
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], ["file", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts, kind)], ["file", "value"])
 
-    return files.select("file").mapInArrow(run, "file string, value string")
+    return files.select("file").mapInArrow(run, f"file string, value {'binary' if binary else 'string'}")
 
 
-#: Rows of a batch of names, and characters from which on a batch of texts is full.
+#: Rows of a batch of names, and characters or bytes from which on a batch of texts is full.
 LISTED, TEXTS = 1 << 12, 1 << 20
 _LISTED = (pa.string(), pa.int64(), pa.int64())
 

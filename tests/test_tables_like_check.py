@@ -135,7 +135,7 @@ def test_markdown_files_of_texts_without_words_equal_their_sql(spark, ends):
     compare(spark, ends, "markdown_files")
 
 
-@pytest.mark.parametrize("name", ["json_mixed"])
+@pytest.mark.parametrize("name", ["json_mixed", "markdown_files"])
 def test_files_are_listed_by_the_tasks(spark, ends, name):
     """The plan names no file, however many there are."""
     made = __spark_entry__.queries()[name](spark, ends)
