@@ -211,3 +211,24 @@ def test_histories_of_one_piece_are_not_asked_for(spark, tmp_path, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in katz_lm.scores(docs, F.col("doc_id") < 3).collect()}
     assert all(math.isclose(got[i], m.score(t), rel_tol=1e-9) for i, t, _ in data)
     assert sorted(x.name for x in base.iterdir() if x.is_dir()) == ["level=0"]
+
+
+def test_the_query_keeps_its_tables(spark, tmp_path, monkeypatch):
+    """All n-grams of all levels, those that one piece counted itself and those of parts."""
+    from folio.llm import queries
+
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: f"file://{tmp_path}/tables")
+    monkeypatch.setattr(katz_lm, "PIECE_BYTES", 200)
+    data = rows(6)
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op9_katz_lm(spark, str(tmp_path)).count() == len(data)
+    m = Plain([t for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2])
+    want = Counter({(k, c): n for k, cc in m.cc.items() for c, n in Counter(cc.values()).items()})
+    got, own = Counter(), 0
+    for part in katz_lm.stored(spark, f"file://{tmp_path}/tables").where("level > 1").collect():
+        counts = katz_lm.unpack(part["data"])[-1]
+        assert len(counts) == part["n_entries"]
+        own += part["part"] == -1
+        for c in counts.tolist():
+            got[part["level"], c] += 1
+    assert got == want and own > 0
